@@ -228,8 +228,8 @@ def _added(text: Column, base: Column, model: dict) -> Column:
     return F.when(maybe, F.array_sort(chosen)).otherwise(empty)
 
 
-def pii_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """``docs`` with ``_base`` and ``_added`` columns: arrays of struct<start, end, kind> in reporting order."""
+def pii_spans(docs: DataFrame, model: dict | None = None, name: str = "_found") -> DataFrame:
+    """``docs`` with a struct column ``name`` of ``base`` and ``added``: arrays of struct<start, end, kind> in reporting order."""
     model = model or fit_trees(labelled_findings(docs.sparkSession))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -239,7 +239,7 @@ def pii_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
     kinds = [of(k) for k in BASE]
     both = _let(F.concat(*kinds), lambda base: F.struct(base.alias("base"), _added(text, base, model).alias("added")))
-    return docs.withColumn("_found", both)
+    return docs.withColumn(name, both)
 
 
 def _joined(spans: Column) -> Column:
@@ -260,8 +260,11 @@ def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
     Texts without spans are unchanged, null ones stay null. All other columns stay as they are.
     """
-    found = pii_spans(docs, model)
-    spans = F.array_sort(F.concat(F.col("_found.base"), F.col("_found.added")))
+    name = "_found"
+    while name in docs.columns:
+        name += "_"
+    found = pii_spans(docs, model, name)
+    spans = F.array_sort(F.concat(F.col(f"{name}.base"), F.col(f"{name}.added")))
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
@@ -273,4 +276,4 @@ def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
         return F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))
 
     clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, finish)
-    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).drop("_found")
+    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).drop(name)

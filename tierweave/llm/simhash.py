@@ -114,6 +114,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Of rows that repeat this id, one stays; rows without an id all stay, since nothing tells them apart.
     """
-    keep = simhash_components(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    with_id = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id is null"))
+    keep = simhash_components(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
+    with_id = docs.where(docs["doc_id"].isNotNull()).join(keep, docs["doc_id"] == keep["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return with_id.unionByName(docs.where(docs["doc_id"].isNull()))
