@@ -37,8 +37,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = pa.array([w for t in b.column(0).to_pylist() for w in cuts(t)], pa.large_string()).value_counts()
-            yield pa.RecordBatch.from_arrays([words.field(0).cast(pa.string()), words.field(1)], ["word", "n"])
+            for low, high in slices(b.column(0)):
+                words = pa.array([w for t in b.column(0).slice(low, high - low).to_pylist() for w in cuts(t)], pa.large_string()).value_counts()
+                yield pa.RecordBatch.from_arrays([words.field(0).cast(pa.string()), words.field(1)], ["word", "n"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

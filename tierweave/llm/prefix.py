@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tierweave.llm.words import BYTE_PIECE, PLAIN, byte_alphabet, cuts, library, slices, table, vocabulary
 
-MOST_PAIRS = 1_000_000
+MOST_PAIRS = 250_000
 #: What the vocabulary's pattern splits off as a piece after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -162,7 +162,7 @@ class PrefixCounts:
             before, last = total, w
         return np.concatenate(out)
 
-    def trim(self, most: int = 400_000) -> None:
+    def trim(self, most: int = 150_000) -> None:
         if len(self.inner) > most:
             self.inner.clear()
             self.pieces.clear()

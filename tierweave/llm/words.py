@@ -15,14 +15,14 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 LONG_PIECE = 300
 #: Characters for which the short patterns below equal the vocabularies' own.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÿ]*")
@@ -150,16 +150,19 @@ class WordTable:
         return np.concatenate(([0], ends))[word_at], ids
 
 
-def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> list[tuple[int, int]]:
-    """Row ranges of about ``most_bytes`` of text, one row at least, so that work arrays stay small."""
+def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most_bytes`` of text, one row at least, so that work arrays stay small.
+
+    What Arrow no longer uses goes back to the system after each of them.
+    """
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    out, row = [], 0
+    row = 0
     while row < len(texts):
         done = size[row - 1] if row else 0
         end = max(row + 1, int(np.searchsorted(size, done + most_bytes, "right")))
-        out.append((row, end))
+        yield row, end
+        pa.default_memory_pool().release_unused()
         row = end
-    return out
 
 
 @lru_cache(maxsize=2)
