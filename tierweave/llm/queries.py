@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierweave.llm import bpe, packing, pii, prefix, quality, simhash
+from tierweave.llm import bpe, idstore, packing, pii, prefix, quality, rabitq, secrets, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op2_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -25,10 +29,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idstore.read_ids(idstore.write_ids(_table(spark, sf_dir, "documents")))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
@@ -37,9 +49,47 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
+
+
+#: By brute force: all pairs of vectors, and labels that spread along links.
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), n AS (SELECT a, COUNT(*) AS n FROM links GROUP BY a), c AS (SELECT a, MIN(b) AS c FROM reach GROUP BY a)
+SELECT e.vec_id, COALESCE(n.n, 0) AS n_links, LEAST(COALESCE(c.c, e.vec_id), e.vec_id) AS component_id,
+  LEAST(COALESCE(c.c, e.vec_id), e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
+
+#: Base32 digit i of a SHA-1 is its bits 5i to 5i + 4: hex digits 5i/4 and the next.
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(COALESCE(html, ''))) AS payload_bytes, sha1(COALESCE(html, '')) || '0' AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((((strpos('0123456789abcdef', substr(h, CAST(i * 5 // 4 + 1 AS INTEGER), 1)) - 1) * 16
+      + strpos('0123456789abcdef', substr(h, CAST(i * 5 // 4 + 2 AS INTEGER), 1)) - 1) >> CAST(3 - (i * 5) % 4 AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = MAX(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = MAX(page_id) OVER w THEN NULL ELSE MAX(page_id) OVER w END AS refers_to
+FROM d WINDOW w AS (PARTITION BY payload_digest)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_bpe, op4_simhash, op6_packing, op8_pii, op9_token_counts)}
+    return {f.__name__: f for f in (op1_quality, op2_rabitq, op3_bpe, op4_simhash, op5_secrets, op6_packing, op7_token_ids, op8_pii, op9_token_counts, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_rabitq": OP2_SQL, "op10_warc": OP10_SQL}
