@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tierweave.llm.common import cut
 from tierweave.llm.words import slices, table, vocabulary
 
-RANKED_TOGETHER = 200_000
+RANKED_TOGETHER = 10_000
 
 
 def pieces(docs: DataFrame, size: int = 4096, end_id: int = 1, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, size: int = 4096, end_id: int = 1, path: str | None =
     own = got.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     before = own.select("length", "_bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("n")).alias("_before"))
     ranked = got.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "_bucket"]).join(F.broadcast(places), "length")
+    ranked = ranked.join(before, ["length", "_bucket"]).join(F.broadcast(places), "length")
     rank = F.col("_rank") + F.col("_before")
     place = F.element_at(F.filter("places", lambda p: (p["low"] <= rank) & (rank < p["high"])), 1)
     placed = ranked.withColumn("_place", place)
