@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tierweave.functions import domains as D
 from tierweave.functions import orgs as O
+from tierweave.plans.graph import committed
 
 SCHEMA = """nth_party_domain string, nth_party_organization string, nth_party_layer int, nth_party_customer_domain string, nth_party_customer_organization string,
  nth_party_record string, nth_party_record_type string, root_customer_domain string, root_customer_organization string, evidence string, seq bigint"""
@@ -122,9 +123,27 @@ def gate_intermediaries(rel: DataFrame, curated: DataFrame | None = None) -> Dat
 
 
 def finalize(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
-    """Reject, gate, reconcile, in this order."""
+    """Reject, gate, reconcile, in this order.
+
+    Reconciling rewrites all positions, so gating only has to change the votes: every different (domain, name) is judged once, in a
+    table of its own, and the rows are joined with the outcome alone.
+    """
     columns = rel.columns
-    return reconcile_names(gate_intermediaries(drop_unregistrable(rel), curated), curated).select(*columns)
+    rel = drop_unregistrable(rel)
+    domain, name = F.col("domain"), F.col("organization")
+    judged = named_domains(rel).withColumns({"label": O.domain_label(domain), "bad": O.is_intermediary(name, domain), "fit": O.is_plausible_name(name)})
+    judged = committed(judged, "judged")
+    if curated is not None:
+        own = curated.select(F.lower("domain").alias("domain"), F.col("organization").alias("_curated")).groupBy("domain").agg(F.min("_curated").alias("_curated"))
+        judged = judged.join(F.broadcast(own), "domain", "left")
+    else:
+        judged = judged.withColumn("_curated", F.lit(None).cast("string"))
+    best = first_seen(judged.where("fit and not bad and organization <> label"), ["domain"], [F.desc("n"), F.desc(F.octet_length("organization")), "organization"])
+    names = judged.groupBy("domain").agg(F.first("label").alias("label"), F.first("_curated").alias("_curated")).join(best.select("domain", F.col("organization").alias("voted")), "domain", "left")
+    names = committed(names.select("domain", F.coalesce("_curated", "voted", "label").alias("_name")), "names")
+    for d, o in POSITIONS:
+        rel = rel.join(names.withColumnRenamed("domain", d), d, "left").withColumn(o, F.coalesce("_name", o)).drop("_name")
+    return rel.select(*columns)
 
 
 def assemble(new: DataFrame, resumed: DataFrame | None = None, curated: DataFrame | None = None, include_infrastructure: bool = False) -> DataFrame:

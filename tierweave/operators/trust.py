@@ -27,10 +27,10 @@ def entity_arrays(captures: DataFrame, depth: int = 4) -> DataFrame:
     out = None
     for _ in range(depth):
         kind = F.schema_of_variant("v")
-        arrays = level.where(kind.startswith("ARRAY")).select("page_url", "ordinal", "path", F.transform(F.expr("cast(v as array<variant>)"), lambda x: F.to_json(x)).alias("items"))
+        arrays = level.where(kind.startswith("ARRAY")).select("page_url", "ordinal", "path", F.transform(F.expr("try_variant_get(v, '$', 'array<variant>')"), lambda x: F.to_json(x)).alias("items"))
         arrays = arrays.where((F.size("items") >= 3) & (F.size(F.filter("items", lambda i: i.startswith("{"))) > 0.8 * F.size("items")))
         out = arrays if out is None else out.unionByName(arrays)
-        level = level.where(kind.startswith("OBJECT")).select("page_url", "ordinal", "path", F.explode(F.expr("cast(v as map<string, variant>)")).alias("k", "v"))
+        level = level.where(kind.startswith("OBJECT")).select("page_url", "ordinal", "path", F.explode(F.expr("try_variant_get(v, '$', 'map<string, variant>')")).alias("k", "v"))
         level = level.select("page_url", "ordinal", F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "v").where("v is not null")
     return out
 

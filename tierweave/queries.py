@@ -335,7 +335,7 @@ def tenant_probes(spark, sf_dir):
     return registry.probes(own, platforms).select("domain", "tenant", "platform", "url")
 
 
-@query("SELECT event_type AS phase, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS found, sum(CASE WHEN value <= 50 THEN 1 ELSE 0 END) AS failed, sum(CASE WHEN value <= 50 THEN 1 ELSE 0 END) > 0 AS degraded FROM events GROUP BY 1")
+@query("SELECT event_type AS phase, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS found, CAST(sum(CASE WHEN value <= 50 THEN 1 ELSE 0 END) AS BIGINT) AS failed, sum(CASE WHEN value <= 50 THEN 1 ELSE 0 END) > 0 AS degraded FROM events GROUP BY 1")
 def coverage_snapshot(spark, sf_dir):
     good = (F.col("value") > 50).cast("int")
     return relations.coverage(table(spark, sf_dir, "events").select(F.col("event_type").alias("phase"), F.coalesce(good, F.lit(0)).alias("found"), F.coalesce(1 - good, F.lit(0)).alias("failed")))
@@ -390,7 +390,7 @@ CAPTURES = [
 ]
 
 
-@query("SELECT * FROM " + values([("p1", "aws.amazon.com", "Amazon", "Amazon | hosting"), ("p1", "stripe.com", "Stripe", "Stripe"), ("p1", "zendesk.com", "Zendesk", "Zendesk")], "page_url, domain, name, evidence"))
+@query("SELECT * FROM " + values([("p1", "aws.amazon.com", "Amazon", "Amazon"), ("p1", "stripe.com", "Stripe", "Stripe"), ("p1", "zendesk.com", "Zendesk", "Zendesk")], "page_url, domain, name, evidence"))
 def json_subprocessors(spark, sf_dir):
     return trust.subprocessors(trust.entity_arrays(spark.createDataFrame(CAPTURES, "page_url string, ordinal int, url string, body string")))
 
