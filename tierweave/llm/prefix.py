@@ -17,6 +17,7 @@ ids included; columns other than ``doc_id`` and ``text`` are ignored. Prefixes a
 
 from __future__ import annotations
 
+import gc
 import json
 from array import array
 from collections.abc import Iterable, Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tierweave.llm.words import BYTE_PIECE, PLAIN, byte_alphabet, cuts, library, slices, table, vocabulary
 
-MOST_PAIRS = 250_000
+MOST_PAIRS = 400_000
 #: What the vocabulary's pattern splits off as a piece after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -47,18 +48,11 @@ class PrefixCounts:
         self.vocab = {bytes(alphabet[c] for c in t): i for t, i in model["model"]["vocab"].items()}
         self.longest = max(map(len, self.vocab))
         self.specials = self.words.specials
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.raw = {i: t for t, i in self.vocab.items()}
+        self.apart: dict[int, bool] = {}
         self.pieces: dict[str, list[int]] = {}
         self.inner: dict[str, array] = {}
-        self.state: tuple[bytes, list[int], list[bytes]] = (b"", [0], [b""])
-
-    def _apart(self, a: bytes, b: bytes) -> bool:
-        got = self.apart.get((a, b))
-        if got is None:
-            if len(self.apart) > MOST_PAIRS:
-                self.apart.clear()
-            got = self.apart[a, b] = self.words.merge(a + b) == [self.vocab[a], self.vocab[b]]
-        return got
+        self.state: tuple[bytes, list[int], list[int]] = (b"", [0], [-1])
 
     def piece(self, raw: bytes) -> list[int]:
         """``counts[i]``: the tokens of ``raw[:i]``, for a piece that no prefix splits otherwise.
@@ -72,25 +66,38 @@ class PrefixCounts:
                 break
             same += 1
         del counts[same + 1 :], last[same + 1 :]
-        vocab, apart, longest = self.vocab, self.apart, self.longest
+        get, apart, longest = self.vocab.get, self.apart, self.longest
         for i in range(same + 1, len(raw) + 1):
-            for j in range(max(0, i - longest), i):
-                token = raw[j:i]
-                if token in vocab:
-                    if j:
-                        got = apart.get((last[j], token))
-                        if got is None:
-                            got = self._apart(last[j], token)
-                        if not got:
-                            continue
-                    counts.append(counts[j] + 1)
-                    last.append(token)
-                    break
+            token = get(raw[:i]) if i <= longest else None
+            if token is not None:  # the prefix is an entry: nothing is apart from it
+                counts.append(1)
+                last.append(token)
+                continue
+            for j in range(max(1, i - longest), i):
+                token = get(raw[j:i])
+                if token is not None:
+                    key = last[j] << 20 | token
+                    got = apart.get(key)
+                    if got is None:
+                        if len(apart) > MOST_PAIRS:
+                            apart.clear()
+                        got = apart[key] = self.words.merge(self.raw[last[j]] + raw[j:i]) == [last[j], token]
+                    if got:
+                        counts.append(counts[j] + 1)
+                        last.append(token)
+                        break
         self.state = (raw, counts, last)
         return counts
 
     def fill(self, words: Iterable[str]) -> None:
         """Work out the words that are new, their pieces in sorted order."""
+        gc.disable()  # what is made here stays, and holds no cycles
+        try:
+            self._fill(words)
+        finally:
+            gc.enable()
+
+    def _fill(self, words: Iterable[str]) -> None:
         new = [w for w in words if w not in self.inner]
         plain = {w: BYTE_PIECE.findall(w) for w in new if PLAIN.fullmatch(w) and not any(s in w for s in self.specials)}
         for p in sorted({p for ps in plain.values() for p in ps if p not in self.pieces}):
@@ -162,7 +169,7 @@ class PrefixCounts:
             before, last = total, w
         return np.concatenate(out)
 
-    def trim(self, most: int = 150_000) -> None:
+    def trim(self, most: int = 500_000) -> None:
         if len(self.inner) > most:
             self.inner.clear()
             self.pieces.clear()
@@ -211,9 +218,13 @@ def count_tokens(docs: DataFrame, limit: int = 512, path: str | None = None) ->
                 ids, texts = b.column(0).slice(low, high - low), b.column(1).slice(low, high - low)
                 n_tokens, fit = [], []
                 cut = [cuts(t) for t in texts.to_pylist()]
-                own.fill({w for ws in cut for w in ws})
-                for t, words in zip(texts.to_pylist(), cut, strict=True):
-                    ends = np.cumsum(np.fromiter((own.word(w)[-1] for w in words), np.int64, len(words)))
+                coded = pa.array([w for ws in cut for w in ws], pa.large_string()).dictionary_encode()
+                different = coded.dictionary.to_pylist()
+                own.fill(different)
+                tokens = np.array([own.inner[w][-1] for w in different], np.int64)[coded.indices.to_numpy()] if different else np.empty(0, np.int64)
+                place = np.cumsum([0, *map(len, cut)]).tolist()
+                for k, (t, words) in enumerate(zip(texts.to_pylist(), cut, strict=True)):
+                    ends = np.cumsum(tokens[place[k] : place[k + 1]])
                     n_tokens.append(total := int(ends[-1]) if words else 0)
                     if total <= limit:
                         fit.append(len(t or ""))

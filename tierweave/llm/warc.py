@@ -85,9 +85,9 @@ class Archive:
         tail = max(0, size - (1 << 16) - END.size - LOCATOR.size)
         data = self.file.read_at(size - tail, tail)
         at = data.rfind(b"PK\x05\x06")
-        while at >= 0 and len(data) - at >= END.size and at + END.size + END.unpack_from(data, at)[7] != len(data):
+        while at >= 0 and (len(data) - at < END.size or at + END.size + END.unpack_from(data, at)[7] != len(data)):
             at = data.rfind(b"PK\x05\x06", 0, at)
-        if at < 0 or len(data) - at < END.size:
+        if at < 0:
             raise ValueError("no end record")
         _, _, _, _, count, length, start, _ = END.unpack_from(data, at)
         if at >= LOCATOR.size and data[at - LOCATOR.size : at - LOCATOR.size + 4] == b"PK\x06\x07":
