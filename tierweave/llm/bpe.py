@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tierweave.llm.common import cut
 from tierweave.llm.words import byte_alphabet, cuts, slices, table, vocabulary
@@ -121,4 +122,4 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
 
     kept = encoded.drop("text")
-    return kept.mapInArrow(work, kept.schema.add("text", "string"))
+    return kept.mapInArrow(work, StructType([*kept.schema.fields, StructField("text", StringType())]))
