@@ -134,9 +134,11 @@ def encode(ids: np.ndarray, block: int = 512) -> list[bytes]:
         step = r >> U(BITS)
         l += step * start
         r[:] = step * width
-        while len(i := _unsettled(l, r)):
+        i = _unsettled(l, r)
+        while len(i):
             words[i, at[i]] = _shift(l, r, i)
             at[i] += 1
+            i = i[_unsettled(l[i], r[i])]
         m.update(x, hit, hit0)
     for k in (48, 32, 16, 0):
         words[np.arange(lanes), at] = ((low >> U(k)) & U(0xFFFF)).astype(np.uint16)
@@ -184,10 +186,12 @@ def decode(blocks: list[bytes], total: int, block: int = 512) -> np.ndarray:
         width = np.where(hit, share, np.where(hit0, zero, rest))
         l += step * start
         r[:] = step * width
-        while len(i := _unsettled(l, r)):
+        i = _unsettled(l, r)
+        while len(i):
             _shift(l, r, i)
             c[i] = (c[i] << U(16)) | words[i, np.minimum(at[i], words.shape[1] - 1)]
             at[i] += 1
+            i = i[_unsettled(l[i], r[i])]
         grid[t, :n] = x
         m.update(x, hit, x == b)
     return grid.T.reshape(-1)[:total]

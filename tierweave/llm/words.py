@@ -3,7 +3,8 @@
 Both vocabularies split a text into pieces that never cross certain blanks, so a text's ids are
 the concatenation of its words' ids. ``WordTable`` numbers the words it meets and stores their
 ids back to back; a text is then a vector of word numbers, and its ids one gather. The table is
-emptied between batches once it holds ``MOST_WORDS`` words, which bounds a worker's memory.
+emptied between batches once it holds ``MOST_WORDS`` words, which bounds a worker's memory. For the
+vocabulary with word ends, a batch's different words are encoded in one call, and no table is kept.
 
 Words of plain ASCII and Latin-1 letters are cut by the patterns below and merged by rank;
 anything else (special tokens, other scripts, very long pieces) goes to the tokenizers library
@@ -26,6 +27,7 @@ MOST_WORDS = 200_000
 LONG_PIECE = 300
 #: Characters for which the short patterns below equal the vocabularies' own.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÿ]*")
+PLAIN_WORD = "^[\x21-\x7eÀ-ÿ]*$"
 LETTER, LOWER = "A-Za-zÀ-ÖØ-öø-ÿ", "a-zß-öø-ÿ"
 BYTE_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
 WORD_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LOWER}]+|[0-9]|[^\s0-9{LOWER}]+")
@@ -56,6 +58,11 @@ def library(path: str):
     return t
 
 
+def _lines(words: pa.LargeStringArray, end: str) -> str:
+    """The words in lower case, ``end`` after each."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), end)[0].as_py().lower() + end if len(words) else ""
+
+
 class WordTable:
     """Numbers of words and their ids. ``word_ends``: the vocabulary marks word ends and drops blanks."""
 
@@ -67,13 +74,11 @@ class WordTable:
         self.word_ends = bool(model["model"]["end_of_word_suffix"])
         self.specials = [t["content"] for t in model["added_tokens"]]
         alphabet, end = byte_alphabet(), model["model"]["end_of_word_suffix"] or "\0"
-        raw = lambda t: bytes(alphabet[c] for c in t.removesuffix(end)) + (b"\xff" if t.endswith(end) else b"")
+        raw = lambda t: bytes(alphabet[c] for c in t.removesuffix(end)) + (b"\0" if t.endswith(end) else b"")
         ranks = {raw(t): i for t, i in model["model"]["vocab"].items()}
-        # 0xFF occurs in no UTF-8 text; after a piece's last byte it stands for the mark of a word's end.
-        self.alone = len(ranks) + 1000 if self.word_ends and b"\xff" not in ranks else None
-        if self.alone:
-            ranks[b"\xff"] = self.alone
-        self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)._core_bpe.encode_single_piece
+        # Where word ends are marked, U+0000 after a piece stands for the mark. The patterns below take no text that holds it.
+        core = tiktoken.Encoding("words", pat_str=r"[^\x00\n]+\x00|\n", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)._core_bpe
+        self.merge, self.marked, self.line = core.encode_single_piece, core.encode_ordinary, ranks[b"\n"]
         self.pieces: dict[str, list[int]] = {}
         self.clear()
 
@@ -85,7 +90,7 @@ class WordTable:
     def _piece(self, piece: str) -> list[int]:
         got = self.pieces.get(piece)
         if got is None:
-            got = self.pieces[piece] = self.merge(piece.encode() + (b"\xff" if self.word_ends else b""))
+            got = self.pieces[piece] = self.merge(piece.encode() + (b"\0" if self.word_ends else b""))
         return got
 
     def ids(self, word: str) -> list[int]:
@@ -115,39 +120,56 @@ class WordTable:
 
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``offsets, numbers``: text i's words have numbers[offsets[i]:offsets[i + 1]]. Nulls and empty texts have none."""
-        if self.word_ends:
-            lists = pc.ascii_split_whitespace(texts)
-        else:
-            cut = [cuts(t) for t in texts.to_pylist()]
-            offsets = np.cumsum([0, *map(len, cut)])
-            lists = pa.LargeListArray.from_arrays(offsets, pa.array([w for ws in cut for w in ws], pa.large_string()))
-        spans = lists.offsets.to_numpy() if not lists.null_count else np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
-        coded = lists.flatten().dictionary_encode()
+        cut = [cuts(t) for t in texts.to_pylist()]
+        coded = pa.array([w for ws in cut for w in ws], pa.large_string()).dictionary_encode()
         number, put, ids = self.number, self.put, self.ids
         own = [number[w] if w in number else put(w, ids(w)) for w in coded.dictionary.to_pylist()]
-        return spans - spans[0], np.array(own, np.int64)[coded.indices.to_numpy()] if own else np.empty(0, np.int64)
+        return np.cumsum([0, *map(len, cut)]), np.array(own, np.int64)[coded.indices.to_numpy()] if own else np.empty(0, np.int64)
+
+    def marked_ids(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``lens, starts, flat``: the ids of words without blanks, back to back, for a vocabulary that marks word ends.
+
+        Short words of plain characters go through one call: their pieces, marked, a line for each word.
+        """
+        plain = pc.and_(pc.less(pc.binary_length(words), LONG_PIECE), pc.and_not(pc.match_substring_regex(words, PLAIN_WORD), pc.match_substring(words, "<|")))
+        alpha = pc.and_(plain, pc.match_substring_regex(words, "^[A-Za-z]+$"))
+        text = _lines(words.filter(alpha), "\0\n") + WORD_PIECE.sub("\\g<0>\0", _lines(words.filter(pc.and_not(plain, alpha)), "\n"))
+        ids = np.array(self.marked(text), np.int32)
+        ends = np.flatnonzero(ids == self.line)
+        other = [np.array(library(self.path).encode(w, add_special_tokens=False).ids, np.int32) for w in words.filter(pc.invert(plain)).to_pylist()]
+        order = np.argsort(np.select([alpha.to_numpy(zero_copy_only=False), plain.to_numpy(zero_copy_only=False)], [0, 1], 2), kind="stable")
+        lens, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        lens[order] = np.concatenate((np.diff(ends, prepend=-1) - 1, [len(x) for x in other])).astype(np.int64)
+        starts[order] = np.cumsum(lens[order]) - lens[order]
+        return lens, starts, np.concatenate((ids[ids != self.line], *other))
 
     def encode(self, texts: Iterable[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``offsets, ids``: text i has ids[offsets[i]:offsets[i + 1]]. A null text is empty."""
         texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
-        out = self.gather(*self.numbers(texts))
+        if self.word_ends:
+            lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+            coded = lists.flatten().dictionary_encode()
+            return gather(lists.offsets.to_numpy() - lists.offsets[0].as_py(), coded.indices.to_numpy(), *self.marked_ids(coded.dictionary))
+        out = gather(*self.numbers(texts), np.frombuffer(self.lens, np.int32), np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.int32))
         if len(self.lens) > MOST_WORDS:
             self.clear()
         return out
 
-    def gather(self, word_at: np.ndarray, number: np.ndarray, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-        if not len(number):
-            return np.zeros(len(word_at), np.int64), np.empty(0, np.int32)
-        lens, starts, flat = np.frombuffer(self.lens, np.int32)[number], np.frombuffer(self.starts, np.int64)[number], np.frombuffer(self.flat, np.int32)
-        ends = np.cumsum(lens, dtype=np.int64)
-        ids = np.empty(int(ends[-1]), np.int32)
-        for i in range(0, len(number), block):
-            n, e = lens[i : i + block], ends[i : i + block]
-            low = int(e[0]) - int(n[0])
-            at = np.arange(low, int(e[-1]), dtype=np.int64)
-            at += np.repeat(starts[i : i + block] - (e - n), n)
-            ids[low : int(e[-1])] = flat[at]
-        return np.concatenate(([0], ends))[word_at], ids
+
+def gather(word_at: np.ndarray, number: np.ndarray, lens: np.ndarray, starts: np.ndarray, flat: np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """``offsets, ids`` of texts whose words have ``number[word_at[i]:word_at[i + 1]]``; word k's ids are ``lens[k]`` of ``flat`` from ``starts[k]`` on."""
+    if not len(number):
+        return np.zeros(len(word_at), np.int64), np.empty(0, np.int32)
+    ends = np.cumsum(lens[number], dtype=np.int64)
+    ids = np.empty(int(ends[-1]), np.int32)
+    for i in range(0, len(number), block):
+        k, e = number[i : i + block], ends[i : i + block]
+        n = lens[k]
+        low = int(e[0]) - int(n[0])
+        at = np.arange(low, int(e[-1]), dtype=np.int64)
+        at += np.repeat(starts[k] - (e - n), n)
+        ids[low : int(e[-1])] = flat[at]
+    return np.concatenate(([0], ends))[word_at], ids
 
 
 def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
