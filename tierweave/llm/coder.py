@@ -76,9 +76,10 @@ class Mixer:
         np.minimum(np.maximum(w, -65_536, out=w), 131_072, out=w)
         self.s[self.j] = self.sj + ((h * 65_535 - self.sj) >> 5)
         self.s[self.j0] = self.q16 + (((h0 * 65_535 - self.q16) >> 5) * (1 - h))
-        new = (ids << 3) | 1
+        base = ids << 3
         for table, at, e in ((self.t2, self.i2, self.e2), (self.t1, self.i1, self.e1), (self.t0, self.i0, self.e0)):
-            table[at] = np.where((e >> 3 == ids) & ((e & 7) > 0), e + ((e & 7) < 7), new)
+            n = e - base  # 1 to 7, how often in a row, where the entry holds this id
+            table[at] = base + np.where((n - 1).view(np.uint32) < 7, np.minimum(n + 1, 7), 1)
         self.p2, self.p1 = self.p1, ids
 
 

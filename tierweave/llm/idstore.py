@@ -94,7 +94,7 @@ def write_ids(docs: DataFrame, end_id: int = 2, path: str | None = None, folder:
         rows: list[tuple] = []
         out, place = None, 0
         for b in batches:
-            for low, high in slices(b.column(1), 8 << 20):
+            for low, high in slices(b.column(1), 16 << 20):
                 offsets, ids = own.encode(b.column(1).slice(low, high - low))
                 ids = np.insert(ids, offsets[1:], end_id)
                 counts = np.diff(offsets) + 1
