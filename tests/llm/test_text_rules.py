@@ -202,3 +202,25 @@ def test_gradient_equals_differences():
         down = loss()
         net.w[k][at] = old
         assert g[k][at] == pytest.approx((up - down) / (2 * step), abs=1e-4)
+
+
+def test_every_text_is_counted_and_contexts_cross_words(spark):
+    texts = ["ab c", "", None, "## $$ %%", "é"]
+    got = Counter()
+    for r in quality.gram_counts(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").select("lang", "text")).collect():
+        got[r.gram] += r.n
+    want = Counter()
+    for t in filter(None, texts):
+        s = [63, *(int(quality.fold()[ord(c)]) for c in t.replace(" ", "\n") + "\n")]
+        for k in range(1, len(s)):
+            want[sum(x * 64**i for i, x in enumerate(reversed(s[max(0, k - 3) : k + 1])))] += 1
+    assert got == want
+
+
+def test_frequent_marks_reject_by_the_model(spark):
+    rng = np.random.default_rng(6)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or"]
+    words = [["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(150)] for _ in range(200)]
+    texts = [" ".join(w) for w in words[:180]] + [" | ".join(w) for w in words[180:190]] + [" ".join(x + rng.choice(["###", "$$$", "%%%"]) for x in w) for w in words[190:]]
+    got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i in range(180)) and not any(got[i] for i in range(180, 200))
