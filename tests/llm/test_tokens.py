@@ -130,3 +130,22 @@ def test_plan_places_every_length(seed):
             placed[n] = placed.get(n, 0) + copies
     assert placed == counts
     assert sum(c for _, c in bins) <= 1.01 * -(-sum(lengths) // 4096) + 1
+
+
+def test_long_text_without_spaces_is_counted():
+    lib, own = library(vocabulary("byte_bpe_50k.json")), prefix.PrefixCounts(vocabulary("byte_bpe_50k.json"))
+    text = "".join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FA5, 40_000)))
+    got = own.text(text)
+    assert len(got) == 40_001 and got[-1] > 65_535
+    for i in (1, 7, 20_000, 39_999, 40_000):
+        assert got[i] == len(lib.encode(text[:i], add_special_tokens=False).ids)
+
+
+def test_special_strings_part_words(monkeypatch):
+    lib, own = library(vocabulary("byte_bpe_50k.json")), prefix.PrefixCounts(vocabulary("byte_bpe_50k.json"))
+    calls, slow = [], own._slow
+    monkeypatch.setattr(own, "_slow", lambda t: calls.append(t) or slow(t))
+    for t in ("日本<|endoftext|>語", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b <|endof", "x\n\n<|endoftext|>\n y!!<|endoftext|>!'s", "日!<|<|endoftext|>'re \n", "本" * 300 + "<|endoftext|>" + "x" * 300):
+        calls.clear()
+        assert own.text(t).tolist() == [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)], t
+        assert len(calls) < 8

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -110,7 +111,7 @@ class PrefixCounts:
                 own = self.pieces[ps[0]] if len(ps) == 1 and w[-1] != " " and w[0] != "'" and not w.isspace() else self._split(ps)
             else:
                 own = self._other(w)
-            self.inner[w] = array("H" if len(own) < 60_000 else "i", own)
+            self.inner[w] = array("H" if max(own, default=0) < 1 << 16 else "i", own)
 
     def _slow(self, text: str) -> int:
         return len(library(self.path).encode(text, add_special_tokens=False).ids)
@@ -145,15 +146,28 @@ class PrefixCounts:
         return out
 
     def _other(self, word: str) -> list[int]:
-        """Other scripts by pieces, if that gives the library's count; with special strings, or else, prefix by prefix."""
-        if not any(s in word for s in self.specials):
-            import regex
-            from public_tokenizers import PATTERN
-
-            got = self._split(regex.findall(PATTERN, word))
-            if len(got) == len(word) and (not got or got[-1] == self._slow(word)):
-                return got
-        return [self._slow(word[: i + 1]) for i in range(len(word))]
+        """Counts of other scripts and of words that hold special strings: each special string is one token, and parts the word."""
+        out: list[int] = []
+        before = 0
+        parts = re.split("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")", word) if self.specials else [word]
+        for i in range(0, len(parts), 2):
+            part, special = parts[i], parts[i + 1] if i + 1 < len(parts) else ""
+            own = self._plain(part + special[:-1])  # a special string that is not whole is text
+            out += [before + k for k in own]
+            if special:
+                before += (own[len(part) - 1] if part else 0) + 1
+                out.append(before)
+        return out
+
+    def _plain(self, text: str) -> list[int]:
+        """By pieces, if that gives the library's count; else prefix by prefix."""
+        import regex
+        from public_tokenizers import PATTERN
+
+        got = self._split(regex.findall(PATTERN, text))
+        if len(got) == len(text) and (not got or got[-1] == self._slow(text)):
+            return got
+        return [self._slow(text[: i + 1]) for i in range(len(text))]
 
     def text(self, text: str) -> np.ndarray:
         """``counts[i]``: the tokens of the first ``i`` code points of ``text``."""
