@@ -45,6 +45,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert rabitq.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_a_hot_bucket_makes_more_shares(spark):
+    # One bucket holds a third of 3000 vectors: with blocks of 10, each of its vectors is dealt 100 times.
+    sizes = spark.createDataFrame([(1000,)] + [(4,)] * 500, "size long")
+    dealt = 1000 * 100 + 500 * 4
+    for share in (50, 1000):
+        assert rabitq.share_count(sizes, 10, share) == -(-dealt // share)
+    assert rabitq.share_count(sizes.limit(0), 10, 50) == 1
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(4)
     u = rng.standard_normal((2, 64))

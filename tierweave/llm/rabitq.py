@@ -118,6 +118,12 @@ def compare(v: Vectors, left: np.ndarray, right: np.ndarray | None, table: int,
     return a, b
 
 
+def share_count(sizes: DataFrame, block: int, share: int) -> int:
+    """How many shares the dealt rows of buckets of ``size`` vectors make: each vector is dealt once for every block of its bucket."""
+    dealt = sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / block))).first()[0]
+    return max(1, -(-int(dealt or 0) // share))
+
+
 def near_duplicates(table: DataFrame, threshold: float = 0.9, miss: float = 1e-4, sigmas: float = 4.0, block: int = 2048, share: int = 16_384) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``table(vec_id, embedding)``."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
@@ -187,8 +193,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, miss: float = 1e-4
         some = links > 0
         return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "to": node[_forest(len(node), a, b)][some]})
 
-    # Small buckets share a call; a share holds about ``share`` vectors, whatever the input's size.
-    shares = max(1, buckets.count() // share)
+    # Small buckets share a call; a share holds about ``share`` dealt rows, a vector's copies for its block pairs included.
+    shares = share_count(sizes, block, share)
     full = full.withColumn("share", F.pmod(F.xxhash64("dim", "tab", "key", "i", "j"), F.lit(shares)))
     found = cut(full.groupBy("dim", "share").applyInPandas(link, "node long, links long, to long"), "rabitq-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
