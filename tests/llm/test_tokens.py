@@ -61,22 +61,42 @@ def test_token_counts_and_budgets(spark):
         assert r.fits_chars == max(i for i, c in enumerate(counts) if c <= 5)
 
 
-@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
+@pytest.mark.parametrize("n", [0, 1, 255, 512, 513, 3000, 70_000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
-    for x in (rng.integers(0, 65536, n), np.zeros(n, int), rng.integers(0, 3, n), np.full(n, 65535), np.tile(np.arange(7), n // 7 + 1)[:n]):
-        parts = coder.encode(x)
-        assert (coder.decode(parts, n) == x).all()
-        assert len(parts) == -(-n // 512)
+    for x in (rng.integers(0, 65535, n), np.zeros(n, int), rng.integers(0, 3, n), np.full(n, 65534), np.tile(np.arange(7), n // 7 + 1)[:n], rng.zipf(1.3, n) % 49_408):
+        assert (coder.decode(coder.encode(x)) == x).all()
     with pytest.raises(ValueError):
-        coder.encode(np.array([70000]))
+        coder.encode(np.array([65535]))
 
 
-def test_coder_learns_and_blocks_stand_alone():
-    x = np.tile(np.arange(100, 130), 100)
-    parts = coder.encode(x)
-    assert sum(map(len, parts)) < len(x) / 2
-    assert (coder.decode(parts[1:2], 512) == x[512:1024]).all()
+def test_full_counts_are_halved(monkeypatch):
+    monkeypatch.setattr(coder, "MOST", 40)
+    x = np.random.default_rng(1).zipf(1.5, 60_000) % 900
+    assert (coder.decode(coder.encode(x)) == x).all()
+
+
+def test_coder_learns():
+    x = np.tile(np.arange(100, 130), 2000)
+    assert len(coder.encode(x)) < len(x) / 8
+
+
+def test_coder_beats_order_0_and_zlib_on_documents(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    offsets, ids = WordTable(vocabulary("word_bpe_49k.json")).encode(texts)
+    ids = np.insert(ids, offsets[1:], 2)
+    n = np.bincount(ids)
+    n = n[n > 0] / len(ids)
+    size = len(coder.encode(ids)) / len(ids)
+    assert size < -(n * np.log2(n)).sum() / 8
+    assert size < 0.9 * len(zlib.compress(ids.astype("<u2").tobytes())) / len(ids)
+
+
+def test_blocks_stand_alone():
+    ids = np.random.default_rng(5).zipf(1.4, 5000) % 3000
+    data = idstore.chunk_bytes([5], np.array([5000]), ids, block=1024)
+    assert (idstore.read_chunk(data)[2] == ids).all()
+    assert data.endswith(coder.encode(ids[4000:]))  # five blocks of 1000 ids, each from an empty model
 
 
 def test_damage_is_found():

@@ -3,10 +3,10 @@
 Documents are range-partitioned and sorted by ``doc_id``; each task encodes its documents and
 writes one file to the shared folder, as a run of chunks:
 
-    magic "TWID" | version, block size (u16) | documents, ids, blocks (u64) | bytes of the tables (u64)
-    zstd-compressed tables: has-id flags (u8), doc ids (i64), ids per document (u64), bytes per block
-    (u32), CRC-32 of each block's ids (u32)
-    the blocks, as ``coder.encode`` gives them
+    magic "TWID" | version (u16), 0 (u16) | documents, ids, blocks (u64) | bytes of the tables (u64)
+    zstd-compressed tables: has-id flags (u8), doc ids (i64), ids per document (u64), ids, bytes and
+    CRC-32 of each block (u32)
+    the blocks, as ``coder.encode`` gives them, of equal numbers of ids but for the last
 
 A chunk can be read by a range read alone, and a block of it decoded alone. The manifest (a row per chunk: file,
 place, numbers) is the result of the writing job; only files it names are read, so attempts
@@ -14,7 +14,7 @@ that were lost or repeated leave nothing but unread files. Readers check every b
 
 Edge cases: null and empty texts are the end id alone; null doc ids come first; rows that repeat
 a doc id follow one another; columns other than ``doc_id`` and ``text`` are ignored; an empty
-table gives an empty manifest. Ids must be below 65536.
+table gives an empty manifest. Ids must be below 65535.
 """
 
 from __future__ import annotations
@@ -35,31 +35,31 @@ from tierweave.llm.storage import attempt_name, system
 from tierweave.llm.words import slices, table, vocabulary
 
 HEAD = struct.Struct("<4sHHQQQQ")
-BLOCK = 512
 MANIFEST = "part int, chunk int, path string, place long, n_bytes long, n_docs long, n_ids long"
 
 
-def chunk_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """One chunk: the documents' tables and their coded ids."""
+def chunk_bytes(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block: int = coder.BLOCK) -> bytes:
+    """One chunk: the documents' tables and their coded ids, ``block`` ids a block at most."""
     import zstandard
 
-    parts = coder.encode(ids, block)
-    raw = ids.astype("<u4")
-    crcs = [zlib.crc32(raw[i : i + block]) for i in range(0, len(raw), block)]
+    each = -(-len(ids) // max(1, -(-len(ids) // block)))
+    own = [ids[i : i + each] for i in range(0, len(ids), max(each, 1))]
+    parts = list(map(coder.encode, own))
+    crcs = [zlib.crc32(x.astype("<u4")) for x in own]
     tables = b"".join([
         np.array([d is not None for d in doc_ids], np.uint8).tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
-        counts.astype("<u8").tobytes(), np.array([len(p) for p in parts], "<u4").tobytes(), np.array(crcs, "<u4").tobytes(),
+        counts.astype("<u8").tobytes(), *(np.array(x, "<u4").tobytes() for x in (list(map(len, own)), list(map(len, parts)), crcs)),
     ])
     tables = zstandard.compress(tables, 3)
-    return HEAD.pack(b"TWID", 1, block, len(doc_ids), len(ids), len(parts), len(tables)) + tables + b"".join(parts)
+    return HEAD.pack(b"TWID", 2, 0, len(doc_ids), len(ids), len(parts), len(tables)) + tables + b"".join(parts)
 
 
 def read_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """``doc ids, ids per document, ids`` of a chunk. A block whose CRC differs raises an error."""
     import zstandard
 
-    magic, version, block, n_docs, n_ids, n_blocks, size = HEAD.unpack_from(data)
-    if magic != b"TWID" or version != 1:
+    magic, version, _, n_docs, n_ids, n_blocks, size = HEAD.unpack_from(data)
+    if magic != b"TWID" or version != 2:
         raise ValueError("not a chunk of token ids")
     tables = zstandard.decompress(data[HEAD.size : HEAD.size + size])
     at = 0
@@ -70,13 +70,16 @@ def read_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += own.nbytes
         return own
 
-    there, docs, counts, sizes, crcs = take("u1", n_docs), take("<i8", n_docs), take("<u8", n_docs), take("<u4", n_blocks), take("<u4", n_blocks)
-    ends = HEAD.size + size + np.cumsum(sizes, dtype=np.int64)
-    ids = coder.decode([data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], n_ids, block)
-    raw = ids.astype("<u4")
-    for k, crc in enumerate(crcs.tolist()):
-        if zlib.crc32(raw[k * block : (k + 1) * block]) != crc:
+    there, docs, counts, lens, sizes, crcs = take("u1", n_docs), take("<i8", n_docs), take("<u8", n_docs), take("<u4", n_blocks), take("<u4", n_blocks), take("<u4", n_blocks)
+    ids, done, place = np.empty(n_ids, np.int32), 0, HEAD.size + size
+    for k, (n, own, crc) in enumerate(zip(lens.tolist(), sizes.tolist(), crcs.tolist(), strict=True)):
+        try:
+            ids[done : done + n] = coder.decode(data[place : place + own])
+        except (ValueError, IndexError) as e:
+            raise ValueError(f"block {k} is damaged") from e
+        if zlib.crc32(ids[done : done + n].astype("<u4")) != crc:
             raise ValueError(f"block {k} is damaged")
+        done, place = done + n, place + own
     return [d if t else None for d, t in zip(docs.tolist(), there.tolist(), strict=True)], counts.astype(np.int64), ids
 
 
