@@ -1,66 +1,168 @@
-"""Byte-level BPE over a distinct-word table, and decoding through an id-to-piece table.
+"""Byte-level BPE by a distinct-word table, and decoding through an id-to-piece table.
 
-Spark splits all texts into words (cuts that no merge crosses), counts them, and encodes the
-frequent ones once, as a table. Its size is bounded: of the powers of two, the smallest count is
-taken for which at most ``most_words`` words of at most 64 bytes reach it, and those go to every
-task. Any other word is encoded once a task, where it is first met. A document's ids are its
-word numbers gathered by position; its decoded text is its ids gathered from the pieces.
+Texts are split into words (cuts that no merge crosses) in batches of about ``batch_bytes`` of text. Each batch gives its
+different words with a number each. Shuffled by word, every different word of the corpus is encoded once, and its ids
+go back to all batches that hold it, to a file per batch in the shared folder. A document's ids are then its words' ids, joined by
+their position in the batch's table; its decoded text is its ids joined with the pieces, a table as long as the vocabulary.
 
-A join of all positions with the whole table by shuffle is not used: a position's row is
-larger than its text, so it moves several times the input. See the README.
+What is shuffled is a row for each different word of a batch, not for each position: frequent words, which make up most of
+a text, travel once a batch. A word's rows are as many as the batches, so none makes a task hot.
+
+Texts are read twice. Files give the same rows in the same order each time; where the second reading
+differs, a check sum of each batch's words makes the job fail rather than give wrong ids.
 
 Edge cases: null and empty texts have no tokens; special strings inside texts become their
 special id, as the library does by default; rows stay one for one, repeated and null ids
-included; columns other than ``doc_id`` and ``text`` are ignored.
+included; columns other than ``doc_id`` and ``text`` are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import struct
+import uuid
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tierweave.llm.common import cut
-from tierweave.llm.words import byte_alphabet, cuts, slices, table, vocabulary
+from tierweave.llm.common import new_folder
+from tierweave.llm.storage import system
+from tierweave.llm.words import byte_alphabet, cuts, gather, slices, table, vocabulary
 
-MOST_WORDS, MOST_BYTES = 1 << 16, 64
+#: Bytes of text whose words share a table.
+BATCH = 16 << 20
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, n`` over all texts; each task adds up its own words before anything is shuffled."""
+def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``offsets, numbers, words``: the different words of a batch in the order they come, and text i's as numbers[offsets[i]:offsets[i + 1]]."""
+    cut_ = [cuts(t) for t in texts.to_pylist()]
+    coded = pa.array([w for ws in cut_ for w in ws], pa.large_string()).dictionary_encode()
+    return np.cumsum([0, *map(len, cut_)]), coded.indices.to_numpy(), coded.dictionary
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low, high in slices(b.column(0)):
-                words = pa.array([w for t in b.column(0).slice(low, high - low).to_pylist() for w in cuts(t)], pa.large_string()).value_counts()
-                yield pa.RecordBatch.from_arrays([words.field(0).cast(pa.string()), words.field(1)], ["word", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _mark(words: pa.Array) -> str:
+    """A check sum of a batch's words in their order."""
+    crc = 0
+    for own in words.buffers()[1:]:
+        crc = zlib.crc32(own or b"", crc)
+    return f"{len(words)}:{crc:08x}"
+
+
+def _batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The slices of a task with their numbers, the same whenever the table is read."""
+    number = TaskContext.get().partitionId() << 32
+    for b in batches:
+        for low, high in slices(b.column(1), size):
+            yield number, b.slice(low, high - low)
+            number += 1
+
 
+def distinct_words(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
+    """``batch, k, word``: the different words of each batch of texts, numbered; number -1 has the batch's check sum."""
 
-def frequent_words(docs: DataFrame, path: str, most_words: int = MOST_WORDS) -> DataFrame:
-    """``word, ids`` for the most frequent words, ``most_words`` of them at most."""
-    counted = cut(word_counts(docs).where(F.octet_length("word") <= MOST_BYTES).where("n > 1"), "bpe-words")
-    steps = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect()  # 63 rows at most
-    least, total = 63, 0
-    for k, n in sorted(((r["k"], r["count"]) for r in steps), reverse=True):
-        if (total := total + n) > most_words:
-            break
-        least = k
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, b in _batches(batches, batch_bytes):
+            words = batch_words(b.column(1))[2]
+            for i in range(0, len(words), 20_000):
+                own = words.slice(i, 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number)), pa.array(np.arange(i, i + len(own)), pa.int32()), own.cast(pa.string())], ["batch", "k", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([_mark(words)])], ["batch", "k", "word"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "batch long, k int, word string")
+
+
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """``batch, k, ids`` (little-endian u32 numbers): rows of one word lie together, so each different word is encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = table(path)
+        own, last = table(path), ("", b"")
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.ids(w) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+            coded = b.column(2).dictionary_encode()
+            ids = []
+            for w in coded.dictionary.to_pylist():
+                ids.append(last[1] if w == last[0] else np.array(own.ids(w), "<u4").tobytes())
+                last = w, ids[-1]
+            out = pa.array(ids, pa.binary()).take(coded.indices)
+            marks = pc.less(b.column(1), 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.if_else(marks, b.column(2).cast(pa.binary()), out)], ["batch", "k", "ids"])
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "batch long, k int, ids binary")
+
+
+def _place(folder: str, number: int) -> str:
+    return f"{folder}/{number >> 32}/{number & 0xFFFFFFFF}"
+
+
+def store_batches(encoded: DataFrame, folder: str) -> int:
+    """Write each batch's ids to a file of its own in the shared folder; returns the number of batches.
+
+    A file is moved to its name when it is whole, and holds the same bytes whichever attempt wrote it.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = system(folder)
+        parts: list[pa.RecordBatch] = []
+        done = 0
+
+        def flush() -> None:
+            nonlocal done
+            if not parts:
+                return
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            number, ids = whole["batch"][0].as_py(), whole["ids"].slice(1).combine_chunks()
+            data = ids.buffers()[2] if len(ids) else None
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+            path = _place(base, number)
+            filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            attempt = f"{path}-{uuid.uuid4().hex}"
+            with filesystem.open_output_stream(attempt) as f:
+                mark = whole["ids"][0].as_py()
+                f.write(struct.pack("<II", len(mark), len(ids)) + mark + (np.diff(ends) // 4).astype("<u4").tobytes())
+                if data is not None:
+                    f.write(memoryview(data)[int(ends[0]) : int(ends[-1])])
+            try:
+                filesystem.move(attempt, path)
+            except OSError:  # another attempt was faster, on file systems that do not replace
+                if filesystem.get_file_info(path).type.name != "File":
+                    raise
+                filesystem.delete_file(attempt)
+            parts.clear()
+            done += 1
 
-    return counted.where(F.col("n") >= F.pow(F.lit(2.0), F.lit(least))).select("word").mapInArrow(encode, "word string, ids array<int>")
+        for b in batches:
+            number = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if high == low:
+                    continue
+                if parts and parts[0].column(0)[0].as_py() != number[low]:
+                    flush()
+                parts.append(b.slice(low, high - low))
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
+
+    return encoded.repartition("batch").sortWithinPartitions("batch", "k").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def read_batch(folder: str, number: int, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``lens, starts, ids`` of a batch's words. Fails if the file is of other words."""
+    filesystem, base = system(folder)
+    with filesystem.open_input_file(_place(base, number)) as f:
+        data = f.read()
+    size, n = struct.unpack_from("<II", data)
+    if data[8 : 8 + size] != _mark(words).encode():
+        raise ValueError("the documents were not read twice in the same order: write them to a table first")
+    lens = np.frombuffer(data, "<u4", n, 8 + size).astype(np.int64)
+    return lens, np.cumsum(lens) - lens, np.frombuffer(data, "<u4", offset=8 + size + 4 * n).astype(np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -86,19 +188,22 @@ def decode(ids: np.ndarray, path: str, block: int = 1 << 18) -> bytes:
     return b"".join(out)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, most_words: int = MOST_WORDS, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = True, batch_bytes: int = BATCH) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` for every row."""
     path = path or vocabulary("byte_bpe_50k.json")
-    head = frequent_words(docs, path, most_words).toArrow()  # bounded by most_words * (MOST_BYTES + ids)
-    shared = docs.sparkSession.sparkContext.broadcast((head["word"].to_pylist(), head["ids"].to_pylist()))
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    folder = new_folder(docs.sparkSession, "bpe-batches")
+    store_batches(encode_words(distinct_words(own, batch_bytes), path), folder)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = table(path)
-        for b in batches:
-            for low, high in slices(b.column(1)):
-                own.seed(*shared.value)
-                offsets, ids = own.encode(b.column(1).slice(low, high - low))
+        for number, b in _batches(batches, batch_bytes):
+            word_at, numbers, words = batch_words(b.column(1))
+            stored = read_batch(folder, number, words)
+            del words
+            for low in range(0, b.num_rows, 1000):
+                high = min(low + 1000, b.num_rows)
+                offsets, ids = gather(word_at[low : high + 1] - word_at[low], numbers[word_at[low] : word_at[high]], *stored)
                 lists = [ids[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
                 shas = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists]
                 back = [hashlib.sha256(decode(x, path).decode("utf-8", "replace").encode()).hexdigest() for x in lists]
@@ -108,7 +213,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, most_words: int =
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+    return own.mapInArrow(work, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:

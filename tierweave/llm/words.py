@@ -111,13 +111,6 @@ class WordTable:
         self.flat.extend(ids)
         return n
 
-    def seed(self, words: list[str], ids: list[list[int]]) -> None:
-        """Take words that are encoded already, unless the table holds them."""
-        if words and words[0] not in self.number:
-            for w, i in zip(words, ids, strict=True):
-                if w not in self.number:
-                    self.put(w, i)
-
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``offsets, numbers``: text i's words have numbers[offsets[i]:offsets[i + 1]]. Nulls and empty texts have none."""
         cut = [cuts(t) for t in texts.to_pylist()]
