@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -44,6 +45,30 @@ def test_encode_and_decode(spark):
     assert bpe.encode_documents(docs(spark).limit(0)).count() == 0
 
 
+def test_batches_share_one_table_of_words(spark, monkeypatch):
+    texts = ["same words here", "other words", None, "same  same", "x" * 70_000 + " words"]
+    whole = {(r.doc_id, r.ids_sha256) for r in bpe.encode_documents(docs(spark, texts), with_ids=False).collect()}
+    assert {(r.doc_id, r.ids_sha256) for r in bpe.encode_documents(docs(spark, texts), with_ids=False, batch_bytes=8).collect()} == whole
+    lib = library(vocabulary("byte_bpe_50k.json"))
+    assert all((i, hashlib.sha256(np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) in whole for i, t in enumerate(texts))
+    rows = bpe.distinct_words(docs(spark, texts), 8).where("k >= 0")
+    coded = bpe.encode_words(rows, vocabulary("byte_bpe_50k.json")).collect()
+    assert len(coded) == rows.count() > rows.select("word").distinct().count()
+
+
+def test_words_of_another_reading_are_refused(spark, tmp_path):
+    import pyarrow as pa
+
+    folder = f"file://{tmp_path}"
+    own = spark.createDataFrame([(1, "a b c")], "doc_id long, text string").coalesce(1)
+    path = vocabulary("byte_bpe_50k.json")
+    assert bpe.store_batches(bpe.encode_words(bpe.distinct_words(own), path), folder) == 1
+    number = int(bpe.distinct_words(own).first().batch)
+    assert len(bpe.read_batch(folder, number, bpe.batch_words(pa.array(["a b c"]))[2])[2]) == 3
+    with pytest.raises(ValueError):
+        bpe.read_batch(folder, number, bpe.batch_words(pa.array(["a b d"]))[2])
+
+
 def test_prefix_counts_equal_every_encoding(spark):
     lib = library(vocabulary("byte_bpe_50k.json"))
     short = [t[:60] for t in ODD]
@@ -129,6 +154,7 @@ def test_packing(spark):
         if i != 3:
             own = got[got.doc_id == i].sort_values("piece")
             ids = [*lib.encode(t, add_special_tokens=False).ids, 1]
+            assert own.ids_crc32.tolist() == [zlib.crc32(np.array(ids[k : k + 64], "<u4").tobytes()) for k in range(0, len(ids), 64)]
             assert [x for p in own.ids for x in p] == ids and own.start.tolist() == [64 * k for k in range(len(own))]
     got = got.sort_values(["sequence_id", "offset"])
     for _, s in got.groupby("sequence_id"):
@@ -137,6 +163,29 @@ def test_packing(spark):
     assert packing.pack(docs(spark).limit(0)).count() == 0
 
 
+def test_configurations_are_optimal():
+    rng = np.random.default_rng(2)
+    for _ in range(5):
+        sizes, need = np.sort(rng.choice(np.arange(17, 101), 6, replace=False)), rng.integers(1, 500, 6)
+        configs, copies = packing.configurations(sizes, need, 100)
+        assert (configs @ sizes <= 100).all() and np.allclose(copies @ configs, need)
+        worth = np.linalg.solve(configs, np.ones(6))  # by duality: no configuration at all is worth more than one bin
+        every = [(c, s) for c, s in itertools.chain.from_iterable(_configs(sizes, 100, k) for k in range(6))]
+        assert worth.min() >= -1e-9 and max(c @ worth for c, _ in every) <= 1 + 1e-6
+
+
+def _configs(sizes, room, k):
+    for own in itertools.combinations_with_replacement(range(len(sizes)), k):
+        if sum(sizes[i] for i in own) <= room:
+            yield np.bincount(own, minlength=len(sizes)).astype(float) if own else np.zeros(len(sizes)), own
+
+
+def test_groups_are_few_and_equal():
+    own = packing._rounded({n: 7 for n in range(1, 4096)}, 4096, 16)
+    assert len(own) == 16 and len({sum(k for _, k in x) for x in own.values()}) <= 2
+    assert all(n <= top for top, x in own.items() for n, _ in x)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_every_length(seed):
     rng = random.Random(seed)
