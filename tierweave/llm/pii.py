@@ -6,14 +6,16 @@ A match that fails its check is dropped and not retried. Base spans are always r
 
 High-recall generators then propose further, overlapping spans (written-out e-mail addresses,
 national phone numbers, group-formatted personal numbers, bank account numbers, short card
-numbers). Each candidate gets boolean features of its format and its context. Gradient-boosted
-trees give a calibrated probability; candidates at or above their generator's threshold are
-added where they do not overlap a base span. Of overlapping candidates the more probable one
+numbers). Base spans and generated ones alike are candidates: each gets boolean features of its format and its
+context, and gradient-boosted trees give it a calibrated probability, which is reported. Generated candidates at or
+above their generator's threshold are added where they do not overlap a base span. Of overlapping candidates the more probable one
 stays, then the earlier, then the longer.
 
-The trees are fitted on labelled findings. Spark counts the different feature vectors of these
+The trees are fitted on half of the labelled findings, their probabilities calibrated on a quarter, and thresholds set on the
+last quarter. Spark counts the different feature vectors of these
 (at most 2**features rows), and boosting runs on the counts. Scoring is a sum of ``when``
-expressions. Positions are code points, ends exclusive.
+expressions. Positions are code points, ends exclusive. The findings are written out from templates by a fixed
+rule, so they say nothing certain about other text.
 
 Edge cases: null and empty texts have no spans; rows are kept one for one, null and repeated ids
 included; other columns are ignored by ``pii_spans`` and kept by ``redact``. Quantifiers are possessive,
@@ -50,10 +52,13 @@ GENERATOR_NEEDS = {
     "email_words": r"[(\[]\x20?at\x20?[)\]]", "phone_local": r"[0-9]{3}[\x20.-][0-9]{4}", "person_number": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", "card_short": r"[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}",
 }
+KINDS = (*BASE, *GENERATORS)
 #: Words before a candidate that speak for it, and those that speak against it.
 FOR_WORDS = r"(?i)\b(?:phone|tel|telephone|call|fax|mobile|cell|mail|e-mail|email|contact|reach|ssn|social|security|iban|account|bank|card|amex|payment|write)\b"
 AGAINST_WORDS = r"(?i)\b(?:order|invoice|isbn|item|sku|part|ref|reference|version|serial|ticket|case|tracking|model|page|lot)\b"
 CONTEXT = 24
+#: Matches whose positions are added up together.
+CHUNK = 64
 
 
 def _let(value: Column, body) -> Column:
@@ -73,8 +78,16 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
             return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.get(x["hits"], i).alias("hit")))).alias("out"))
 
         empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+        run = lambda first, last, at: F.aggregate(F.sequence(first, last), F.struct(at.alias("at"), empty.alias("out")), step)["out"]
+
+        def chunked(n: Column) -> Column:
+            """Chunks of ``CHUNK`` matches, so that growing arrays stay short in texts with many."""
+            size = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK, n) - 1), F.lit(0), lambda a, i: (a + F.length(F.get(x["gaps"], i)) + F.length(F.get(x["hits"], i))).cast("int")))
+            first = lambda sizes: F.aggregate(sizes, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array((F.element_at(a, -1) + v).cast("int"))))
+            return _let(first(size), lambda at: F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: run(c * CHUNK, F.least(c * CHUNK + CHUNK, n) - 1, F.get(at, c)))))
+
         n = F.size(x["hits"])
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]).otherwise(empty)
+        return F.when(n > CHUNK, chunked(n)).when(n > 0, run(F.lit(0), n - 1, F.lit(0))).otherwise(empty)
 
     return F.when(text.rlike(needs), _let(parts, spans)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
 
@@ -105,7 +118,7 @@ def _before(text: Column, start: Column) -> Column:
 def features(kind: Column, hit: Column, before: Column, after: Column) -> dict[str, Column]:
     """Boolean features of a candidate's format and context."""
     digits = F.length(_digits(hit))
-    return {f"is_{g}": kind == g for g in GENERATORS} | {
+    return {f"is_{g}": kind == g for g in KINDS} | {
         "word_for": before.rlike(FOR_WORDS), "word_against": before.rlike(AGAINST_WORDS),
         "parens": hit.rlike(r"[(\[]"), "dashes": hit.rlike("-"), "dots": hit.rlike(r"\."), "spaces": hit.rlike(" "),
         "many_digits": digits >= 12, "zero_group": hit.rlike(r"(^|[^0-9])0{3}([^0-9]|$)"), "leads_01": hit.rlike(r"^\(?[01]"),
@@ -113,10 +126,10 @@ def features(kind: Column, hit: Column, before: Column, after: Column) -> dict[s
     }
 
 
-FEATURES = (*(f"is_{g}" for g in GENERATORS), "word_for", "word_against", "parens", "dashes", "dots", "spaces", "many_digits", "zero_group", "leads_01", "glued_after", "glued_before")
+FEATURES = (*(f"is_{g}" for g in KINDS), "word_for", "word_against", "parens", "dashes", "dots", "spaces", "many_digits", "zero_group", "leads_01", "glued_after", "glued_before")
 
 
-def labelled_findings(spark: SparkSession, each: int = 40) -> DataFrame:
+def labelled_findings(spark: SparkSession, each: int = 160) -> DataFrame:
     """``kind, hit, before, after, label``: findings written out from templates by a fixed rule, ``each`` of a kind and label.
 
     True ones look like what people write about themselves; false ones are order numbers, part
@@ -134,21 +147,27 @@ def labelled_findings(spark: SparkSession, each: int = 40) -> DataFrame:
         rows += [("phone_local", f"({a}) {b}-{c}" if i % 2 else f"{a}{sep}{b}{sep}{c}", f, " ,", 1), ("phone_local", f"{a % 100:03d}{sep}{b}{sep}{c}", g if i % 4 else "", "7 " if i % 2 else "", 0)]
         rows += [("person_number", f"{a}-{d}-{c}", ("ssn ", "social security ", "")[i % 3], " ", 1), ("person_number", f"{'000' if i % 2 else a}-{d}-{c}", g, " ", 0)]
         rows += [("iban", f"{('DE', 'FR', 'ES', 'GB')[i % 4]}{d} {c} {c + 1} {c + 2} {c + 3} {d}", ("iban ", "account ", "")[i % 3], ".", 1), ("iban", f"{('AB', 'XK', 'QZ')[i % 3]}{d}{c}{c + 5}", g, " ", 0)]
+        rows += [("email", f"{name}@mail{i}.example.org", f, " .", 1), ("email", f"{'abc'[i % 3]}@{i}.{c}", g, "/x", 0)]
+        rows += [("ip", f"{a % 256}.{b % 256}.{d}.{i % 256}", ("from ", "host ", "")[i % 3], " ", 1), ("ip", f"{i % 9}.{d}.0.{i % 7}", ("version ", "section ", "serial ")[i % 3], "-r" if i % 2 else " ", 0)]
+        rows += [("card", f"4{c % 1000:03d} {c} {c + 1} {a * 5 + 1000}", ("card ", "pay with ", "")[i % 3], " ", 1), ("card", f"{c}{c}{c}{c}", g, "7 " if i % 2 else " ", 0)]
+        rows += [("phone", f"+{d % 90 + 1} ({a}) {b}-{c}", f, " ,", 1), ("phone", f"+{c}{c}{d}", g, "00" if i % 2 else " ", 0)]
         rows += [("card_short", f"3782 {c}{d} {c}1", ("card ", "amex ", "payment ")[i % 3], " ", 1), ("card_short", f"{c}{c}{d}{c}1", g if i % 3 else "", " ", 0)]
     return spark.createDataFrame(rows, "kind string, hit string, before string, after string, label int")
 
 
-def fit_trees(labelled: DataFrame, rounds: int = 24, depth: int = 2, rate: float = 0.4, penalty: float = 1.0) -> dict:
-    """Boosted trees (logistic loss, second order) and per-generator thresholds for ``labelled``.
+def fit_trees(labelled: DataFrame, rounds: int = 24, depth: int = 2, rate: float = 0.4, penalty: float = 1.0, recall: float = 0.95) -> dict:
+    """Boosted trees (logistic loss, second order) and per-kind thresholds for ``labelled``.
 
-    Spark counts labels by feature vector; the fit sees those counts alone. Leaves hold log-odds,
-    which on these counts are calibrated by a final scale and shift; a generator's threshold is
-    the highest that keeps ``0.95`` of its true findings, and 0.5 at least.
+    Spark counts labels by feature vector and part; the fit sees those counts alone. Leaves hold log-odds,
+    which are calibrated by a scale and shift on findings that were not fitted to; a kind's threshold is
+    the highest that keeps ``recall`` of its true findings in the last part. A kind without such findings accepts nothing.
     """
     f = features(*(F.col(c) for c in ("kind", "hit", "before", "after")))
-    vectors = labelled.where("label is not null").select(F.array(*[F.coalesce(f[n], F.lit(False)) for n in FEATURES]).alias("x"), F.col("label"), "kind")
-    table = [(tuple(r["x"]), r["kind"], r["pos"], r["n"]) for r in vectors.groupBy("x", "kind").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()]
-    table.sort(key=lambda r: (r[1], r[0]))
+    part = F.pmod(F.xxhash64("kind", "hit", "before", "after"), F.lit(4)).cast("int")
+    vectors = labelled.where("label is not null").select(F.array(*[F.coalesce(f[n], F.lit(False)) for n in FEATURES]).alias("x"), F.col("label"), "kind", part.alias("part"))
+    counted = vectors.groupBy("x", "kind", "part").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()
+    every = sorted(((tuple(r["x"]), r["kind"], r["pos"], r["n"], r["part"]) for r in counted), key=lambda r: (r[1], r[0], r[4]))
+    table, held, last = ([r for r in every if r[4] in own] for own in ((0, 1), (2,), (3,)))
     score = [0.0] * len(table)
     trees = []
 
@@ -178,21 +197,22 @@ def fit_trees(labelled: DataFrame, rounds: int = 24, depth: int = 2, rate: float
         grad, hess = [r[2] - r[3] * q for r, q in zip(table, p, strict=True)], [r[3] * q * (1 - q) for r, q in zip(table, p, strict=True)]
         trees.append(grow(range(len(table)), depth, grad, hess))
         score = [s + value(trees[-1], r[0]) for s, r in zip(score, table, strict=True)]
-    scale, shift = 1.0, 0.0
+    raw = lambda x: sum(value(t, x) for t in trees)
+    scale, shift, scores = 1.0, 0.0, [raw(r[0]) for r in held]
     for _ in range(60):  # Platt scaling, with the usual smoothed targets
-        p = [1 / (1 + math.exp(-(scale * s + shift))) for s in score]
-        d = [(r[2] + 0.5) / (r[3] + 1) * r[3] - r[3] * q for r, q in zip(table, p, strict=True)]
-        total = sum(r[3] for r in table) or 1
-        scale, shift = scale + 0.5 * sum(x * s for x, s in zip(d, score, strict=True)) / total, shift + 0.5 * sum(d) / total
+        p = [1 / (1 + math.exp(-(scale * s + shift))) for s in scores]
+        d = [(r[2] + 0.5) / (r[3] + 1) * r[3] - r[3] * q for r, q in zip(held, p, strict=True)]
+        total = sum(r[3] for r in held) or 1
+        scale, shift = scale + 0.5 * sum(x * s for x, s in zip(d, scores, strict=True)) / total, shift + 0.5 * sum(d) / total
     at = {}
-    for kind in GENERATORS:
-        own = sorted(((1 / (1 + math.exp(-(scale * s + shift))), r[2]) for s, r in zip(score, table, strict=True) if r[1] == kind), reverse=True)
-        need, got, most = 0.95 * sum(n for _, n in own), 0, 1.0
+    for kind in KINDS:
+        own = sorted(((1 / (1 + math.exp(-(scale * raw(r[0]) + shift))), r[2]) for r in last if r[1] == kind), reverse=True)
+        need, got, most = recall * sum(n for _, n in own), 0, math.inf
         for q, n in own:
             if got >= need:
                 break
             got, most = got + n, q
-        at[kind] = max(0.5, most) if own else 1.0
+        at[kind] = most - 1e-9
     return {"trees": trees, "scale": scale, "shift": shift, "thresholds": at}
 
 
@@ -204,13 +224,14 @@ def probability(model: dict, f: dict[str, Column]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(total * model["scale"] + model["shift"])))
 
 
-def _added(text: Column, base: Column, model: dict) -> Column:
-    """array<struct<start,end,kind>> of accepted candidates, in the order of their starts."""
+def _judged(text: Column, base: Column, model: dict) -> Column:
+    """struct<added, scored>: accepted candidates in the order of their starts, and every candidate, base spans first, with its probability ``p``."""
 
     def candidates(g: str) -> Column:
         return F.transform(_matches(text, GENERATORS[g], GENERATOR_NEEDS[g]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(g).alias("kind"), m["hit"].alias("hit")))
 
-    found = F.concat(*map(candidates, GENERATORS))
+    maybe = reduce(lambda a, b: a | b, [text.rlike(n) for n in GENERATOR_NEEDS.values()])
+    found = F.concat(base, F.when(maybe, F.concat(*map(candidates, GENERATORS))).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,hit:string>>")))
 
     def scored(m: Column) -> Column:
         parts = F.struct(m["kind"].alias("kind"), m["hit"].alias("hit"), _before(text, m["start"]).alias("before"), text.substr(m["end"] + 1, F.lit(2)).alias("after"))
@@ -219,26 +240,30 @@ def _added(text: Column, base: Column, model: dict) -> Column:
 
     limit = F.create_map(*[x for k, v in model["thresholds"].items() for x in (F.lit(k), F.lit(float(v)))])
     free = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    good = F.filter(F.transform(F.filter(found, free), scored), lambda m: m["p"] >= F.element_at(limit, m["kind"]))
-    # The more probable first, then the earlier, then the longer; each stays if it overlaps nothing kept so far.
-    order = F.array_sort(F.transform(good, lambda m: F.struct((-m["p"]).alias("q"), m["start"].alias("start"), (-m["end"]).alias("e"), m["kind"].alias("kind"))))
     empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    chosen = F.aggregate(order, empty, lambda acc, m: F.when(F.exists(acc, lambda k: (k["start"] < -m["e"]) & (m["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(F.struct(m["start"].alias("start"), (-m["e"]).alias("end"), m["kind"].alias("kind"))))))
-    maybe = reduce(lambda a, b: a | b, [text.rlike(n) for n in GENERATOR_NEEDS.values()])
-    return F.when(maybe, F.array_sort(chosen)).otherwise(empty)
+
+    def accepted(all_: Column) -> Column:
+        good = F.filter(all_, lambda m: ~m["kind"].isin(*BASE) & (m["p"] >= F.element_at(limit, m["kind"])) & free(m))
+        # The more probable first, then the earlier, then the longer; each stays if it overlaps nothing kept so far.
+        order = F.array_sort(F.transform(good, lambda m: F.struct((-m["p"]).alias("q"), m["start"].alias("start"), (-m["end"]).alias("e"), m["kind"].alias("kind"))))
+        chosen = F.aggregate(order, empty, lambda acc, m: F.when(F.exists(acc, lambda k: (k["start"] < -m["e"]) & (m["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(F.struct(m["start"].alias("start"), (-m["e"]).alias("end"), m["kind"].alias("kind"))))))
+        return F.array_sort(chosen)
+
+    return _let(F.transform(found, scored), lambda all_: F.struct(accepted(all_).alias("added"), all_.alias("scored")))
 
 
 def pii_spans(docs: DataFrame, model: dict | None = None, name: str = "_found") -> DataFrame:
-    """``docs`` with a struct column ``name`` of ``base`` and ``added``: arrays of struct<start, end, kind> in reporting order."""
+    """``docs`` with a struct column ``name`` of ``base`` and ``added`` (arrays of struct<start, end, kind> in reporting
+    order) and ``scored`` (every candidate, base ones first, with its probability ``p``)."""
     model = model or fit_trees(labelled_findings(docs.sparkSession))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def of(kind: str) -> Column:
         good = F.filter(_matches(text, BASE_PATTERN[kind], NEEDS[kind]), lambda m: _passes(kind, m["hit"]))
-        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["hit"].alias("hit")))
 
-    kinds = [of(k) for k in BASE]
-    both = _let(F.concat(*kinds), lambda base: F.struct(base.alias("base"), _added(text, base, model).alias("added")))
+    plain = lambda spans: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind")))
+    both = _let(F.concat(*map(of, BASE)), lambda base: _let(_judged(text, base, model), lambda j: F.struct(plain(base).alias("base"), j["added"].alias("added"), j["scored"].alias("scored"))))
     return docs.withColumn(name, both)
 
 
@@ -247,12 +272,20 @@ def _joined(spans: Column) -> Column:
 
 
 def pii_report(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """One row a document: counts per base kind, the digest of the base spans, and all spans as text."""
+    """One row a document: counts per base kind, the digest of the base spans, all spans as text, ``n_added`` of them by the
+    trees, the number of candidates judged (``n_scored``), and each span's probability (``scores``, in the order of ``spans``)."""
     found = pii_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "_found")
-    base, added = F.col("_found.base"), F.col("_found.added")
+    base, added, scored = F.col("_found.base"), F.col("_found.added"), F.col("_found.scored")
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, added)).alias("spans"))
+    # Base candidates lead, in the order of their spans; an added one is found again by its place.
+    of = lambda s: F.element_at(F.filter(scored, lambda c: (c["start"] == s["start"]) & (c["end"] == s["end"]) & (c["kind"] == s["kind"])), 1)["p"]
+    p = F.concat(F.transform(F.slice(scored, F.lit(1), F.size(base)), lambda c: c["p"]), F.transform(added, of))
+    scores = F.array_join(F.transform(p, lambda v: F.format_number(v, 3)), ",")
+    return found.select(
+        "doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, added)).alias("spans"),
+        F.size(added).cast("long").alias("n_added"), F.size(scored).cast("long").alias("n_scored"), scores.alias("scores"),
+    )
 
 
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
