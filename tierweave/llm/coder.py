@@ -25,7 +25,7 @@ import struct
 import numpy as np
 
 #: The most lanes of a block, ids of a lane from which on a block has more than one, ids of a block.
-LANES, STEPS, BLOCK = 4096, 256, 1 << 20
+LANES, STEPS, BLOCK = 8192, 256, 1 << 22
 #: Followers kept after one id and after two.
 WAYS = (2, 2)
 BITS, BOT = 36, 1 << 44
