@@ -36,12 +36,28 @@ def test_predicates(spark):
     assert column(spark, ["[::1]", "10.1", "a.com"], D.is_ip_host) == [True, True, False]
 
 
-def test_suffix_table(spark, tmp_path):
+def test_registry_suffixes_of_the_list(spark):
+    cases = {
+        "acme.photography": "acme.photography", "a.shop.ninja": "shop.ninja", "calculator.aws": "calculator.aws", "acme.gov.pl": "acme.gov.pl", "www.foo.com.co": "foo.com.co", "a.b.com.gh": "b.com.gh", "x.city.kawasaki.jp": "city.kawasaki.jp",
+        "a.x.y.ck": "x.y.ck", "a.www.ck": "www.ck", "d111.cloudfront.net": "cloudfront.net",
+    }
+    assert column(spark, cases, D.base_domain) == list(cases.values())
+    kept = ["acme.games", "hotel.paris", "acme.education", "x.vercel.app", "telemetry.eu-central-1", "cluster.local"]
+    assert column(spark, kept, D.is_non_registrable) == [False, False, False, False, True, True]
+
+
+def test_another_suffix_list(spark, tmp_path):
+    from tierweave.functions import suffixes
+
     path = tmp_path / "list.dat"
-    path.write_text("// ===BEGIN ICANN DOMAINS===\ncom\nweird\nvery.weird\n// ===BEGIN PRIVATE DOMAINS===\nhost.com\n")
-    names = spark.createDataFrame([("a.b.very.weird",), ("x.host.com",), ("www.acme.com",), (None,)], "d string")
-    got = {r.d: r.base_domain for r in D.with_base_domain(names, "d", D.load_suffixes(spark, str(path))).collect()}
-    assert got == {"a.b.very.weird": "b.very.weird", "x.host.com": "host.com", "www.acme.com": "acme.com", None: None}
+    path.write_text("// ===BEGIN ICANN DOMAINS===\ncom\nweird\nvery.weird\n*.wild\n!own.wild\n// ===BEGIN PRIVATE DOMAINS===\nhost.com\n")
+    suffixes.use_list(str(path))
+    try:
+        cases = {"a.b.very.weird": "b.very.weird", "x.host.com": "host.com", "www.acme.com": "acme.com", "a.b.c.wild": "b.c.wild", "a.own.wild": "own.wild", "x.y.net": "y.net"}
+        assert column(spark, cases, D.base_domain) == list(cases.values())
+        assert column(spark, ["x.host.com", "x.y.net"], D.is_non_registrable) == [False, True]
+    finally:
+        suffixes.use_list(None)
 
 
 def test_names(spark):

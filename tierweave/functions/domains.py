@@ -1,18 +1,19 @@
 """Domain names: predicates and base domains, as column expressions.
 
-All take and give string columns and stay in the JVM. Suffix knowledge is the rule set of
-``fixed_values`` unless a full public-suffix table is given to ``with_base_domain``.
+All take and give string columns and stay in the JVM. What a registry's suffix is, the public-suffix list
+says (``suffixes``).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tierweave.functions import fixed_values as V
 from tierweave.functions.binding import let
+from tierweave.functions.suffixes import suffix_labels
 
 
 def _last(labels: Column, n: int | Column) -> Column:
@@ -26,14 +27,6 @@ def is_ip(c: Column) -> Column:
     return c.rlike(r"^[0-9]+(\.[0-9]+)*$")
 
 
-def suffix_labels(labels: Column) -> Column:
-    """How many labels of a lower-cased name are its registry suffix; 0 for an unknown one."""
-    last, before = F.element_at(labels, -1), F.try_element_at(labels, F.lit(-2))
-    country = last.rlike("^[a-z]{2}$")
-    compound = before.isin(*V.SECOND_LEVEL) & last.isin(*V.SECOND_LEVEL_COUNTRIES)
-    return F.when(F.coalesce(compound, F.lit(False)), 2).when(country | last.isin(*V.GENERIC_SUFFIXES), 1).otherwise(0)
-
-
 def strip_technical_prefix(c: Column) -> Column:
     """Lower-cased, without the first technical prefix that fits."""
     return F.regexp_replace(F.lower(c), "^(?:" + "|".join(p.replace(".", r"\.") for p in V.TECHNICAL_PREFIXES) + ")", "")
@@ -75,30 +68,9 @@ def registrable_label(c: Column) -> Column:
     return let(_plain(c), lambda name: _parts(name, lambda labels, size, n: F.when(~is_ip(name) & (n > 0) & (size > n), label(name))))
 
 
-def load_suffixes(spark: SparkSession, path: str) -> DataFrame:
-    """``suffix, private`` from a public-suffix list file (wildcard and exception rules are left out)."""
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", "===BEGIN PRIVATE DOMAINS===").alias("parts"))
-    each = lines.select(F.posexplode("parts").alias("part", "text")).select("part", F.explode(F.split("text", r"\r?\n")).alias("line"))
-    line = F.trim("line")
-    return each.where((line != "") & ~line.startswith("//") & ~line.rlike(r"^[*!]")).select(F.lower(line).alias("suffix"), (F.col("part") > 0).alias("private")).distinct()
-
-
-def with_base_domain(df: DataFrame, column: str, suffixes: DataFrame | None = None, name: str = "base_domain") -> DataFrame:
-    """``df`` with ``name``; by the rules, or by a suffix table (a list of registries, about 10,000 rows)."""
-    if suffixes is None:
-        return df.withColumn(name, base_domain(F.col(column)))
-    own = df.select(column).distinct().withColumn("_labels", F.split(F.regexp_replace(strip_technical_prefix(F.col(column)), r"\.+$", ""), r"\."))
-    tails = own.select(column, "_labels", F.explode(F.sequence(F.lit(2), F.greatest(F.size("_labels"), F.lit(2)))).alias("_i"))
-    tails = tails.withColumn("suffix", F.array_join(F.expr("slice(_labels, _i, size(_labels))"), "."))
-    known = F.broadcast(suffixes.where("not private").select("suffix"))
-    best = tails.join(known, "suffix").groupBy(column).agg(F.min(F.struct("_i", F.expr("array_join(slice(_labels, _i - 1, size(_labels)), '.')").alias("base"))).alias("_best"))
-    both = df.join(best, column, "left")
-    return both.withColumn(name, F.coalesce(F.col("_best.base"), base_domain(F.col(column)))).drop("_best")
-
-
 def in_list(c: Column, names: tuple[str, ...]) -> Column:
-    """The name is one of ``names`` or below one."""
-    return reduce(lambda a, b: a | b, [(c == n) | c.endswith("." + n) for n in names])
+    """The name is one of ``names`` or below one: one anchored pattern, whatever the number of names."""
+    return c.rlike(r"(?:^|\.)(?:" + "|".join(n.replace(".", r"\.") for n in names) + r")\z")
 
 
 def is_common_infrastructure(c: Column) -> Column:
@@ -111,7 +83,7 @@ def is_marketing(c: Column) -> Column:
 
 def is_certificate_infrastructure(c: Column) -> Column:
     """By plain ending, without regard to label boundaries."""
-    return reduce(lambda a, b: a | b, [c.endswith(n) for n in V.CERTIFICATE_INFRASTRUCTURE])
+    return c.rlike("(?:" + "|".join(n.replace(".", r"\.") for n in V.CERTIFICATE_INFRASTRUCTURE) + r")\z")
 
 
 def is_ip_host(c: Column) -> Column:
@@ -143,7 +115,7 @@ def is_resolvable_name(c: Column) -> Column:
 
 def is_non_registrable(c: Column) -> Column:
     """Not a public host: empty, not a plain name, without a dot, or under no known suffix (private ones count as known)."""
-    unknown = lambda host: suffix_labels(F.split(_plain(host), r"\.")) == 0
+    unknown = lambda host: suffix_labels(F.split(_plain(host), r"\."), private=True) == 0
     return let(F.trim(c), lambda host: (host == "") | host.rlike(r"[/:?# \t@]") | ~host.contains(".") | unknown(host))
 
 

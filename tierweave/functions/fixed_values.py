@@ -66,26 +66,17 @@ VERIFICATION_PATTERNS = (
     ("gc-ai-domain-verification", "gc-ai.com"), ("intacct-esk=", "sage.com"), ("mgverify=", "mailgun.com"), ("neat-pulse-domain-verification", "neat.co"), ("webex-domain-verification=", "webex.com"), ("zoom-domain-verification=", "zoom.us"),
     ("have-i-been-pwned-verification=", "haveibeenpwned.com"), ("<whimsical=", "whimsical.com"),
 )
-#: Providers whose domain is not their name with ``.com``.
-PROVIDER_DOMAINS = {
-    "zoom": "zoom.us", "datadome": "datadome.co", "notion": "notion.so", "intacct": "sage.com", "neat": "neat.co", "bitbucket": "bitbucket.org", "sentry": "sentry.io", "aws": "amazon.com", "gcp": "google.com", "azure": "microsoft.com",
-}
-PROVIDERS_DOT_COM = (
-    "google", "microsoft", "apple", "adobe", "stripe", "docusign", "globalsign", "dropbox", "atlassian", "browserstack", "canva", "cursor", "drift", "hubspot", "klaviyo", "onetrust", "openai", "postman", "slack", "teamviewer", "wework",
-    "heroku", "jamf", "mailgun", "webex", "whimsical", "facebook", "anthropic", "jetbrains", "github", "gitlab", "okta", "auth0", "twilio", "segment", "pagerduty", "salesforce", "shopify", "zendesk",
-    "sendgrid", "mailchimp", "constantcontact", "pardot", "marketo", "intercom", "freshdesk", "typeform",
+PROVIDERS = (
+    ("google", "google.com"), ("microsoft", "microsoft.com"), ("apple", "apple.com"), ("adobe", "adobe.com"), ("stripe", "stripe.com"), ("docusign", "docusign.com"), ("globalsign", "globalsign.com"), ("dropbox", "dropbox.com"),
+    ("zoom", "zoom.us"), ("atlassian", "atlassian.com"), ("browserstack", "browserstack.com"), ("canva", "canva.com"), ("cursor", "cursor.com"), ("datadome", "datadome.co"), ("drift", "drift.com"), ("hubspot", "hubspot.com"),
+    ("klaviyo", "klaviyo.com"), ("notion", "notion.so"), ("onetrust", "onetrust.com"), ("openai", "openai.com"), ("postman", "postman.com"), ("slack", "slack.com"), ("teamviewer", "teamviewer.com"), ("wework", "wework.com"),
+    ("heroku", "heroku.com"), ("jamf", "jamf.com"), ("intacct", "sage.com"), ("mailgun", "mailgun.com"), ("neat", "neat.co"), ("webex", "webex.com"), ("whimsical", "whimsical.com"), ("facebook", "facebook.com"),
+    ("anthropic", "anthropic.com"), ("jetbrains", "jetbrains.com"), ("github", "github.com"), ("gitlab", "gitlab.com"), ("bitbucket", "bitbucket.org"), ("okta", "okta.com"), ("auth0", "auth0.com"), ("twilio", "twilio.com"),
+    ("segment", "segment.com"), ("sentry", "sentry.io"), ("pagerduty", "pagerduty.com"), ("aws", "amazon.com"), ("gcp", "google.com"), ("azure", "microsoft.com"), ("salesforce", "salesforce.com"), ("shopify", "shopify.com"),
+    ("zendesk", "zendesk.com"),
 )
-
-# --- Fixed values: public suffixes, from rules. Every two-letter label is a country suffix; these are the others. ---
-GENERIC_SUFFIXES = (
-    "com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "aero", "coop", "museum", "jobs", "mobi", "travel", "tel", "cat", "asia", "post", "xxx", "arpa", "app", "dev", "cloud", "online", "site", "store", "shop",
-    "tech", "blog", "xyz", "top", "club", "page", "live", "world", "email", "agency", "digital", "media", "news", "design", "studio", "systems", "software", "network", "solutions", "services", "security", "finance", "bank", "health",
-    "google", "amazon", "microsoft", "apple", "social", "team", "work", "space", "link", "support", "tools", "zone", "run", "chat", "legal", "law", "academy", "global", "group", "ventures", "capital", "company", "international",
-)
-SECOND_LEVEL, SECOND_LEVEL_COUNTRIES = ("co", "com", "net", "org", "gov", "edu", "ac"), (
-    "uk", "au", "nz", "za", "jp", "kr", "in", "br", "mx", "tr", "sg", "hk", "tw", "cn", "il", "th", "my", "id", "ph", "vn", "ar", "pe", "ke", "ng", "eg", "sa", "ae", "pk", "bd", "ua", "ug", "tz", "zw", "cy", "mt",
-)
-PRIVATE_SUFFIXES = ("github.io", "gitlab.io", "herokuapp.com", "cloudfront.net", "netlify.app", "vercel.app", "pages.dev", "workers.dev", "web.app", "firebaseapp.com", "azurewebsites.net", "s3.amazonaws.com", "blogspot.com", "readthedocs.io")
+#: Providers whose domain is their name with ``.com``, tried last.
+PROVIDERS_DOT_COM = ("sendgrid", "mailchimp", "constantcontact", "pardot", "marketo", "hubspot", "intercom", "freshdesk", "typeform")
 
 # --- Fixed values: organization names. ---
 CORPORATE_SUFFIXES = (
@@ -97,33 +88,35 @@ ACRONYMS = ("IBM", "AWS", "GCP", "USA", "UK", "EU", "AI", "HR", "PR", "QA", "HP"
 SMALL_WORDS = ("of", "and", "the", "in", "for", "on", "at", "to", "by", "or", "an", "a")
 PHRASE_MARKERS = (" for ", " that ", " your ", " helps ", " enables ", " enabling ", " powering ", " powered by ", " building ", " simplify ", " automate ", " designed ")
 
-# --- Fixed values: names that belong to go-betweens. ---
-EXACT_GO_BETWEENS = {
-    "privacy": ("private", "privado", "redacted", "withheld", "not disclosed", "not applicable", "n/a", "na", "none", "null", "unknown", "-"), "registry": ("switch", "registry operator"), "registrar": ("donuts", "hover", "epik"),
-}
-PHRASE_GO_BETWEENS = {
-    "privacy": (
-        "domains by proxy", "dnstination", "domain protection services", "privacyguardian", "registration private", "privacy id", "whois agent", "whoisproxy", "domain admin", "domain administrator", "whoisguard", "whois privacy",
-        "privacy protect", "privacy protection", "privacy service", "perfect privacy", "contact privacy", "redacted for privacy", "withheld for privacy", "identity protection service", "identity protect", "data protected",
-        "statutory masking", "gdpr masked", "privacydotlink", "super privacy service",
-    ),
-    "registrar": (
-        "aruba pec", "wild west domains", "markmonitor", "csc corporate domains", "corporatedomains", "safenames", "com laude", "nameprotect", "brand protection", "domain management", "network solutions", "networksolutions", "godaddy",
-        "namecheap", "namesilo", "enom", "tucows", "opensrs", "key-systems", "gandi", "porkbun", "dynadot", "register.com", "name.com", "domain.com", "amazon registrar", "google domains", "squarespace domains", "cloudflare registrar",
-        "bluehost", "hostgator", "dreamhost", "siteground", "hostinger", "publicdomainregistry", "pdr ltd", "sav.com", "reg.ru", "ascio", "onlinenic", "todaynic", "xin net", "west263", "alibaba cloud computing", "gmo internet", "ionos",
-        "1&1 internet", "corporatedomains.com", "cloudflare",
-    ),
-    "registry": (
-        "verisign", "public interest registry", "afilias", "identity digital", "centralnic", "nominet", "denic", "afnic", "icann", "registro.br", "registro.it", "global registry services", "domain name commission", "domain administration",
-        "national internet exchange", "rotld", "nic.ro", "nic.at", "nic.br", "eurid", "dns belgium", "dk hostmaster", "punktum dk", "internet stiftelsen", "norid", "cnnic", "krnic", "jprs", "sgnic", "twnic", "hkirc", "mynic", "thnic",
-        "vnnic", "sidn", "nic.ch", "nic.cz", "nic.pl", "nic.ir", "dns.pt", "registry.in", "nixi", "auda", ".au domain administration", "cira", "domaininfo.com", "government of anguilla", "internet computer bureau",
-        "ministry of information and communications technologies", "mintic", "charleston road registry", "binky moon", "dog beach", "radix technologies", "radix fzc", "neustar", "registry",
-    ),
-    "address": (
-        "registrant street", "registrant city", "registrant state", "registrant postal", "registrant country", "registrant phone", "registrant email", "registrant fax", "admin street", "admin city", "tech street", "tech city", "po box",
-        "p.o. box", "care of",
-    ),
-}
+# --- Fixed values: names that belong to go-betweens, whole ones and phrases, with their roles. ---
+EXACT_GO_BETWEENS = (
+    ("private", "privacy"), ("privado", "privacy"), ("redacted", "privacy"), ("withheld", "privacy"), ("not disclosed", "privacy"), ("not applicable", "privacy"), ("n/a", "privacy"), ("na", "privacy"), ("none", "privacy"),
+    ("null", "privacy"), ("unknown", "privacy"), ("-", "privacy"), ("switch", "registry"), ("donuts", "registrar"), ("hover", "registrar"), ("epik", "registrar"), ("registry operator", "registry"),
+)
+PHRASE_GO_BETWEENS = (
+    ("domains by proxy", "privacy"), ("dnstination", "privacy"), ("domain protection services", "privacy"), ("privacyguardian", "privacy"), ("registration private", "privacy"), ("privacy id", "privacy"),
+    ("whois agent", "privacy"), ("whoisproxy", "privacy"), ("domain admin", "privacy"), ("domain administrator", "privacy"), ("aruba pec", "registrar"), ("wild west domains", "registrar"), ("whoisguard", "privacy"),
+    ("whois privacy", "privacy"), ("privacy protect", "privacy"), ("privacy protection", "privacy"), ("privacy service", "privacy"), ("perfect privacy", "privacy"), ("contact privacy", "privacy"),
+    ("redacted for privacy", "privacy"), ("withheld for privacy", "privacy"), ("identity protection service", "privacy"), ("identity protect", "privacy"), ("data protected", "privacy"), ("statutory masking", "privacy"),
+    ("gdpr masked", "privacy"), ("privacydotlink", "privacy"), ("super privacy service", "privacy"), ("markmonitor", "registrar"), ("csc corporate domains", "registrar"), ("corporatedomains", "registrar"),
+    ("safenames", "registrar"), ("com laude", "registrar"), ("nameprotect", "registrar"), ("brand protection", "registrar"), ("domain management", "registrar"), ("network solutions", "registrar"),
+    ("networksolutions", "registrar"), ("godaddy", "registrar"), ("namecheap", "registrar"), ("namesilo", "registrar"), ("enom", "registrar"), ("tucows", "registrar"), ("opensrs", "registrar"), ("key-systems", "registrar"),
+    ("gandi", "registrar"), ("porkbun", "registrar"), ("dynadot", "registrar"), ("register.com", "registrar"), ("name.com", "registrar"), ("domain.com", "registrar"), ("amazon registrar", "registrar"),
+    ("google domains", "registrar"), ("squarespace domains", "registrar"), ("cloudflare registrar", "registrar"), ("bluehost", "registrar"), ("hostgator", "registrar"), ("dreamhost", "registrar"), ("siteground", "registrar"),
+    ("hostinger", "registrar"), ("publicdomainregistry", "registrar"), ("pdr ltd", "registrar"), ("sav.com", "registrar"), ("reg.ru", "registrar"), ("ascio", "registrar"), ("onlinenic", "registrar"), ("todaynic", "registrar"),
+    ("xin net", "registrar"), ("west263", "registrar"), ("alibaba cloud computing", "registrar"), ("gmo internet", "registrar"), ("verisign", "registry"), ("public interest registry", "registry"), ("afilias", "registry"),
+    ("identity digital", "registry"), ("centralnic", "registry"), ("nominet", "registry"), ("denic", "registry"), ("afnic", "registry"), ("icann", "registry"), ("registro.br", "registry"), ("registro.it", "registry"),
+    ("global registry services", "registry"), ("domain name commission", "registry"), ("domain administration", "registry"), ("national internet exchange", "registry"), ("rotld", "registry"), ("nic.ro", "registry"),
+    ("nic.at", "registry"), ("nic.br", "registry"), ("eurid", "registry"), ("dns belgium", "registry"), ("dk hostmaster", "registry"), ("punktum dk", "registry"), ("internet stiftelsen", "registry"), ("norid", "registry"),
+    ("cnnic", "registry"), ("krnic", "registry"), ("jprs", "registry"), ("sgnic", "registry"), ("twnic", "registry"), ("hkirc", "registry"), ("mynic", "registry"), ("thnic", "registry"), ("vnnic", "registry"),
+    ("sidn", "registry"), ("nic.ch", "registry"), ("nic.cz", "registry"), ("nic.pl", "registry"), ("nic.ir", "registry"), ("nic.at", "registry"), ("dns.pt", "registry"), ("registry.in", "registry"), ("nixi", "registry"),
+    ("national internet exchange of india", "registry"), ("auda", "registry"), (".au domain administration", "registry"), ("nz domain name commission", "registry"), ("cira", "registry"), ("domaininfo.com", "registry"),
+    ("government of anguilla", "registry"), ("internet computer bureau", "registry"), ("ministry of information and communications technologies", "registry"), ("mintic", "registry"), ("charleston road registry", "registry"),
+    ("binky moon", "registry"), ("dog beach", "registry"), ("radix technologies", "registry"), ("radix fzc", "registry"), ("neustar", "registry"), ("registry", "registry"), ("ionos", "registrar"), ("1&1 internet", "registrar"),
+    ("corporatedomains.com", "registrar"), ("cloudflare", "registrar"), ("registrant street", "address"), ("registrant city", "address"), ("registrant state", "address"), ("registrant postal", "address"),
+    ("registrant country", "address"), ("registrant phone", "address"), ("registrant email", "address"), ("registrant fax", "address"), ("admin street", "address"), ("admin city", "address"),
+    ("tech street", "address"), ("tech city", "address"), ("po box", "address"), ("p.o. box", "address"), ("care of", "address"),
+)
 REDACTIONS = ("on behalf of", "data redacted", "data protected", "redacted for", "not disclosed", "non-public data", "gdpr", "statutory masking", "domain owner", "registrant of", "owner of ")
 STATE_AUTHORITIES = (
     "government of", "ministry of", "agence nationale", "consulate of", "embassy of", "telecommunications regulatory", "communications authority", "posts and telecommunications", "post and telecommunications",
@@ -134,3 +127,73 @@ GENERIC_WORDS = (
     "domain", "domains", "privacy", "proxy", "network", "networks", "registry", "registrar", "protection", "service", "services", "hosting", "host", "internet", "web", "online", "digital", "identity", "global", "cloud", "solutions",
 )
 INFERRED_SUFFIXES = ("", " inc", " inc.", " llc", " ltd", " ltd.", " corp", " corp.", " corporation", " company")
+
+# --- Fixed values: web pages. Resource patterns in their order, names that name nobody, copyright notices, marks of frameworks, types of organizations. ---
+RESOURCES = (
+    ("script src", r"""<script[^>]+src\s*=\s*["']([^"']+)["']"""), ("link href", r"""<link[^>]+href\s*=\s*["']([^"']+)["']"""), ("img src", r"""<img[^>]+src\s*=\s*["']([^"']+)["']"""),
+    ("iframe src", r"""<iframe[^>]+src\s*=\s*["']([^"']+)["']"""), ("data-src", r"""data-(?:src|href)\s*=\s*["'](https?://[^"']+)["']"""),
+    ("inline URL", r"""["'](https?://[a-zA-Z0-9][-a-zA-Z0-9.]*\.[a-zA-Z]{2,}[^"']*?)["']"""),
+)
+NO_NAMES = (
+    "home", "welcome", "about", "contact", "login", "sign in", "sign up", "register", "dashboard", "admin", "404", "error", "page not found", "undefined", "null", "none", "n/a", "test", "example", "loading", "loading...", "please wait", "redirecting",
+)
+PAGE_NAMES = (
+    "Home", "Welcome", "About", "Contact", "Login", "Sign", "Register", "Dashboard", "Settings", "Profile", "Account", "Blog", "News", "Products", "Services", "Pricing", "Support", "Help", "FAQ", "Privacy", "Terms", "Legal", "Careers", "Jobs",
+)
+COPYRIGHT = (
+    r"(?i)(?:©|&copy;|\(c\))\s*(?:20\d{2}[-–]?\s*)?(?:20\d{2}\s+)?([A-Z][A-Za-z0-9\s,&']+?(?:\s*(?:Inc\.?|LLC|Ltd\.?|Corp\.?|Corporation|Company|Co\.?|GmbH|Pty|Limited))?)(?:\s*\.|\s*,|\s+All\s+[Rr]ights)",
+    r"(?i)Copyright\s+(?:©|&copy;)?\s*(?:20\d{2}[-–]?\s*)?(?:20\d{2}\s+)?([A-Z][A-Za-z0-9\s,&']+?(?:\s*(?:Inc\.?|LLC|Ltd\.?|Corp\.?|Corporation|Company|Co\.?|GmbH|Pty|Limited))?)(?:\s*\.|\s*,|\s+All\s+[Rr]ights)",
+    r"(?i)(?:©|&copy;|\(c\)|copyright)\s*20\d{2}\s+([A-Z][A-Za-z0-9\s]+?)(?:\.|\s+All)",
+)
+SPA_MARKERS = ("__next_data__", "__nuxt__", 'id="root"', 'id="app"', "data-reactroot", "ng-version", "window.__initial_state__")
+ORG_TYPES = ("Organization", "Corporation", "LocalBusiness", "Company", "Brand", "NGO", "GovernmentOrganization", "EducationalOrganization")
+
+# --- Fixed values: registration records and attribution. Texts that are no names, pages that say nothing, owners of brand suffixes, corrected rollups, spellings of brands. ---
+PLACEHOLDERS = (
+    "whois privacy protection service", "privacy protection service", "domains by proxy", "whoisguard", "perfect privacy", "redacted for privacy", "contact privacy inc", "n/a", "not disclosed", "private", "redacted", "withheld",
+    "verisign global registry", "verisign", "vrsn", "pir.org", "public interest registry", "afilias", "donuts", "identity digital", "centralnic", "nic.br", "denic", "nominet", "afnic", "sidn", "registry operator",
+    "global registry services", "icann", "nic.ro", "rotld", "registro.br", "cnnic", "jprs", "krnic", "twnic", "mynic", "thnic", "vnnic", "sgnic", "hkirc", "auda", ".au domain administration", "nz domain name commission", "cira",
+    "nic.at", "nic.ch", "switch", "dns belgium", "dns.pt", "nic.cz", "nic.pl", "domaininfo.com", "registro.it", "nic.ir", "registry.in", "nixi", "national internet exchange of india", "markmonitor", "csc corporate domains",
+    "corporatedomains.com", "safenames", "com laude", "nameprotect", "brand protection", "domain management", "networksolutions", "network solutions", "godaddy", "namecheap", "enom", "tucows", "key-systems", "gandi",
+    "identity protection service", "identity protect", "amazon registrar", "amazon registrar, inc.", "porkbun", "cloudflare", "dynadot", "hover", "google domains", "squarespace domains", "bluehost", "hostgator", "dreamhost",
+    "siteground", "ionos", "register.com", "name.com", "domain.com", "epik", "registrant street", "registrant city", "registrant state", "registrant postal", "registrant country", "registrant phone", "registrant email",
+    "registrant fax", "admin street", "admin city", "tech street", "tech city", "po box", "p.o. box", "care of", "c/o ",
+)
+INTERSTITIALS = (
+    "attention required", "just a moment", "checking your browser", "verify you are human", "are you a robot", "security check", "access denied", "403 forbidden", "page not found", "404 not found", "domain for sale",
+    "buy this domain", "this domain is for sale", "under construction", "coming soon", "index of /", "example domain", "please visit", "webbased whois", "web-based whois", "whois server", "not shown", "see the whois",
+    "query the whois", "for more information",
+)
+BRAND_SUFFIXES = (
+    ("google", "Google"), ("gle", "Google"), ("youtube", "Google"), ("android", "Google"), ("chrome", "Google"), ("gmail", "Google"), ("aws", "Amazon"), ("amazon", "Amazon"), ("microsoft", "Microsoft"), ("azure", "Microsoft"),
+    ("xbox", "Microsoft"), ("bing", "Microsoft"), ("apple", "Apple"), ("icloud", "Apple"), ("meta", "Meta"), ("facebook", "Meta"), ("instagram", "Meta"), ("whatsapp", "Meta"), ("oracle", "Oracle"), ("java", "Oracle"),
+    ("ibm", "IBM"), ("cisco", "Cisco"), ("intel", "Intel"), ("dell", "Dell"), ("hp", "HP"), ("sap", "SAP"), ("salesforce", "Salesforce"), ("adobe", "Adobe"), ("netflix", "Netflix"), ("linkedin", "LinkedIn"), ("paypal", "PayPal"),
+    ("visa", "Visa"), ("mastercard", "Mastercard"), ("walmart", "Walmart"), ("target", "Target"), ("nike", "Nike"), ("bmw", "BMW"), ("audi", "Audi"), ("ford", "Ford"), ("toyota", "Toyota"),
+)
+STALE_ROLLUPS = (
+    ("paypal.com", "PayPal"), ("github.com", "GitHub"), ("linkedin.com", "LinkedIn"),
+)
+BRAND_CASING = (
+    ("openai", "OpenAI"), ("anthropic", "Anthropic"), ("anthropicai", "Anthropic"), ("mongodb", "MongoDB"), ("hubspot", "HubSpot"), ("docusign", "DocuSign"), ("github", "GitHub"), ("gitlab", "GitLab"), ("paypal", "PayPal"),
+    ("youtube", "YouTube"), ("linkedin", "LinkedIn"), ("mysql", "MySQL"), ("postgresql", "PostgreSQL"), ("postgres", "PostgreSQL"), ("graphql", "GraphQL"), ("nodejs", "Node.js"), ("node.js", "Node.js"),
+    ("typescript", "TypeScript"), ("javascript", "JavaScript"), ("pagerduty", "PagerDuty"), ("godaddy", "GoDaddy"), ("woocommerce", "WooCommerce"), ("wordpress", "WordPress"), ("ebay", "eBay"), ("icloud", "iCloud"),
+    ("doordash", "DoorDash"), ("surveymonkey", "SurveyMonkey"), ("sendgrid", "SendGrid"), ("mailchimp", "Mailchimp"), ("auth0", "Auth0"), ("onetrust", "OneTrust"), ("servicenow", "ServiceNow"), ("vmware", "VMware"),
+    ("netsuite", "NetSuite"), ("quickbooks", "QuickBooks"), ("zoominfo", "ZoomInfo"), ("semrush", "SEMrush"), ("launchdarkly", "LaunchDarkly"), ("logrocket", "LogRocket"), ("fullstory", "FullStory"),
+    ("browserstack", "BrowserStack"), ("digitalocean", "DigitalOcean"), ("jetbrains", "JetBrains"), ("bigquery", "BigQuery"), ("dynamodb", "DynamoDB"), ("cockroachdb", "CockroachDB"), ("clickhouse", "ClickHouse"),
+    ("planetscale", "PlanetScale"), ("supabase", "Supabase"), ("netapp", "NetApp"), ("workos", "WorkOS"), ("typeform", "Typeform"), ("notioniq", "Notion"), ("e2b", "E2B"), ("cloudamqp", "CloudAMQP"), ("keycdn", "KeyCDN"),
+    ("maxcdn", "MaxCDN"), ("jsdelivr", "jsDelivr"), ("npm", "npm"), ("pypi", "PyPI"), ("webrtc", "WebRTC"), ("openssl", "OpenSSL"), ("letsencrypt", "Let's Encrypt"), ("let's encrypt", "Let's Encrypt"), ("hashicorp", "HashiCorp"),
+    ("influxdb", "InfluxDB"), ("elasticsearch", "Elasticsearch"), ("opensearch", "OpenSearch"), ("getsentry", "Sentry"), ("sentry", "Sentry"), ("statuspage", "Statuspage"), ("squarespace", "Squarespace"),
+    ("sharepoint", "SharePoint"), ("onedrive", "OneDrive"), ("outsystems", "OutSystems"), ("coinbase", "Coinbase"), ("youtubetv", "YouTube TV"),
+)
+ORG_ALIASES = (
+    ("msft", "Microsoft"), ("goog", "Google"), ("googl", "Google"), ("amzn", "Amazon"), ("aapl", "Apple"), ("nflx", "Netflix"), ("ibm", "IBM"), ("orcl", "Oracle"), ("tsla", "Tesla"), ("nvda", "NVIDIA"), ("intc", "Intel"),
+    ("csco", "Cisco"), ("adbe", "Adobe"), ("aws", "Amazon Web Services"), ("gcp", "Google Cloud Platform"), ("azure", "Microsoft Azure"), ("hpe", "Hewlett Packard Enterprise"), ("dell emc", "Dell Technologies"),
+    ("vmware", "VMware"), ("google llc", "Google"), ("google inc", "Google"), ("google inc.", "Google"), ("alphabet", "Google"), ("alphabet inc", "Google"), ("microsoft corporation", "Microsoft"), ("microsoft corp", "Microsoft"),
+    ("microsoft corp.", "Microsoft"), ("amazon.com", "Amazon"), ("amazon.com inc", "Amazon"), ("amazon.com, inc.", "Amazon"), ("apple inc", "Apple"), ("apple inc.", "Apple"), ("apple computer", "Apple"),
+    ("facebook", "Meta Platforms"), ("facebook inc", "Meta Platforms"), ("facebook, inc.", "Meta Platforms"), ("meta platforms, inc.", "Meta Platforms"), ("amazon web services, inc.", "Amazon Web Services"),
+    ("amazon web services inc", "Amazon Web Services"), ("google cloud", "Google Cloud Platform"), ("microsoft azure", "Microsoft Azure"), ("mircosoft", "Microsoft"), ("miscrosoft", "Microsoft"), ("goole", "Google"),
+    ("amozon", "Amazon"),
+)
+
+# --- Fixed values: tenants. Moves of a whole site to another domain. ---
+KNOWN_REDIRECTS = (("duosecurity.com", "duo.com"),)

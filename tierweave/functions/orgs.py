@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierweave.functions import fixed_values as V
 from tierweave.functions.binding import let
-from tierweave.functions.domains import base_domain, registrable_label, suffix_labels
+from tierweave.functions.domains import base_domain, registrable_label
+from tierweave.functions.suffixes import is_listed
 
 SPACES = r"[\s\u0085  -     　]+"
 
@@ -28,13 +30,15 @@ def strip_domain_ending(c: Column) -> Column:
 
     def of(name: Column) -> Column:
         labels = F.split(name, r"\.")
+        head = lambda n: F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - n, F.lit(1))), ".")
+        tail = lambda n: F.lower(F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), "."))
 
-        def cut_(n: Column) -> Column:
-            head = F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - n, F.lit(1))), ".")
-            fit = lambda h: (F.size(labels) > n) & (n > 0) & ~name.rlike(r"\s") & (F.octet_length(h) >= 2) & ~h.endswith(".")
-            return let(head, lambda h: F.when(fit(h), h).otherwise(name))
+        def cut_(one: Column) -> Column:
+            fit = (F.size(labels) > 1) & ~name.rlike(r"\s") & (F.octet_length(one) >= 2) & ~one.endswith(".") & (tail(1) != "")
+            compound = (F.size(labels) > 2) & (F.octet_length(head(2)) >= 2) & is_listed(tail(2))
+            return F.when(~fit, name).when(compound, head(2)).when(is_listed(tail(1)), one).otherwise(name)
 
-        return let(suffix_labels(F.split(F.lower(name), r"\.")), cut_)
+        return let(head(1), cut_)
 
     return let(F.trim(c), of)
 
@@ -80,20 +84,53 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(squeeze(c), " "), lambda w: w != ""), word), " ")
 
 
-def normalize(c: Column, aliases: Column | None = None) -> Column:
-    """The canonical name; ``aliases`` is a map of lower-cased names, tried before and after."""
+def lookup(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    """The second text of the pair whose first one is ``c``; null without such a pair."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in dict(pairs).items() for x in kv]), c)
+
+
+def brand_casing(c: Column) -> Column:
+    """A known brand as it spells itself, with or without a legal form after it; null for other names."""
+
+    def of(low: Column) -> Column:
+        bare = F.rtrim(F.regexp_replace(low, r"\.+$", ""))
+        for form in (", inc", " inc", " llc", " ltd", " corp", " co"):
+            bare = F.regexp_replace(bare, f"(?:{form})+$", "")
+        return F.coalesce(lookup(low, V.BRAND_CASING), lookup(F.trim(bare), V.BRAND_CASING))
+
+    return let(F.lower(F.trim(c)), of)
+
+
+def normalize(c: Column, aliases: tuple[tuple[str, str], ...] = V.ORG_ALIASES) -> Column:
+    """The canonical name; ``aliases`` (lower-cased name, canonical one) are tried before and after, known brands' spellings last."""
 
     def of(name: Column) -> Column:
         first = F.regexp_replace(strip_domain_ending(name), "(?i)^the ", "")
         joined = let(first, lambda x: squeeze(F.replace(x, F.lit("&"), F.lit(" and "))))
         bare = let(joined, lambda x: strip_domain_ending(strip_corporate_suffix(x)))
         cased = let(bare, lambda x: title_case(squeeze(strip_punctuation(x))))
-        known = lambda x: x if aliases is None else F.coalesce(F.try_element_at(aliases, F.lower(name)), F.try_element_at(aliases, F.lower(x)), x)
-        return let(cased, lambda x: F.when(name == "", "").when(F.trim(x) == "", squeeze(name)).otherwise(known(x)))
+        known = lambda x: F.coalesce(lookup(F.lower(x), aliases), brand_casing(x), x)
+        return F.when(name == "", "").otherwise(F.coalesce(lookup(F.lower(name), aliases), let(cased, lambda x: F.when(F.trim(x) == "", squeeze(name)).otherwise(known(x)))))
 
     return let(F.trim(c), of)
 
 
+def best_match(names: DataFrame, candidates: DataFrame, least: float = 0.85) -> DataFrame:
+    """``name, candidate, similarity``: of ``candidates(name)`` the one most similar to each of ``names(name)``, by normalized names.
+
+    Of equally similar ones the first by alphabet. Names without a candidate at ``least`` or above are left out. Pairs are met by
+    ``similar_names``' parts, never all with all; equal normalized names meet by themselves.
+    """
+    own = names.select(F.col("name").alias("_n"), normalize(F.col("name")).alias("key")).distinct()
+    other = candidates.select(F.col("name").alias("_c"), normalize(F.col("name")).alias("key")).distinct()
+    every = own.select("key").union(other.select("key")).distinct().withColumnRenamed("key", "name")
+    close = similar_names(every, "name", least)
+    pairs = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(every.select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1.0).alias("similarity")))
+    both = own.join(pairs, own["key"] == pairs["a"]).join(other.select("_c", F.col("key").alias("_k")), F.col("b") == F.col("_k"))
+    best = both.groupBy("_n").agg(F.min_by(F.struct("_c", "similarity"), F.struct(-F.col("similarity"), F.col("_c"))).alias("r"))
+    return best.select(F.col("_n").alias("name"), F.col("r._c").alias("candidate"), F.col("r.similarity").alias("similarity"))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 minus the edit distance of the lower-cased names over the longer one's bytes; equal names 1, empty ones 0."""
     x, y = F.lower(a), F.lower(b)
@@ -164,10 +201,10 @@ def role(org: Column, domain: Column | None = None) -> Column:
 
     def plain(low: Column) -> Column:
         out = F.when(low == "", "empty")
-        for kind, names in V.EXACT_GO_BETWEENS.items():
-            out = out.when(low.isin(*names), kind)
-        for kind, names in V.PHRASE_GO_BETWEENS.items():
-            out = out.when(_bounded(low, names), kind)
+        for kind, own in groupby(V.EXACT_GO_BETWEENS, key=lambda x: x[1]):
+            out = out.when(low.isin(*(n for n, _ in own)), kind)
+        for kind, own in groupby(V.PHRASE_GO_BETWEENS, key=lambda x: x[1]):
+            out = out.when(_bounded(low, tuple(n for n, _ in own)), kind)
         return out.otherwise("valid")
 
     low = F.lower(F.trim(org))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierweave.functions import domains as D
+from tierweave.functions import fixed_values as V
 from tierweave.functions import orgs as O
+from tierweave.functions.binding import let
 
 # --- Fixed values: lines of registration records, in their order. ---
 OWNER_LINES = (
@@ -52,8 +57,8 @@ def registrar(response: Column) -> Column:
 
 
 def is_placeholder(c: Column) -> Column:
-    """Redacted, private or otherwise no name."""
-    return F.lower(c).rlike("redacted|privacy|private|withheld|not disclosed|data protected|proxy|whoisguard|masked|n/a") | c.rlike("^[0-9]")
+    """Holds a text that is no owner's name, or begins with a digit as addresses do."""
+    return F.lower(c).rlike("|".join(map(re.escape, V.PLACEHOLDERS)) + "|^[0-9]")
 
 
 def is_redacted(response: Column) -> Column:
@@ -106,6 +111,21 @@ def matches_baseline(probe: DataFrame, baseline: DataFrame) -> DataFrame:
     return probe.join(F.broadcast(base), "pattern", "left").withColumn("is_baseline", F.coalesce(same, F.lit(False))).drop("_s", "_h", "_l", "_u")
 
 
+def redirected_to_main_site(probe_url: Column, final_url: Column) -> Column:
+    """The probe ended at a company's own site: on the same host a path became the root; else the last two labels stayed and
+    nothing but ``www.`` stands before them; or a move that is known."""
+
+    def hosts(h: Column) -> Column:
+        core = lambda x: F.array_join(F.slice(F.split(x, r"\."), F.greatest(F.size(F.split(x, r"\.")) - 1, F.lit(1)), 2), ".")
+        one, two = core(h["probe"]), core(h["final"])
+        path = (F.length(D.path_of(probe_url)) > 1) & D.path_of(final_url).isin("/", "")
+        bare = (one == two) & (F.regexp_replace(h["final"], r"^www\.", "") == one)
+        moved = reduce(lambda a, b: a | b, [(one == x) & (two == y) for x, y in V.KNOWN_REDIRECTS])
+        return F.when(h["probe"] == h["final"], path).otherwise(bare | moved)
+
+    return F.coalesce(let(F.struct(D.host_of(probe_url).alias("probe"), D.host_of(final_url).alias("final")), hosts), F.lit(False))
+
+
 def confirmed_tenants(results: DataFrame) -> DataFrame:
     """One row per domain and platform owner, confirmed ones before likely ones."""
     rank = F.struct(F.when(F.col("status") == "Confirmed", 0).otherwise(1), F.col("url"))

@@ -84,66 +84,54 @@ def named_domains(rel: DataFrame) -> DataFrame:
     return rel.select(pairs).select("p.*").where("trim(domain) <> '' and trim(organization) <> ''").groupBy("domain", "organization").agg(F.count("*").alias("n"))
 
 
+def judged_names(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """``domain, organization, n, label, bad, fit, curated``: every different (domain, name) judged once, in a table of its own.
+
+    ``bad`` names are go-betweens, ``fit`` ones plausible; ``curated`` is the domain's name in ``curated(domain, organization)``
+    (whatever its case), if it has one.
+    """
+    domain, name = F.col("domain"), F.col("organization")
+    votes = committed(named_domains(rel), "votes")
+    judged = committed(votes.withColumns({"label": O.domain_label(domain), "bad": O.is_intermediary(name, domain), "fit": O.is_plausible_name(name)}), "judged")
+    if curated is None:
+        return judged.withColumn("curated", F.lit(None).cast("string"))
+    own = curated.groupBy(F.lower("domain").alias("domain")).agg(F.min("organization").alias("curated"))
+    return judged.join(own, "domain", "left")
+
+
+def _renamed(rel: DataFrame, names: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``rel`` with the names of ``names(domain[, organization], _name)`` at all three positions."""
+    columns = rel.columns
+    for d, o in POSITIONS:
+        own = names.withColumnsRenamed(dict(zip(keys, (d, o), strict=False)))
+        rel = rel.join(own, [d, o][: len(keys)], "left").withColumn(o, F.coalesce("_name", o)).drop("_name")
+    return rel.select(*columns)
+
+
 def reconcile_names(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
     """One name per domain at all positions.
 
     A curated name wins; else of the plausible names that are neither a go-between nor the domain's own
     label, the most frequent, then the longest in bytes, then the first by alphabet; else the label.
-    ``curated(domain, organization)`` is a reference table and is broadcast.
     """
-    votes = named_domains(rel)
-    label = O.domain_label(F.col("domain"))
-    fit = O.is_plausible_name(F.col("organization")) & ~O.is_intermediary(F.col("organization"), F.col("domain")) & (F.col("organization") != label)
-    best = first_seen(votes.where(fit), ["domain"], [F.desc("n"), F.desc(F.octet_length("organization")), "organization"]).select("domain", F.col("organization").alias("voted"))
-    names = votes.select("domain").distinct().join(best, "domain", "left").withColumn("name", F.coalesce("voted", label))
-    if curated is not None:
-        own = curated.select(F.lower("domain").alias("domain"), F.col("organization").alias("_curated"))
-        names = names.join(F.broadcast(own), "domain", "left").withColumn("name", F.coalesce("_curated", "name"))
-    names = names.select("domain", "name")
-    for d, o in POSITIONS:
-        own = names.select(F.col("domain").alias(d), F.col("name").alias("_name"))
-        rel = rel.join(own, d, "left").withColumn(o, F.coalesce("_name", o)).drop("_name")
-    return rel
+    judged = judged_names(rel, curated)
+    best = first_seen(judged.where("fit and not bad and organization <> label"), ["domain"], [F.desc("n"), F.desc(F.octet_length("organization")), "organization"])
+    names = judged.groupBy("domain").agg(F.first("label").alias("label"), F.first("curated").alias("curated")).join(best.select("domain", F.col("organization").alias("voted")), "domain", "left")
+    return _renamed(rel, committed(names.select("domain", F.coalesce("curated", "voted", "label").alias("_name")), "names"), ("domain",))
 
 
 def gate_intermediaries(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
-    """Names of registrars, privacy services and authorities give way to the domain's label, unless curated.
-
-    Names are classified once per different (domain, name).
-    """
-    judged = named_domains(rel).withColumn("bad", O.is_intermediary(F.col("organization"), F.col("domain")))
-    if curated is not None:
-        own = curated.select(F.lower("domain").alias("domain"), "organization", F.lit(True).alias("_ok"))
-        judged = judged.join(F.broadcast(own), ["domain", "organization"], "left").withColumn("bad", F.col("bad") & F.col("_ok").isNull())
-    bad = judged.where("bad").select("domain", "organization", O.domain_label(F.col("domain")).alias("_label"))
-    for d, o in POSITIONS:
-        own = bad.select(F.col("domain").alias(d), F.col("organization").alias(o), "_label")
-        rel = rel.join(own, [d, o], "left").withColumn(o, F.coalesce("_label", o)).drop("_label")
-    return rel
+    """Names of registrars, privacy services and authorities give way to the domain's label, unless curated."""
+    bad = judged_names(rel, curated).where(F.col("bad") & ~F.col("organization").eqNullSafe(F.col("curated")))
+    return _renamed(rel, committed(bad.select("domain", "organization", F.col("label").alias("_name")), "gated"), ("domain", "organization"))
 
 
 def finalize(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
     """Reject, gate, reconcile, in this order.
 
-    Reconciling rewrites all positions, so gating only has to change the votes: every different (domain, name) is judged once, in a
-    table of its own, and the rows are joined with the outcome alone.
+    Reconciling rewrites all positions, so gating only has to leave go-betweens out of the vote, which it does by itself.
     """
-    columns = rel.columns
-    rel = drop_unregistrable(rel)
-    domain, name = F.col("domain"), F.col("organization")
-    judged = named_domains(rel).withColumns({"label": O.domain_label(domain), "bad": O.is_intermediary(name, domain), "fit": O.is_plausible_name(name)})
-    judged = committed(judged, "judged")
-    if curated is not None:
-        own = curated.select(F.lower("domain").alias("domain"), F.col("organization").alias("_curated")).groupBy("domain").agg(F.min("_curated").alias("_curated"))
-        judged = judged.join(F.broadcast(own), "domain", "left")
-    else:
-        judged = judged.withColumn("_curated", F.lit(None).cast("string"))
-    best = first_seen(judged.where("fit and not bad and organization <> label"), ["domain"], [F.desc("n"), F.desc(F.octet_length("organization")), "organization"])
-    names = judged.groupBy("domain").agg(F.first("label").alias("label"), F.first("_curated").alias("_curated")).join(best.select("domain", F.col("organization").alias("voted")), "domain", "left")
-    names = committed(names.select("domain", F.coalesce("_curated", "voted", "label").alias("_name")), "names")
-    for d, o in POSITIONS:
-        rel = rel.join(names.withColumnRenamed("domain", d), d, "left").withColumn(o, F.coalesce("_name", o)).drop("_name")
-    return rel.select(*columns)
+    return reconcile_names(drop_unregistrable(rel), curated)
 
 
 def assemble(new: DataFrame, resumed: DataFrame | None = None, curated: DataFrame | None = None, include_infrastructure: bool = False) -> DataFrame:

@@ -1,13 +1,16 @@
 """Subprocessor lists in captured JSON and on subprocessor pages.
 
-``captures(page_url, ordinal, url, body)`` are JSON responses. Arrays of objects are found as
-variants down to a stated depth, scored, and the best of a page is taken with all arrays of the same name.
+``captures(page_url, ordinal, url, body)`` are JSON responses. Arrays of objects are found at any
+depth, scored, and the best of a page is taken with all arrays of the same name.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +24,40 @@ LOCATION_FIELDS = ("location", "country", "region", "geography")
 PATH_WORDS = ("subprocessor", "vendor", "processor", "provider", "supplier", "partner")
 
 
-def entity_arrays(captures: DataFrame, depth: int = 4) -> DataFrame:
-    """``page_url, ordinal, path, items``: arrays of three or more members, over four fifths of them objects, below objects only."""
-    level = captures.select("page_url", "ordinal", F.lit("").alias("path"), F.try_parse_json("body").alias("v")).where("v is not null")
-    out = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        arrays = level.where(kind.startswith("ARRAY")).select("page_url", "ordinal", "path", F.transform(F.expr("try_variant_get(v, '$', 'array<variant>')"), lambda x: F.to_json(x)).alias("items"))
-        arrays = arrays.where((F.size("items") >= 3) & (F.size(F.filter("items", lambda i: i.startswith("{"))) > 0.8 * F.size("items")))
-        out = arrays if out is None else out.unionByName(arrays)
-        level = level.where(kind.startswith("OBJECT")).select("page_url", "ordinal", "path", F.explode(F.expr("try_variant_get(v, '$', 'map<string, variant>')")).alias("k", "v"))
-        level = level.select("page_url", "ordinal", F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "v").where("v is not null")
-    return out
+def _arrays(data: object) -> Iterator[tuple[str, list]]:
+    """The arrays below objects, with their dotted paths; what lies inside an array is not looked into."""
+    todo: list[tuple[str, object]] = [("", data)]
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, dict):
+            todo += [(f"{path}.{k}" if path else k, v) for k, v in sorted(x.items(), reverse=True)]
+        elif isinstance(x, list):
+            yield path, x
+
+
+def entity_arrays(captures: DataFrame) -> DataFrame:
+    """``page_url, ordinal, path, items``: arrays of three or more members, over four fifths of them objects, below objects at any depth.
+
+    Objects nest at will, so each body is walked by an Arrow function, which gives the arrays' members as JSON texts. A null
+    body, or one that is no JSON, gives nothing.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for page, ordinal, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    data = json.loads(body) if body is not None else None
+                except (ValueError, RecursionError):
+                    continue
+                for path, x in _arrays(data):
+                    if len(x) >= 3 and sum(isinstance(i, dict) for i in x) / len(x) > 0.8:
+                        rows.append((page, ordinal, path, [json.dumps(i, ensure_ascii=False, separators=(",", ":")) for i in x]))
+            own = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(own[0], pa.string()), pa.array(own[1], pa.int64()), pa.array(own[2], pa.string()), pa.array(own[3], pa.list_(pa.string()))], ["page_url", "ordinal", "path", "items"])
+
+    own = captures.select(F.col("page_url").cast("string"), F.col("ordinal").cast("long"), F.col("body").cast("string"))
+    return own.where(F.contains("body", F.lit("["))).mapInArrow(walk, "page_url string, ordinal long, path string, items array<string>")
 
 
 def _field(item: Column, field: str) -> Column:

@@ -6,13 +6,13 @@ Each extractor turns a record into ``array<struct<domain, source_type>>`` by bui
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierweave.functions import fixed_values as V
 from tierweave.functions.domains import base_domain, is_dns_name
+from tierweave.functions.orgs import lookup
+from tierweave.plans.graph import committed
 
 FACTS = "array<struct<domain:string,source_type:string>>"
 
@@ -65,8 +65,7 @@ def dmarc(record: Column) -> Column:
 
 def provider_domain(name: Column) -> Column:
     """The domain of a provider's token; null for unknown ones."""
-    special = reduce(lambda out, kv: F.when(name == kv[0], kv[1]).otherwise(out), V.PROVIDER_DOMAINS.items(), F.lit(None).cast("string"))
-    return F.when(name.isin(*V.PROVIDERS_DOT_COM), F.concat(name, F.lit(".com"))).otherwise(special)
+    return F.coalesce(lookup(name, V.PROVIDERS), F.when(name.isin(*V.PROVIDERS_DOT_COM), F.concat(name, F.lit(".com"))))
 
 
 def verification(record: Column) -> Column:
@@ -112,7 +111,8 @@ def resolve_spf(roots: DataFrame, answers: DataFrame, most_lookups: int = 10) ->
     """
     targets = lambda r: F.filter(F.flatten(F.array(*[F.regexp_extract_all(F.lower(r), F.lit(p), F.lit(1)) for p in V.SPF_MECHANISMS[:2]])), lambda t: ~t.contains("%"))
     spf_of = answers.where(F.lower(clean_record(F.col("rdata"))).startswith("v=spf1")).select(F.lower("name").alias("name"), F.transform(targets(clean_record(F.col("rdata"))), lambda t: F.regexp_replace(t, r"\.$", "")).alias("targets"))
-    seen = roots.select("root", F.lower("root").alias("name"), F.lit(0).alias("lookup"))
+    seen = committed(roots.select("root", F.lower("root").alias("name"), F.lit(0).alias("lookup")), "spf")
+    spf_of = committed(spf_of, "spf-targets")
     frontier = seen
     for _ in range(most_lookups):
         found = frontier.join(spf_of, "name").select("root", "lookup", F.posexplode("targets").alias("at", "name"))
@@ -120,7 +120,9 @@ def resolve_spf(roots: DataFrame, answers: DataFrame, most_lookups: int = 10) ->
         found = found.join(seen.select("root", "name"), ["root", "name"], "left_anti")
         done = seen.groupBy("root").agg(F.max("lookup").alias("done"))
         place = F.row_number().over(Window.partitionBy("root").orderBy("o.lookup", "o.at", "name"))
+        # Each level is written out, so that none makes the earlier ones run again.
         frontier = found.withColumn("p", place).join(done, "root").select("root", "name", (F.col("done") + F.col("p")).alias("lookup")).where(F.col("lookup") <= most_lookups)
+        frontier = committed(frontier, "spf")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

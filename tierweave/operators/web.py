@@ -1,38 +1,27 @@
 """Vendors and owners that web pages name, from tables of pages and requests.
 
 ``pages(url, html)`` and ``network_requests(page_url, ordinal, request_url)`` are observations. All
-extraction is by built-in functions; JSON-LD, which nests at will, is read as a variant.
+extraction is by built-in functions but for JSON-LD, which nests at will: its blocks are cut out by a pattern, and they
+alone go to an Arrow function.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierweave.functions import domains as D
+from tierweave.functions import fixed_values as V
 from tierweave.functions import orgs as O
+from tierweave.functions.binding import let
 
-# --- Fixed values: resource patterns in their order, name lists, confidences. ---
-RESOURCES = (
-    ("script src", r"""<script[^>]+src\s*=\s*["']([^"']+)["']"""), ("link href", r"""<link[^>]+href\s*=\s*["']([^"']+)["']"""), ("img src", r"""<img[^>]+src\s*=\s*["']([^"']+)["']"""),
-    ("iframe src", r"""<iframe[^>]+src\s*=\s*["']([^"']+)["']"""), ("data-src", r"""data-(?:src|href)\s*=\s*["'](https?://[^"']+)["']"""),
-    ("inline URL", r"""["'](https?://[a-zA-Z0-9][-a-zA-Z0-9.]*\.[a-zA-Z]{2,}[^"']*?)["']"""),
-)
-NO_NAMES = (
-    "home", "welcome", "about", "contact", "login", "sign in", "sign up", "register", "dashboard", "admin", "404", "error", "page not found", "undefined", "null", "none", "n/a", "test", "example", "loading", "loading...", "please wait", "redirecting",
-)
-PAGE_NAMES = (
-    "Home", "Welcome", "About", "Contact", "Login", "Sign", "Register", "Dashboard", "Settings", "Profile", "Account", "Blog", "News", "Products", "Services", "Pricing", "Support", "Help", "FAQ", "Privacy", "Terms", "Legal", "Careers", "Jobs",
-)
-COPYRIGHT = (
-    r"(?i)(?:©|&copy;|\(c\))\s*(?:20\d{2}[-–]?\s*)?(?:20\d{2}\s+)?([A-Z][A-Za-z0-9\s,&']+?(?:\s*(?:Inc\.?|LLC|Ltd\.?|Corp\.?|Corporation|Company|Co\.?|GmbH|Pty|Limited))?)(?:\s*\.|\s*,|\s+All\s+[Rr]ights)",
-    r"(?i)Copyright\s+(?:©|&copy;)?\s*(?:20\d{2}[-–]?\s*)?(?:20\d{2}\s+)?([A-Z][A-Za-z0-9\s,&']+?(?:\s*(?:Inc\.?|LLC|Ltd\.?|Corp\.?|Corporation|Company|Co\.?|GmbH|Pty|Limited))?)(?:\s*\.|\s*,|\s+All\s+[Rr]ights)",
-    r"(?i)(?:©|&copy;|\(c\)|copyright)\s*20\d{2}\s+([A-Z][A-Za-z0-9\s]+?)(?:\.|\s+All)",
-)
-SPA_MARKERS = ("__next_data__", "__nuxt__", 'id="root"', 'id="app"', "data-reactroot", "ng-version", "window.__initial_state__")
-ORG_TYPES = ("Organization", "Corporation", "LocalBusiness", "Company", "NGO", "EducationalOrganization", "GovernmentOrganization", "WebSite")
+JSON_LD = r"""(?is)<script[^>]+type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
 def page_resources(pages: DataFrame, target: str = "target") -> DataFrame:
@@ -41,7 +30,7 @@ def page_resources(pages: DataFrame, target: str = "target") -> DataFrame:
     The first occurrence of a base domain decides: noise is left out, and social networks unless
     a script or picture is loaded from them, even where a later occurrence would count.
     """
-    found = F.concat(*[_tagged(k, p, i) for i, (k, p) in enumerate(RESOURCES)])
+    found = F.concat(*[_tagged(k, p, i) for i, (k, p) in enumerate(V.RESOURCES)])
     rows = pages.select(F.col("url").alias("page_url"), F.col(target).alias("_target"), F.posexplode(found).alias("_at", "_r"))
     rows = rows.withColumn("host", D.host_of(F.col("_r.url"))).where("host is not null").withColumn("vendor_domain", D.base_domain(F.col("host"))).where("vendor_domain <> _target")
     first = rows.groupBy("page_url", "vendor_domain").agg(F.min_by("_r", "_at").alias("r"))
@@ -70,17 +59,21 @@ def web_traffic(static: DataFrame, network: DataFrame) -> DataFrame:
 
 
 def is_valid_name(c: Column) -> Column:
-    name = F.trim(c)
-    return F.octet_length(name).between(2, 100) & name.rlike(r"^[\p{L}\p{N}]") & ~name.rlike(r"^[\p{N}\s]+$") & ~F.lower(name).isin(*NO_NAMES)
+    return let(F.trim(c), lambda name: F.octet_length(name).between(2, 100) & name.rlike(r"^[\p{L}\p{N}]") & ~name.rlike(r"^[\p{N}\s]+$") & ~F.lower(name).isin(*V.NO_NAMES))
+
+
+def _is_valid(text: str) -> bool:
+    """``is_valid_name`` of one text."""
+    name = text.strip(" ")
+    return 2 <= len(name.encode()) <= 100 and name[0].isalnum() and not all(x.isnumeric() or x.isspace() for x in name) and name.lower() not in V.NO_NAMES
 
 
 def is_page_name(c: Column) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(p) for p in PAGE_NAMES])
+    return c.rlike("|".join(map(re.escape, V.PAGE_NAMES)))
 
 
 def clean_name(c: Column) -> Column:
-    name = O.squeeze(c)
-    return F.when(name.endswith(".") & ~name.rlike(r"(Inc|Ltd|Corp|Co|LLC)\.$"), F.regexp_replace(name, r"\.$", "")).otherwise(name)
+    return let(O.squeeze(c), lambda name: F.when(name.endswith(".") & ~name.rlike(r"(Inc|Ltd|Corp|Co|LLC)\.$"), F.regexp_replace(name, r"\.$", "")).otherwise(name))
 
 
 def _tag(html: Column, tag: str) -> Column:
@@ -95,47 +88,82 @@ def _meta(html: Column, key: str, name: str) -> Column:
 
 def title_name(html: Column) -> Column:
     """struct<organization, confidence, source> from the title: the side of a separator that can be a name, else a short title."""
-    title = _tag(html, "title")
     good = lambda n: is_valid_name(n) & ~is_page_name(n)
-    name = F.lit(None).cast("string")
-    for sep in reversed((" | ", " - ", " – ", " — ", " :: ", ": ")):
-        at = F.instr(title, sep)
-        side = F.trim(F.when(F.lit(sep.strip(" ") not in ("::", ":")), title.substr(at + len(sep), F.length(title))).otherwise(title.substr(F.lit(1), at - 1)))
-        name = F.when((at > 0) & good(side), side).otherwise(name)
-    whole = F.when((F.octet_length(title) < 50) & ~title.contains("Home") & ~title.contains("Welcome") & good(title), title)
-    usable = F.octet_length(title) >= 3
-    return F.when(usable & name.isNotNull(), _result(clean_name(name), 0.65, "title_tag")).when(usable & whole.isNotNull(), _result(clean_name(whole), 0.50, "title_tag"))
+
+    def of(title: Column) -> Column:
+        name = F.lit(None).cast("string")
+        for sep in reversed((" | ", " - ", " – ", " — ", " :: ", ": ")):
+            at = F.instr(title, sep)
+            side = F.trim(title.substr(at + len(sep), F.length(title)) if sep.strip(" ") not in ("::", ":") else title.substr(F.lit(1), at - 1))
+            name = F.coalesce(F.when(at > 0, let(side, lambda x: F.when(good(x), x))), name)
+        whole = F.when((F.octet_length(title) < 50) & ~title.contains("Home") & ~title.contains("Welcome") & good(title), title)
+        return F.when(F.octet_length(title) >= 3, let(name, lambda x: F.when(x.isNotNull(), _result(clean_name(x), 0.65, "title_tag")).when(whole.isNotNull(), _result(clean_name(whole), 0.50, "title_tag"))))
+
+    return let(_tag(html, "title"), of)
 
 
 def copyright_name(html: Column) -> Column:
     """From the first copyright notice that names one, in the footer if there is any."""
-    footer = _tag(html, "footer")
-    text = F.coalesce(footer, html)
-    found = [F.trim(F.regexp_extract(text, p, 1)) for p in COPYRIGHT]
-    name = F.coalesce(*[F.when(is_valid_name(f), f) for f in found])
-    return F.when(name.isNotNull(), _result(clean_name(name), 0.60, "copyright"))
+    found = lambda text, p: let(F.trim(F.regexp_extract(text, p, 1)), lambda f: F.when(is_valid_name(f), f))
+    name = let(F.coalesce(_tag(html, "footer"), html), lambda text: F.coalesce(*[found(text, p) for p in V.COPYRIGHT]))
+    return let(name, lambda n: F.when(n.isNotNull(), _result(clean_name(n), 0.60, "copyright")))
 
 
 def _result(name: Column, confidence: float, source: str) -> Column:
     return F.struct(name.alias("organization"), F.lit(confidence).cast("float").alias("confidence"), F.lit(source).alias("source"))
 
 
-def schema_name(html: Column) -> Column:
-    """From JSON-LD: the legal name or name of an organization, at the top, in a list or graph, or as publisher or author."""
-    blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]+type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    paths = ("$", "$[0]", "$[1]", "$['@graph'][0]", "$['@graph'][1]", "$['@graph'][2]", "$.publisher", "$.author", "$[0].publisher", "$[0].author", "$['@graph'][0].publisher")
+_FIELDS = {"@type": str, "name": str, "legalName": str, "publisher": dict, "author": dict, "@graph": list}
+
+
+def _well_formed(data: object) -> bool:
+    """An object whose fields, at any depth, are of their types or null."""
+    todo = [data]
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, dict) or any(x.get(k) is not None and not isinstance(x[k], t) for k, t in _FIELDS.items()):
+            return False
+        todo += [x[k] for k in ("publisher", "author") if x.get(k) is not None] + (x.get("@graph") or [])
+    return True
+
+
+def organization_in(data: dict) -> str | None:
+    """The first organization's legal name or name: the object itself, then its graph, publisher and author, to any depth."""
+    todo = [data]
+    while todo:
+        x = todo.pop()
+        if x.get("@type") is not None and any(t in x["@type"] for t in V.ORG_TYPES):
+            for name in (x.get("legalName"), x.get("name")):
+                if name is not None and _is_valid(name):
+                    return name
+        todo += [x[k] for k in ("author", "publisher") if x.get(k) is not None] + list(reversed(x.get("@graph") or []))
+    return None
 
-    def of(block: Column) -> Column:
-        tries = []
-        for p in paths:
-            kind = F.get_json_object(block, p + "['@type']")
-            ok = reduce(lambda a, b: a | b, [kind.contains(t) for t in ORG_TYPES]) | F.lit(p.endswith(("publisher", "author")))
-            name = F.coalesce(F.get_json_object(block, p + ".legalName"), F.get_json_object(block, p + ".name"))
-            tries.append(F.when(F.coalesce(ok, F.lit(False)) & is_valid_name(name), name))
-        return F.coalesce(*tries)
 
-    names = F.filter(F.transform(blocks, of), lambda n: n.isNotNull())
-    return F.when(F.size(names) > 0, _result(clean_name(F.get(names, F.lit(0))), 0.95, "schema_org"))
+def _json_ld_names(blocks: pd.Series) -> pd.Series:
+    def of(own) -> str | None:
+        for text in () if own is None else own:
+            try:
+                data = json.loads(text)
+            except (ValueError, RecursionError):
+                continue
+            entries = data if isinstance(data, list) else [data]
+            if all(map(_well_formed, entries)):
+                for x in entries:
+                    if (name := organization_in(x)) is not None:
+                        return name
+        return None
+
+    return blocks.map(of)
+
+
+def schema_name(html: Column) -> Column:
+    """From JSON-LD: the first organization in a block, at any depth of graphs, publishers and authors.
+
+    A block that is no JSON, or whose fields are of other types, says nothing.
+    """
+    name = F.pandas_udf(_json_ld_names, "string")(F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1)))
+    return F.when(name.isNotNull(), _result(clean_name(name), 0.95, "schema_org"))
 
 
 def meta_names(html: Column) -> Column:
@@ -144,7 +172,11 @@ def meta_names(html: Column) -> Column:
         (_meta(html, "property", "og:site_name"), 0.85, "opengraph"), (F.regexp_replace(_meta(html, "name", "twitter:site"), "^@", ""), 0.60, "opengraph"), (_meta(html, "name", "application-name"), 0.75, "meta_tag"),
         (_meta(html, "name", "author"), 0.70, "meta_tag"), (_meta(html, "name", "publisher"), 0.70, "meta_tag"), (_meta(html, "name", "DC.publisher"), 0.75, "meta_tag"),
     )
-    return F.coalesce(*[F.when(is_valid_name(n), _result(clean_name(n), c, s)) for n, c, s in tries])
+    return F.coalesce(*[_checked(*t) for t in tries])
+
+
+def _checked(name: Column, confidence: float, source: str) -> Column:
+    return let(name, lambda n: F.when(is_valid_name(n), _result(clean_name(n), confidence, source)))
 
 
 def page_organization(html: Column) -> Column:
@@ -155,10 +187,13 @@ def page_organization(html: Column) -> Column:
 def is_single_page_app(html: Column) -> Column:
     """Little text for its length, or a framework's marks, or a body of scripts alone."""
     text = F.regexp_replace(html, "<[^>]*>", "")
-    low = F.lower(html)
     thin = (F.octet_length(html) > 1000) & (F.length(text) / F.octet_length(html) < 0.05)
-    bare = low.contains("<body") & low.contains("<script") & ~low.rlike("<(p|div|h[1-6]|span|table|ul|ol|a|section|article|main|footer|nav)[ >]")
-    return thin | reduce(lambda a, b: a | b, [low.contains(m) for m in SPA_MARKERS]) | bare
+
+    def marked(low: Column) -> Column:
+        bare = low.contains("<body") & low.contains("<script") & ~low.rlike("<(p|div|h[1-6]|span|table|ul|ol|a|section|article|main|footer|nav)[ >]")
+        return reduce(lambda a, b: a | b, [low.contains(m) for m in V.SPA_MARKERS]) | bare
+
+    return thin | let(F.lower(html), marked)
 
 
 def email_domains(text: Column) -> Column:

@@ -19,9 +19,11 @@ DEEPEST = 10
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where the session names none."""
+    """The folder in ``spark.checkpoint.dir``. On one machine alone, a temporary one where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tierweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,6 +47,7 @@ def layers(roots: DataFrame, facts: DataFrame, max_depth: int | None = None, sto
     steps = facts.select(F.col("customer").alias("domain"), "vendor").where("customer is not null and vendor is not null").distinct()
     if skip_unregistrable:
         steps = steps.where(~is_non_registrable(F.col("vendor")))
+    steps = committed(steps, "facts")  # each layer joins the table, not what made it
     for depth in range(1, min(DEEPEST, DEEPEST if max_depth is None else max_depth) + 1):
         start = frontier.where(~is_common_infrastructure(F.col("domain"))) if stop_at_infrastructure else frontier
         own = steps

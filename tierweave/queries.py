@@ -184,23 +184,23 @@ def graph_grid(spark, sf_dir):
 
 
 def graph_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' suppliers, and of each part every supplier's next one."""
+    """Customers' suppliers, and each supplier's next one in its nation."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     first = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("customer"), F.concat(F.lit("s"), "l_suppkey").alias("vendor")).distinct()
-    pairs = li.select("l_partkey", "l_suppkey").distinct()
-    chain = pairs.select(F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(Window.partitionBy("l_partkey").orderBy("l_suppkey")).alias("b")).where("b is not null")
-    return first.unionByName(chain.select(F.concat(F.lit("s"), "a").alias("customer"), F.concat(F.lit("s"), "b").alias("vendor")).distinct())
+    following = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    chain = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), following.alias("b")).where("b is not null")
+    return first.unionByName(chain.select(F.concat(F.lit("s"), "a").alias("customer"), F.concat(F.lit("s"), "b").alias("vendor")))
 
 
 FACTS = """facts AS (SELECT DISTINCT 'c' || o_custkey AS customer, 's' || l_suppkey AS vendor FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL
- SELECT DISTINCT 's' || a, 's' || b FROM (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS b FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) WHERE b IS NOT NULL)"""
+ SELECT 's' || a, 's' || b FROM (SELECT s_suppkey AS a, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b FROM supplier) WHERE b IS NOT NULL)"""
 
 
-@query(f"""WITH RECURSIVE {FACTS}, walk(root, domain, layer) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0 FROM customer WHERE c_nationkey = 3 UNION
+@query(f"""WITH RECURSIVE {FACTS}, walk(root, domain, layer) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0 FROM customer UNION
  SELECT root, vendor, layer + 1 FROM walk JOIN facts ON customer = domain WHERE layer < 3) SELECT root, domain, CAST(min(layer) AS INTEGER) AS layer FROM walk GROUP BY 1, 2""")
 def graph_bfs_layers(spark, sf_dir):
-    """From the customers of one nation, three layers deep."""
-    roots = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.concat(F.lit("c"), "c_custkey").alias("root"))
+    """From every customer, three layers deep."""
+    roots = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("root"))
     return graph.layers(roots, graph_facts(spark, sf_dir), max_depth=3)
 
 
