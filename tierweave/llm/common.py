@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session sets none (single-machine tests) is a temporary one chosen.
+    Only on a single machine, and where the session sets none, is a temporary one chosen.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tierweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
