@@ -197,3 +197,41 @@ ORG_ALIASES = (
 
 # --- Fixed values: tenants. Moves of a whole site to another domain. ---
 KNOWN_REDIRECTS = (("duosecurity.com", "duo.com"),)
+
+# --- Fixed values: subprocessor pages. Where they stand, words that are no vendors, names that are no organizations. ---
+SUBPROCESSOR_PATHS = (
+    "/legal/subprocessors", "/subprocessors", "/legal/service-providers", "/sub-processors", "/legal/sub-processors", "/privacy/subprocessors", "/trust/subprocessors", "/security/subprocessors", "/gdpr/subprocessors", "/vendors",
+)
+SUBPROCESSOR_SECTIONS = ("", "/legal", "/privacy", "/trust", "/security", "/gdpr", "/compliance")
+SUBPROCESSOR_PAGES = ("subprocessors", "sub-processors", "subprocessor-list", "service-providers", "third-parties", "vendors")
+TRUST_LABELS = ("trust", "security", "privacy", "legal", "compliance")
+PLACEHOLDER_LABELS = ("example", "test", "domain", "yourdomain", "yoursite", "mysite", "website", "company", "yourcompany", "placeholder", "sample", "localhost", "none", "null", "na", "n/a", "unknown")
+VENDOR_WORDS = (
+    "inc", "llc", "ltd", "corp", "corporation", "gmbh", "company", "technologies", "services", "service", "provides", "provider", "hosting", "hosts", "platform", "analytics", "cloud", "payment", "processing", "processor", "email", "infrastructure", "storage",
+)
+COMMON_WORDS = (
+    "conditions", "prevention", "logging", "support", "services", "compliance", "security", "privacy", "access", "control", "information", "processing", "hosting", "storage", "analytics", "monitoring", "infrastructure", "management", "customer",
+    "customers", "data", "email", "service", "provider", "providers", "vendor", "vendors", "subprocessor", "subprocessors", "purpose", "location", "country", "region", "name", "address", "contact", "terms", "policy", "policies", "legal",
+    "website", "platform", "software", "product", "products", "payment", "payments", "billing", "delivery", "content", "communication", "communications", "development", "engineering", "marketing", "sales", "operations", "authentication",
+    "encryption", "detection", "response", "backup", "recovery", "america", "europe", "asia", "africa", "australia", "romania", "brazil", "india", "japan", "france", "germany", "ireland", "spain", "italy", "canada", "mexico", "china",
+    "singapore", "netherlands", "sweden", "poland", "portugal", "switzerland", "austria", "belgium", "denmark", "finland", "norway", "israel",
+)
+LANGUAGE_CODES = ("ar", "cs", "da", "de", "el", "en", "es", "fi", "fr", "he", "hi", "hu", "id", "it", "ja", "ko", "ms", "nb", "nl", "no", "pl", "pt", "ro", "ru", "sv", "th", "tr", "uk", "vi", "zh")
+STANDARDS = (
+    "iso", "iec", "soc", "soc 2", "soc2", "pci-dss", "pci dss", "gdpr", "hipaa", "nist", "fedramp", "ccpa", "cpra", "ferpa", "owasp", "aicpa", "ssae", "csa star", "cis", "cobit", "itil", "cmmc", "fisma",
+)
+NON_VENDORS = (
+    "salvation army", "red cross", "united nations", "world health organization", "federal trade commission", "ftc", "department of defense", "dod", "european commission", "ieee", "ietf", "w3c", "international organization for standardization",
+    "national institute of standards and technology",
+)
+ROW_MARKERS = (
+    "united states", "united kingdom", "european union", "third party subprocessors", "name of subprocessor", "description of processing", "location of processing", "processing location", "corporate location",
+)
+
+# --- Fixed values: trust centers. Patterns of data that pages embed, with the least length of what they hold. ---
+NEXT_DATA = r"""(?s)<script\s+id="__NEXT_DATA__"[^>]*>(.*?)</script>"""
+JSON_SCRIPT = r"""(?is)<script[^>]*type="application/json"[^>]*>(.*?)</script>"""
+BASE64_BLOBS = (r'''data-[a-z-]+="([A-Za-z0-9+/=]{200,})"''', r'''atob\s*\(\s*["']([A-Za-z0-9+/=]{200,})["']\s*\)''', r'''(?:var|let|const)\s+\w+\s*=\s*["']([A-Za-z0-9+/=]{200,})["']''')
+JS_OBJECTS = r"window\.([A-Z_][A-Z_0-9]*)\s*=\s*(\{[\s\S]{200,}?\})(?:\s*;|\s*<)"
+NO_SLUGS = ("api", "graphql", "trust", "security", "legal", "privacy", "subprocessors")
+SHARED_ORG_KEYS = ("unknown", "n/a", "none", "private", "redacted", "redacted for privacy")

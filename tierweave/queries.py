@@ -15,8 +15,9 @@ from tierweave.functions import domains as D
 from tierweave.functions import fixed_values as V
 from tierweave.functions import orgs as O
 from tierweave.functions import records as RT
-from tierweave.operators import attribution, registry, relations, review, trust, txt, web
-from tierweave.plans import graph
+from tierweave.functions import suffixes
+from tierweave.operators import attribution, registry, relations, review, subprocessors, trust, txt, web
+from tierweave.plans import graph, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -266,56 +267,69 @@ def curated_cascade(spark, sf_dir):
     return attribution.curated(s.select("domain"), tiers, ("base",))
 
 
-TXT = [
-    (1, "v=spf1 include:_spf.google.com include:mail.zendesk.com ~all"), (2, "v=spf1 redirect=_spf.mailgun.org"), (3, "V=SPF1 a:mail.acme.co.uk mx:mx1.example.net exists:%{i}.spf.hubspot.com -all"), (4, "google-site-verification=abc"), (5, "atlassian-domain-verification=xyz"),
-    (6, "v=DMARC1; p=none; rua=mailto:d@rua.agari.com,mailto:x@dmarcian.com; ruf=mailto:f@ruf.agari.com"), (7, "v=DKIM1; k=rsa; p=MIGf; s=mail.vendor.io"), (8, "ZOOM_verify_abc123"), (9, "sendgrid-verification=1"), (10, "nothing to see here"), (11, '"v=spf1 include:sendgrid.net -all"'), (12, ""),
-]
+#: A TXT record for each supplier, of six kinds in turn.
+TXT_SQL = """txt AS (SELECT s_suppkey AS id, s_suppkey % 6 AS kind, CAST(s_suppkey AS VARCHAR) AS k, CASE s_suppkey % 6 WHEN 0 THEN '"v=spf1 include:_spf.s' || s_suppkey || '.com a:mail.t' || s_suppkey || '.co.uk exists:%{i}.spf.u' || s_suppkey || '.com.br ~all"'
+ WHEN 1 THEN 'v=DMARC1; p=none; rua=mailto:d@rua.s' || s_suppkey || '.com,mailto:x@t' || s_suppkey || '.com; ruf=mailto:f@ruf.s' || s_suppkey || '.com' WHEN 2 THEN 'v=DKIM1; k=rsa; p=MIGf; s=mail.s' || s_suppkey || '.io'
+ WHEN 3 THEN 'google-site-verification=tok' || s_suppkey WHEN 4 THEN 'ZOOM_verify_' || s_suppkey ELSE 'nothing to see ' || s_suppkey END AS rdata FROM supplier)"""
 
 
-def txt_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TXT, "id int, rdata string")
+def txt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    cat = lambda *parts: F.concat(*[k if x is None else F.lit(x) for x in parts])
+    kinds = (
+        cat('"v=spf1 include:_spf.s', None, ".com a:mail.t", None, ".co.uk exists:%{i}.spf.u", None, '.com.br ~all"'), cat("v=DMARC1; p=none; rua=mailto:d@rua.s", None, ".com,mailto:x@t", None, ".com; ruf=mailto:f@ruf.s", None, ".com"),
+        cat("v=DKIM1; k=rsa; p=MIGf; s=mail.s", None, ".io"), cat("google-site-verification=tok", None), cat("ZOOM_verify_", None), cat("nothing to see ", None),
+    )
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.get(F.array(*kinds), (F.col("s_suppkey") % 6).cast("int")).alias("rdata"))
 
 
-@query("SELECT id, pattern, p.domain FROM " + values(TXT, "id, rdata") + " JOIN " + values(list(V.VERIFICATION_PATTERNS), "pattern, domain").replace("AS t(", "AS p(") + " ON contains(rdata, pattern)")
+@query(f"WITH {TXT_SQL} SELECT id, pattern, p.domain FROM txt JOIN " + values(list(V.VERIFICATION_PATTERNS), "pattern, domain").replace("AS t(", "AS p(") + " ON contains(rdata, pattern)")
 def verification_contains_join(spark, sf_dir):
-    return txt.verification_join(txt_rows(spark), txt.verification_patterns(spark)).select("id", "pattern", "domain")
+    return txt.verification_join(txt_rows(spark, sf_dir), txt.verification_patterns(spark)).select("id", "pattern", "domain")
 
 
 def _flat(df: DataFrame, found) -> DataFrame:
     return df.select("id", F.explode(found).alias("f")).select("id", F.col("f.domain").alias("domain"), F.col("f.source_type").alias("source_type"))
 
 
-@query("SELECT * FROM " + values([(1, "google.com", "DNS::TXT::SPF"), (1, "zendesk.com", "DNS::TXT::SPF"), (2, "mailgun.org", "DNS::TXT::SPF"), (3, "acme.co.uk", "DNS::TXT::SPF"), (3, "example.net", "DNS::TXT::SPF"), (3, "hubspot.com", "DNS::TXT::SPF"), (11, "sendgrid.net", "DNS::TXT::SPF")], "id, domain, source_type"))
+@query(f"WITH {TXT_SQL} SELECT id, unnest(['s' || k || '.com', 't' || k || '.co.uk', 'u' || k || '.com.br']) AS domain, 'DNS::TXT::SPF' AS source_type FROM txt WHERE kind = 0")
 def txt_spf(spark, sf_dir):
-    return _flat(txt_rows(spark), txt.spf(txt.clean_record(F.col("rdata"))))
+    return _flat(txt_rows(spark, sf_dir), txt.spf(txt.clean_record(F.col("rdata"))))
 
 
-@query("SELECT * FROM " + values([(6, "rua.agari.com", "DNS::TXT::DMARC"), (6, "dmarcian.com", "DNS::TXT::DMARC"), (6, "ruf.agari.com", "DNS::TXT::DMARC")], "id, domain, source_type"))
+@query(f"WITH {TXT_SQL} SELECT id, unnest(['rua.s' || k || '.com', 't' || k || '.com', 'ruf.s' || k || '.com']) AS domain, 'DNS::TXT::DMARC' AS source_type FROM txt WHERE kind = 1")
 def txt_dmarc(spark, sf_dir):
-    return _flat(txt_rows(spark), txt.dmarc(txt.clean_record(F.col("rdata"))))
+    return _flat(txt_rows(spark, sf_dir), txt.dmarc(txt.clean_record(F.col("rdata"))))
 
 
-@query("SELECT * FROM " + values([(7, "mail.vendor.io", "DNS::TXT::DKIM")], "id, domain, source_type"))
+@query(f"WITH {TXT_SQL} SELECT id, 'mail.s' || k || '.io' AS domain, 'DNS::TXT::DKIM' AS source_type FROM txt WHERE kind = 2")
 def txt_dkim(spark, sf_dir):
-    return _flat(txt_rows(spark), txt.dkim(txt.clean_record(F.col("rdata"))))
+    return _flat(txt_rows(spark, sf_dir), txt.dkim(txt.clean_record(F.col("rdata"))))
 
 
-@query("SELECT * FROM " + values([(4, "google.com", "DNS::TXT::VERIFICATION"), (4, "google.com", "DNS::TXT::VERIFICATION"), (5, "atlassian.com", "DNS::TXT::VERIFICATION"), (5, "atlassian.com", "DNS::TXT::VERIFICATION"), (8, "zoom.us", "DNS::TXT::VERIFICATION"), (8, "zoom.us", "DNS::TXT::VERIFICATION"), (9, "sendgrid.com", "DNS::TXT::VERIFICATION")], "id, domain, source_type"))
+@query(f"WITH {TXT_SQL} SELECT id, unnest([d, d]) AS domain, 'DNS::TXT::VERIFICATION' AS source_type FROM (SELECT id, CASE kind WHEN 3 THEN 'google.com' ELSE 'zoom.us' END AS d FROM txt WHERE kind IN (3, 4))")
 def txt_verification(spark, sf_dir):
-    return _flat(txt_rows(spark), txt.verification(txt.clean_record(F.col("rdata"))))
+    return _flat(txt_rows(spark, sf_dir), txt.verification(txt.clean_record(F.col("rdata"))))
 
 
-@query("SELECT * FROM " + values([(10, "nothing to see here")], "id, rdata"))
+@query(f"WITH {TXT_SQL} SELECT id, rdata FROM txt WHERE kind = 5")
 def txt_unmatched(spark, sf_dir):
-    return txt.unmatched_txt(txt_rows(spark)).select("id", "rdata")
+    return txt.unmatched_txt(txt_rows(spark, sf_dir)).select("id", "rdata")
 
 
-CT = [("acme.com", 0, 11, "www.acme.com", "www.acme.com\n*.vendor.io\ncdn.cloudflare.com"), ("acme.com", 1, 12, "api.vendor.io", "api.partner.co.uk"), ("beta.org", 0, 13, "", "beta.org\nshop.seller.net"), ("beta.org", 1, 14, "notgodaddy.com", "")]
+@query(f"""WITH {TXT_SQL} SELECT id, domain, source_type, rdata AS raw_record FROM (SELECT id, rdata, unnest(CASE kind WHEN 0 THEN ['s' || k || '.com', 't' || k || '.co.uk', 'u' || k || '.com.br'] WHEN 1 THEN ['rua.s' || k || '.com', 't' || k || '.com', 'ruf.s' || k || '.com']
+ WHEN 2 THEN ['mail.s' || k || '.io'] WHEN 3 THEN ['google.com'] WHEN 4 THEN ['zoom.us'] ELSE [] END) AS domain, CASE kind WHEN 0 THEN 'DNS::TXT::SPF' WHEN 1 THEN 'DNS::TXT::DMARC' WHEN 2 THEN 'DNS::TXT::DKIM' ELSE 'DNS::TXT::VERIFICATION' END AS source_type FROM txt)""")
+def txt_extract(spark, sf_dir):
+    return txt.extract_txt(txt_rows(spark, sf_dir)).select("id", "domain", "source_type", "raw_record")
 
 
-@query("SELECT * FROM " + values([("acme.com", "vendor.io", "Certificate 11: vendor.io"), ("acme.com", "partner.co.uk", "Certificate 12: api.partner.co.uk"), ("beta.org", "seller.net", "Certificate 13: shop.seller.net")], "query_domain, vendor_domain, evidence"))
+@query("""SELECT 'n' || s_nationkey || '.com' AS query_domain, 'v' || (s_suppkey % 50) || '.co.uk' AS vendor_domain, 'Certificate ' || min(s_suppkey) || ': api.v' || (s_suppkey % 50) || '.co.uk' AS evidence FROM supplier GROUP BY s_nationkey, s_suppkey % 50""")
 def ct_san_explode(spark, sf_dir):
-    return registry.certificate_vendors(spark.createDataFrame(CT, "query_domain string, ordinal int, id long, common_name string, name_value string"))
+    own = table(spark, sf_dir, "supplier")
+    nation = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".com"))
+    vendor = F.concat(F.lit("*.api.v"), (F.col("s_suppkey") % 50).cast("string"), F.lit(".co.uk"))
+    names = F.concat(nation, F.lit("\ncdn.cloudflare.com\n"), vendor)
+    return registry.certificate_vendors(own.select(nation.alias("query_domain"), F.col("s_suppkey").alias("ordinal"), F.col("s_suppkey").alias("id"), F.concat(F.lit("www."), nation).alias("common_name"), names.alias("name_value")))
 
 
 PROBES = [("p1", 200, "Welcome to ACME workspace", "https://a"), ("p2", 200, "No such team", "https://b"), ("p3", 404, "gone", "https://c"), ("p4", 302, "moved", "https://d"), ("p5", 200, "hello", "https://e")]
@@ -372,27 +386,28 @@ def rel_by_category(spark, sf_dir):
     return RT.with_record_type(rel(spark, sf_dir)).groupBy("category").agg(F.max("priority").alias("priority"), F.count("*").alias("n"))
 
 
-@query("SELECT * FROM " + values([("Acme Inc.", "Acme"), ("The WIDGET COMPANY, LLC", "Widget Company"), ("acme.com", "Acme"), ("johnson & johnson", "Johnson and Johnson"), ("IBM CORP", "IBM"), ("Foo Pty Ltd", "Foo"), ("bank of america", "Bank of America"), ("coca-cola gmbh", "Coca-Cola"), ("", "")], "name, normalized"))
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS normalized FROM part""")
 def org_normalize(spark, sf_dir):
-    names = ["Acme Inc.", "The WIDGET COMPANY, LLC", "acme.com", "johnson & johnson", "IBM CORP", "Foo Pty Ltd", "bank of america", "coca-cola gmbh", ""]
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", O.normalize(F.col("name")).alias("normalized"))
+    """Part names, with legal forms after two of three."""
+    form = F.get(F.array(*map(F.lit, ("", " Inc.", ", LLC"))), (F.col("p_partkey") % 3).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", O.normalize(F.concat("p_name", form)).alias("normalized"))
 
 
-@query("SELECT * FROM " + values([("GoDaddy.com, LLC", "acme.com", "registrar"), ("GoDaddy.com, LLC", "godaddy.com", "valid"), ("Domains By Proxy", "acme.com", "privacy"), ("Government of Canada", "acme.com", "registry"), ("Government of Canada", "x.gc.ca", "valid"), ("Acme Widgets", "acme.com", "valid"), ("Data Redacted", "acme.com", "privacy"), ("n/a", "acme.com", "privacy")], "org, domain, role"))
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'privacy' WHEN 2 THEN CASE WHEN s_suppkey % 8 = 2 THEN 'valid' ELSE 'registrar' END WHEN 3 THEN 'registry' ELSE 'valid' END AS role FROM supplier")
 def org_roles(spark, sf_dir):
-    rows = [("GoDaddy.com, LLC", "acme.com"), ("GoDaddy.com, LLC", "godaddy.com"), ("Domains By Proxy", "acme.com"), ("Government of Canada", "acme.com"), ("Government of Canada", "x.gc.ca"), ("Acme Widgets", "acme.com"), ("Data Redacted", "acme.com"), ("n/a", "acme.com")]
-    return spark.createDataFrame(rows, "org string, domain string").select("org", "domain", O.role(F.col("org"), F.col("domain")).alias("role"))
-
-
-CAPTURES = [
-    ("p1", 0, "https://x/a", '{"data": {"subprocessors": [{"name": "Amazon", "url": "https://aws.amazon.com", "purpose": "hosting"}, {"name": "Stripe", "url": "stripe.com"}, {"name": "Zendesk", "url": "https://www.zendesk.com/x"}]}}'),
-    ("p1", 1, "https://x/b", '{"rows": [{"id": 1}, {"id": 2}, {"id": 3}]}'), ("p2", 0, "https://y", "not json"),
-]
+    k = F.col("s_suppkey")
+    org = F.when(k % 4 == 0, "Registration Private").when(k % 4 == 2, "GoDaddy.com, LLC").when(k % 4 == 3, F.concat(F.lit("Government of Region "), k.cast("string"))).otherwise(F.concat(F.lit("Vendor "), k.cast("string")))
+    domain = F.when(k % 8 == 2, "godaddy.com").otherwise(F.concat(F.lit("s"), k.cast("string"), F.lit(".com")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", O.role(org, domain).alias("role"))
 
 
-@query("SELECT * FROM " + values([("p1", "aws.amazon.com", "Amazon", "Amazon"), ("p1", "stripe.com", "Stripe", "Stripe"), ("p1", "zendesk.com", "Zendesk", "Zendesk")], "page_url, domain, name, evidence"))
+@query("""SELECT 'https://n' || s_nationkey || '.com/' AS page_url, 's' || s_suppkey || '.com' AS domain, s_name AS name, s_name || ' | hosting' AS evidence FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) >= 3)""")
 def json_subprocessors(spark, sf_dir):
-    return trust.subprocessors(trust.entity_arrays(spark.createDataFrame(CAPTURES, "page_url string, ordinal int, url string, body string")))
+    """Each nation's suppliers as a captured response, seven objects deep."""
+    item = F.struct(F.col("s_name").alias("name"), F.concat(F.lit("https://www.s"), "s_suppkey", F.lit(".com/x")).alias("url"), F.lit("hosting").alias("purpose"))
+    lists = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(item)).alias("j"))
+    body = F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":{"data":{"subprocessors":'), "j", F.lit("}}}}}}}"))
+    return trust.subprocessors(trust.entity_arrays(lists.select(F.concat(F.lit("https://n"), "s_nationkey", F.lit(".com/")).alias("page_url"), F.lit(0).alias("ordinal"), body.alias("body"))))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -400,15 +415,97 @@ def event_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-PAGES = [
-    ("https://a.com/", "a.com", """<script src="https://cdn.stripe.com/v3.js"></script><link href="https://facebook.com/x"><img src="https://facebook.com/p.png"><a href='https://www.w3.org/x'>x</a><iframe src="https://player.vimeo.com/1"></iframe>"""),
-    ("https://b.org/", "b.org", """<img src="https://pixel.facebook.net/p.gif"><script src="https://b.org/own.js"></script>"""),
-]
-
-
-@query("SELECT * FROM " + values([("https://a.com/", "stripe.com", "HTML script src reference: https://cdn.stripe.com/v3.js"), ("https://a.com/", "vimeo.com", "HTML iframe src reference: https://player.vimeo.com/1"), ("https://b.org/", "facebook.net", "HTML img src reference: https://pixel.facebook.net/p.gif")], "page_url, vendor_domain, evidence"))
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '([^.]+[.][^.]+)$', 1) AS base FROM pages)
+ SELECT a.url AS page_url, b.base AS vendor_domain, 'HTML img src reference: ' || b.url AS evidence FROM p a JOIN p b ON b.page_id = a.page_id + 1 WHERE a.base <> b.base""")
 def page_resources(spark, sf_dir):
-    return web.page_resources(spark.createDataFrame(PAGES, "url string, target string, html string")).select("page_url", "vendor_domain", "evidence")
+    """Every page, with a picture from the page after it."""
+    p = table(spark, sf_dir, "pages")
+    after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("_next"))
+    own = p.join(after, "page_id").withColumn("html", F.concat("html", F.lit('<img src="'), "_next", F.lit('">'))).withColumn("target", D.base_domain(D.host_of(F.col("url"))))
+    return web.page_resources(own).select("page_url", "vendor_domain", "evidence")
+
+
+HOSTS = (
+    "acme.com", "www.acme.com", "acme.co.uk", "a.b.acme.co.uk", "co.uk", "acme.gov.pl", "foo.com.pl", "www.foo.com.co", "a.b.com.gh", "acme.photography", "shop.acme.ninja", "acme.games", "hotel.paris", "acme.guru", "acme.technology", "acme.education", "calculator.aws", "blog.google",
+    "x.y.ck", "a.x.y.ck", "www.ck", "a.www.ck", "x.city.kawasaki.jp", "a.b.kawasaki.jp", "a.ayabe.kyoto.jp", "ayabe.kyoto.jp", "kyoto.jp", "foo.ac.jp", "s3.amazonaws.com", "d1.cloudfront.net", "x.github.io", "acme.dev", "acme.app", "a.acme.io", "acme.de", "www.acme.com.au",
+    "acme.com.br", "sub.acme.com.sg", "acme.org.nz", "acme.co.za", "acme.co.in", "acme.com.mx", "acme.com.tr", "acme.eu", "acme.fr", "acme.asso.fr", "acme.ca", "x.gc.ca", "acme.info", "acme.biz", "acme.museum", "acme.cloud", "acme.xyz", "a.acme.shop", "acme.tokyo", "acme.berlin",
+    "telemetry.eu-central-1", "a.b.internalzone", "cluster.local", "x.acme.co.il", "acme.com.vn",
+)
+
+
+def _registrable_sql() -> str:
+    """By the rules themselves: of those that fit a host an exception counts first, then the longest."""
+    some = [r for r in sorted(suffixes.rules()) if any(h == (bare := r.lstrip("*!.")) or h.endswith("." + bare) for h in HOSTS)]
+    return f"""WITH hosts AS (SELECT * FROM {values([(h,) for h in HOSTS], "host")}), rules AS (SELECT rule, CASE left(rule, 1) WHEN '*' THEN 1 WHEN '!' THEN -1 ELSE 0 END AS more, CASE left(rule, 1) WHEN '*' THEN rule[3:] WHEN '!' THEN rule[2:] ELSE rule END AS bare FROM {values([(r,) for r in some], "rule")}),
+ fit AS (SELECT host, len(string_split(bare, '.')) + more AS n, more FROM hosts JOIN rules ON (host = bare OR ends_with(host, '.' || bare)) AND len(string_split(host, '.')) >= len(string_split(bare, '.')) + more),
+ best AS (SELECT host, CASE WHEN min(more) < 0 THEN min(n) FILTER (more < 0) ELSE max(n) END AS n FROM fit GROUP BY 1),
+ l AS (SELECT host, string_split(host, '.') AS x, coalesce(n, 0) AS n FROM hosts LEFT JOIN best USING (host))
+ SELECT host, CASE WHEN n = 0 THEN NULL ELSE array_to_string(x[-n:], '.') END AS suffix, CASE WHEN n = len(x) THEN host WHEN n = 0 THEN array_to_string(x[-2:], '.') ELSE array_to_string(x[-(n + 1):], '.') END AS base_domain FROM l"""
+
+
+@query(_registrable_sql())
+def page_registrable(spark, sf_dir):
+    """Hosts below suffixes of every kind."""
+    return spark.createDataFrame([(h,) for h in HOSTS], "host string").select("host", D.registry_suffix(F.col("host")).alias("suffix"), D.base_domain(F.col("host")).alias("base_domain"))
+
+
+@query("""SELECT p_partkey, word, length(regexp_replace(word, '[^aeiouy]', '', 'g')) = 0 AND length(word) >= 5 OR length(word) >= 8 AND length(regexp_replace(word, '[^aeiouy]', '', 'g')) / length(word) < 0.15 AS garbled, length(word) <= 2 AS false_positive, length(word) BETWEEN 3 AND 80 AS valid
+ FROM (SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN p_name ELSE regexp_replace(p_name, '[aeiouy]', '', 'g') END AS name FROM part) t, (SELECT unnest(string_split(name, ' ')) AS word) WHERE word <> ''""")
+def subprocessor_words(spark, sf_dir):
+    """The words of part names, every other part's without vowels."""
+    name = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.regexp_replace("p_name", "[aeiouy]", ""))
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(name, " ")).alias("word")).where("word <> ''")
+    w = F.col("word")
+    return words.select("p_partkey", "word", subprocessors.is_garbled(w).alias("garbled"), subprocessors.is_false_positive(w).alias("false_positive"), subprocessors.is_valid_org_name(w).alias("valid"))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 6 WHEN 1 THEN 'known' || s_suppkey || '.com' ELSE 'vendor' || s_suppkey || '.co.uk' END AS domain FROM supplier WHERE s_suppkey % 6 IN (0, 1)""")
+def subprocessor_filter(spark, sf_dir):
+    """Six kinds of finds, of which domains and known organizations stay."""
+    k = F.col("s_suppkey").cast("string")
+    kinds = F.array(F.concat(F.lit("vendor"), k, F.lit(".co.uk")), F.concat(F.lit("_org:Vendor "), k, F.lit(", Inc.")), F.concat(F.lit("_org:Unheard Of "), k, F.lit(" Ltd")), F.concat(F.lit("il mj"), k, F.lit(".com")), F.lit("co.uk"), F.lit("ksbpw.com"))
+    s = table(spark, sf_dir, "supplier")
+    known = s.where("s_suppkey % 6 = 1").select(F.concat(F.lit("vendor "), k, F.lit(" LLC")).alias("organization"), F.concat(F.lit("known"), k, F.lit(".com")).alias("domain"))
+    return subprocessors.filter_results(s.select("s_suppkey", F.get(kinds, (F.col("s_suppkey") % 6).cast("int")).alias("domain")), known)
+
+
+@query("""SELECT s_suppkey, len(l) AS n, l[1] AS first FROM (SELECT s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN ['https://trust.s' || s_suppkey || '.com/subprocessors'] ELSE ['https://s' || s_suppkey || '.com/legal/subprocessors'] END AS l, FROM supplier)""".replace("len(l) AS n, ", ""))
+def subprocessor_urls(spark, sf_dir):
+    """The first address of each supplier's list; every other one is a trust center's own name."""
+    name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "trust.s").otherwise("s"), F.col("s_suppkey").cast("string"), F.lit(".com"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("domain"))
+    return subprocessors.page_urls(s).join(s, "domain").groupBy("s_suppkey").agg(F.min_by("url", "ord").alias("first"))
+
+
+@query("""WITH facts AS (SELECT 'nation' || n_nationkey || '.org' AS t, 'region' || n_regionkey || '.com' AS d, 'DNS::TXT::SPF' AS k, 'v=spf1 include:_spf.region' || n_regionkey || '.com ~all' AS r FROM nation UNION ALL
+ SELECT 'nation' || s_nationkey || '.org', 'supplier' || s_suppkey || '.net', 'DISCOVERY::CT_LOG', 'Certificate ' || s_suppkey || ': www.supplier' || s_suppkey || '.net' FROM supplier UNION ALL
+ SELECT 'region' || r_regionkey || '.com', 'tenants.io', 'DISCOVERY::SAAS_TENANT', 'Tenant URL: https://region' || r_regionkey || '.tenants.io (Confirmed) | workspace' FROM region UNION ALL
+ SELECT 'supplier' || s_suppkey || '.net', 'amazonaws.com', 'HTTP::SUBPROCESSOR', 'hosting' FROM supplier UNION ALL SELECT 'supplier' || s_suppkey || '.net', 'pixel' || (s_suppkey % 7) || '.io', 'DISCOVERY::WEBPAGE_SOURCE', 'HTML script src reference: https://cdn.pixel' || (s_suppkey % 7) || '.io/x.js' FROM supplier),
+ names AS (SELECT 'nation' || n_nationkey || '.org' AS d, n_name AS o FROM nation UNION ALL SELECT 'region' || r_regionkey || '.com', r_name FROM region)
+ SELECT root, customer, vendor, layer, k AS kind, coalesce(v.o, vendor) AS vendor_organization, coalesce(c.o, customer) AS customer_organization, r AS evidence FROM (
+ SELECT 'nation' || n_nationkey || '.org' AS root, t AS customer, facts.d AS vendor, 1 AS layer, k, r FROM nation JOIN facts ON t = 'nation' || n_nationkey || '.org' UNION ALL
+ SELECT a.t, b.t, b.d, 2, b.k, b.r FROM facts a JOIN facts b ON b.t = a.d WHERE a.t LIKE 'nation%') LEFT JOIN names v ON v.d = vendor LEFT JOIN names c ON c.d = customer""")
+def scan_report(spark, sf_dir):
+    """A scan of every nation: records name its region, certificates its suppliers, and these have tenants, subprocessors and pages of their own."""
+    t = lambda n: table(spark, sf_dir, n)
+    nation = lambda c: F.concat(F.lit("nation"), c, F.lit(".org"))
+    region = lambda c: F.concat(F.lit("region"), c, F.lit(".com"))
+    supplier = F.concat(F.lit("supplier"), "s_suppkey", F.lit(".net"))
+    answers = t("nation").select(nation("n_nationkey").alias("name"), F.concat(F.lit("v=spf1 include:_spf."), region("n_regionkey"), F.lit(" ~all")).alias("rdata"))
+    entries = t("supplier").select(nation("s_nationkey").alias("query_domain"), F.col("s_suppkey").alias("ordinal"), F.col("s_suppkey").alias("id"), F.lit("").alias("common_name"), F.concat(F.lit("www."), supplier).alias("name_value"))
+    url = F.concat(F.lit("https://region"), "r_regionkey", F.lit(".tenants.io"))
+    status = F.explode(F.array(F.lit("Confirmed"), F.lit("Unknown")))
+    tenants = t("region").select(region("r_regionkey").alias("domain"), F.lit("tenants.io").alias("vendor_domain"), F.lit("Tenants").alias("platform"), url.alias("url"), status.alias("status"), F.lit("workspace").alias("evidence"))
+    found = t("supplier").select(supplier.alias("target"), F.explode(F.array(F.lit("amazonaws.com"), F.lit("_org:Nobody Knows Ltd"))).alias("domain"), F.lit("hosting").alias("evidence"))
+    html = F.concat(F.lit('<script src="https://cdn.pixel'), F.col("s_suppkey") % 7, F.lit('.io/x.js"></script>'))
+    pages = t("supplier").select(F.concat(F.lit("https://www."), supplier, F.lit("/")).alias("url"), html.alias("html"))
+    facts = scan.unite(scan.from_txt(answers), scan.from_certificates(entries), scan.from_tenants(tenants), scan.from_subprocessors(found), scan.from_web(pages))
+    names = t("nation").select(nation("n_nationkey").alias("domain"), F.col("n_name").alias("organization")).unionByName(t("region").select(region("r_regionkey").alias("domain"), F.col("r_name").alias("organization")))
+    done = scan.report(t("nation").select(nation("n_nationkey").alias("root")), facts, names)
+    return done.select(
+        F.col("root_customer_domain").alias("root"), F.col("nth_party_customer_domain").alias("customer"), F.col("nth_party_domain").alias("vendor"), F.col("nth_party_layer").alias("layer"), F.col("nth_party_record_type").alias("kind"),
+        F.col("nth_party_organization").alias("vendor_organization"), F.col("nth_party_customer_organization").alias("customer_organization"), "evidence",
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
