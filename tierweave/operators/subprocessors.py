@@ -50,13 +50,13 @@ def is_garbled(c: Column) -> Column:
 
 
 def is_valid_vendor_domain(c: Column) -> Column:
-    """A host below a listed suffix whose own label has three characters or more and is no placeholder."""
+    """A host below a listed suffix whose own label has three characters or more, and that is no placeholder for a domain."""
+    placeholders = [f"{x}.{y}" for x in V.PLACEHOLDER_LABELS for y in ("com", "net", "org")]
 
     def of(name: Column) -> Column:
-        label = lambda labels, n: F.try_element_at(labels, -(n + 1))
-        good = lambda x: F.coalesce((F.length(x) >= 3) & ~x.isin(*V.PLACEHOLDER_LABELS), F.lit(False))
-        plain = name.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$")
-        return plain & let(F.split(name, r"\."), lambda labels: let(suffix_labels(labels), lambda n: (n > 0) & good(label(labels, n))))
+        last = lambda labels, n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n, F.lit(1)), n + 1), ".")
+        good = lambda base: (F.instr(base, ".") > 3) & ~base.isin(*placeholders)
+        return name.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$") & let(F.split(name, r"\."), lambda labels: let(suffix_labels(labels), lambda n: (n > 0) & (F.size(labels) > n) & good(last(labels, n))))
 
     return F.coalesce(let(F.lower(F.trim(c)), of), F.lit(False))
 
