@@ -51,9 +51,15 @@ def test_batches_share_one_table_of_words(spark, monkeypatch):
     assert {(r.doc_id, r.ids_sha256) for r in bpe.encode_documents(docs(spark, texts), with_ids=False, batch_bytes=8).collect()} == whole
     lib = library(vocabulary("byte_bpe_50k.json"))
     assert all((i, hashlib.sha256(np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) in whole for i, t in enumerate(texts))
-    rows = bpe.distinct_words(docs(spark, texts), 8).where("k >= 0")
-    coded = bpe.encode_words(rows, vocabulary("byte_bpe_50k.json")).collect()
-    assert len(coded) == rows.count() > rows.select("word").distinct().count()
+    rows = bpe.distinct_words(docs(spark, texts), 3, 8).where("bucket >= 0").collect()
+    words = [w for r in rows for w in _words(r.data)]
+    assert len(words) > len(set(words)) and set(words) == {w.encode() for t in [*texts, "no id", "again"] if t for w in bpe.cuts(t)}
+
+
+def _words(data):
+    lens, raw = bpe._unpacked(data)
+    ends = np.cumsum(lens)
+    return [raw[e - n : e] for n, e in zip(lens.tolist(), ends.tolist(), strict=True)]
 
 
 def test_words_of_another_reading_are_refused(spark, tmp_path):
@@ -62,11 +68,11 @@ def test_words_of_another_reading_are_refused(spark, tmp_path):
     folder = f"file://{tmp_path}"
     own = spark.createDataFrame([(1, "a b c")], "doc_id long, text string").coalesce(1)
     path = vocabulary("byte_bpe_50k.json")
-    assert bpe.store_batches(bpe.encode_words(bpe.distinct_words(own), path), folder) == 1
-    number = int(bpe.distinct_words(own).first().batch)
-    assert len(bpe.read_batch(folder, number, bpe.batch_words(pa.array(["a b c"]))[2])[2]) == 3
+    assert bpe.store_batches(bpe.encode_words(bpe.distinct_words(own, 8), path), folder) == 1
+    number = int(bpe.distinct_words(own, 8).first().batch)
+    assert len(bpe.read_batch(folder, number, bpe.batch_words(pa.array(["a b c"]))[2], 8)[2]) == 3
     with pytest.raises(ValueError):
-        bpe.read_batch(folder, number, bpe.batch_words(pa.array(["a b d"]))[2])
+        bpe.read_batch(folder, number, bpe.batch_words(pa.array(["a b d"]))[2], 8)
 
 
 def test_prefix_counts_equal_every_encoding(spark):

@@ -1,12 +1,13 @@
 """Byte-level BPE by a distinct-word table, and decoding through an id-to-piece table.
 
 Texts are split into words (cuts that no merge crosses) in batches of about ``batch_bytes`` of text. Each batch gives its
-different words with a number each. Shuffled by word, every different word of the corpus is encoded once, and its ids
+different words, packed by a hash of the word into buckets. Shuffled by bucket, every different word of the corpus is encoded once, and its ids
 go back to all batches that hold it, to a file per batch in the shared folder. A document's ids are then its words' ids, joined by
 their position in the batch's table; its decoded text is its ids joined with the pieces, a table as long as the vocabulary.
 
-What is shuffled is a row for each different word of a batch, not for each position: frequent words, which make up most of
-a text, travel once a batch. A word's rows are as many as the batches, so none makes a task hot.
+What is shuffled is each different word of a batch, not each position: frequent words, which make up most of
+a text, travel once a batch. So no word makes a task hot. Buckets are four times the shuffle partitions, so that
+a bucket's different words, which one task holds at a time, are a fraction of what a partition holds.
 
 Texts are read twice. Files give the same rows in the same order each time; where the second reading
 differs, a check sum of each batch's words makes the job fail rather than give wrong ids.
@@ -27,8 +28,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,14 +42,19 @@ from tierweave.llm.storage import system
 from tierweave.llm.words import byte_alphabet, cuts, gather, slices, table, vocabulary
 
 #: Bytes of text whose words share a table.
-BATCH = 16 << 20
+BATCH = 48 << 20
 
 
 def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """``offsets, numbers, words``: the different words of a batch in the order they come, and text i's as numbers[offsets[i]:offsets[i + 1]]."""
-    cut_ = [cuts(t) for t in texts.to_pylist()]
-    coded = pa.array([w for ws in cut_ for w in ws], pa.large_string()).dictionary_encode()
-    return np.cumsum([0, *map(len, cut_)]), coded.indices.to_numpy(), coded.dictionary
+    counts, parts = [0], [pa.array([], pa.large_string())]
+    for low, high in slices(texts):  # words as Python texts are made for a part of the batch at a time
+        own = [cuts(t) for t in texts.slice(low, high - low).to_pylist()]
+        counts += map(len, own)
+        parts.append(pa.array([w for ws in own for w in ws], pa.large_string()))
+    coded = pa.chunked_array(parts).dictionary_encode().unify_dictionaries().chunks
+    numbers = np.concatenate([np.empty(0, np.int32), *(x.indices.to_numpy() for x in coded)])
+    return np.cumsum(counts), numbers, coded[-1].dictionary if coded else pa.array([], pa.large_string())
 
 
 def _mark(words: pa.Array) -> str:
@@ -66,36 +74,67 @@ def _batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int
             number += 1
 
 
-def distinct_words(docs: DataFrame, batch_bytes: int = BATCH) -> DataFrame:
-    """``batch, k, word``: the different words of each batch of texts, numbered; number -1 has the batch's check sum."""
+def bucket_order(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """``order, edges``: the batch's words sorted by bucket, bucket b's from edges[b] to edges[b + 1]."""
+    own = (pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False) % np.uint64(buckets)).astype(np.int64) if len(words) else np.empty(0, np.int64)
+    return np.argsort(own, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(own, minlength=buckets))))
+
+
+def _packed(lens: np.ndarray, data: bytes) -> bytes:
+    return zstandard.compress(struct.pack("<I", len(lens)) + lens.astype("<u4").tobytes() + data, 3)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, bytes]:
+    data = zstandard.decompress(packed)
+    (n,) = struct.unpack_from("<I", data)
+    return np.frombuffer(data, "<u4", n, 4).astype(np.int64), data[4 + 4 * n :]
+
+
+def distinct_words(docs: DataFrame, buckets: int, batch_bytes: int = BATCH) -> DataFrame:
+    """``batch, bucket, data``: the different words of each batch of texts, packed by bucket; bucket -1 has the batch's check sum."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, b in _batches(batches, batch_bytes):
             words = batch_words(b.column(1))[2]
-            for i in range(0, len(words), 20_000):
-                own = words.slice(i, 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number)), pa.array(np.arange(i, i + len(own)), pa.int32()), own.cast(pa.string())], ["batch", "k", "word"])
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([_mark(words)])], ["batch", "k", "word"])
+            order, edges = bucket_order(words, buckets)
+            some = np.flatnonzero(np.diff(edges))
+            raw = words.take(pa.array(order)).cast(pa.binary() if words.nbytes < 1 << 31 else pa.large_binary())
+            data = [_mark(words).encode()]
+            for low, high in zip(edges[some].tolist(), edges[some + 1].tolist(), strict=True):
+                own = raw.slice(low, high - low)
+                data.append(_packed(pc.binary_length(own).to_numpy(), b"".join(own.to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), number)), pa.array(np.concatenate(([-1], some)), pa.int32()), pa.array(data, pa.binary())], ["batch", "bucket", "data"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "batch long, k int, word string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "batch long, bucket int, data binary")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``batch, k, ids`` (little-endian u32 numbers): rows of one word lie together, so each different word is encoded once."""
+    """``batch, bucket, data`` with the words' ids in their place: a bucket's rows lie together, so each different word is encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = table(path), ("", b"")
+        own, now, known = table(path), None, {}
         for b in batches:
-            coded = b.column(2).dictionary_encode()
-            ids = []
-            for w in coded.dictionary.to_pylist():
-                ids.append(last[1] if w == last[0] else np.array(own.ids(w), "<u4").tobytes())
-                last = w, ids[-1]
-            out = pa.array(ids, pa.binary()).take(coded.indices)
-            marks = pc.less(b.column(1), 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.if_else(marks, b.column(2).cast(pa.binary()), out)], ["batch", "k", "ids"])
+            out = []
+            for bucket, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                    own.clear()
+                if bucket < 0:
+                    out.append(data)
+                    continue
+                lens, raw = _unpacked(data)
+                ids = []
+                at = 0
+                for n in lens.tolist():
+                    w = raw[at : at + n]
+                    at += n
+                    if (got := known.get(w)) is None:
+                        got = known[w] = np.array(own.ids(w.decode()), "<u4").tobytes()
+                    ids.append(got)
+                out.append(_packed(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, b"".join(ids)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["batch", "bucket", "data"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "batch long, k int, ids binary")
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode, "batch long, bucket int, data binary")
 
 
 def _place(folder: str, number: int) -> str:
@@ -117,18 +156,13 @@ def store_batches(encoded: DataFrame, folder: str) -> int:
             nonlocal done
             if not parts:
                 return
-            whole = pa.Table.from_batches(parts).combine_chunks()
-            number, ids = whole["batch"][0].as_py(), whole["ids"].slice(1).combine_chunks()
-            data = ids.buffers()[2] if len(ids) else None
-            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+            whole = pa.Table.from_batches(parts)
+            number, data = whole["batch"][0].as_py(), whole["data"].to_pylist()
             path = _place(base, number)
             filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
             attempt = f"{path}-{uuid.uuid4().hex}"
             with filesystem.open_output_stream(attempt) as f:
-                mark = whole["ids"][0].as_py()
-                f.write(struct.pack("<II", len(mark), len(ids)) + mark + (np.diff(ends) // 4).astype("<u4").tobytes())
-                if data is not None:
-                    f.write(memoryview(data)[int(ends[0]) : int(ends[-1])])
+                f.write(struct.pack("<I", len(data)) + np.array(list(map(len, data)), "<u4").tobytes() + b"".join(data))
             try:
                 filesystem.move(attempt, path)
             except OSError:  # another attempt was faster, on file systems that do not replace
@@ -150,19 +184,25 @@ def store_batches(encoded: DataFrame, folder: str) -> int:
         flush()
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
 
-    return encoded.repartition("batch").sortWithinPartitions("batch", "k").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    return encoded.repartition("batch").sortWithinPartitions("batch", "bucket").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def read_batch(folder: str, number: int, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_batch(folder: str, number: int, words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``lens, starts, ids`` of a batch's words. Fails if the file is of other words."""
     filesystem, base = system(folder)
     with filesystem.open_input_file(_place(base, number)) as f:
-        data = f.read()
-    size, n = struct.unpack_from("<II", data)
-    if data[8 : 8 + size] != _mark(words).encode():
+        raw = f.read()
+    (n,) = struct.unpack_from("<I", raw)
+    ends = 4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)
+    data = [raw[s:e] for s, e in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    if data[0] != _mark(words).encode():
         raise ValueError("the documents were not read twice in the same order: write them to a table first")
-    lens = np.frombuffer(data, "<u4", n, 8 + size).astype(np.int64)
-    return lens, np.cumsum(lens) - lens, np.frombuffer(data, "<u4", offset=8 + size + 4 * n).astype(np.int32)
+    parts = list(map(_unpacked, data[1:]))
+    sorted_lens = np.concatenate([np.empty(0, np.int64), *(x for x, _ in parts)])
+    order, _ = bucket_order(words, buckets)
+    lens, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    lens[order], starts[order] = sorted_lens, np.cumsum(sorted_lens) - sorted_lens
+    return lens, starts, np.frombuffer(b"".join(x for _, x in parts), "<u4").astype(np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -193,13 +233,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     path = path or vocabulary("byte_bpe_50k.json")
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     folder = new_folder(docs.sparkSession, "bpe-batches")
-    store_batches(encode_words(distinct_words(own, batch_bytes), path), folder)
+    buckets = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    store_batches(encode_words(distinct_words(own, buckets, batch_bytes), path), folder)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, b in _batches(batches, batch_bytes):
             word_at, numbers, words = batch_words(b.column(1))
-            stored = read_batch(folder, number, words)
+            stored = read_batch(folder, number, words, buckets)
             del words
             for low in range(0, b.num_rows, 1000):
                 high = min(low + 1000, b.num_rows)
