@@ -101,13 +101,11 @@ def filter_results(found: DataFrame, known: DataFrame | None = None) -> DataFram
     listed suffix, common words or garbled go.
     """
     columns = found.columns
-    org = F.regexp_extract("domain", "^_org:(.*)$", 1)
-    rows = found.withColumn("_key", F.when(F.col("domain").startswith("_org:"), F.lower(O.normalize(org))))
+    rows = found.withColumn("_known", F.lit(None).cast("string"))
     if known is not None:
+        org = F.regexp_extract("domain", "^_org:(.*)$", 1)
         own = known.groupBy(F.lower(O.normalize(F.col("organization"))).alias("_key")).agg(F.min("domain").alias("_known"))
-        rows = rows.join(own, "_key", "left")
-    else:
-        rows = rows.withColumn("_known", F.lit(None).cast("string"))
+        rows = found.withColumn("_key", F.when(F.col("domain").startswith("_org:"), F.lower(O.normalize(org)))).join(own, "_key", "left")
     rows = rows.withColumn("domain", F.lower(F.coalesce("_known", F.regexp_replace("domain", "^_org:", ""))))
 
     def keep(name: Column) -> Column:

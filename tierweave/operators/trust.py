@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierweave.functions import domains as D
+from tierweave.functions.binding import let
 
 # --- Fixed values: field names by meaning, in their order, and path words. ---
 NAME_FIELDS = ("name", "companyName", "company_name", "vendor_name", "vendorName", "organization", "entity", "entityName", "entity_name", "company.name")
@@ -60,30 +61,41 @@ def entity_arrays(captures: DataFrame) -> DataFrame:
     return own.where(F.contains("body", F.lit("["))).mapInArrow(walk, "page_url string, ordinal long, path string, items array<string>")
 
 
+ITEM = ", ".join(f"{f} string" for f in dict.fromkeys((*NAME_FIELDS, *URL_FIELDS, *PURPOSE_FIELDS, *LOCATION_FIELDS)) if "." not in f) + ", company struct<name: string, domain: string>"
+
+
+def _read(items: Column) -> Column:
+    """Members as structs of the fields that mean something, each parsed once."""
+    return F.transform(items, lambda i: F.from_json(i, ITEM))
+
+
 def _field(item: Column, field: str) -> Column:
-    return F.nullif(F.get_json_object(item, "$." + field), F.lit(""))
+    return F.nullif(reduce(lambda x, f: x[f], field.split("."), item), F.lit(""))
 
 
 def _some(sample: Column, fields: tuple[str, ...]) -> Column:
-    return F.exists(sample, lambda i: reduce(lambda a, b: a | b, [_field(i, f).isNotNull() for f in fields]))
+    return F.exists(sample, lambda i: F.coalesce(*[_field(i, f) for f in fields]).isNotNull())
 
 
 def score(items: Column, path: Column) -> Column:
     """How much an array looks like a list of subprocessors, 1 at most."""
-    sample, low = F.slice(items, 1, 5), F.lower(path)
     part = lambda test, v: F.when(test, v).otherwise(0.0)
     n = F.size(items)
-    total = (
-        part(n >= 5, 0.15) + part(n >= 10, 0.10) + part(reduce(lambda a, b: a | b, [low.contains(w) for w in PATH_WORDS]), 0.25)
-        + part(_some(sample, NAME_FIELDS), 0.25) + part(_some(sample, URL_FIELDS), 0.15) + part(_some(sample, PURPOSE_FIELDS), 0.05) + part(_some(sample, LOCATION_FIELDS), 0.05)
-    )
-    return F.when(n > 0, F.least(total, F.lit(1.0))).otherwise(0.0)
+
+    def of(sample: Column) -> Column:
+        told = F.lower(path).rlike("|".join(PATH_WORDS))
+        total = (
+            part(n >= 5, 0.15) + part(n >= 10, 0.10) + part(told, 0.25)
+            + part(_some(sample, NAME_FIELDS), 0.25) + part(_some(sample, URL_FIELDS), 0.15) + part(_some(sample, PURPOSE_FIELDS), 0.05) + part(_some(sample, LOCATION_FIELDS), 0.05)
+        )
+        return F.when(n > 0, F.least(total, F.lit(1.0))).otherwise(0.0)
+
+    return let(_read(F.slice(items, 1, 5)), of)
 
 
 def field_of(items: Column, fields: tuple[str, ...]) -> Column:
     """The first field that is filled in more than half of the first five members."""
-    sample = F.slice(items, 1, 5)
-    return F.coalesce(*[_filled(sample, name) for name in fields])
+    return let(_read(F.slice(items, 1, 5)), lambda sample: F.coalesce(*[_filled(sample, name) for name in fields]))
 
 
 def _filled(sample: Column, name: str) -> Column:
@@ -91,6 +103,7 @@ def _filled(sample: Column, name: str) -> Column:
 
 
 def _by(item: Column, field: Column, fields: tuple[str, ...]) -> Column:
+    """Of a member as ``_read`` gives it, the field that ``field`` names."""
     return reduce(lambda out, f: F.when(field == f, _field(item, f)).otherwise(out), fields, F.lit(None).cast("string"))
 
 
@@ -102,7 +115,7 @@ def subprocessors(arrays: DataFrame, least: float = 0.4) -> DataFrame:
     scored = arrays.withColumn("score", score(F.col("items"), F.col("path"))).withColumn("nf", field_of(F.col("items"), NAME_FIELDS)).withColumn("uf", field_of(F.col("items"), URL_FIELDS)).withColumn("pf", field_of(F.col("items"), PURPOSE_FIELDS))
     scored = scored.withColumn("leaf", F.element_at(F.split("path", r"\."), -1)).where((F.col("score") >= least) & F.col("nf").isNotNull() & (F.col("uf").isNotNull() | F.lower("path").rlike("|".join(PATH_WORDS))))
     best = scored.groupBy("page_url").agg(F.max_by("leaf", F.struct("score", "ordinal", "path")).alias("leaf"))
-    rows = scored.join(best, ["page_url", "leaf"], "left_semi").select("page_url", "ordinal", "path", "nf", "uf", "pf", F.posexplode("items").alias("at", "item"))
+    rows = scored.join(best, ["page_url", "leaf"], "left_semi").select("page_url", "ordinal", "path", "nf", "uf", "pf", F.posexplode(_read(F.col("items"))).alias("at", "item"))
     rows = rows.withColumn("name", _by(F.col("item"), F.col("nf"), NAME_FIELDS)).withColumn("address", _by(F.col("item"), F.col("uf"), URL_FIELDS)).withColumn("purpose", _by(F.col("item"), F.col("pf"), PURPOSE_FIELDS))
     rows = rows.where(F.octet_length("name") >= 2).withColumn("domain", F.coalesce(domain_of(F.col("address")), F.concat(F.lit("_org:"), F.col("name"))))
     place = F.row_number().over(Window.partitionBy("page_url", F.lower("domain"), F.lower("name")).orderBy("ordinal", "path", "at"))

@@ -108,7 +108,7 @@ def execute(chosen: DataFrame, pages: DataFrame) -> DataFrame:
     """``page_url, name, address``: the members that ``strategies`` say how to read, from pages as they are now."""
     arrays = trust.entity_arrays(embedded(pages))
     rows = arrays.join(chosen.select("page_url", "ordinal", "path", "name_field", "url_field"), ["page_url", "ordinal", "path"])
-    rows = rows.select("page_url", "name_field", "url_field", F.explode("items").alias("item"))
+    rows = rows.select("page_url", "name_field", "url_field", F.explode(trust._read(F.col("items"))).alias("item"))
     name, address = (trust._by(F.col("item"), F.col(f), fields) for f, fields in (("name_field", trust.NAME_FIELDS), ("url_field", trust.URL_FIELDS)))
     return rows.select("page_url", name.alias("name"), address.alias("address")).where(F.octet_length("name") >= 2)
 
