@@ -54,6 +54,35 @@ def test_a_hot_bucket_makes_more_shares(spark):
     assert rabitq.share_count(sizes.limit(0), 10, 50) == 1
 
 
+def test_stored_forms_and_keys():
+    rng = np.random.default_rng(3)
+    u = rng.standard_normal((300, 33))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    levels, step, left = rabitq.quantised(u)
+    assert set(np.unique(levels % 2)) == {1.0} and np.abs(levels).max() == 15
+    assert np.allclose(np.linalg.norm(u - levels * step[:, None], axis=1), left) and left.mean() < 0.15
+    assert (rabitq.unpacked([x.tobytes() for x in rabitq.packed(levels)], 33) == levels).all()
+    own = rabitq.keys(levels, 7, 5)
+    assert (rabitq.keys(levels[:3], 7, 5) == own[:3]).all() and own.max() < 128
+
+
+def test_bounds_hold_for_pairs_at_the_threshold():
+    rng = np.random.default_rng(5)
+    u = rng.standard_normal((400, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w = rng.standard_normal((400, 64))
+    w -= (w * u).sum(1)[:, None] * u
+    v = 0.9 * u + np.sqrt(1 - 0.81) * w / np.linalg.norm(w, axis=1)[:, None]
+    r = rabitq.rotation(64, 0)
+    pdf = lambda x: dict(zip(("levels", "step", "left"), rabitq.quantised(x @ r), strict=True)) | {"factor": np.abs(x @ r).sum(1) / 8}
+    both = {k: np.concatenate((pdf(u)[k], pdf(v)[k])) for k in ("levels", "step", "left", "factor")}
+    own = rabitq.Stored.__new__(rabitq.Stored)
+    own.levels, own.left, own.factor, own.turned = both["levels"], both["left"], both["factor"], (both["levels"] * both["step"][:, None]).astype(np.float32)
+    a, b = rabitq.open_pairs(own, np.arange(400), np.arange(400, 800), 0, 6, 1, 0.9, 5.0)
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert all((i, 400 + i) in found for i in range(400)) and len(found) < 0.05 * 400 * 400
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(4)
     u = rng.standard_normal((2, 64))

@@ -3,16 +3,21 @@
 A unit vector is rotated by a random orthogonal matrix and kept as the signs of its coordinates
 (its code) together with a correction factor, the inner product of the vector and its code's
 unit vector. For codes x, y of vectors u, v with factor f of u, ``<x, R v> / f`` estimates ``<u, v>`` without
-bias; its error is about ``sqrt((1 - f*f) / (f*f) / (dim - 1))``. A pair whose estimate plus ``sigmas`` errors is under
-the threshold is dropped; the others' cosines are computed again from the full vectors in double
+bias; for pairs at the threshold t or above its error is at most about ``sqrt((1 - f*f) (1 - t*t) / (f*f) / (dim - 1))``. The other side's ``R v`` is
+stored in four bits a coordinate with a step and the length of what the rounding left out, which widens the bound. A pair whose
+estimate plus ``sigmas`` errors is under the threshold is dropped; the others' cosines are computed again from the full vectors in double
 precision, and decide alone.
 
-Pairs are met in buckets: ``tables`` times, ``bits`` rotated signs form a key. A pair at the threshold shares a
+Pairs are met in buckets: ``tables`` times, ``bits`` signs of further projections of the stored form make a key. These are sums of
+integers, so whoever holds a vector's stored form finds the same keys. A pair at the threshold shares a
 key with probability ``1 - miss`` at least: ``bits`` grows with the logarithm of the number of vectors, so that buckets
 stay small, and ``tables`` follows from both. A pair met in several buckets counts in the first of them.
 Vectors that are equal bit for bit are compared once and weighted by their number.
 
-A bucket of more than ``block`` vectors is cut into blocks, and each pair of blocks is its own task's
+To the buckets go stored forms alone, some dim / 2 + 16 bytes. What comes back from a bucket are the vectors that have an open
+pair there, and only these meet again with their full components.
+
+A bucket of more than ``block`` vectors is cut into blocks, and each pair of blocks is its own
 group, so no bucket is held by one task; pairs are never written as rows: a group gives each of its
 vectors' numbers of links, and a forest of edges that connects what is linked (one edge a vector at
 most). Vectors that meet no other in a bucket are not sent on.
@@ -33,6 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,31 +52,54 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def codes(unit: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """``signs`` (True for positive) of the rotated vectors, and their correction factors."""
-    turned = unit @ rotation(unit.shape[1], seed)
-    return turned > 0, np.abs(turned).sum(1) / math.sqrt(unit.shape[1])
+def quantised(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``levels, step, left``: rotated vectors as odd numbers from -15 to 15 times a step, and the length of what that leaves out."""
+    step = np.maximum(np.abs(turned).max(1), 1e-12) / 16
+    levels = 2 * np.clip(np.floor(turned / (2 * step[:, None])), -8, 7) + 1
+    return levels, step, np.sqrt(((turned - levels * step[:, None]) ** 2).sum(1))
+
+
+def packed(levels: np.ndarray) -> np.ndarray:
+    """Two levels a byte."""
+    four = ((levels + 15) / 2).astype(np.uint8)
+    if four.shape[1] % 2:
+        four = np.concatenate((four, np.zeros((len(four), 1), np.uint8)), 1)
+    return four[:, ::2] << 4 | four[:, 1::2]
+
+
+def unpacked(codes_: list[bytes], dim: int) -> np.ndarray:
+    two = np.frombuffer(b"".join(codes_), np.uint8).reshape(len(codes_), -1)
+    return np.stack((two >> 4, two & 15), 2).reshape(len(two), -1)[:, :dim].astype(np.float64) * 2 - 15
 
 
-def estimates(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of the inner products of coded vectors (rows) and rotated vectors (columns), and each row's error."""
+def estimates(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray, threshold: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased estimates of the inner products of coded vectors (rows) and rotated vectors (columns), and each row's error for pairs at ``threshold``."""
     dim = turned.shape[1]
     est = np.where(signs, np.float32(1 / math.sqrt(dim)), np.float32(-1 / math.sqrt(dim))) @ turned.T.astype(np.float32) / factor[:, None].astype(np.float32)
-    return est, np.sqrt(np.maximum(1 - factor**2, 0) / np.maximum(factor**2, 1e-12) / max(dim - 1, 1))
+    apart = 1.0 if threshold is None else math.sqrt(max(1 - threshold**2, 0))
+    return est, apart * np.sqrt(np.maximum(1 - factor**2, 0) / np.maximum(factor**2, 1e-12) / max(dim - 1, 1))
+
+
+@lru_cache(maxsize=64)
+def projections(dim: int, columns: int) -> np.ndarray:
+    """Random integers, the same wherever they are made; sums of their products with levels are exact in doubles."""
+    return np.round(np.random.default_rng((7, dim)).standard_normal((columns, dim)).T * 1000)
+
+
+def keys(levels: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """A row of ``tables`` bucket keys per vector, of ``bits`` signs each."""
+    signs = levels @ projections(levels.shape[1], bits * tables) > 0
+    return (signs.reshape(len(levels), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2)
 
 
-def keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """A row of ``tables`` bucket keys per vector, from the signs of as many rotations as it takes."""
-    dim = unit.shape[1]
-    need = bits * tables
-    signs = np.concatenate([unit @ rotation(dim, 1 + i) > 0 for i in range(-(-need // dim))], 1)[:, :need]
-    return (signs.reshape(len(unit), tables, bits) * (1 << np.arange(bits))).sum(2)
+#: By how much storing may turn two vectors apart, in radians.
+TURNED = 0.04
 
 
 def settings(n: int, threshold: float, miss: float) -> tuple[int, int]:
-    """``bits`` and ``tables`` for ``n`` vectors."""
-    bits = max(4, min(24, math.ceil(math.log2(max(n, 2))) - 6))
-    same = 1 - math.acos(threshold) / math.pi
+    """``bits`` and ``tables`` for ``n`` vectors: buckets of about a thousand."""
+    bits = max(4, min(62, math.ceil(math.log2(max(n, 2))) - 10))
+    same = 1 - (math.acos(threshold) + TURNED) / math.pi
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-(same**bits))))
 
 
@@ -88,43 +117,57 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-class Vectors:
-    """Vectors with their stored codes and factors, and what follows from them."""
+class Stored:
+    """Vectors in their stored form."""
 
     def __init__(self, pdf: pd.DataFrame, dim: int):
-        self.raw = np.stack([np.frombuffer(v, "<f4" if len(v) == 4 * dim else "<f8") for v in pdf["vec"]]).astype(float)
-        self.norm = np.sqrt(np.einsum("ij,ij->i", self.raw, self.raw))
-        self.unit = self.raw / self.norm[:, None]
-        self.turned = (self.unit @ rotation(dim, 0)).astype(np.float32)
-        self.signs = np.unpackbits(np.stack([np.frombuffer(v, np.uint8) for v in pdf["code"]]), axis=1)[:, :dim].astype(bool)
-        self.factor = pdf["factor"].to_numpy()
-
-
-def compare(v: Vectors, left: np.ndarray, right: np.ndarray | None, table: int, bits: int, tables: int, threshold: float, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of the vectors ``left`` and ``right`` (or within ``left``) that meet in ``table`` first, as positions in ``v``."""
-    est, err = estimates(v.signs[left], v.factor[left], v.turned[left if right is None else right])
-    a, b = np.nonzero(est >= (threshold - sigmas * err)[:, None])
+        self.levels = unpacked(pdf["code"].tolist(), dim)
+        self.factor, self.left = pdf["factor"].to_numpy(float), pdf["left"].to_numpy(float)
+        self.turned = (self.levels * pdf["step"].to_numpy(float)[:, None]).astype(np.float32)
+
+
+def open_pairs(v: Stored, left: np.ndarray, right: np.ndarray | None, table: int, bits: int, tables: int, threshold: float, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the vectors ``left`` and ``right`` (or within ``left``) that may link and that meet in ``table`` first, as positions in ``v``."""
+    other = left if right is None else right
+    found = []
+    for low in range(0, len(left), 1024):
+        own = left[low : low + 1024]
+        est, err = estimates(v.levels[own] > 0, v.factor[own], v.turned[other], threshold)
+        rounding = v.left[other] / math.sqrt(v.levels.shape[1])
+        least = threshold - sigmas * np.sqrt(err[:, None] ** 2 + (rounding[None] / v.factor[own][:, None]) ** 2)
+        a, b = np.nonzero(est >= least)
+        found.append((a + low, b))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
     if right is None:
         a, b = a[a < b], b[a < b]
-    a, b = left[a], (left if right is None else right)[b]
-    exact = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", v.raw[p], v.raw[q]) / (v.norm[p] * v.norm[q]) for p, q in ((a[i : i + 65536], b[i : i + 65536]) for i in range(0, len(a), 65536)))])
-    a, b = a[exact >= threshold], b[exact >= threshold]
-    if table and len(a):  # a pair that shares an earlier key was counted there
+    a, b = left[a], other[b]
+    if table and len(a):  # a pair that shares an earlier key was met there
         used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-        own = keys(v.unit[used], bits, tables)[:, :table]
+        own = keys(v.levels[used], bits, tables)[:, :table]
         ka, kb = at[: len(a)], at[len(a) :]
         new = np.concatenate([~(own[ka[i : i + 65536]] == own[kb[i : i + 65536]]).any(1) for i in range(0, len(a), 65536)])
         a, b = a[new], b[new]
     return a, b
 
 
+def groups(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """(table, positions, positions or None) of each bucket, or pair of a bucket's blocks, of rows in the order of both."""
+    own = pdf[["tab", "key", "i", "j"]].to_numpy()
+    edge = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(1), [True])))
+    blk = pdf["blk"].to_numpy()
+    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        tab, _, i, j = own[s].tolist()
+        at = np.arange(s, e)
+        yield (tab, at, None) if i == j else (tab, at[blk[s:e] == i], at[blk[s:e] == j])
+
+
 def share_count(sizes: DataFrame, block: int, share: int) -> int:
     """How many shares the dealt rows of buckets of ``size`` vectors make: each vector is dealt once for every block of its bucket."""
     dealt = sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / block))).first()[0]
     return max(1, -(-int(dealt or 0) // share))
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.9, miss: float = 1e-4, sigmas: float = 4.0, block: int = 2048, share: int = 16_384) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.9, miss: float = 1e-4, sigmas: float = 5.0, block: int = 2048, share: int = 16_384) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``table(vec_id, embedding)``."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     good = F.coalesce((F.size("e") > 0) & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0), F.lit(False))
@@ -134,6 +177,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, miss: float = 1e-4
     distinct = own.where("hash is not null").groupBy("hash").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.first("e").alias("e"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = TaskContext.get().partitionId() << 36  # numbers of their own, fixed once the table is written
         for b in batches:
             pdf = b.to_pandas()
             for dim, part in pdf.groupby(pdf["e"].map(len)):
@@ -141,61 +185,76 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, miss: float = 1e-4
                 top = np.abs(raw).max(1)
                 odd = (top > 1e100) | (top < 1e-100)  # squares would overflow or vanish
                 raw[odd] /= top[odd][:, None]
-                signs, factor = codes(raw / np.sqrt((raw**2).sum(1))[:, None])
+                turned = raw / np.sqrt((raw**2).sum(1))[:, None] @ rotation(int(dim), 0)
+                levels, step, left = quantised(turned)
+                factor = np.abs(turned).sum(1) / math.sqrt(dim)
                 with np.errstate(over="ignore"):
                     short = raw.astype("<f4")
                 stored = [x.tobytes() if (x == y).all() else y.tobytes() for x, y in zip(short, raw, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part["hash"]), pa.array(part["n"], pa.int64()), pa.array(part["first_id"].astype("Int64"), pa.int64()), pa.array([int(dim)] * len(part), pa.int32()), pa.array(stored), pa.array([x.tobytes() for x in np.packbits(signs, axis=1)]), pa.array(factor)], ["hash", "n", "first_id", "dim", "vec", "code", "factor"])
-
-    coded = distinct.mapInArrow(code, "hash string, n long, first_id long, dim int, vec binary, code binary, factor double")
-    coded = cut(coded.withColumn("node", F.conv(F.substring("hash", 1, 15), 16, 10).cast("long")), "rabitq-codes")
+                cols = [
+                    pa.array(part["hash"]), pa.array(part["n"], pa.int64()), pa.array(part["first_id"].astype("Int64"), pa.int64()), pa.array([int(dim)] * len(part), pa.int32()), pa.array(stored), pa.array([x.tobytes() for x in packed(levels)]),
+                    pa.array(factor.astype(np.float32)), pa.array(step.astype(np.float32)), pa.array(left.astype(np.float32)), pa.array(np.arange(node, node + len(part))),
+                ]
+                node += len(part)
+                yield pa.RecordBatch.from_arrays(cols, ["hash", "n", "first_id", "dim", "vec", "code", "factor", "step", "left", "node"])
+
+    coded = cut(distinct.mapInArrow(code, "hash string, n long, first_id long, dim int, vec binary, code binary, factor float, step float, left float, node long"), "rabitq-codes")
     bits, tables = settings(coded.count(), threshold, miss)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for dim in b.column(1).unique().to_pylist():
                 part = b.filter(pc.equal(b.column(1), dim))
-                raw = np.stack([np.frombuffer(v, "<f4" if len(v) == 4 * dim else "<f8") for v in part.column(2).to_pylist()]).astype(float)
-                own = keys(raw / np.sqrt((raw**2).sum(1))[:, None], bits, tables)
-                n = len(raw)
+                own = keys(unpacked(part.column(2).to_pylist(), dim), bits, tables)
+                n = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), tables)), pa.array(np.full(n * tables, dim), pa.int32()), pa.array(np.tile(np.arange(tables), n), pa.int32()), pa.array(own.reshape(-1), pa.int64())], ["node", "dim", "tab", "key"])
 
-    buckets = cut(coded.select("node", "dim", "vec").mapInArrow(place, "node long, dim int, tab int, key long"), "rabitq-buckets")
+    buckets = cut(coded.select("node", "dim", "code").mapInArrow(place, "node long, dim int, tab int, key long"), "rabitq-buckets")
     sizes = buckets.groupBy("dim", "tab", "key").agg(F.count("*").alias("size")).where("size > 1")
     placed = buckets.join(sizes, ["dim", "tab", "key"]).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     # A vector's block, and the block pairs (i <= j) that it takes part in.
     mine = placed.withColumn("blk", F.pmod(F.xxhash64("node", "tab"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("blk", o).alias("i"), F.greatest("blk", o).alias("j")))
     dealt = mine.select("node", "dim", "tab", "key", "blk", F.explode(pair).alias("p")).select("node", "dim", "tab", "key", "blk", "p.i", "p.j")
-    full = dealt.join(coded.select("node", "n", "vec", "code", "factor"), "node")
+    # Small buckets share a call; a share holds about ``share`` dealt rows, a vector's copies for its block pairs included.
+    shares = share_count(sizes, block, share)
+    number = F.pmod(F.xxhash64("dim", "tab", "key", "i", "j"), F.lit(shares)).alias("share")
+    forms = dealt.join(coded.select("node", "code", "factor", "step", "left"), "node").select("*", number)
+    order = ["tab", "key", "i", "j", "node"]
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The vectors of a share's buckets that have an open pair there."""
+        pdf = pdf.sort_values(order, ignore_index=True)
+        v, some = Stored(pdf, int(pdf["dim"].iat[0])), np.zeros(len(pdf), bool)
+        for tab, left, right in groups(pdf):
+            a, b = open_pairs(v, left, right, tab, bits, tables, threshold, sigmas)
+            some[a] = some[b] = True
+        return pdf.loc[some, ["node", "dim", "tab", "key", "blk", "i", "j", "share"]]
+
+    marked = cut(forms.groupBy("dim", "share").applyInPandas(mark, "node long, dim int, tab int, key long, blk int, i int, j int, share long"), "rabitq-open")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The links of all buckets of a share, one bucket (or pair of a bucket's blocks) after the other."""
-        pdf = pdf.sort_values(["tab", "key", "i", "j", "node"], ignore_index=True)
-        v = Vectors(pdf, int(pdf["dim"].iat[0]))
-        group = pdf[["tab", "key", "i", "j"]].to_numpy()
-        edge = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]).any(1), [True])))
-        blk = pdf["blk"].to_numpy()
+        """The links of a share's buckets, by the full vectors of open pairs."""
+        pdf = pdf.sort_values(order, ignore_index=True)
+        dim = int(pdf["dim"].iat[0])
+        v = Stored(pdf, dim)
+        raw = np.stack([np.frombuffer(x, "<f4" if len(x) == 4 * dim else "<f8") for x in pdf["vec"]]).astype(float)
+        norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
         pairs = [(np.empty(0, int), np.empty(0, int))]
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            tab, _, i, j = group[s].tolist()
-            at = np.arange(s, e)
-            if i == j:
-                pairs.append(compare(v, at, None, tab, bits, tables, threshold, sigmas))
-            else:
-                pairs.append(compare(v, at[blk[s:e] == i], at[blk[s:e] == j], tab, bits, tables, threshold, sigmas))
+        for tab, left, right in groups(pdf):
+            a, b = open_pairs(v, left, right, tab, bits, tables, threshold, sigmas)
+            exact = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", raw[p], raw[q]) / (norm[p] * norm[q]) for p, q in ((a[i : i + 65536], b[i : i + 65536]) for i in range(0, len(a), 65536)))])
+            pairs.append((a[exact >= threshold], b[exact >= threshold]))
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
         node, at = np.unique(pdf["node"].to_numpy(), return_inverse=True)
-        weight, a, b = pdf["n"].to_numpy(), at[a], at[b]
+        a, b = at[a], at[b]
         count = np.zeros(len(node), np.int64)
-        count[at] = weight
+        count[at] = pdf["n"].to_numpy()
         links = np.bincount(a, count[b], len(node)) + np.bincount(b, count[a], len(node))
         some = links > 0
         return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "to": node[_forest(len(node), a, b)][some]})
 
-    # Small buckets share a call; a share holds about ``share`` dealt rows, a vector's copies for its block pairs included.
-    shares = share_count(sizes, block, share)
-    full = full.withColumn("share", F.pmod(F.xxhash64("dim", "tab", "key", "i", "j"), F.lit(shares)))
+    full = marked.join(coded.select("node", "n", "vec", "code", "factor", "step", "left"), "node")
     found = cut(full.groupBy("dim", "share").applyInPandas(link, "node long, links long, to long"), "rabitq-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     whole = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")), "rabitq-cc")
