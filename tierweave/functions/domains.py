@@ -68,6 +68,21 @@ def registrable_label(c: Column) -> Column:
     return let(_plain(c), lambda name: _parts(name, lambda labels, size, n: F.when(~is_ip(name) & (n > 0) & (size > n), label(name))))
 
 
+def lookup_base_domain(c: Column) -> Column:
+    """The base domain by which known vendors are looked up: three labels below a few compound suffixes, else two."""
+    return let(F.split(c, r"\."), lambda labels: F.when(F.size(labels) <= 2, c).otherwise(F.when(_last(labels, 2).isin(*V.LOOKUP_SUFFIXES), _last(labels, 3)).otherwise(_last(labels, 2))))
+
+
+def last_two_labels(c: Column) -> Column:
+    """The base domain by which the registry is looked up."""
+    return _last(F.split(c, r"\."), 2)
+
+
+def is_organizational(c: Column) -> Column:
+    """The name is its own base domain."""
+    return base_domain(c) == F.lower(F.regexp_replace(F.trim(c), r"\.+$", ""))
+
+
 def in_list(c: Column, names: tuple[str, ...]) -> Column:
     """The name is one of ``names`` or below one: one anchored pattern, whatever the number of names."""
     return c.rlike(r"(?:^|\.)(?:" + "|".join(n.replace(".", r"\.") for n in names) + r")\z")

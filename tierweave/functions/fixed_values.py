@@ -235,3 +235,15 @@ BASE64_BLOBS = (r'''data-[a-z-]+="([A-Za-z0-9+/=]{200,})"''', r'''atob\s*\(\s*["
 JS_OBJECTS = r"window\.([A-Z_][A-Z_0-9]*)\s*=\s*(\{[\s\S]{200,}?\})(?:\s*;|\s*<)"
 NO_SLUGS = ("api", "graphql", "trust", "security", "legal", "privacy", "subprocessors")
 SHARED_ORG_KEYS = ("unknown", "n/a", "none", "private", "redacted", "redacted for privacy")
+
+# --- Fixed values: short labels of record types, and of the phases that find them. Compound suffixes of the known-vendor lookup. Kinds of entities that are organizations. ---
+SHORT_LABELS = (
+    ("DnsTxtSpf", "SPF"), ("DnsTxtVerification", "DNS Verification"), ("DnsTxtDmarc", "DMARC"), ("DnsTxtDkim", "DKIM"), ("DnsSubdomain", "Subdomain"), ("DnsMx", "MX"), ("DnsA", "A Record"), ("DnsAaaa", "AAAA Record"), ("HttpWellKnown", "Well-Known"),
+    ("HttpMeta", "Meta Tag"), ("HttpFile", "Hosted File"), ("CertDomain", "TLS Cert"), ("CertSan", "Cert SAN"), ("ApiEndpoint", "API Endpoint"), ("ApiWebhook", "API Webhook"), ("HttpSubprocessor", "Subprocessor"), ("SubfinderDiscovery", "Subdomain"),
+    ("SaasTenantProbe", "SaaS Tenant"), ("CtLogDiscovery", "CT Log"), ("TrustCenterApi", "Trust Center"), ("WebTrafficSource", "Webpage Source"), ("WebTrafficNetwork", "Webpage Network"), ("Unknown", "Other"),
+)
+PHASE_LABELS = (
+    ("HTTP::SUBPROCESSOR", "subprocessor"), ("DNS::TXT::SPF", "SPF"), ("DNS::TXT::VERIFICATION", "DNS verification"), ("DNS::TXT::DMARC", "DMARC"), ("DISCOVERY::SUBFINDER", "subfinder"), ("DISCOVERY::SAAS_TENANT", "SaaS tenant"), ("DISCOVERY::CT_LOG", "CT log"),
+)
+LOOKUP_SUFFIXES = ("co.uk", "co.au", "com.au", "co.nz", "co.jp", "co.kr", "com.br", "com.mx", "com.cn", "org.uk", "net.au")
+ORG_ENTITIES = ("organization", "company", "product", "brand")

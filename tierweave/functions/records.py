@@ -28,6 +28,24 @@ def legacy_record_type(c: Column) -> Column:
     return out
 
 
+def short_label(c: Column) -> Column:
+    """A record type's short label, by variant or hierarchy; of unknown ones the last part."""
+    by = dict(V.SHORT_LABELS)
+    pairs = [(k, by[v]) for v, h, *_ in V.RECORD_TYPES for k in (v, h)]
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs for x in kv]), c), F.element_at(F.split(c, "::"), -1))
+
+
+def phase_label(c: Column) -> Column:
+    """What found a fact of this record type."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in V.PHASE_LABELS for x in kv]), c), F.lit("discovery"))
+
+
+def clamp_layer(layer: Column, most: int = 6) -> Column:
+    """A layer's place on a ramp of ``most`` colours."""
+    whole = F.when(F.isnan(layer.cast("double")) | (F.abs(layer.cast("double")) == float("inf")), 1).otherwise(layer.cast("long"))
+    return F.greatest(F.lit(1), F.least(F.coalesce(whole, F.lit(1)), F.lit(most))).cast("int")
+
+
 def layer_description(layer: Column) -> Column:
     return F.when(layer == 1, "1st party").when(layer == 2, "2nd party").when(layer == 3, "3rd party").otherwise(F.concat(layer.cast("string"), F.lit("th party")))
 

@@ -198,6 +198,14 @@ def edges(rel: DataFrame) -> DataFrame:
     return rel.groupBy(F.col("nth_party_customer_domain").alias("customer"), F.col("nth_party_domain").alias("vendor")).agg(F.count("*").alias("n"), F.min("nth_party_layer").alias("layer"))
 
 
+def active_layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``domain, layers``: for each of ``nodes(domain, layer)`` the layers at which visible edges reach it, one below their sources;
+    its own layer where none does. ``edges(customer, vendor, hidden)``."""
+    seen = edges.where(~F.coalesce("hidden", F.lit(False))).join(nodes.select(F.col("domain").alias("customer"), F.col("layer").alias("_l")), "customer")
+    reached = seen.groupBy(F.col("vendor").alias("domain")).agg(F.sort_array(F.collect_set((F.coalesce("_l", F.lit(0)) + 1).cast("int"))).alias("layers"))
+    return nodes.join(reached, "domain", "left").select("domain", F.coalesce("layers", F.array(F.col("layer").cast("int"))).alias("layers"))
+
+
 def pages_of_children(rel: DataFrame, size: int = 8) -> DataFrame:
     """Each customer's vendors in order, with the page of ``size`` that they stand on."""
     own = rel.groupBy(F.col("nth_party_customer_domain").alias("customer"), F.col("nth_party_domain").alias("vendor")).agg(F.min("seq").alias("seq"))
@@ -233,6 +241,22 @@ def timings(events: DataFrame) -> DataFrame:
     return own.join(F.broadcast(whole)).select("name", "n", "total", "mean", (F.col("total") / F.nullif(F.col("_all"), F.lit(0.0))).alias("share"))
 
 
+def by_depth(events: DataFrame) -> DataFrame:
+    """Per name and depth bucket (0 to 3, deeper ones together): count, total, and whether it bounds the whole run.
+
+    ``events(name, depth, seconds, critical)``: of the names on the critical path the longest per bucket bounds it.
+    """
+    own = events.groupBy("name", F.least(F.col("depth"), F.lit(4)).alias("bucket")).agg(F.count("*").alias("n"), F.sum("seconds").alias("total"), F.bool_or("critical").alias("critical"))
+    longest = own.where("critical").groupBy("bucket").agg(F.max("total").alias("_most"))
+    return own.join(longest, "bucket", "left").select("name", "bucket", "n", "total", (F.col("critical") & (F.col("total") == F.col("_most"))).alias("bounds"))
+
+
+def latency_gradient(values: DataFrame, key: str, order: str, value: str, short: float, long: float) -> DataFrame:
+    """``key, gradient``: of each key's values in order the ratio of the slow mean to the fast one, within 0.5 and 1."""
+    fast, slow = smoothed(values, key, order, value, short).withColumnRenamed("mean", "_f"), smoothed(values, key, order, value, long).withColumnRenamed("mean", "_s")
+    return fast.join(slow, key).select(key, F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.col("_s") / F.nullif(F.col("_f"), F.lit(0.0)))).alias("gradient"))
+
+
 def smoothed(values: DataFrame, key: str, order: str, value: str, weight: float) -> DataFrame:
     """The exponentially weighted mean of each key's values in their order."""
     parts = values.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("v"))

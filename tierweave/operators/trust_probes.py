@@ -149,3 +149,12 @@ def slug(url: Column) -> Column:
 def filled(template: Column, slug_: Column) -> Column:
     """An address with its ``{{slug}}`` filled in."""
     return F.replace(template, F.lit("{{slug}}"), F.coalesce(slug_, F.lit("")))
+
+
+def is_stale(discovered_at: Column, now: Column, most_days: int) -> Column:
+    """Found more than ``most_days`` ago; both are seconds."""
+    return F.greatest(now - discovered_at, F.lit(0)) > most_days * 86400
+
+
+def is_unreliable(failures: Column, most: int) -> Column:
+    return failures >= most

@@ -7,6 +7,8 @@ neither the plan nor a lost executor makes earlier layers run again.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 
@@ -75,3 +77,13 @@ def relationships(reached: DataFrame, facts: DataFrame) -> DataFrame:
 def resume(completed: DataFrame, pending: DataFrame) -> DataFrame:
     """What is still to do after an interruption."""
     return pending.join(completed, ["root", "domain"], "left_anti")
+
+
+def settings_hash(settings: dict) -> str:
+    """A check sum of the settings that decide what a scan finds, whatever their order."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def is_compatible(stored: DataFrame, root: str, settings: dict) -> bool:
+    """A checkpoint (``stored(root, settings)``, a row a scan) can be resumed: same root, same settings."""
+    return not stored.where((F.col("root") == root) & (F.col("settings") == settings_hash(settings))).isEmpty()

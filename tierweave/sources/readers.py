@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierweave.functions.domains import is_batch_domain
@@ -111,3 +113,35 @@ def subdomains(spark: SparkSession, path: str) -> DataFrame:
 def spotter_entries(raw: DataFrame) -> DataFrame:
     """Certificate rows with ``dns_names`` in the common form of entries."""
     return raw.select("query_domain", F.lit("certspotter").alias("provider"), "ordinal", F.coalesce(F.col("id").try_cast("bigint"), F.lit(0)).alias("id"), F.get("dns_names", F.lit(0)).alias("common_name"), F.array_join("dns_names", "\n").alias("name_value"))
+
+
+def merklemap_entries(raw: DataFrame) -> DataFrame:
+    """``raw(query_domain, ordinal, body)``: ``{"results": [{"hostname": ...}]}`` as one entry with a name a line."""
+    names = F.filter(F.transform(F.from_json("body", "results array<struct<hostname: string>>")["results"], lambda r: r["hostname"]), lambda n: n.isNotNull())
+    return _entries(raw, names, "merklemap")
+
+
+def censys_entries(raw: DataFrame) -> DataFrame:
+    """``raw(query_domain, ordinal, body)``: every hit's names, else its certificate's, else the alternative names that were parsed."""
+    hit = "names array<string>, cert struct<names: array<string>, parsed: struct<subject_alt_name: struct<dns_names: array<string>>>>"
+    hits = F.from_json("body", f"result struct<hits: array<struct<{hit.replace('names array', 'names: array', 1).replace('cert struct', 'cert: struct', 1)}>>>")["result"]["hits"]
+    names = F.flatten(F.transform(hits, lambda h: F.coalesce(h["names"], h["cert"]["names"], h["cert"]["parsed"]["subject_alt_name"]["dns_names"], F.array().cast("array<string>"))))
+    return _entries(raw, names, "censys")
+
+
+def _entries(raw: DataFrame, names: Column, provider: str) -> DataFrame:
+    rows = raw.select("query_domain", F.lit(provider).alias("provider"), "ordinal", F.lit(0).cast("bigint").alias("id"), F.lit(None).cast("string").alias("common_name"), names.alias("_names"))
+    return rows.where(F.size("_names") > 0).withColumn("name_value", F.array_join("_names", "\n")).drop("_names")
+
+
+def txt_and_cname(answers: DataFrame) -> DataFrame:
+    """``name, txt, cnames``: a domain's TXT and CNAME answers in order, from one pass over ``answers``."""
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.upper("rrtype") == kind, F.struct("ordinal", "rdata")))), lambda r: r["rdata"])
+    return answers.groupBy(F.lower("name").alias("name")).agg(of("TXT").alias("txt"), of("CNAME").alias("cnames"))
+
+
+def assembled_vendors(base: DataFrame, remote: DataFrame | None = None, local: DataFrame | None = None) -> DataFrame:
+    """``domain, organization, tier``: of the base table, a newer remote one and local overrides, for each domain the best tier's row."""
+    tiers = [(t, n) for t, n in ((local, "overrides"), (remote, "remote"), (base, "base")) if t is not None]
+    every = reduce(DataFrame.unionByName, [t.select(F.lower("domain").alias("domain"), "organization", F.lit(n).alias("tier"), F.lit(i).alias("_rank")) for i, (t, n) in enumerate(tiers)])
+    return every.groupBy("domain").agg(F.min_by(F.struct("organization", "tier"), F.struct("_rank", "organization")).alias("r")).select("domain", "r.*")

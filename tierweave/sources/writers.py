@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierweave.functions import fixed_values as V
 from tierweave.functions.records import escape_markdown, mermaid_id
 from tierweave.operators import relations as R
 
@@ -49,19 +52,54 @@ def mermaid(rel: DataFrame) -> DataFrame:
     return node.unionByName(edge.select(F.struct(F.lit(1).alias("k"), F.col("nth_party_layer").alias("layer"), "d").alias("at"), "line"))
 
 
-def markdown(rel: DataFrame, most_rows: int = 1000) -> str:
-    """A report text: summary, counts by type and layer, and the first ``most_rows`` rows (a report's limit, stated in it)."""
+ROW = ("nth_party_domain", "nth_party_organization", "nth_party_layer", "nth_party_customer_domain", "nth_party_record_type")
+
+
+def _lines(rel: DataFrame, head: list[str], row, foot: list[str]) -> DataFrame:
+    """``at, line``: a report's lines in their order; one for each relationship, however many there are."""
+    spark = rel.sparkSession
+    own = rel.select(F.struct(F.lit(1).alias("part"), F.col("nth_party_layer").cast("long").alias("a"), F.col("nth_party_domain").alias("b"), F.col("seq").alias("c")).alias("at"), row.alias("line"))
+    fixed = [(k, i, "", 0, x) for k, texts in ((0, head), (2, foot)) for i, x in enumerate(texts)]
+    around = spark.createDataFrame(fixed, "part int, a long, b string, c long, line string").select(F.struct("part", "a", "b", "c").alias("at"), "line")
+    return around.unionByName(own)
+
+
+def markdown(rel: DataFrame) -> DataFrame:
+    """A Markdown report's lines: summary, counts by type and layer, and every row."""
+    s = R.summary(rel).first()
+    head = ["# Vendor relationships", "", f"- Relationships: {s.total_relationships}", f"- Deepest layer: {s.max_depth}", f"- Domains: {s.unique_domains}", f"- Organizations: {s.unique_organizations}", "", "## By record type", ""]
+    head += [f"- {r.record_type}: {r.n}" for r in R.by_type(rel).orderBy("record_type").collect()]
+    head += ["", "## By layer", ""] + [f"- {r.layer}: {r.n}" for r in R.by_layer(rel).orderBy("layer").collect()]
+    head += ["", "## Relationships", "", "| " + " | ".join(ROW) + " |", "|" + "---|" * len(ROW)]
+    cells = F.concat_ws(" | ", *[F.coalesce(escape_markdown(F.col(c).cast("string")), F.lit("")) for c in ROW])
+    return _lines(rel, head, F.concat(F.lit("| "), cells, F.lit(" |")), [""])
+
+
+def escape_html(c: Column) -> Column:
+    for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(x), F.lit(y))
+    return c
+
+
+def html(rel: DataFrame) -> DataFrame:
+    """An HTML report's lines: the summary, the sources that are present with their labels, and every row of the table."""
     s = R.summary(rel).first()
-    lines = ["# Vendor relationships", "", f"- Relationships: {s.total_relationships}", f"- Deepest layer: {s.max_depth}", f"- Domains: {s.unique_domains}", f"- Organizations: {s.unique_organizations}", "", "## By record type", ""]
-    lines += [f"- {r.record_type}: {r.n}" for r in R.by_type(rel).orderBy("record_type").collect()]
-    lines += ["", "## By layer", ""] + [f"- {r.layer}: {r.n}" for r in R.by_layer(rel).orderBy("layer").collect()]
-    columns = ("nth_party_domain", "nth_party_organization", "nth_party_layer", "nth_party_customer_domain", "nth_party_record_type")
-    rows = rel.orderBy("nth_party_layer", "nth_party_domain", "seq").limit(most_rows).select(*[escape_markdown(F.col(c).cast("string")).alias(c) for c in columns]).collect()
-    lines += ["", f"## Relationships (first {most_rows} at most)", "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    lines += ["| " + " | ".join(x or "" for x in r) + " |" for r in rows]
-    return "\n".join(lines) + "\n"
+    present = {r.record_type for r in R.by_type(rel).collect()}
+    short = dict(V.SHORT_LABELS)
+    options = [f'<option value="{h}">{short[v]}</option>' for v, h, *_ in V.RECORD_TYPES if h in present]
+    labels = json.dumps({k: short[v] for v, h, *_ in V.RECORD_TYPES for k in (h, v)})
+    summary = json.dumps({"total_relationships": s.total_relationships, "max_depth": s.max_depth, "unique_domains": s.unique_domains, "unique_organizations": s.unique_organizations})
+    head = ['<!DOCTYPE html><html><head><meta charset="utf-8"><title>Vendor relationships</title></head><body>', f'<script type="application/json" id="summary">{summary}</script>', f'<script type="application/json" id="labels">{labels}</script>']
+    head += ["<select>", *options, "</select>", "<table><tr>" + "".join(f"<th>{c}</th>" for c in ROW) + "</tr>"]
+    cells = F.concat(*[F.concat(F.lit("<td>"), F.coalesce(escape_html(F.col(c).cast("string")), F.lit("")), F.lit("</td>")) for c in ROW])
+    return _lines(rel, head, F.concat(F.lit("<tr>"), cells, F.lit("</tr>")), ["</table></body></html>"])
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The lines in their order, in files whose names sort alike; each is a run of the report."""
+    lines.orderBy("at").select("line").write.mode("overwrite").text(path)
 
 
 def export(rel: DataFrame, path: str, fmt: str) -> None:
     """By format; an unknown one is written as CSV."""
-    {"json": write_json, "parquet": lambda r, p: r.write.mode("overwrite").parquet(p)}.get(fmt, write_csv)(rel, path)
+    {"json": write_json, "markdown": lambda r, p: write_lines(markdown(r), p), "html": lambda r, p: write_lines(html(r), p), "parquet": lambda r, p: r.write.mode("overwrite").parquet(p)}.get(fmt, write_csv)(rel, path)
