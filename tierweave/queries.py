@@ -219,7 +219,23 @@ def page_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(web._tag(F.col("html"), "title"), F.lit("")).alias("title"))
 
 
-@query()
+def _name_sql() -> str:
+    """The owner by title and copyright notice: the pages have no structured data and no telling meta tags."""
+    quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    valid = lambda x: f"(strlen(trim({x})) BETWEEN 2 AND 100 AND regexp_matches(trim({x}), '^[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(trim({x}), '^[\\p{{N}}\\s]+$') AND lower(trim({x})) NOT IN ({quoted(V.NO_NAMES)}))"
+    good = lambda x: f"({valid(x)} AND NOT regexp_matches({x}, '{'|'.join(V.PAGE_NAMES)}'))"
+    side = lambda sep: f"trim({f'substr(t, strpos(t, {quoted([sep])}) + {len(sep)})' if sep.strip(' ') not in ('::', ':') else f'substr(t, 1, strpos(t, {quoted([sep])}) - 1)'})"
+    parts = ", ".join(f"CASE WHEN strpos(t, {quoted([x])}) > 0 AND {good(side(x))} THEN {side(x)} END" for x in (" | ", " - ", " – ", " — ", " :: ", ": "))
+    notices = ", ".join(f"CASE WHEN {valid(c)} THEN {c} END" for c in (f"trim(regexp_extract(f, {quoted([p])}, 1))" for p in V.COPYRIGHT))
+    clean = lambda x: f"regexp_replace(CASE WHEN regexp_matches({x}, '(Inc|Ltd|Corp|Co|LLC)[.]$') THEN {x} || '.' ELSE {x} END, '[.]$', '')"
+    tag = lambda n: f"nullif(trim(regexp_replace(regexp_extract(html, '(?is)<{n}[^>]*>(.*?)</{n}>', 1), '<[^>]*>', '', 'g')), '')"
+    return f"""WITH p AS (SELECT page_id, {tag('title')} AS t, coalesce({tag('footer')}, html) AS f FROM pages), q AS (SELECT page_id, CASE WHEN strlen(t) >= 3 THEN coalesce({parts}) END AS part,
+ CASE WHEN strlen(t) BETWEEN 3 AND 49 AND NOT contains(t, 'Home') AND NOT contains(t, 'Welcome') AND {good('t')} THEN t END AS whole, coalesce({notices}) AS notice FROM p), r AS (SELECT page_id, part, whole, notice, regexp_replace(trim(coalesce(part, whole, notice)), '\\s+', ' ', 'g') AS n FROM q)
+ SELECT page_id, {clean('n')} AS organization, CAST(CASE WHEN part IS NOT NULL THEN 0.65 WHEN whole IS NOT NULL THEN 0.5 WHEN notice IS NOT NULL THEN 0.6 END AS FLOAT) AS confidence,
+ CASE WHEN part IS NOT NULL OR whole IS NOT NULL THEN 'title_tag' WHEN notice IS NOT NULL THEN 'copyright' END AS source FROM r"""
+
+
+@query(_name_sql())
 def page_organization(spark, sf_dir):
     own = table(spark, sf_dir, "pages").select("page_id", web.page_organization(F.col("html")).alias("r"))
     return own.select("page_id", "r.organization", "r.confidence", "r.source")
@@ -231,7 +247,8 @@ def page_text_share(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.cast("long").alias("text_length"), ((F.octet_length("html") > 1000) & (text / F.octet_length("html") < 0.05)).alias("thin"))
 
 
-@query()
+@query("""SELECT page_id, (strlen(html) > 1000 AND length(regexp_replace(html, '<[^>]*>', '', 'g')) / strlen(html) < 0.05) OR """ + " OR ".join(f"contains(lower(html), '{m}')" for m in V.SPA_MARKERS) + """
+ OR (contains(lower(html), '<body') AND contains(lower(html), '<script') AND NOT regexp_matches(lower(html), '<(p|div|h[1-6]|span|table|ul|ol|a|section|article|main|footer|nav)[ >]')) AS is_spa FROM pages""")
 def page_spa_flag(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.is_single_page_app(F.col("html")).alias("is_spa"))
 
