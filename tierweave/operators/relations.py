@@ -55,10 +55,17 @@ def dedup_relationships(rel: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
 
 
 def drop_unregistrable(rel: DataFrame) -> DataFrame:
-    """Without rows whose vendor, or whose non-empty customer other than the root, is no public host."""
-    customer = F.col("nth_party_customer_domain")
-    keep = (customer == "") | (customer == F.col("root_customer_domain")) | ~D.is_non_registrable(customer)
-    return rel.where(~D.is_non_registrable(F.col("nth_party_domain")) & keep)
+    """Without rows whose vendor, or whose non-empty customer other than the root, is no public host.
+
+    Each different host is judged once, and the rows are joined with those that fail.
+    """
+    vendor, customer = F.col("nth_party_domain"), F.col("nth_party_customer_domain")
+    hosts = rel.select(F.explode(F.array(vendor, customer)).alias("host")).distinct()
+    bad = committed(hosts.where(D.is_non_registrable(F.col("host"))), "unregistrable")
+    rel = rel.where(vendor.isNotNull()).join(bad.withColumnRenamed("host", "nth_party_domain"), "nth_party_domain", "left_anti")
+    own = bad.select(F.col("host").alias("_h"))
+    failed = (customer == F.col("_h")) & (customer != "") & ~F.coalesce(customer == F.col("root_customer_domain"), F.lit(False))
+    return rel.join(own, failed, "left_anti")
 
 
 def drop_infrastructure(rel: DataFrame, include: bool = False) -> DataFrame:
@@ -131,7 +138,9 @@ def finalize(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
 
     Reconciling rewrites all positions, so gating only has to leave go-betweens out of the vote, which it does by itself.
     """
-    return reconcile_names(drop_unregistrable(rel), curated)
+    columns = rel.columns
+    rel = committed(rel, "relationships")  # read several times from here on
+    return reconcile_names(drop_unregistrable(rel).select(*columns), curated)
 
 
 def assemble(new: DataFrame, resumed: DataFrame | None = None, curated: DataFrame | None = None, include_infrastructure: bool = False) -> DataFrame:
