@@ -1,6 +1,6 @@
+import random
+
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tierweave.functions import domains as D
@@ -72,14 +72,39 @@ def test_similarity(spark):
     assert [x[0] for x in r] == [1.0, 0.0, 0.75]
 
 
-@settings(max_examples=8, deadline=None)
-@given(st.lists(st.text("abcé", min_size=1, max_size=9), min_size=2, max_size=25))
-def test_similar_names_equal_brute_force(spark, names):
-    df = spark.createDataFrame([(n,) for n in names], "n string")
-    got = {(r.a, r.b) for r in O.similar_names(df, "n", 0.8).collect()}
-    x, y = df.distinct().select(F.col("n").alias("a")), df.distinct().select(F.col("n").alias("b"))
-    want = {(r.a, r.b) for r in x.crossJoin(y).where((F.col("a") < F.col("b")) & (O.similarity(F.col("a"), F.col("b")) >= 0.8)).collect()}
-    assert got == want
+def brute_pairs(names, least):
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            before, row = row, [i]
+            for j, d in enumerate(y, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != d)))
+        return row[-1]
+
+    found = set()
+    for a in set(names):
+        for b in set(names):
+            x, y = a.lower(), b.lower()
+            if a < b and (x == y or 1 - edits(x, y) / max(len(x.encode()), len(y.encode())) >= least):
+                found.add((a, b))
+    return found
+
+
+@pytest.mark.parametrize("least", [0.8, 0.85])
+@pytest.mark.parametrize("letters", ["abc", "abcé", "aé日😀", "😀é"])
+def test_similar_names_equal_brute_force(spark, letters, least):
+    rng = random.Random(letters)
+    names = ["éa", "ééa", "A", "aaaaaaaaB", "aaaaaaaab", "😀", "😀😀", "x" * 30 + "é", "x" * 30 + "日"]
+    for _ in range(80):  # each with a copy that some edits have changed
+        own = "".join(rng.choices(letters, k=rng.randint(1, 12)))
+        names.append(own)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randint(0, len(own))
+            own = own[:at] + rng.choice(letters + " ") + own[at + rng.randint(0, 1) :]
+        names.append(own)
+    names = [n for n in names if n]
+    got = {(r.a, r.b) for r in O.similar_names(spark.createDataFrame([(n,) for n in names] + [(None,), ("",)], "n string"), "n", least).collect()}
+    assert got == brute_pairs(names, least) and ("éa", "ééa") in brute_pairs(names, 0.8)
 
 
 def test_records(spark):

@@ -140,25 +140,29 @@ def similarity(a: Column, b: Column) -> Column:
 def similar_names(names: DataFrame, column: str, least: float = 0.85) -> DataFrame:
     """``a, b, similarity`` of different names (a before b) that are at least ``least`` similar.
 
-    Pairs are met by shared parts: a name that is ``least`` similar differs in at most ``k`` edits, so
-    of ``k + 1`` parts of the shorter name one stands unchanged in the other, shifted by ``k`` at most.
-    Names are joined on (length of the shorter, part, text), never all with all.
+    Pairs are met by shared parts: two names that are ``least`` similar differ in at most ``k`` edits, by the bytes of the
+    one with more, so of ``k + 1`` parts of the shorter one stands unchanged in the other, shifted by ``k`` at most. Each name knows
+    its own ``k`` only; so a name is cut for every larger one as well that names of a fitting length have. A name too short for
+    ``k + 1`` parts is cut into characters: above 0.75, similar names share one (without any, a character
+    of four bytes gives 0.75 at most). Names are joined on (length of the shorter, edits, part, text), never all with all.
     """
-    own = names.select(F.lower(column).alias("key"), F.col(column).alias("name")).where("name is not null").distinct()
-    own = own.withColumn("len", F.length("key")).withColumn("bytes", F.octet_length("key")).where("len > 0")
+    if not 0.75 < least <= 1:
+        raise ValueError("names that share no character may be 0.75 similar: choose a larger least similarity")
     most = lambda n: F.floor((1 - least) * n + 1e-9).cast("int")
-    # As the shorter name, it is cut for every number of edits that a longer partner may allow.
-    edits = most(F.greatest(F.ceil(F.col("bytes") / least), F.col("bytes")))
-    cuts = own.withColumn("k", edits).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    begin, end = F.floor(F.col("i") * F.col("len") / (F.col("k") + 1)), F.floor((F.col("i") + 1) * F.col("len") / (F.col("k") + 1))
-    cuts = cuts.select("name", "key", "len", "k", "i", begin.cast("int").alias("at"), F.col("key").substr(begin.cast("int") + 1, (end - begin).cast("int")).alias("part"))
-    # As the longer one, it gives the texts at all places where such a part may stand.
-    lens = F.explode(F.sequence(F.greatest(F.lit(1), F.col("len") - most(F.col("bytes"))), F.col("len")))
-    longer = own.select("name", "key", "len", "bytes", lens.alias("short"))
-    shorter_cuts = cuts.select(F.col("len").alias("short"), "k", "i", "at", F.length("part").alias("size")).distinct()
-    places = longer.join(F.broadcast(shorter_cuts), "short").withColumn("from", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k")), F.col("at") + F.col("k"))))
-    places = places.where("size > 0").select(F.col("name").alias("b"), F.col("key").alias("bk"), "short", "k", "i", F.col("key").substr(F.col("from") + 1, F.col("size")).alias("part")).distinct()
-    pairs = cuts.select(F.col("name").alias("a"), F.col("key").alias("ak"), F.col("len").alias("short"), "k", "i", "part").join(places, ["short", "k", "i", "part"]).where("a <> b")
+    own = names.select(F.lower(column).alias("key"), F.col(column).alias("name")).where("name is not null").distinct()
+    own = own.withColumn("len", F.length("key")).where("len > 0").withColumn("own_k", most(F.octet_length("key")))
+    down_to = lambda k: F.explode(F.sequence(F.greatest(F.lit(1), F.col("len") - k), F.col("len")))
+    edits = own.select(down_to(F.col("own_k")).alias("short"), F.col("own_k").alias("k")).distinct()
+    n = F.least(F.col("k") + 1, F.col("short"))
+    begin, end = (F.floor((F.col("i") + x) * F.col("short") / n).cast("int") for x in (0, 1))
+    parts = lambda df: df.where("k >= own_k").withColumn("i", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("at", begin).withColumn("size", end - begin)
+    cuts = parts(own.withColumn("short", F.col("len")).join(edits, "short"))
+    cuts = cuts.select(F.col("name").alias("a"), "short", "k", "i", F.col("key").substr(F.col("at") + 1, F.col("size")).alias("part"))
+    # As the longer one, a name gives the texts at all places where such a part may stand; the shorter has four bytes a character at most.
+    places = parts(own.withColumn("short", down_to(most(4 * F.col("len")))).join(edits, "short").where("len - short <= k"))
+    places = places.withColumn("from", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("k")), F.col("at") + F.col("k"))))
+    places = places.select(F.col("name").alias("b"), "short", "k", "i", F.col("key").substr(F.col("from") + 1, F.col("size")).alias("part")).distinct()
+    pairs = cuts.join(places, ["short", "k", "i", "part"]).where("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.withColumn("similarity", similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)
 
