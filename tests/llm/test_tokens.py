@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -216,11 +217,36 @@ def test_long_text_without_spaces_is_counted():
         assert got[i] == len(lib.encode(text[:i], add_special_tokens=False).ids)
 
 
-def test_special_strings_part_words(monkeypatch):
+HOSTILE = ["2323\r\n\xa0\x1f1Word", "a\x1c\x1d b", " \x1fx", "\u3000\u3000 x", "x\x85\x85 's", "'re 've'll'd '", "!'re", "foo  <|endoftext|>  x", "\n <|endoftext|>", "<|endoftext|", "日本語 テキスト", "e\u0301\u0301 x", "x\u2028 \u2029y", " " * 40 + "z", "\x1f" * 9 + " "]
+PARTS = ["\x1c", "\x1f", "\x1e\x1d", "\xa0", "\u3000", "\x85", " ", "  ", "\n", "\r\n", "\t", "'s", "'re", "'l", "'", "<|endoftext|>", "<|endof", "|>", "Word", "the", " and", "12", "½", "日本", "é", "ß", "😀", "!", "--", "_", "\u200b", "\u0301", "ǅ", "x" * 20]
+
+
+def test_every_prefix_of_hostile_strings():
+    lib, own, rng = library(vocabulary("byte_bpe_50k.json")), prefix.PrefixCounts(vocabulary("byte_bpe_50k.json")), random.Random(5)
+    texts = HOSTILE + ["".join(rng.choices(PARTS, k=rng.randint(1, 9))) for _ in range(10_000)]
+    for t in texts:
+        want = [len(e.ids) for e in lib.encode_batch([t[:i] for i in range(len(t) + 1)], add_special_tokens=False)]
+        assert own.text(t).tolist() == want, repr(t)
+        if rng.random() < 0.01:
+            own.trim(0)
+
+
+def test_special_strings_part_words():
     lib, own = library(vocabulary("byte_bpe_50k.json")), prefix.PrefixCounts(vocabulary("byte_bpe_50k.json"))
-    calls, slow = [], own._slow
-    monkeypatch.setattr(own, "_slow", lambda t: calls.append(t) or slow(t))
     for t in ("日本<|endoftext|>語", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b <|endof", "x\n\n<|endoftext|>\n y!!<|endoftext|>!'s", "日!<|<|endoftext|>'re \n", "本" * 300 + "<|endoftext|>" + "x" * 300):
-        calls.clear()
         assert own.text(t).tolist() == [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)], t
-        assert len(calls) < 8
+
+
+def test_long_words_take_linear_time():
+    own, rng = prefix.PrefixCounts(vocabulary("byte_bpe_50k.json")), np.random.default_rng(1)
+    for low, high in ((0x4E00, 0x9FA5), (0x61, 0x7B), (0xE00, 0xE30)):
+        text = "".join(map(chr, rng.integers(low, high, 30_000)))
+        began = time.process_time()
+        own.text(text)
+        assert time.process_time() - began < 2, (low, time.process_time() - began)
+
+
+def test_counts_of_empty_tables(spark):
+    assert prefix.count_tokens(docs(spark).limit(0)).count() == 0 and prefix.prefix_counts(docs(spark).limit(0)).count() == 0
+    twice = spark.createDataFrame([(7, "two words"), (7, "two words"), (7, None)], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in prefix.count_tokens(twice).collect())[0] == 0 and prefix.count_tokens(twice).count() == 3

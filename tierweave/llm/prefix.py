@@ -8,11 +8,12 @@ counts are the counts at its words' ends plus those inside a word. From them fol
 prefix within a token budget, and the count of any cut, without encoding again.
 
 A prefix that ends in blanks is special: its trailing blanks are one piece, although the whole
-text may split them. Contractions and special strings, which a prefix can break, are counted by
-the library.
+text may split them. So are a contraction and a special string that a prefix breaks: both are plain characters then.
+Where the short patterns do not serve, the library's own splitter says which pieces a text has, once; what a blank is (U+0085 and
+U+00A0 are, U+001C to U+001F are not) is asked of it as well. All work is linear in the text but for the length of the longest entry.
 
 Edge cases: null and empty texts have the one count 0; rows stay one for one, null and repeated
-ids included; columns other than ``doc_id`` and ``text`` are ignored. Prefixes are in code points.
+ids included; columns other than ``doc_id`` and ``text`` are ignored. Prefixes are in code points. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from tierweave.llm.words import BYTE_PIECE, PLAIN, byte_alphabet, cuts, library,
 MOST_PAIRS = 400_000
 #: What the vocabulary's pattern splits off as a piece after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: All characters that Python or the vocabulary's splitter may take for a blank.
+MAYBE_BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 class PrefixCounts:
@@ -48,6 +51,14 @@ class PrefixCounts:
             raise ValueError("prefix counts need a byte-level vocabulary")
         self.vocab = {bytes(alphabet[c] for c in t): i for t, i in model["model"]["vocab"].items()}
         self.longest = max(map(len, self.vocab))
+        # Lengths of the entries that end in each two bytes, the longest first.
+        lengths: dict[bytes, set[int]] = {}
+        for t in self.vocab:
+            lengths.setdefault(t[-2:], set()).add(len(t))
+        self.lengths = {end: sorted(own, reverse=True) for end, own in lengths.items()}
+        self.splitter = library(path).pre_tokenizer
+        # Between letters, two blanks are two pieces; anything else stays together.
+        self.blanks = "".join(c for c in MAYBE_BLANK if c == " " or len(self.splitter.pre_tokenize_str(f"x{c}{c}x")) == 4)
         self.specials = self.words.specials
         self.raw = {i: t for t, i in self.vocab.items()}
         self.apart: dict[int, bool] = {}
@@ -67,15 +78,16 @@ class PrefixCounts:
                 break
             same += 1
         del counts[same + 1 :], last[same + 1 :]
-        get, apart, longest = self.vocab.get, self.apart, self.longest
+        get, apart, longest, lengths = self.vocab.get, self.apart, self.longest, self.lengths
         for i in range(same + 1, len(raw) + 1):
             token = get(raw[:i]) if i <= longest else None
             if token is not None:  # the prefix is an entry: nothing is apart from it
                 counts.append(1)
                 last.append(token)
                 continue
-            for j in range(max(1, i - longest), i):
-                token = get(raw[j:i])
+            for n in (*lengths.get(raw[i - 2 : i], ()), 1):
+                j = i - n
+                token = get(raw[j:i]) if j > 0 else None
                 if token is not None:
                     key = last[j] << 20 | token
                     got = apart.get(key)
@@ -113,9 +125,6 @@ class PrefixCounts:
                 own = self._other(w)
             self.inner[w] = array("H" if max(own, default=0) < 1 << 16 else "i", own)
 
-    def _slow(self, text: str) -> int:
-        return len(library(self.path).encode(text, add_special_tokens=False).ids)
-
     def word(self, word: str) -> array:
         """Counts of ``word[:1]``, ``word[:2]``, ... (a word as ``cuts`` gives it)."""
         if word not in self.inner:
@@ -129,19 +138,22 @@ class PrefixCounts:
         return self.pieces[p]
 
     def _split(self, pieces: list[str]) -> list[int]:
+        """Counts at every prefix of the pieces' text. Blanks that follow one another are one piece while nothing follows them."""
         out: list[int] = []
         before = run_before = 0
-        run = ""
+        run, blanks = "", self.blanks
         for p in pieces:
             own = self._of(p)
-            if p.isspace():
-                run_before, run = (run_before, run + p) if run else (before, p)
-                out += [run_before + k for k in self._of(run)[len(run) - len(p) :]]
+            bare = p.lstrip(blanks)
+            if not bare or p[0] == " ":  # blanks, or a space that the next word takes: a prefix that ends here joins it to the run
+                run_before, run = (run_before if run else before), run + p[: len(p) - len(bare)]
+                out += [run_before + k for k in self._of(run)[len(run) - (len(p) - len(bare)) :]]
+                own_rest = own[len(p) - len(bare) :]
             else:
+                own_rest = [1, *[2] * (len(p) - 2), own[-1]] if p[0] == "'" and p[1:] in CONTRACTIONS else own
+            if bare:
                 run = ""
-                if p[0] == "'" and p[1:] in CONTRACTIONS:
-                    own = [1, *[2] * (len(p) - 2), own[-1]]
-                out += [before + k for k in own]
+                out += [before + k for k in own_rest]
             before += own[-1]
         return out
 
@@ -160,27 +172,21 @@ class PrefixCounts:
         return out
 
     def _plain(self, text: str) -> list[int]:
-        """By pieces, if that gives the library's count; else prefix by prefix."""
-        import regex
-        from public_tokenizers import PATTERN
-
-        got = self._split(regex.findall(PATTERN, text))
-        if len(got) == len(text) and (not got or got[-1] == self._slow(text)):
-            return got
-        return [self._slow(text[: i + 1]) for i in range(len(text))]
+        """By the pieces that the library's splitter gives."""
+        return self._split([text[low:high] for _, (low, high) in self.splitter.pre_tokenize_str(text)])
 
     def text(self, text: str) -> np.ndarray:
         """``counts[i]``: the tokens of the first ``i`` code points of ``text``."""
-        out, before, last = [np.zeros(1, np.int64)], 0, ""
+        out, before, run_before, run = [np.zeros(1, np.int64)], 0, 0, ""
         for w in cuts(text):
             own = np.array(self.word(w), np.int64) + before
             total = int(own[-1])
-            if last[-1:].isspace() and w[0] == " ":  # cut after the space, the blanks before it and it are one piece
-                own[0] = self._blanks_from + self._of(last[len(last.rstrip()) :] + " ")[-1]
-            kept = len(w.rstrip())
-            self._blanks_from = int(own[kept - 1]) if kept else before
+            if run and w[0] == " ":  # cut after the space, the blanks before it and it are one piece
+                own[0] = run_before + self._of(run + " ")[-1]
+            kept = len(w.rstrip(self.blanks))
+            run_before, run = int(own[kept - 1]) if kept else before, w[kept:]
             out.append(own)
-            before, last = total, w
+            before = total
         return np.concatenate(out)
 
     def trim(self, most: int = 500_000) -> None:
