@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierweave.functions import domains as D
+from tierweave.functions import fixed_values as V
 from tierweave.functions import orgs as O
 from tierweave.functions import records as R
 
@@ -46,6 +47,28 @@ def test_registry_suffixes_of_the_list(spark):
     assert column(spark, kept, D.is_non_registrable) == [False, False, False, False, True, True]
 
 
+def test_every_rule_by_definition(spark):
+    from tierweave.functions import suffixes
+
+    rules = suffixes.rules()
+
+    def labels(name):
+        own = name.split(".")
+        fits = [(".".join(own[i:]), len(own) - i) for i in range(len(own))]
+        exceptions = [n - 1 for tail, n in fits if "!" + tail in rules]
+        return max(exceptions, default=0) or max([n for tail, n in fits if tail in rules or n > 1 and "*." + tail.partition(".")[2] in rules], default=0)
+
+    names = [f"{x}{r.lstrip('*!.')}" for r in sorted(rules) for x in ("", "a.", "b-1.a.", "x.www.")] + ["unknown.zone", "a.b.unknownzone", "x..com", "com", "a.b.c.d.e.co.uk"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").repartition(4)
+    got = {r.n: (r.s, r.b, r.l) for r in df.select("n", D.registry_suffix(F.col("n")).alias("s"), D.base_domain(F.col("n")).alias("b"), D.registrable_label(F.col("n")).alias("l")).collect()}
+    for n in set(names):
+        own, k = n.split("."), labels(n)
+        suffix, label = ".".join(own[-k:]) if k else None, own[-k - 1] if 0 < k < len(own) else None
+        base = n if len(own) == 1 else ".".join(own[-(k + 1 if k else 2) :])
+        plain = not n.startswith(tuple(V.TECHNICAL_PREFIXES))
+        assert got[n][::2] == (suffix, label or None) and (got[n][1] == base or not plain), n
+
+
 def test_another_suffix_list(spark, tmp_path):
     from tierweave.functions import suffixes
 

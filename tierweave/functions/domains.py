@@ -12,8 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tierweave.functions import fixed_values as V
+from tierweave.functions import suffixes
 from tierweave.functions.binding import let
-from tierweave.functions.suffixes import suffix_labels
 
 
 def _last(labels: Column, n: int | Column) -> Column:
@@ -32,26 +32,16 @@ def strip_technical_prefix(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "^(?:" + "|".join(p.replace(".", r"\.") for p in V.TECHNICAL_PREFIXES) + ")", "")
 
 
-def _parts(name: Column, body) -> Column:
-    """``body(labels, size, suffix labels)`` of a lower-cased name."""
-    return let(F.split(name, r"\."), lambda labels: let(suffix_labels(labels), lambda n: body(labels, F.size(labels), n)))
-
-
 def base_domain(c: Column) -> Column:
     """The registrable domain below a registry suffix; addresses whole, else the last two labels.
 
     Single labels and bare suffixes come back as they are. Null gives null.
     """
-
-    def found(cleaned: Column, name: Column) -> Column:
-        own = lambda labels, size, n: F.when(is_ip(name), name).when((n > 0) & (size > n), _last(labels, n + 1)).when((n > 0) & (size == n), cleaned).when(size <= 2, name).otherwise(_last(labels, 2))
-        return _parts(name, own)
-
-    def whole(cleaned: Column) -> Column:
-        named = let(F.regexp_replace(F.trim(cleaned), r"\.+$", ""), lambda name: F.when(name == "", "").otherwise(found(cleaned, name)))
-        return let(named, lambda x: F.when(F.instr(x, ".") > 0, x).when(F.instr(cleaned, ".") > 0, F.when(x == "", F.lower(c)).otherwise(cleaned)).otherwise(F.lower(c)))
-
-    return let(strip_technical_prefix(c), whole)
+    cleaned = strip_technical_prefix(c)
+    name = F.regexp_replace(F.trim(cleaned), r"\.+$", "")
+    known = rf"^(?:{suffixes.pattern()}(?:[^.]*\.)?|[^.]*\.(?:[^.]*\.)?)"
+    base = F.when(is_ip(name), name).otherwise(F.substring(F.reverse(F.regexp_extract(suffixes.backwards(name), known, 0)), 2, 1 << 20))
+    return F.when(F.instr(name, ".") > 0, base).when((F.instr(cleaned, ".") > 0) & (name != ""), cleaned).otherwise(F.lower(c))
 
 
 def _plain(c: Column) -> Column:
@@ -59,13 +49,14 @@ def _plain(c: Column) -> Column:
 
 
 def registry_suffix(c: Column) -> Column:
-    return let(_plain(c), lambda name: _parts(name, lambda labels, size, n: F.when(~is_ip(name) & (n > 0), _last(labels, n))))
+    name = _plain(c)
+    return F.when(~is_ip(name), F.nullif(suffixes.taken(name, ""), F.lit("")))
 
 
 def registrable_label(c: Column) -> Column:
     """The label that a registrant chose; null for addresses and bare or unknown suffixes."""
-    label = lambda name: F.nullif(F.trim(F.element_at(F.split(base_domain(name), r"\."), 1)), F.lit(""))
-    return let(_plain(c), lambda name: _parts(name, lambda labels, size, n: F.when(~is_ip(name) & (n > 0) & (size > n), label(name))))
+    name = _plain(c)
+    return F.when(~is_ip(name), F.nullif(F.trim(suffixes.below(name)), F.lit("")))
 
 
 def lookup_base_domain(c: Column) -> Column:
@@ -130,8 +121,8 @@ def is_resolvable_name(c: Column) -> Column:
 
 def is_non_registrable(c: Column) -> Column:
     """Not a public host: empty, not a plain name, without a dot, or under no known suffix (private ones count as known)."""
-    unknown = lambda host: suffix_labels(F.split(_plain(host), r"\."), private=True) == 0
-    return let(F.trim(c), lambda host: (host == "") | host.rlike(r"[/:?# \t@]") | ~host.contains(".") | unknown(host))
+    host = F.trim(c)
+    return (host == "") | host.rlike(r"[/:?# \t@]") | ~host.contains(".") | ~suffixes.is_known(_plain(host))
 
 
 def normalize_for_lookup(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tierweave.functions import fixed_values as V
 from tierweave.functions.binding import let
 from tierweave.functions.domains import base_domain, registrable_label
-from tierweave.functions.suffixes import is_listed
+from tierweave.functions.suffixes import is_listed, is_top_level
 
 SPACES = r"[\s\u0085  -     　]+"
 
@@ -36,7 +36,7 @@ def strip_domain_ending(c: Column) -> Column:
         def cut_(one: Column) -> Column:
             fit = (F.size(labels) > 1) & ~name.rlike(r"\s") & (F.octet_length(one) >= 2) & ~one.endswith(".") & (tail(1) != "")
             compound = (F.size(labels) > 2) & (F.octet_length(head(2)) >= 2) & is_listed(tail(2))
-            return F.when(~fit, name).when(compound, head(2)).when(is_listed(tail(1)), one).otherwise(name)
+            return F.when(~fit, name).when(compound, head(2)).when(is_top_level(tail(1)), one).otherwise(name)
 
         return let(head(1), cut_)
 

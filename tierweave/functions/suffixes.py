@@ -1,28 +1,25 @@
-"""Public suffixes: a list of registries' and platforms' suffixes, as a constant that expressions look into.
+"""Public suffixes: a list of registries' and platforms' suffixes, as one pattern that expressions match.
 
 The list is the one that comes with Spark's own HTTP client, unless another file is given to
 ``use_list``. All its rules count: plain ones, wildcards (``*.ck``) and exceptions (``!www.ck``), and
 both sections, registries (``ICANN``) and platforms (``PRIVATE``).
 
-The rules (about 10,000, some 200 kB) lie in buckets by CRC-32, as an array literal that the optimizer
-folds; a lookup is one hash and a bucket of two or three texts, inside the JVM.
+The rules (about 8,000 of registries) become a pattern over the reversed name, shared beginnings written once: a match takes some
+hundred steps whatever the number of rules, in generated code, and a use costs the plan one text of some 70 kB. The longest rule
+that fits counts, an exception before a wildcard.
 """
 
 from __future__ import annotations
 
 import glob
-import json
 import os
+import re
 import zipfile
-import zlib
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tierweave.functions.binding import let
-
-BUCKETS = 4096
 _chosen: str | None = None
 
 
@@ -69,34 +66,77 @@ def rules(private: bool = False) -> frozenset[str]:
     return icann | own if private else icann
 
 
+def _joined(words: dict[str, str]) -> str:
+    """A pattern of words, each with what follows it; shared beginnings are written once, longer words stand first."""
+    by: dict[str, dict[str, str]] = {}
+    for w, then in words.items():
+        by.setdefault(w[:1], {})[w[1:]] = then
+    out = [(re.escape(c) + _joined(own) if c else own[""]) for c, own in sorted(by.items(), reverse=True)]
+    return out[0] if len(out) == 1 else "(?:" + "|".join(out) + ")"
+
+
 @lru_cache(maxsize=8)
-def _buckets(path: str | None, private: bool) -> tuple[str, int]:
-    own = rules(private)
-    out: list[list[str]] = [[] for _ in range(BUCKETS)]
-    for r in sorted(own):
-        out[zlib.crc32(r.encode()) % BUCKETS].append(r)
-    return json.dumps(out, ensure_ascii=False), max((r.count(".") + 1 for r in own), default=1)
+def _pattern(path: str | None, private: bool) -> str:
+    """The pattern of a suffix at the beginning of a reversed name; a dot ends every label, the last one too."""
+    tree: dict = {}
+    for r in rules(private):
+        node = tree
+        for label in reversed(r.lstrip("!").split(".")):
+            node = node.setdefault(label[::-1], {})
+        node["!" if r.startswith("!") else ""] = {}
+
+    def label(node: dict) -> str:
+        """What follows a label: its dot, and the rules below it."""
+        below = {k: v for k, v in node.items() if k not in ("", "!")}
+        tries = ["(?=" + re.escape(k) + r"\.)" for k, v in sorted(below.items()) if "!" in v]
+        if named := {k: label(v) for k, v in below.items() if k != "*" and "!" not in v}:
+            tries.append(_joined(named))
+        if "*" in below:
+            tries.append("[^.]+" + label(below["*"]))
+        return r"\." + ("(?:" + "|".join(tries) + ")" + "?" * ("" in node) if tries else "")
+
+    return _joined({k: label(v) for k, v in tree.items()}) if tree else "(?!)"
+
+
+def pattern(private: bool = False) -> str:
+    return "(?>" + _pattern(_chosen, private) + ")"
 
 
-def suffix_labels(labels: Column, private: bool = False) -> Column:
-    """How many of a lower-cased name's labels are its public suffix; 0 where no rule names one."""
-    text, longest = _buckets(_chosen, private)
+def backwards(name: Column) -> Column:
+    """The reversed name with a dot after its last label: what the patterns read."""
+    return F.concat(F.reverse(name), F.lit("."))
+
+
+def taken(name: Column, more: str, private: bool = False) -> Column:
+    """Of a lower-cased name, its public suffix and what the pattern ``more`` reads in the reversed name before it; empty where they do not fit."""
+    return F.substring(F.reverse(F.regexp_extract(backwards(name), "^" + pattern(private) + more, 0)), 2, 1 << 20)
+
+
+def below(name: Column) -> Column:
+    """The label before a lower-cased name's public suffix; empty without one."""
+    return F.reverse(F.regexp_extract(backwards(name), "^" + pattern() + r"([^.]*)\.", 1))
+
+
+@lru_cache(maxsize=4)
+def _heads(path: str | None) -> tuple[str, str]:
+    """Of all rules those that no shorter rule begins, one label and more: together they say whether any rule fits."""
+    every = rules(True)
+    heads = sorted(r for r in every if not r.startswith("!") and not any(".".join(r.split(".")[i:]) in every for i in range(1, r.count(".") + 1)))
+    return "|".join(r for r in heads if "." not in r), "|".join(re.escape(r).replace(r"\*", "[^.]+") for r in heads if "." in r)
 
-    def of(table: Column) -> Column:
-        def has(rule: Column) -> Column:
-            return F.coalesce(F.array_contains(F.get(table, (F.crc32(rule) % BUCKETS).cast("int")), rule), F.lit(False))
 
-        def scores(names: Column) -> Column:
-            wild = lambda i: (i > 0) & has(F.concat(F.lit("*."), F.coalesce(F.get(names, i - 1), F.lit(""))))
-            each = F.transform(names, lambda s, i: F.when(has(s), i + 1).when(wild(i), F.when(has(F.concat(F.lit("!"), s)), i + 100).otherwise(i + 1)).otherwise(0))
-            return let(F.array_max(each), lambda m: F.when(m >= 100, m - 100).otherwise(m).cast("int"))
+def is_known(name: Column) -> Column:
+    """Some rule of either section fits the lower-cased name."""
+    more = _heads(_chosen)[1]
+    return is_top_level(F.substring_index(name, ".", -1)) | name.rlike(rf"(?:^|\.)(?:{more or '(?!)'})$")
 
-        tails = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(labels), F.lit(longest)), F.lit(1))), lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), "."))
-        return let(tails, scores)
 
-    return let(F.from_json(F.lit(text), "array<array<string>>"), of)
+def is_top_level(name: Column) -> Column:
+    """A lower-cased name of one label that is itself a suffix."""
+    one = _heads(_chosen)[0]
+    return (name != "") & ~name.contains(".") & ~name.contains("|") & (F.instr(F.lit(f"|{one}|"), F.concat(F.lit("|"), name, F.lit("|"))) > 0)
 
 
-def is_listed(c: Column) -> Column:
+def is_listed(name: Column) -> Column:
     """The lower-cased name is itself a suffix of either section."""
-    return let(F.split(c, r"\."), lambda labels: (c != "") & (suffix_labels(F.concat(F.array(F.lit("x")), labels), private=True) == F.size(labels)))
+    return F.regexp_extract(F.concat(backwards(name), F.lit("x.")), "^" + pattern(private=True) + r"x\.$", 0) != ""

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tierweave.functions import domains as D
 from tierweave.functions import fixed_values as V
 from tierweave.functions import orgs as O
+from tierweave.functions import suffixes
 from tierweave.functions.binding import let
-from tierweave.functions.suffixes import is_listed, suffix_labels
 
 
 def page_urls(domains: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def page_urls(domains: DataFrame) -> DataFrame:
 
 def is_valid_suffix(c: Column) -> Column:
     """A top-level name that the public-suffix list holds."""
-    return ~c.contains(".") & is_listed(F.lower(c))
+    return suffixes.is_top_level(F.lower(c))
 
 
 def is_common_word(c: Column) -> Column:
@@ -54,9 +54,8 @@ def is_valid_vendor_domain(c: Column) -> Column:
     placeholders = [f"{x}.{y}" for x in V.PLACEHOLDER_LABELS for y in ("com", "net", "org")]
 
     def of(name: Column) -> Column:
-        last = lambda labels, n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n, F.lit(1)), n + 1), ".")
-        good = lambda base: (F.instr(base, ".") > 3) & ~base.isin(*placeholders)
-        return name.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$") & let(F.split(name, r"\."), lambda labels: let(suffix_labels(labels), lambda n: (n > 0) & (F.size(labels) > n) & good(last(labels, n))))
+        named = let(suffixes.taken(name, r"[^.]{3,}\."), lambda base: (base != "") & ~base.isin(*placeholders))
+        return name.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$") & named
 
     return F.coalesce(let(F.lower(F.trim(c)), of), F.lit(False))
 
@@ -109,11 +108,7 @@ def filter_results(found: DataFrame, known: DataFrame | None = None) -> DataFram
     rows = rows.withColumn("domain", F.lower(F.coalesce("_known", F.regexp_replace("domain", "^_org:", ""))))
 
     def keep(name: Column) -> Column:
-        def below(labels: Column) -> Column:
-            own = lambda n: F.coalesce(F.try_element_at(labels, -(n + 1)), F.lit(""))
-            return let(suffix_labels(labels), lambda n: (n > 0) & (F.size(labels) > n) & ~is_common_word(own(n)) & ~is_garbled(own(n)))
-
-        return name.contains(".") & ~name.rlike(r"\s") & let(F.split(name, r"\."), below)
+        return name.contains(".") & ~name.rlike(r"\s") & let(suffixes.below(name), lambda own: (own != "") & ~is_common_word(own) & ~is_garbled(own))
 
     return rows.where(F.col("_known").isNotNull() | keep(F.col("domain"))).select(*columns)
 
