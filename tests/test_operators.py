@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from tierweave.operators import attribution, registry, relations, review, trust, txt, web
+from tierweave.operators import attribution, listings, registry, relations, review, trust, txt, web
+from tierweave.operators import nodes as N
 from tierweave.plans import graph
 from tierweave.sources import readers, writers
 
@@ -89,8 +90,9 @@ def test_attribution_order(spark):
 def test_tables_and_lists(spark):
     html = "<table><tr><th>Entity Name</th><th>Where</th></tr><tr><td>Stripe</td><td>US</td></tr></table><ul><li><strong>Zendesk</strong> help</li></ul>"
     pages = spark.createDataFrame([("u", html), ("v", "<table></table>"), ("w", None)], "url string, html string")
-    assert [r.name for r in trust.table_subprocessors(pages).collect()] == ["Stripe"]
-    assert [r.name for r in trust.list_subprocessors(pages).collect()] == ["Zendesk"]
+    nodes = N.page_nodes(pages)
+    assert [r.name for r in listings.tables(nodes).collect()] == ["Stripe"]
+    assert [r.name for r in listings.lists(nodes).collect()] == ["Zendesk"]
 
 
 def test_overrides(spark):

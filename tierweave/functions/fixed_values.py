@@ -229,6 +229,8 @@ ROW_MARKERS = (
 )
 
 # --- Fixed values: trust centers. Patterns of data that pages embed, with the least length of what they hold. ---
+#: Public address of a vendor report, before its slug.
+REPORT_ADDRESS = "https://api.conveyor.com/public/public_vendor_reports/by_slug?slug="
 NEXT_DATA = r"""(?s)<script\s+id="__NEXT_DATA__"[^>]*>(.*?)</script>"""
 JSON_SCRIPT = r"""(?is)<script[^>]*type="application/json"[^>]*>(.*?)</script>"""
 BASE64_BLOBS = (r'''data-[a-z-]+="([A-Za-z0-9+/=]{200,})"''', r'''atob\s*\(\s*["']([A-Za-z0-9+/=]{200,})["']\s*\)''', r'''(?:var|let|const)\s+\w+\s*=\s*["']([A-Za-z0-9+/=]{200,})["']''')

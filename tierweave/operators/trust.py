@@ -128,32 +128,6 @@ def domain_of(text: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(host), r"^www\.", ""), F.lit(""))
 
 
-def with_assets(items: DataFrame, assets: DataFrame) -> DataFrame:
-    """Items whose ``canonical_asset_id`` names an asset get its name and website. ``assets(canonical_asset_id, name, website)``."""
-    own = assets.select("canonical_asset_id", F.col("name").alias("_n"), F.col("website").alias("_w"))
-    return items.join(own, "canonical_asset_id", "left").withColumn("name", F.coalesce("_n", "name")).withColumn("website", F.coalesce("_w", "website")).drop("_n", "_w")
-
-
-def table_subprocessors(pages: DataFrame) -> DataFrame:
-    """``page_url, name, evidence``: the first cells of the rows of tables whose heading names vendors."""
-    tables = pages.select(F.col("url").alias("page_url"), F.posexplode(F.regexp_extract_all("html", F.lit("(?is)<table[^>]*>(.*?)</table>"), F.lit(1))).alias("t", "table"))
-    rows = tables.select("page_url", "t", F.posexplode(F.regexp_extract_all("table", F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("r", "row"))
-    text = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
-    cells = rows.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit("(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), text)).where(F.size("cells") > 0)
-    head = cells.groupBy("page_url", "t").agg(F.min_by("cells", "r").alias("head"), F.min("r").alias("top"))
-    wanted = F.transform("head", lambda h: F.lower(h).rlike("entity|vendor|subprocessor|company|name|provider"))
-    both = cells.join(head, ["page_url", "t"]).withColumn("col", F.array_position(wanted, F.lit(True))).where("col > 0 and r > top")
-    name = F.try_element_at("cells", F.col("col").cast("int"))
-    return both.where(F.octet_length(name) >= 2).select("page_url", name.alias("name"), F.array_join("cells", " | ").alias("evidence"))
-
-
-def list_subprocessors(pages: DataFrame) -> DataFrame:
-    """``page_url, name, evidence``: the set-off names of list items."""
-    items = pages.select(F.col("url").alias("page_url"), F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<li[^>]*>\s*(<(?:strong|b)[^>]*>.*?)</li>"), F.lit(1))).alias("item"))
-    name = F.trim(F.regexp_replace(F.regexp_extract("item", "(?is)<(?:strong|b)[^>]*>(.*?)</(?:strong|b)>", 1), "<[^>]*>", ""))
-    return items.select("page_url", name.alias("name"), F.trim(F.regexp_replace("item", "<[^>]*>", "")).alias("evidence")).where(F.octet_length("name") >= 2)
-
-
 def resolve_names(found: DataFrame, known: DataFrame) -> DataFrame:
     """``_org:`` rows get the domain of a known organization; those without one and without a dot go. ``known(organization, domain)`` is broadcast."""
     own = known.groupBy(F.lower("organization").alias("_k")).agg(F.min("domain").alias("_d"))

@@ -61,7 +61,7 @@ def from_parents(domains: DataFrame) -> DataFrame:
 
 def unite(*phases: DataFrame) -> DataFrame:
     """All phases' facts: per target one of each base domain, source and record, under the base domain."""
-    every = reduce(DataFrame.unionByName, [p.select(*SHAPE) for p in phases])
+    every = graph.committed(reduce(DataFrame.unionByName, [p.select(*SHAPE) for p in phases]).where("target is not null and domain is not null"), "scan-phases")
     return every.withColumn("domain", D.base_domain(F.col("domain"))).where("target is not null and domain is not null").distinct()
 
 
@@ -72,6 +72,7 @@ def report(roots: DataFrame, facts: DataFrame, names: DataFrame, max_depth: int
     followed at most ``max_depth`` layers deep, and common infrastructure is not followed. ``names(domain, organization)`` says who
     stands behind a domain (``attribution.attribute``); a domain without one stands for itself.
     """
+    facts = graph.committed(facts, "scan-observed")  # what follows reads plain columns, not the expressions that made them
     own = graph.committed(facts.where(~D.is_non_registrable(F.col("domain")) & ~D.same_organization(F.col("domain"), F.col("target"))), "scan-facts")
     edges = own.select(F.col("target").alias("customer"), F.col("domain").alias("vendor"))
     reached = graph.layers(roots, edges, max_depth=max_depth - 1, stop_at_infrastructure=True)

@@ -16,8 +16,9 @@ from tierweave.functions import fixed_values as V
 from tierweave.functions import orgs as O
 from tierweave.functions import records as RT
 from tierweave.functions import suffixes
-from tierweave.operators import attribution, registry, relations, review, subprocessors, trust, txt, web
-from tierweave.plans import graph, scan
+from tierweave.operators import attribution, registry, relations, review, subprocessors, trust, trust_api, txt, web
+from tierweave.operators import nodes as N
+from tierweave.plans import disclosures, graph, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -497,7 +498,7 @@ def subprocessor_urls(spark, sf_dir):
 @query("""WITH facts AS (SELECT 'nation' || n_nationkey || '.org' AS t, 'region' || n_regionkey || '.com' AS d, 'DNS::TXT::SPF' AS k, 'v=spf1 include:_spf.region' || n_regionkey || '.com ~all' AS r FROM nation UNION ALL
  SELECT 'nation' || s_nationkey || '.org', 'supplier' || s_suppkey || '.net', 'DISCOVERY::CT_LOG', 'Certificate ' || s_suppkey || ': www.supplier' || s_suppkey || '.net' FROM supplier UNION ALL
  SELECT 'region' || r_regionkey || '.com', 'tenants.io', 'DISCOVERY::SAAS_TENANT', 'Tenant URL: https://region' || r_regionkey || '.tenants.io (Confirmed) | workspace' FROM region UNION ALL
- SELECT 'supplier' || s_suppkey || '.net', 'amazonaws.com', 'HTTP::SUBPROCESSOR', 'hosting' FROM supplier UNION ALL SELECT 'supplier' || s_suppkey || '.net', 'pixel' || (s_suppkey % 7) || '.io', 'DISCOVERY::WEBPAGE_SOURCE', 'HTML script src reference: https://cdn.pixel' || (s_suppkey % 7) || '.io/x.js' FROM supplier),
+ SELECT 'supplier' || s_suppkey || '.net', 'amazonaws.com', 'HTTP::SUBPROCESSOR', 'Amazon Web Services (amazonaws.com) - hosting' FROM supplier UNION ALL SELECT 'supplier' || s_suppkey || '.net', 'pixel' || (s_suppkey % 7) || '.io', 'DISCOVERY::WEBPAGE_SOURCE', 'HTML script src reference: https://cdn.pixel' || (s_suppkey % 7) || '.io/x.js' FROM supplier),
  names AS (SELECT 'nation' || n_nationkey || '.org' AS d, n_name AS o FROM nation UNION ALL SELECT 'region' || r_regionkey || '.com', r_name FROM region)
  SELECT root, customer, vendor, layer, k AS kind, coalesce(v.o, vendor) AS vendor_organization, coalesce(c.o, customer) AS customer_organization, r AS evidence FROM (
  SELECT 'nation' || n_nationkey || '.org' AS root, t AS customer, facts.d AS vendor, 1 AS layer, k, r FROM nation JOIN facts ON t = 'nation' || n_nationkey || '.org' UNION ALL
@@ -513,7 +514,8 @@ def scan_report(spark, sf_dir):
     url = F.concat(F.lit("https://region"), "r_regionkey", F.lit(".tenants.io"))
     status = F.explode(F.array(F.lit("Confirmed"), F.lit("Unknown")))
     tenants = t("region").select(region("r_regionkey").alias("domain"), F.lit("tenants.io").alias("vendor_domain"), F.lit("Tenants").alias("platform"), url.alias("url"), status.alias("status"), F.lit("workspace").alias("evidence"))
-    found = t("supplier").select(supplier.alias("target"), F.explode(F.array(F.lit("amazonaws.com"), F.lit("_org:Nobody Knows Ltd"))).alias("domain"), F.lit("hosting").alias("evidence"))
+    listed = F.lit("<h2>Subprocessors</h2><ul><li>Amazon Web Services (amazonaws.com) - hosting</li><li>Nobody Knows Ltd - nothing</li></ul>")
+    found = disclosures.phase(t("supplier").select(supplier.alias("domain")), t("supplier").select(F.concat(F.lit("https://"), supplier, F.lit("/legal/subprocessors")).alias("url"), listed.alias("html")))
     html = F.concat(F.lit('<script src="https://cdn.pixel'), F.col("s_suppkey") % 7, F.lit('.io/x.js"></script>'))
     pages = t("supplier").select(F.concat(F.lit("https://www."), supplier, F.lit("/")).alias("url"), html.alias("html"))
     facts = scan.unite(scan.from_txt(answers), scan.from_certificates(entries), scan.from_tenants(tenants), scan.from_subprocessors(found), scan.from_web(pages))
@@ -525,6 +527,74 @@ def scan_report(spark, sf_dir):
     )
 
 
+@query("""WITH n AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav, html FROM pages), l AS (SELECT page_id, unnest(regexp_extract_all(nav, '<li><a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(nav, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS text FROM n),
+ c AS (SELECT page_id, href, trim(regexp_replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM l)
+ SELECT page_id, 'nav ul > li a' AS selector, replace(replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS href, text, COUNT(*) AS n FROM c GROUP BY ALL
+ UNION ALL SELECT page_id, 'head > meta[charset=''utf-8'']', NULL, '', len(regexp_extract_all(html, '<meta charset="utf-8">')) FROM pages WHERE html LIKE '%<meta charset="utf-8">%'""")
+def page_nodes(spark, sf_dir):
+    """Links of every page's navigation, and its statement of its character set, by selectors over the node table."""
+    p = table(spark, sf_dir, "pages")
+    ids = p.select("page_id", F.concat(F.lit("https://p"), "page_id", F.lit(".org/")).alias("page_url"), "html")
+    rules = spark.createDataFrame([(None, "nav ul > li a"), (None, "head > meta[charset='utf-8']")], "host string, selector string")
+    found = N.select(graph.committed(N.page_nodes(ids.select(F.col("page_url").alias("url"), "html")), "page-nodes"), rules).join(ids.select("page_id", "page_url"), "page_url")
+    return found.groupBy("page_id", "selector", F.try_element_at("attributes", F.lit("href")).alias("href"), "text").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k FROM supplier), t AS (SELECT unnest([1, 2, 3]) AS i),
+ f AS (SELECT k, 'table' AS method, 'vendor' || k || '.io' AS domain, 'Vendor' || k || ' Inc. (vendor' || k || '.io) | Hosting' AS evidence FROM s WHERE k % 6 IN (0, 2) UNION ALL
+ SELECT k, 'table', 'known' || (k % 5) || '.com', 'Other' || k || ' GmbH (d/b/a Known Org ' || (k % 5) || ') | Mail' FROM s WHERE k % 6 IN (0, 2) UNION ALL
+ SELECT k, 'list', 'alpha' || k || '.io', 'Alpha' || k || ' - cloud via alpha' || k || '.io' FROM s WHERE k % 6 = 1 UNION ALL
+ SELECT k, 'custom', 'mapped' || k || '.com', 'Loom' || k || ', Inc. (Atlassian)' FROM s WHERE k % 6 = 3 UNION ALL
+ SELECT k, 'trust_center', 'entry' || k || 'x' || i || '.com', 'Entry ' || i || ' | purpose ' || i || ' | US' FROM s, t WHERE k % 6 = 4)
+ SELECT 's' || k || '.com' AS target, domain, method, evidence FROM f""")
+def subprocessor_phase(spark, sf_dir):
+    """Every supplier's disclosure, in one of six forms, behind the html of a given page: tables, lists, own rules, a trust center, none."""
+    k, s = F.col("s_suppkey"), table(spark, sf_dir, "supplier").select("s_suppkey")
+    t = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))
+    key = k.cast("string")
+    html = table(spark, sf_dir, "pages").select("page_id", "html")
+    n = html.agg(F.max("page_id") + 1).first()[0]
+    rows = t("<table><tr><th>Purpose</th></tr><tr><td>Nothing (nothing", key, ".com)</td></tr></table><table class='t'><tr><th>Entity Name</th><th>Purpose</th></tr><tr><td>Vendor", key, " Inc. (vendor", key, ".io)</td><td>Hosting</td></tr><tr><td>Other", key, " GmbH (d/b/a Known Org ", (k % 5).cast("string"), ")<td>Mail</table>")
+    listed = t("<h2>Our Subprocessors</h2><ul><li>Alpha", key, " - cloud via alpha", key, ".io</li><li>Nobody Heard ", key, " - nothing</li></ul><h2>Values</h2><ul><li>Value", key, " - see value", key, ".com</li></ul>")
+    own = t("<div class='row'><span>Loom", key, ", Inc. (Atlassian)</span><span>Support</span></div>", rows)
+    entries = F.to_json(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(F.struct(t("Entry ", i.cast("string")).alias("name"), t("https://www.entry", key, "x", i.cast("string"), ".com/a").alias("domain")).alias("company"), t("purpose ", i.cast("string")).alias("purpose"), F.lit("US").alias("location"))))
+    hidden = F.replace(entries, F.lit("entry"), F.lit("hidden"))
+    center = t('<script>window.__SB_CONFIG__={}</script><script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"orgInfo":{"sp":{"products":{"p0":{"show":false,"raw":{"spData":{"items":{"i":{"listEntries":', hidden, '}}}}},"p1":{"slug":"main","raw":{"spData":{"items":{"i-1":{"listEntries":', entries, "}}}}}}}}}}}</script>")
+    form = k % 6
+    block = F.when(form.isin(0, 2), rows).when(form == 1, listed).when(form == 3, own).when(form == 4, center)
+    on = lambda path, body: s.where(body.isNotNull()).select((k % n).alias("page_id"), t("https://s", key, ".com", path).alias("url"), body.alias("block")).join(html, "page_id").select("url", F.concat(F.coalesce("html", F.lit("")), "block").alias("html"))
+    pages = on("/legal/subprocessors", block).unionByName(on("/subprocessors", F.when(form == 2, listed)))
+    host = t("s", key, ".com")
+    of = s.where(form == 3)
+    rules = disclosures.Rules(
+        of.select(host.alias("host"), F.lit("div.row > span:first-child").alias("selector"), F.lit(None).cast("string").alias("attribute"), F.lit("trim").alias("transform")),
+        spark.createDataFrame([], "host string, pattern string, capture int"), of.select(host.alias("host"), F.explode(F.map_from_arrays(F.array(t("loom", key), F.lit("atlassian")), F.array(t("mapped", key, ".com"), F.lit("atlassian.com")))).alias("name", "domain")),
+        spark.createDataFrame([], "host string, pattern string"), of.select(host.alias("host")),
+    )
+    known = spark.createDataFrame([(f"Known Org {i}, LLC", f"known{i}.com") for i in range(5)], "organization string, domain string")
+    found = disclosures.phase(s.select(host.alias("domain")), pages, rules=rules, known=known)
+    return subprocessors.filter_results(found, known).select("target", "domain", "method", "evidence")
+
+
+@query("""WITH s AS (SELECT s_nationkey AS n, s_suppkey AS k, s_name FROM supplier), big AS (SELECT n FROM s GROUP BY n HAVING COUNT(*) >= 3)
+ SELECT 'https://n' || n || '.com/trust' AS page_url, CASE k % 4 WHEN 1 THEN '_org:' || s_name ELSE 's' || k || '.com' END AS domain, s_name AS name, s_name || ' | use ' || k AS evidence FROM s WHERE n IN (SELECT n FROM big) AND k % 4 <> 3""")
+def trust_reports(spark, sf_dir):
+    """Each nation's suppliers as a report with assets beside it; even nations answer by their public address, odd ones in the page."""
+    s, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string")
+    entry = F.struct(F.concat(F.lit("a"), key).alias("canonical_asset_id"), F.concat(F.lit("use "), key).alias("description"))
+    asset = F.when(F.col("s_suppkey") % 4 != 3, F.struct(F.concat(F.lit("a"), key).alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 4 != 1, F.concat(F.lit("https://www.s"), key, F.lit(".com/"))).alias("website")))
+    both = s.groupBy("s_nationkey").agg(F.collect_list(entry).alias("subprocessors"), F.collect_list(asset).alias("canonical_assets"))
+    body = F.to_json(F.struct(F.struct("subprocessors", "canonical_assets").alias("_embedded")))
+    own = both.select(F.col("s_nationkey").cast("string").alias("n"), (F.col("s_nationkey") % 2 == 0).alias("even"), body.alias("body"))
+    # In the page of an even nation the assets are cut off: only the address gives their names.
+    inside = F.when(F.col("even"), F.regexp_replace("body", ',"canonical_assets".*$', "}}")).otherwise(F.col("body"))
+    html = F.concat(F.lit('<script>window.CANONICAL_ASSET = {"slug":"n'), "n", F.lit('","x":"}"};window.VENDOR_REPORT = '), inside, F.lit(";</script>"))
+    pages = own.select(F.concat(F.lit("https://n"), "n", F.lit(".com/trust")).alias("url"), html.alias("html"))
+    address = F.concat(F.lit(V.REPORT_ADDRESS + "n"), "n", F.lit("&embed_canonical_assets=true"))
+    responses = own.select(F.lit("GET").alias("method"), address.alias("url"), F.lit(None).cast("string").alias("body"), F.when(F.col("even"), 200).otherwise(500).alias("status"), F.col("body").alias("response"))
+    return trust_api.vendors(pages, responses).select("page_url", "domain", "name", "evidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"graph_bfs_layers": QUERIES["graph_bfs_layers"]} | QUERIES
 
