@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tierweave.functions import domains as D
 from tierweave.functions import orgs as O
+from tierweave.operators.ranks import ranked_within
 from tierweave.plans.graph import committed
 
 SCHEMA = """nth_party_domain string, nth_party_organization string, nth_party_layer int, nth_party_customer_domain string, nth_party_customer_organization string,
@@ -225,8 +226,35 @@ def pages_of_children(rel: DataFrame, size: int = 8) -> DataFrame:
 def grid(rel: DataFrame, columns: int = 10) -> DataFrame:
     """A layered grid: per vendor its layer, and its row and column within it, in alphabetical order."""
     own = rel.groupBy(F.col("nth_party_domain").alias("domain")).agg(F.min("nth_party_layer").alias("layer"))
-    place = F.row_number().over(Window.partitionBy("layer").orderBy("domain")) - 1
-    return own.select("domain", "layer", F.floor(place / columns).cast("int").alias("row"), (place % columns).alias("col"))
+    place = F.col("place")
+    return ranked_within(own, "layer", ["domain"], "place").select("domain", "layer", F.floor(place / columns).cast("int").alias("row"), (place % columns).alias("col"))
+
+
+def layout(rel: DataFrame, root: str, columns: int = 10) -> DataFrame:
+    """``domain, layer, row, col, x``: the grid below ``root`` with children near their parents.
+
+    Layer by layer, vendors whose parent has a place come first, by the parent's ``x`` (parents at one place: the first seen child
+    first), then by name; the others follow by name. Of several parents the one seen last as a customer counts. A row's places
+    are centred: ``x`` counts half places from the middle. A layer is one job, and its places are written out.
+    """
+    own = rel.where(F.col("nth_party_domain") != root).groupBy(F.col("nth_party_domain").alias("domain")).agg(F.min("nth_party_layer").alias("layer"), F.min("seq").alias("seq"))
+    told = rel.groupBy(F.col("nth_party_customer_domain").alias("parent")).agg(F.min("seq").alias("first"))
+    pairs = rel.select(F.col("nth_party_domain").alias("domain"), F.col("nth_party_customer_domain").alias("parent")).distinct()
+    parent = pairs.join(told, "parent").groupBy("domain").agg(F.max_by("parent", F.struct("first", "parent")).alias("parent"))
+    own = committed(own.join(parent, "domain", "left"), "layout-vendors")
+    spark = rel.sparkSession
+    places = spark.createDataFrame([(root, 0, 0, 0, 0)], "domain string, layer int, row int, col int, x int")
+    for (layer,) in sorted(own.select("layer").distinct().collect()):  # a row a layer
+        rows = own.where(F.col("layer") == layer).join(places.select(F.col("domain").alias("parent"), F.col("x").alias("_x")), "parent", "left")
+        group = rows.where("_x is not null").groupBy("parent").agg(F.min("seq").alias("_group"))
+        rows = rows.join(group, "parent", "left")
+        order = [F.col("_x").asc_nulls_last(), F.col("_group").asc_nulls_last(), "domain"]
+        put = ranked_within(rows, "layer", order, "place").select(
+            "domain", F.col("layer").cast("int").alias("layer"), F.floor(F.col("place") / columns).cast("int").alias("row"), (F.col("place") % columns).cast("int").alias("col"), F.col("place_of").alias("_n"),
+        )
+        in_row = F.least(F.lit(columns), F.col("_n") - F.col("row") * columns)
+        places = places.unionByName(committed(put.withColumn("x", (2 * F.col("col") - (in_row - 1)).cast("int")).drop("_n"), "layout"))
+    return places
 
 
 def total_vendors(*tiers: DataFrame) -> DataFrame:

@@ -12,12 +12,14 @@ import json
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierweave.functions.domains import base_domain, is_common_infrastructure, is_non_registrable
 
 DEEPEST = 10
+CHECKPOINT_VERSION = 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,19 +40,34 @@ def committed(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def layers(roots: DataFrame, facts: DataFrame, max_depth: int | None = None, stop_at_infrastructure: bool = False, skip_unregistrable: bool = False, limits: list[int] | None = None) -> DataFrame:
+def layers(
+    roots: DataFrame, facts: DataFrame, max_depth: int | None = None, stop_at_infrastructure: bool = False, skip_unregistrable: bool = False, limits: list[int] | None = None, checkpoint: str | None = None,
+) -> DataFrame:
     """``root, domain, layer`` for every domain reached, with its smallest layer; roots are layer 0.
 
     ``limits[d]`` bounds the vendors of one customer that are followed from depth d (0: no bound); ``stop_at_infrastructure`` lists
     common infrastructure but does not go on from it. The depth is ``DEEPEST`` at most.
+
+    With ``checkpoint`` (a folder of its own in shared storage) each layer is marked there once it is whole, under the check sum of the settings and
+    roots. A later run with the same ones reads the marked layers back and goes on after the last; ``resumable`` says which that is.
     """
+    spark = roots.sparkSession
     seen = committed(roots.select(F.col("root"), F.col("root").alias("domain"), F.lit(0).alias("layer")).where("root is not null").distinct(), "layer")
-    frontier, out = seen, [seen]
+    folder, done = None, 0
+    if checkpoint:
+        folder = checkpoint_folder(checkpoint, seen, max_depth=max_depth, stop_at_infrastructure=stop_at_infrastructure, skip_unregistrable=skip_unregistrable, limits=limits)
+        done = resumable(spark, folder)
+    frontier = seen
+    for depth in range(1, done + 1):
+        frontier = spark.read.schema(seen.schema).parquet(f"{folder}/layer-{depth}")
+        seen = seen.unionByName(frontier)
+    if done and frontier.isEmpty():
+        return seen
     steps = facts.select(F.col("customer").alias("domain"), "vendor").where("customer is not null and vendor is not null").distinct()
     if skip_unregistrable:
         steps = steps.where(~is_non_registrable(F.col("vendor")))
     steps = committed(steps, "facts")  # each layer joins the table, not what made it
-    for depth in range(1, min(DEEPEST, DEEPEST if max_depth is None else max_depth) + 1):
+    for depth in range(done + 1, min(DEEPEST, DEEPEST if max_depth is None else max_depth) + 1):
         start = frontier.where(~is_common_infrastructure(F.col("domain"))) if stop_at_infrastructure else frontier
         own = steps
         if limits and depth - 1 < len(limits) and limits[depth - 1]:
@@ -59,14 +76,42 @@ def layers(roots: DataFrame, facts: DataFrame, max_depth: int | None = None, sto
             own = steps.withColumn("_n", F.row_number().over(Window.partitionBy("domain").orderBy("vendor"))).where(F.col("_n") <= limits[depth - 1]).drop("_n")
         found = start.join(own, "domain").select("root", F.col("vendor").alias("domain")).distinct()
         found = found.join(seen.select("root", "domain"), ["root", "domain"], "left_anti").withColumn("layer", F.lit(depth))
-        frontier = committed(found, "layer")
+        frontier = marked(found, folder, depth) if folder else committed(found, "layer")
         if frontier.isEmpty():
             break
-        out.append(frontier)
         seen = seen.unionByName(frontier)
     return seen
 
 
+def checkpoint_folder(checkpoint: str, roots: DataFrame, **settings) -> str:
+    """Where a run with these settings and ``roots(root)`` keeps its layers; another run's layers are never met."""
+    n, h = roots.agg(F.count("*"), F.sum(F.xxhash64("root").cast("decimal(38,0)"))).first()
+    return f"{checkpoint.rstrip('/')}/{settings_hash({**settings, 'roots': [n, str(h)], 'version': CHECKPOINT_VERSION})}"
+
+
+def marked(layer: DataFrame, folder: str, depth: int) -> DataFrame:
+    """A layer, written; then its mark, which says how many rows make it whole. What an interrupted run left is overwritten."""
+    spark = layer.sparkSession
+    layer.write.mode("overwrite").parquet(f"{folder}/layer-{depth}")
+    own = spark.read.schema(layer.schema).parquet(f"{folder}/layer-{depth}")
+    own.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/mark-{depth}")
+    return own
+
+
+def resumable(spark: SparkSession, folder: str) -> int:
+    """The last layer that stands whole in a folder, all before it whole too; 0 without any."""
+    depth = 0
+    while depth < DEEPEST:
+        try:
+            n = spark.read.schema("n long").parquet(f"{folder}/mark-{depth + 1}").agg(F.max("n")).first()[0]
+            if n is None or n != spark.read.parquet(f"{folder}/layer-{depth + 1}").count():
+                break
+        except AnalysisException:  # no such folder
+            break
+        depth += 1
+    return depth
+
+
 def relationships(reached: DataFrame, facts: DataFrame) -> DataFrame:
     """A row per fact whose customer was reached: the vendor stands one layer below it. Self-references are left out."""
     own = reached.select(F.col("root").alias("root_customer_domain"), F.col("domain").alias("customer"), (F.col("layer") + 1).alias("nth_party_layer"))

@@ -16,7 +16,7 @@ from tierweave.functions import fixed_values as V
 from tierweave.functions import orgs as O
 from tierweave.functions import records as RT
 from tierweave.functions import suffixes
-from tierweave.operators import attribution, registry, relations, review, subprocessors, trust, trust_api, txt, web
+from tierweave.operators import attribution, clusters, registry, relations, review, subprocessors, trust, trust_api, txt, web
 from tierweave.operators import nodes as N
 from tierweave.plans import disclosures, graph, scan
 
@@ -595,6 +595,80 @@ def trust_reports(spark, sf_dir):
     return trust_api.vendors(pages, responses).select("page_url", "domain", "name", "evidence")
 
 
+def _layout_sql(layers: int = 3) -> str:
+    out = ["""WITH rel AS (SELECT 'r' || r_regionkey AS d, 'world' AS c, 1 AS l, r_regionkey AS s FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 2, 100 + n_nationkey FROM nation UNION ALL
+ SELECT 'n' || n_nationkey, 'r' || ((n_regionkey + 1) % 5), 2, 1000 + n_nationkey FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 's' || s_suppkey, CASE WHEN s_suppkey % 10 = 9 THEN 'ghost' ELSE 'n' || s_nationkey END, 3, 10000 + s_suppkey FROM supplier UNION ALL
+ SELECT 's' || s_suppkey, 'n' || ((s_nationkey + 7) % 25), 3, 1000000 + s_suppkey FROM supplier WHERE s_suppkey % 4 = 0), own AS (SELECT d, min(l) AS l, min(s) AS s FROM rel GROUP BY d), told AS (SELECT c, min(s) AS f FROM rel GROUP BY c),
+ parent AS (SELECT d, c FROM (SELECT DISTINCT d, c FROM rel) JOIN told USING (c) QUALIFY row_number() OVER (PARTITION BY d ORDER BY f DESC, c DESC) = 1), v AS (SELECT own.*, c FROM own JOIN parent USING (d)), x0 AS (SELECT 'world' AS d, 0 AS l, 0 AS r, 0 AS k, 0 AS x)"""]
+    for n in range(1, layers + 1):
+        above = " UNION ALL ".join(f"SELECT d, x FROM x{i}" for i in range(n))
+        out.append(f"""a{n} AS ({above}), o{n} AS (SELECT v.*, a.x, min(s) OVER (PARTITION BY a.d) AS g FROM v LEFT JOIN a{n} a ON a.d = v.c WHERE l = {n}),
+ p{n} AS (SELECT d, l, row_number() OVER (ORDER BY x NULLS LAST, CASE WHEN x IS NOT NULL THEN g END NULLS LAST, d) - 1 AS p, count(*) OVER () AS n FROM o{n}),
+ x{n} AS (SELECT d, l, CAST(p // 10 AS INTEGER) AS r, CAST(p % 10 AS INTEGER) AS k, CAST(2 * (p % 10) - (least(10, n - p // 10 * 10) - 1) AS INTEGER) AS x FROM p{n})""")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT d AS domain, CAST(l AS INTEGER) AS layer, r AS row, k AS col, x FROM x{i}" for i in range(layers + 1))
+
+
+@query(_layout_sql())
+def graph_layout(spark, sf_dir):
+    """The world's regions, nations and suppliers, some below two parents, some below none that has a place."""
+    t = lambda n: table(spark, sf_dir, n)
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    row = lambda df, d, c, layer, seq: df.select(d.alias("nth_party_domain"), c.alias("nth_party_customer_domain"), F.lit(layer).alias("nth_party_layer"), seq.cast("long").alias("seq"))
+    r, n, nr, s, sn = (F.col(c) for c in ("r_regionkey", "n_nationkey", "n_regionkey", "s_suppkey", "s_nationkey"))
+    rows = row(t("region"), name("r", r), F.lit("world"), 1, r).unionByName(row(t("nation"), name("n", n), name("r", nr), 2, 100 + n)).unionByName(row(t("nation").where(n % 3 == 0), name("n", n), name("r", (nr + 1) % 5), 2, 1000 + n))
+    rows = rows.unionByName(row(t("supplier"), name("s", s), F.when(s % 10 == 9, "ghost").otherwise(name("n", sn)), 3, 10_000 + s)).unionByName(row(t("supplier").where(s % 4 == 0), name("s", s), name("n", (sn + 7) % 25), 3, 1_000_000 + s))
+    return relations.layout(rows, "world")
+
+
+@query(f"""WITH {TXT_SQL}, p AS (SELECT * FROM {values([(i, p.upper() if i % 2 else p, d) for i, (p, d) in enumerate(V.VERIFICATION_PATTERNS)], "rank, pattern, domain").replace("AS t(", "AS v(")}),
+ f AS (SELECT id, p.domain FROM txt JOIN p ON contains(lower(rdata), lower(pattern)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank) = 1) SELECT id, f.domain FROM txt LEFT JOIN f USING (id)""")
+def txt_first_verification(spark, sf_dir):
+    """The first pattern of the registry that each record holds, in whatever case."""
+    rows = [(i, p.upper() if i % 2 else p, d) for i, (p, d) in enumerate(V.VERIFICATION_PATTERNS)]
+    return txt.first_verification(txt_rows(spark, sf_dir), spark.createDataFrame(rows, "rank int, pattern string, domain string")).select("id", "domain")
+
+
+def _clusters_sql(rounds: int = 4) -> str:
+    """Names lead, or follow the earliest that leads, in as many rounds as the longest chain here needs."""
+    out = ["""WITH n AS (SELECT name, min(seq) AS seq FROM (SELECT p_name AS name, p_partkey AS seq FROM part UNION ALL SELECT p_name || 'x', p_partkey + 1000000 FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT p_name || 'xy', p_partkey - 1000000 FROM part WHERE p_partkey % 10 = 0) GROUP BY name),
+ k AS (SELECT lower(name) AS key, arg_min(name, (seq, name)) AS first, min((seq, name)) AS at FROM n GROUP BY 1), e AS (SELECT b.key, a.key AS too FROM k a JOIN k b ON a.at < b.at AND 1 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key)) >= 0.85), l0 AS (SELECT key FROM k WHERE key NOT IN (SELECT key FROM e))"""]
+    for i in range(1, rounds + 1):
+        out.append(f"""m{i} AS (SELECT DISTINCT e.key FROM e JOIN l{i - 1} l ON l.key = e.too), u{i} AS (SELECT key FROM k WHERE key NOT IN (SELECT key FROM l{i - 1}) AND key NOT IN (SELECT key FROM m{i})),
+ l{i} AS (SELECT key FROM l{i - 1} UNION SELECT key FROM u{i} WHERE key NOT IN (SELECT e.key FROM e JOIN u{i} w ON w.key = e.too))""")
+    return ", ".join(out) + f""", c AS (SELECT k.key, CASE WHEN k.key IN (SELECT key FROM l{rounds}) THEN k.first ELSE (SELECT arg_min(x.first, x.at) FROM e JOIN k x ON x.key = e.too WHERE e.key = k.key AND e.too IN (SELECT key FROM l{rounds})) END AS lead FROM k)
+ SELECT name, array_to_string(list_transform(string_split(lead, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS canonical FROM n JOIN c ON c.key = lower(name)"""
+
+
+@query(_clusters_sql())
+def org_clusters(spark, sf_dir):
+    """Part names, some with one or two letters more that were seen earlier or later."""
+    p = table(spark, sf_dir, "part")
+    names = p.select(F.col("p_name").alias("name"), F.col("p_partkey").cast("long").alias("seq"))
+    more = p.where("p_partkey % 5 = 0").select(F.concat("p_name", F.lit("x")).alias("name"), (F.col("p_partkey") + 1_000_000).cast("long").alias("seq"))
+    early = p.where("p_partkey % 10 = 0").select(F.concat("p_name", F.lit("xy")).alias("name"), (F.col("p_partkey") - 1_000_000).cast("long").alias("seq"))
+    return clusters.clusters(names.unionByName(more).unionByName(early))
+
+
+@query("""WITH n AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation), f AS (SELECT 'nation' || n || '.org' AS root, 'nation' || n || '.org' AS customer, 'region' || r || '.com' AS vendor, 1 AS layer, 'DNS::TXT::SPF' AS kind, 'v=spf1 include:_spf.region' || r || '.com ~all' AS evidence FROM n UNION ALL
+ SELECT 'nation' || n || '.org', 'nation' || n || '.org', 'tool' || r || '.net', 1, 'DNS::TXT::SPF', 'v=spf1 include:_spf.tool' || r || '.net -all' FROM n UNION ALL SELECT 'nation' || n || '.org', 'region' || r || '.com', 'google.com', 2, 'DNS::TXT::VERIFICATION', 'google-site-verification=t' || r FROM n UNION ALL
+ SELECT 'nation' || n || '.org', 'tool' || r || '.net', 's' || r || '.com', 2, 'DNS::TXT::DMARC', 'v=DMARC1; p=none; rua=mailto:x@rua.s' || r || '.com' FROM n) SELECT * FROM f""")
+def scan_minimal(spark, sf_dir):
+    """A scan of every nation by TXT records alone: an included record names a tool, and what infrastructure's records say is not followed."""
+    n, r = table(spark, sf_dir, "nation"), F.col("r_regionkey").cast("string")
+    k = F.col("n_regionkey").cast("string")
+    cat = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    root = cat("nation", F.col("n_nationkey").cast("string"), ".org")
+    region = table(spark, sf_dir, "region")
+    of = lambda name, text: region.select(name.alias("name"), text.alias("rdata"))
+    answers = n.select(root.alias("name"), cat("v=spf1 include:_spf.region", k, ".com ~all").alias("rdata"))
+    answers = answers.unionByName(of(cat("_SPF.region", r, ".com"), cat("v=spf1 include:_spf.tool", r, ".net -all"))).unionByName(of(cat("region", r, ".com"), cat("google-site-verification=t", r)))
+    answers = answers.unionByName(of(cat("tool", r, ".net"), cat("v=DMARC1; p=none; rua=mailto:x@rua.s", r, ".com"))).unionByName(of(F.lit("google.com"), cat("v=spf1 include:never", r, ".com")))
+    names = spark.createDataFrame([], "domain string, organization string")
+    found = scan.minimal(n.select(root.alias("root")), answers, names)
+    columns = {"root_customer_domain": "root", "nth_party_customer_domain": "customer", "nth_party_domain": "vendor", "nth_party_layer": "layer", "nth_party_record_type": "kind", "evidence": "evidence"}
+    return found.select(*(F.col(c).alias(a) for c, a in columns.items()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"graph_bfs_layers": QUERIES["graph_bfs_layers"]} | QUERIES
 
