@@ -1,3 +1,6 @@
+import gzip
+import json
+
 from pyspark.sql import functions as F
 
 from tierweave.operators import attribution, listings, registry, relations, review, trust, txt, web
@@ -117,11 +120,59 @@ def test_readers_and_writers(spark, tmp_path):
     writers.export(r, str(tmp_path / "out"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns[0] == "root_customer_domain"
     writers.write_json(r, str(tmp_path / "j"))
-    assert spark.read.json(str(tmp_path / "j/relationships")).count() == 2
+    own = json.loads("".join(p.read_text() for p in sorted((tmp_path / "j").glob("part-*"))))
+    assert own["summary"]["total_relationships"] == 2 and [x["nth_party_domain"] for x in own["relationships"]] == ["v.com", "w.com"] and list(own["relationships"][0])[0] == "nth_party_domain"
+    writers.write_json(r.limit(0), str(tmp_path / "none"), single=True)
+    assert json.loads(next((tmp_path / "none").glob("part-*")).read_text()) == {"summary": {"total_relationships": 0, "max_depth": 0, "unique_domains": 0, "unique_organizations": 0}, "relationships": []}
     assert any("| v.com |" in x.line for x in writers.markdown(r).collect())
+    assert [x.line for x in writers.markdown(r.limit(0)).collect()][-1] == "No vendor relationships found."
     assert writers.mermaid(r).count() == 4
 
 
+def test_fallbacks_and_broken_files(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("# dataset_version: 2024-05 \nA.com\tOne\r\n#x.com\tNo\na.com\tTwo\nb.com\t\n")
+    assert readers.company_table_version(spark, str(tmp_path / "t.tsv")) == "2024-05" and [(r.domain, r.organization) for r in readers.company_table(spark, str(tmp_path / "t.tsv")).collect()] == [("a.com", "Two")]
+    (tmp_path / "u.tsv").write_text("a.com\tUnversioned")
+    assert readers.company_table_version(spark, str(tmp_path / "u.tsv")) is None
+    whole = gzip.compress("".join(f'{{"host": "h{i}-{i * 7919 % 1000}.a.com", "source": "s"}}\n' for i in range(5000)).encode())
+    (tmp_path / "s.jsonl.gz").write_bytes(whole[: len(whole) // 2])
+    assert 0 < readers.subdomains(spark, str(tmp_path / "s.jsonl.gz")).count() < 5000
+    packaged = spark.createDataFrame([("a.com", "A", "base")], "domain string, organization string, tier string")
+    assert [r.organization for r in readers.or_else(lambda: readers.known_vendors(spark, str(tmp_path / "missing.json")), packaged).collect()] == ["A"]
+    (tmp_path / "k.json").write_text('{"vendors": {"B.com": "B"}}')
+    assert [r.domain for r in readers.or_else(lambda: readers.known_vendors(spark, str(tmp_path / "k.json")), packaged).collect()] == ["b.com"]
+    detection = "struct<success_indicators: array<string>, failure_indicators: array<string>, notes: string>"
+    platforms = spark.createDataFrame([("Desk", "desk.com", ["{tenant}.desk.com"], None)], f"name string, vendor_domain string, tenant_patterns array<string>, detection {detection}")
+    registry_rows = spark.createDataFrame([("desk.com", [("Desk", ["x"], None), ("Board", ["b.com/{tenant}"], (["ok"], [], "n"))])], f"primary_domain string, saas_tenants array<struct<name: string, patterns: array<string>, detection: {detection}>>")
+    assert {(r.name, r.tenant_patterns[0]) for r in readers.all_platforms(platforms, registry_rows).collect()} == {("Desk", "{tenant}.desk.com"), ("Board", "b.com/{tenant}")}
+
+
+def test_quarantine_and_batches(spark, tmp_path):
+    rows = txt.unmatched_txt(spark.createDataFrame([("a.com", 'odd "quoted", text'), ("b.com", "v=spf1 include:sendgrid.net")], "name string, rdata string"))
+    out = writers.quarantine(rows, F.timestamp_seconds(F.lit(0)))
+    assert tuple(out.columns) == writers.QUARANTINE and [tuple(r) for r in out.collect()] == [("1970-01-01 00:00:00 UTC", "a.com", "DNS::TXT::VERIFICATION", 'odd "quoted", text', "N/A", "No pattern matched this TXT record")]
+    writers.write_quarantine(out, str(tmp_path / "q"))
+    assert 'odd ""quoted"", text' in "".join(p.read_text() for p in (tmp_path / "q").glob("part-*"))
+    r = rel(spark, rel_row(1, "v.com"), rel_row(2, "w.com"))
+    root = r.first().root_customer_domain
+    results = spark.createDataFrame([(root.upper(), True), ("gone.com", False), ("odd.com", None)], "domain string, success boolean")
+    writers.write_batch(r, str(tmp_path / "b"), results)
+    assert spark.read.json(str(tmp_path / "b/batch")).first().asDict() == {"total_domains": 3, "successful": 1, "failed": 2, "total_relationships": 2}
+
+
+def test_degradation_and_manifest(spark):
+    covered = spark.createDataFrame([("subprocessor", 8, 2, True), ("ct", 0, 0, False)], "phase string, found long, failed long, degraded boolean")
+    say = lambda c, *n: tuple(relations.degradation(c, spark.createDataFrame([n], "starved long, dns_failures long, dns_name_failures long")).first())
+    assert say(covered, 0, 0, 0) == ("subprocessor failed on 2 domain(s)", "see the coverage")
+    assert say(covered, 3, 5, 2) == ("subprocessor starved on 3 vendor(s); DNS degraded on 3 lookup(s); 2 name(s) failed at their own authoritative DNS (not a local network fault)", "re-run on a stable network")
+    assert say(covered.limit(0), 0, 0, 0) == (None, "see the coverage")
+    flags = spark.createDataFrame([(1, "subprocessor", "subprocessor", False, False, False, True, "--x"), (2, "ct-logs", "ct", False, False, False, False, "--enable-ct"), (3, "ner", None, True, True, False, True, "--n"), (4, "saas", "saas", False, True, True, False, "--saas")], "ord int, name string, phase string, only boolean, enable boolean, disable boolean, dflt boolean, flag string")
+    features = flags.withColumn("s", relations.feature_status(*(F.col(c) for c in ("only", "enable", "disable", "dflt", "flag")))).select("ord", "name", "phase", "s.*")
+    assert [r.line for r in relations.manifest(features, covered).orderBy("ord").collect()] == [
+        "subprocessor  on by default — 8 found, 2 failed  ⚠ degraded", "ct-logs       disabled (default — enable with --enable-ct)", "ner           disabled (--dns-only mode)", "saas          enabled via --saas — 0 found, 0 failed",
+    ]
+
+
 def test_stream(spark, tmp_path):
     from tierweave.streaming import observations
 

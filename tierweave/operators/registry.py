@@ -71,12 +71,21 @@ def referral(response: Column) -> Column:
 
 
 def subdomain_vendors(found: DataFrame) -> DataFrame:
-    """Vendors behind subdomains: from their TXT records if foreign, from their CNAMEs if foreign. ``found(target, subdomain, txt_vendors, cnames)``."""
-    base = D.base_domain(F.col("target"))
-    txt = found.select("target", "subdomain", F.explode_outer("txt_vendors").alias("domain")).where(F.col("domain").isNotNull() & (D.base_domain(F.col("domain")) != base)).withColumn("via", F.lit("TXT"))
-    cname = found.select("target", "subdomain", F.explode_outer("cnames").alias("host")).where("host is not null").withColumn("domain", D.base_domain(F.col("host"))).where(F.col("domain") != base).drop("host").withColumn("via", F.lit("CNAME"))
-    both = txt.unionByName(cname)
-    return both.select("target", "domain", F.lit("DISCOVERY::SUBFINDER").alias("source_type"), F.format_string("%s via %s", "subdomain", "via").alias("evidence"))
+    """``target, domain, source_type, evidence``: vendors behind subdomains, from their TXT records if foreign, and from all their CNAMEs.
+
+    ``found(target, subdomain, source, txt_vendors array<struct<domain, source_type, raw_record>>, cnames array<struct<name, base>>)``.
+    """
+    txt = found.select("target", "subdomain", "source", F.explode("txt_vendors").alias("v")).where(D.base_domain(F.col("v.domain")) != D.base_domain(F.col("target")))
+    txt = txt.select("target", F.col("v.domain").alias("domain"), F.col("v.source_type").alias("source_type"), F.format_string("Via subdomain %s (subfinder:%s): %s", "subdomain", "source", "v.raw_record").alias("evidence"))
+    cname = found.select("target", "subdomain", "source", F.explode("cnames").alias("c"))
+    cname = cname.select("target", F.col("c.base").alias("domain"), F.lit("DISCOVERY::SUBFINDER").alias("source_type"), F.format_string("Subdomain %s CNAMEs to %s (subfinder:%s)", "subdomain", "c.name", "source").alias("evidence"))
+    return txt.unionByName(cname)
+
+
+def subdomain_counts(vendors: DataFrame) -> DataFrame:
+    """Per target how many of ``subdomain_vendors``' rows came by TXT records and by CNAMEs."""
+    by_cname = F.col("source_type") == "DISCOVERY::SUBFINDER"
+    return vendors.groupBy("target").agg(F.count_if(~by_cname).alias("txt"), F.count_if(by_cname).alias("cname"))
 
 
 def tenant_names(domain: Column) -> Column:

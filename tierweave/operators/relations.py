@@ -271,6 +271,43 @@ def coverage(events: DataFrame) -> DataFrame:
     return own.withColumn("degraded", F.col("failed") > 0)
 
 
+#: Phases of a scan with what their failures are called, in the order of a report; fixed.
+DEGRADED = (
+    ("subprocessor", "subprocessor failed on {} domain(s)"), ("webtraffic", "web-traffic capture failed on {} domain(s)"), ("subfinder", "subdomain discovery failed on {} domain(s)"), ("saas", "SaaS-tenant discovery failed on {} domain(s)"), ("ct", "CT-log discovery failed on {} domain(s)"),
+)
+
+
+def degradation(covered: DataFrame, failures: DataFrame) -> DataFrame:
+    """``text, advice`` in one row: how a scan's coverage was degraded; ``text`` is null for a clean one.
+
+    ``covered`` is ``coverage``'s; ``failures(starved, dns_failures, dns_name_failures)`` has one row. Vendors that were starved stand for the subprocessor
+    phase's failures; of failed lookups those that are the names' own fault are told apart, for another network would not help.
+    """
+    of = {phase: F.max(F.when(F.col("phase") == phase, F.struct("failed", "degraded"))).alias(phase) for phase, _ in DEGRADED}
+    row = covered.agg(*of.values()).join(F.broadcast(failures.limit(1)), F.lit(True))
+    say = lambda template, n: F.concat(F.lit(template.split("{}")[0]), n.cast("string"), F.lit(template.split("{}")[1]))
+    parts = [F.when(F.col(p)["degraded"], say(t, F.col(p)["failed"])) for p, t in DEGRADED]
+    parts[0] = F.when(F.col("starved") > 0, say("subprocessor starved on {} vendor(s)", F.col("starved"))).otherwise(parts[0])
+    link = F.greatest(F.col("dns_failures") - F.col("dns_name_failures"), F.lit(0))
+    parts += [F.when(link > 0, say("DNS degraded on {} lookup(s)", link)), F.when(F.col("dns_name_failures") > 0, say("{} name(s) failed at their own authoritative DNS (not a local network fault)", F.col("dns_name_failures")))]
+    advice = F.when(F.col("dns_failures") > F.col("dns_name_failures"), "re-run on a stable network").otherwise("see the coverage")
+    return row.select(F.nullif(F.concat_ws("; ", *parts), F.lit("")).alias("text"), advice.alias("advice"))
+
+
+def feature_status(dns_only: Column, enable: Column, disable: Column, default: Column, flag: Column) -> Column:
+    """struct<enabled, reason> of a feature: a scan of records alone has none, a flag goes before the default."""
+    reason = F.when(dns_only, "disabled (--dns-only mode)").when(enable, F.concat(F.lit("enabled via "), flag)).when(disable, "disabled via flag").when(default, "on by default").otherwise(F.concat(F.lit("disabled (default — enable with "), flag, F.lit(")")))
+    return F.struct((~dns_only & (enable | (~disable & default))).alias("enabled"), reason.alias("reason"))
+
+
+def manifest(features: DataFrame, covered: DataFrame) -> DataFrame:
+    """``ord, line``: for each of ``features(ord, name, phase, enabled, reason)`` why it was on or off, and what its phase found and failed at."""
+    both = features.join(covered, "phase", "left")
+    counts = F.concat(F.lit(" — "), F.coalesce("found", F.lit(0)).cast("string"), F.lit(" found, "), F.coalesce("failed", F.lit(0)).cast("string"), F.lit(" failed"), F.when(F.col("degraded"), "  ⚠ degraded").otherwise(""))
+    line = F.concat(F.rpad("name", 13, " "), F.lit(" "), "reason", F.when(F.col("enabled") & F.col("phase").isNotNull(), counts).otherwise(""))
+    return both.select("ord", line.alias("line"))
+
+
 def timings(events: DataFrame) -> DataFrame:
     """Per name: count, total, mean and share of the total. ``events(name, seconds)``."""
     own = events.groupBy("name").agg(F.count("*").alias("n"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"))

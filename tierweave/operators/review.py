@@ -73,6 +73,27 @@ def upsert(overrides: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.select("domain", "organization", "added", "source").unionByName(last)
 
 
+def changes_of(overrides: DataFrame, changes: DataFrame) -> DataFrame:
+    """Of ``changes`` those that change the overrides as the ones before leave them: another organization or source. ``upsert`` takes these alone."""
+    own = changes.withColumn("domain", F.lower(F.trim("domain")))
+    had = overrides.select(F.lower("domain").alias("domain"), F.lit(-1).cast("long").alias("seq"), "organization", "source")
+    before = F.lag(F.struct("organization", "source")).over(Window.partitionBy("domain").orderBy("seq"))
+    told = had.unionByName(own.select("domain", F.col("seq").cast("long").alias("seq"), "organization", "source")).withColumn("_b", before)
+    new = told.where("seq >= 0").where(F.col("_b").isNull() | ~F.col("_b").eqNullSafe(F.struct("organization", "source"))).select("domain", "seq")
+    return own.join(new, ["domain", "seq"], "left_semi")
+
+
+def entries(overrides: DataFrame, source: str | None = None) -> DataFrame:
+    """All overrides, or those of one source."""
+    own = overrides.withColumn("domain", F.lower("domain"))
+    return own if source is None else own.where(F.col("source") == source)
+
+
+def entry(overrides: DataFrame, domain: str) -> DataFrame:
+    """A domain's override, whatever its case."""
+    return overrides.where(F.lower("domain") == domain.lower())
+
+
 def remove(overrides: DataFrame, domains: DataFrame) -> DataFrame:
     return overrides.join(domains.select(F.lower("domain").alias("_d")), F.lower(F.col("domain")) == F.col("_d"), "left_anti")
 

@@ -19,6 +19,7 @@ from tierweave.functions import suffixes
 from tierweave.operators import attribution, clusters, registry, relations, review, subprocessors, trust, trust_api, txt, web
 from tierweave.operators import nodes as N
 from tierweave.plans import disclosures, graph, scan
+from tierweave.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -350,14 +351,13 @@ def ct_san_explode(spark, sf_dir):
     return registry.certificate_vendors(own.select(nation.alias("query_domain"), F.col("s_suppkey").alias("ordinal"), F.col("s_suppkey").alias("id"), F.concat(F.lit("www."), nation).alias("common_name"), names.alias("name_value")))
 
 
-PROBES = [("p1", 200, "Welcome to ACME workspace", "https://a"), ("p2", 200, "No such team", "https://b"), ("p3", 404, "gone", "https://c"), ("p4", 302, "moved", "https://d"), ("p5", 200, "hello", "https://e")]
-
-
-@query("SELECT pattern, r_name AS region, CASE WHEN contains(lower(body), 'no such team') THEN 'NotFound' WHEN status = 200 THEN CASE WHEN contains(lower(body), 'workspace') THEN 'Confirmed' ELSE 'Unknown' END WHEN status >= 400 THEN 'NotFound' ELSE 'Unknown' END AS status FROM " + values(PROBES, "pattern, status, body, final_url") + ", region")
+@query("""SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'Confirmed' WHEN 3 THEN 'Unknown' WHEN 4 THEN 'Unknown' ELSE 'NotFound' END AS status FROM supplier""")
 def tenant_probe_status(spark, sf_dir):
-    rows = spark.createDataFrame(PROBES, "pattern string, status int, body string, final_url string").join(F.broadcast(table(spark, sf_dir, "region").select(F.col("r_name").alias("region"))))
-    status = registry.tenant_status(F.col("status"), F.col("body"), F.array(F.lit("Workspace")), F.array(F.lit("No such team")))
-    return rows.select("pattern", "region", status.alias("status"))
+    """A probe for each supplier: welcomed, told that there is none (with code 200), gone, moved, and a page that says neither."""
+    k, name = F.col("s_suppkey") % 5, F.col("s_name")
+    body = F.when(k == 0, F.concat(F.lit("Welcome to the WorkSpace of "), name)).when(k == 1, F.concat(F.lit("no such TEAM workspace: "), name)).otherwise(F.concat(F.lit("Page of "), name))
+    code = F.when(k == 2, 404).when(k == 3, 302).otherwise(200)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", registry.tenant_status(code, body, F.array(F.lit("Workspace")), F.array(F.lit("No such team"))).alias("status"))
 
 
 @query("SELECT domain, tenant, platform, 'https://' || replace(pattern, '{tenant}', tenant) AS url FROM (SELECT 's' || s_suppkey || '.example.com' AS domain, unnest(['s' || s_suppkey, 's' || s_suppkey || '-inc', 's' || s_suppkey || 'inc', 's' || s_suppkey || '-corp', 's' || s_suppkey || 'corp']) AS tenant FROM supplier), " + values([("Desk", "{tenant}.desk.example"), ("Board", "board.example/{tenant}")], "platform, pattern"))
@@ -379,24 +379,29 @@ def perf_report(spark, sf_dir):
     return got.select("name", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), F.round("share", 6).alias("share"))
 
 
-Q2 = [("web", "t", "u", "Acme Corp runs it"), ("whois", "t", "u", "registrant acme")]
-DECISIONS = [
-    (1, "domain_org", "acme.com", "Acme", "claude_verified", "confirm", Q2, "", False), (2, "domain_org", "acme.com", "Acme", "claude_verified", "confirm", Q2, "", False), (3, "domain_org", "b.com", "Acme", "user_confirmed", "confirm", Q2, "", False),
-    (4, "domain_org", "c.com", "Acme", "claude_verified", "abstain", [], "", False), (5, "domain_org", "d.com", "Cloudflare", "claude_verified", "confirm", [("web", "t", "u", "cloudflare"), ("whois", "t", "u", "cloudflare inc")], "", False),
-    (6, "domain_org", "kept.com", "Acme", "whois_verified", "confirm", Q2, "", False), (7, "domain_org", "e.com", "Other", "claude_verified", "confirm", Q2, "", False), (8, "alias", "f.com", "Acme", "claude_verified", "confirm", Q2, "", False), (9, "domain_org", "g.com", "Acme", "claude_verified", "confirm", Q2[:1], "", False),
-]
-
-
-@query("SELECT * FROM " + values([(1, "written", None), (2, "unchanged", None), (3, "rejected", "source not permitted"), (4, "abstained", None), (5, "rejected", "infrastructure provider"), (6, "skipped_precedence", None), (7, "rejected", "not corroborated"), (8, "rejected", "unsupported type"), (9, "rejected", "lacks provenance")], "seq, outcome, reason"))
+@query("""SELECT k AS seq, CASE k % 7 WHEN 1 THEN CASE WHEN k % 3 = 0 THEN 'skipped_precedence' ELSE 'written' END WHEN 2 THEN 'rejected' WHEN 3 THEN 'abstained' WHEN 4 THEN 'rejected' WHEN 5 THEN 'rejected' WHEN 6 THEN 'rejected' ELSE 'unchanged' END AS outcome,
+ CASE k % 7 WHEN 2 THEN 'source not permitted' WHEN 4 THEN 'infrastructure provider' WHEN 5 THEN 'lacks provenance' WHEN 6 THEN 'not corroborated' END AS reason FROM (SELECT s_suppkey AS k FROM supplier)""")
 def review_outcomes(spark, sf_dir):
-    d = spark.createDataFrame(DECISIONS, "seq long, type string, domain string, organization string, source string, action string, signals array<struct<layer string, tool string, url string, quote string>>, note string, allow_infra_operator boolean")
-    kept = spark.createDataFrame([("kept.com", "Kept", "2024", "user_confirmed")], "domain string, organization string, added string, source string")
+    """A decision on each supplier's owner: good, by a person, abstained, on infrastructure, with one signal, with signals of another name, and as it stands already; a third of the owners were confirmed by people."""
+    k = F.col("s_suppkey")
+    name, kind = F.concat(F.lit("Acme"), k.cast("string"), F.lit(" Widgets")), k % 7
+    org = F.when(kind == 4, F.concat(F.lit("Cloudflare "), k.cast("string"))).otherwise(name)
+    quote = F.when(kind == 6, "somebody else").otherwise(F.concat(F.lit("run by "), org))
+    signal = lambda layer: F.struct(F.lit(layer).alias("layer"), F.lit("t").alias("tool"), F.lit("u").alias("url"), quote.alias("quote"))
+    signals = F.when(kind == 5, F.array(signal("web"))).otherwise(F.array(signal("web"), signal("whois")))
+    s = table(spark, sf_dir, "supplier")
+    domain = F.concat(F.lit("S"), k.cast("string"), F.lit(".com"))
+    source = F.when(kind == 2, "user_confirmed").otherwise("claude_verified")
+    d = s.select(k.cast("long").alias("seq"), F.lit("domain_org").alias("type"), domain.alias("domain"), org.alias("organization"), source.alias("source"), F.when(kind == 3, "abstain").otherwise("confirm").alias("action"), signals.alias("signals"), F.lit("").alias("note"), F.lit(False).alias("allow_infra_operator"))
+    kept = s.where((k % 3 == 0) | (kind == 0)).select(domain.alias("domain"), F.when(kind == 0, name).otherwise("Kept").alias("organization"), F.lit("2024").alias("added"), F.when(kind == 0, "claude_verified").otherwise("user_confirmed").alias("source"))
     return review.outcomes(d, kept).select("seq", "outcome", "reason")
 
 
-@query("SELECT * FROM " + values([(*r, i) for i, r in enumerate(V.RECORD_TYPES)], "variant, hierarchy, label, category, priority, description, ord"))
+@query(f"WITH {REL} SELECT d.*, count(r.seq) AS n FROM " + values([(*r, i) for i, r in enumerate(V.RECORD_TYPES)], "variant, hierarchy, label, category, priority, description, ord").replace("AS t(", "AS d(") + " LEFT JOIN rel r ON r.nth_party_record_type = d.hierarchy GROUP BY ALL")
 def record_type_dim(spark, sf_dir):
-    return RT.record_types(spark)
+    """Every record type with the number of its relationships."""
+    n = rel(spark, sf_dir).groupBy(F.col("nth_party_record_type").alias("hierarchy")).agg(F.count("*").alias("n"))
+    return RT.record_types(spark).join(n, "hierarchy", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query(f"WITH {REL} SELECT t.category, max(t.priority) AS priority, count(*) AS n FROM rel JOIN " + values([(r[1], r[3], r[4]) for r in V.RECORD_TYPES], "hierarchy, category, priority") + " ON hierarchy = nth_party_record_type GROUP BY 1")
@@ -454,17 +459,23 @@ HOSTS = (
 def _registrable_sql() -> str:
     """By the rules themselves: of those that fit a host an exception counts first, then the longest."""
     some = [r for r in sorted(suffixes.rules()) if any(h == (bare := r.lstrip("*!.")) or h.endswith("." + bare) for h in HOSTS)]
-    return f"""WITH hosts AS (SELECT * FROM {values([(h,) for h in HOSTS], "host")}), rules AS (SELECT rule, CASE left(rule, 1) WHEN '*' THEN 1 WHEN '!' THEN -1 ELSE 0 END AS more, CASE left(rule, 1) WHEN '*' THEN rule[3:] WHEN '!' THEN rule[2:] ELSE rule END AS bare FROM {values([(r,) for r in some], "rule")}),
- fit AS (SELECT host, len(string_split(bare, '.')) + more AS n, more FROM hosts JOIN rules ON (host = bare OR ends_with(host, '.' || bare)) AND len(string_split(host, '.')) >= len(string_split(bare, '.')) + more),
- best AS (SELECT host, CASE WHEN min(more) < 0 THEN min(n) FILTER (more < 0) ELSE max(n) END AS n FROM fit GROUP BY 1),
- l AS (SELECT host, string_split(host, '.') AS x, coalesce(n, 0) AS n FROM hosts LEFT JOIN best USING (host))
- SELECT host, CASE WHEN n = 0 THEN NULL ELSE array_to_string(x[-n:], '.') END AS suffix, CASE WHEN n = len(x) THEN host WHEN n = 0 THEN array_to_string(x[-2:], '.') ELSE array_to_string(x[-(n + 1):], '.') END AS base_domain FROM l"""
+    return f"""WITH h AS (SELECT * FROM {values([(i, h) for i, h in enumerate(HOSTS)], "i, h")}), hosts AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN h ELSE split_part(regexp_extract(url, '://([^/?#:]+)', 1), '.', 1) || '.' || h END AS host FROM pages JOIN h ON i = page_id % {len(HOSTS)}),
+ rules AS (SELECT rule, CASE left(rule, 1) WHEN '*' THEN 1 WHEN '!' THEN -1 ELSE 0 END AS more, CASE left(rule, 1) WHEN '*' THEN rule[3:] WHEN '!' THEN rule[2:] ELSE rule END AS bare FROM {values([(r,) for r in some], "rule")}),
+ fit AS (SELECT page_id, len(string_split(bare, '.')) + more AS n, more FROM hosts JOIN rules ON (host = bare OR ends_with(host, '.' || bare)) AND len(string_split(host, '.')) >= len(string_split(bare, '.')) + more),
+ best AS (SELECT page_id, CASE WHEN min(more) < 0 THEN min(n) FILTER (more < 0) ELSE max(n) END AS n FROM fit GROUP BY 1),
+ l AS (SELECT page_id, host, string_split(host, '.') AS x, coalesce(n, 0) AS n FROM hosts LEFT JOIN best USING (page_id))
+ SELECT page_id, host, CASE WHEN n = 0 THEN NULL ELSE array_to_string(x[-n:], '.') END AS suffix, CASE WHEN n = len(x) THEN host WHEN n = 0 THEN array_to_string(x[-2:], '.') ELSE array_to_string(x[-(n + 1):], '.') END AS base_domain,
+ CASE WHEN n > 0 AND n < len(x) THEN x[-(n + 1)] END AS label FROM l"""
 
 
 @query(_registrable_sql())
 def page_registrable(spark, sf_dir):
-    """Hosts below suffixes of every kind."""
-    return spark.createDataFrame([(h,) for h in HOSTS], "host string").select("host", D.registry_suffix(F.col("host")).alias("suffix"), D.base_domain(F.col("host")).alias("base_domain"))
+    """The pages' hosts moved below suffixes of every kind."""
+    places = F.array(*map(F.lit, HOSTS))
+    under = F.get(places, (F.col("page_id") % len(HOSTS)).cast("int"))
+    host = F.when(F.col("page_id") % 3 == 0, under).otherwise(F.concat(F.element_at(F.split(D.host_of(F.col("url")), r"\."), 1), F.lit("."), under))
+    h = F.col("host")
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host")).select("page_id", "host", D.registry_suffix(h).alias("suffix"), D.base_domain(h).alias("base_domain"), D.registrable_label(h).alias("label"))
 
 
 @query("""SELECT p_partkey, word, length(regexp_replace(word, '[^aeiouy]', '', 'g')) = 0 AND length(word) >= 5 OR length(word) >= 8 AND length(regexp_replace(word, '[^aeiouy]', '', 'g')) / length(word) < 0.15 AS garbled, length(word) <= 2 AS false_positive, length(word) BETWEEN 3 AND 80 AS valid
@@ -669,6 +680,120 @@ def scan_minimal(spark, sf_dir):
     return found.select(*(F.col(c).alias(a) for c, a in columns.items()))
 
 
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Org ' || s_suppkey || ' Ltd' WHEN 1 THEN 'Second ' || s_suppkey WHEN 2 THEN NULL ELSE 'Third ' || s_suppkey END AS owner, CASE WHEN s_suppkey % 4 = 3 THEN NULL ELSE 'Reg ' || (s_suppkey % 7) END AS registrar,
+ s_suppkey % 4 IN (1, 2) AS redacted, CASE s_suppkey % 2 WHEN 0 THEN 'whois.reg' || (s_suppkey % 7) || '.com' END AS referral FROM supplier""")
+def whois_owners(spark, sf_dir):
+    """Owner, registrar, redaction and referral of a registration record for each supplier: named, hidden but for another line, hidden, and named on two lines without a registrar."""
+    k = F.col("s_suppkey")
+    key, reg = k.cast("string"), (k % 7).cast("string")
+    first = F.when(k % 4 == 0, F.concat(F.lit("Registrant Organization:  Org "), key, F.lit(" Ltd"))).when(k % 4 == 3, F.concat(F.lit("Registrant:\n    Third "), key)).otherwise("Registrant Organization: REDACTED FOR PRIVACY")
+    second = F.when(k % 4 == 1, F.concat(F.lit("OrgName: Second "), key)).otherwise("Created: 2001")
+    agent = F.when(k % 4 == 3, "Registrar: Private").otherwise(F.concat(F.lit("Registrar: Reg "), reg))
+    more = F.when(k % 2 == 0, F.concat(F.lit("Registrar WHOIS Server: HTTP://whois.reg"), reg, F.lit(".com/x"))).otherwise("")
+    r = F.concat_ws("\n", F.lit("% a record"), first, second, agent, more)
+    found = table(spark, sf_dir, "supplier").select("s_suppkey", r.alias("r"))
+    r = F.col("r")
+    return found.select("s_suppkey", registry.owner(r, F.concat(F.lit("s"), key, F.lit(".com"))).alias("owner"), registry.registrar(r).alias("registrar"), registry.is_redacted(r).alias("redacted"), registry.referral(r).alias("referral"))
+
+
+@query("""WITH f AS (SELECT 'n' || s_nationkey || '.com' AS target, 'v' || s_suppkey || '.net' AS domain, 'DNS::TXT::SPF' AS source_type, 'Via subdomain a' || s_suppkey || '.n' || s_nationkey || '.com (subfinder:crt): raw' || s_suppkey AS evidence FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL
+ SELECT 'n' || s_nationkey || '.com', 'c' || (s_suppkey % 4) || '.io', 'DISCOVERY::SUBFINDER', 'Subdomain a' || s_suppkey || '.n' || s_nationkey || '.com CNAMEs to x.c' || (s_suppkey % 4) || '.io (subfinder:crt)' FROM supplier)
+ SELECT *, count(*) FILTER (source_type LIKE 'DNS%') OVER w AS txt, count(*) FILTER (source_type LIKE 'DISC%') OVER w AS cname FROM f WINDOW w AS (PARTITION BY target)""")
+def subdomain_vendors(spark, sf_dir):
+    """Each nation's subdomains: a foreign TXT vendor for two of three (the third is the nation's own), and a CNAME for all."""
+    key, nation = F.col("s_suppkey").cast("string"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".com"))
+    vendor = F.struct(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("mail."), nation)).otherwise(F.concat(F.lit("v"), key, F.lit(".net"))).alias("domain"), F.lit("DNS::TXT::SPF").alias("source_type"), F.concat(F.lit("raw"), key).alias("raw_record"))
+    base = F.concat(F.lit("c"), (F.col("s_suppkey") % 4).cast("string"), F.lit(".io"))
+    cname = F.struct(F.concat(F.lit("x."), base).alias("name"), base.alias("base"))
+    found = table(spark, sf_dir, "supplier").select(nation.alias("target"), F.concat(F.lit("a"), key, F.lit("."), nation).alias("subdomain"), F.lit("crt").alias("source"), F.array(vendor).alias("txt_vendors"), F.array(cname).alias("cnames"))
+    v = registry.subdomain_vendors(found)
+    return v.join(registry.subdomain_counts(v), "target")
+
+
+@query("""WITH RECURSIVE w(root, name, lookup) AS (SELECT 's' || s_suppkey || '.com', 's' || s_suppkey || '.com', 0 FROM supplier UNION ALL SELECT root, CAST(CAST(regexp_extract(name, '[0-9]+') AS BIGINT) + 1 AS VARCHAR), lookup + 1 FROM (SELECT * FROM w WHERE lookup < 10)
+ WHERE CAST(regexp_extract(name, '[0-9]+') AS BIGINT) < (SELECT max(s_suppkey) FROM supplier) AND CAST(regexp_extract(name, '[0-9]+') AS BIGINT) % 10 <> 0)
+ SELECT root, 's' || regexp_extract(name, '[0-9]+') || '.com' AS name, CAST(lookup AS INTEGER) AS lookup FROM w""")
+def spf_chain(spark, sf_dir):
+    """Suppliers whose SPF records include the next one's, in runs that end at every tenth; two of them by a redirect."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier")
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"), F.lit(".com"))
+    way = F.when(k % 2 == 0, " include:").otherwise(" redirect=")
+    answers = s.where(k % 10 != 0).select(F.upper(name(k)).alias("name"), F.concat(F.lit("v=spf1 ip4:1.2.3.4"), way, name(k + 1), F.lit(" include:%{i}.x.com")).alias("rdata")).join(F.broadcast(s.agg(F.max(k).alias("top"))), F.lit(True)).where(F.col("name") != F.upper(name(F.col("top")))).drop("top")
+    return txt.resolve_spf(s.select(name(k).alias("root")), answers)
+
+
+@query("""SELECT s_suppkey, s_suppkey % 5 IN (0, 1, 2) AS same FROM supplier""")
+def self_references(spark, sf_dir):
+    """Suppliers' vendors: their own host, another case and depth of it, a known alias of theirs, a lookalike, and a stranger."""
+    k, key = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    own = F.concat(F.lit("s"), key, F.lit(".co.uk"))
+    vendor = F.when(k % 5 == 0, F.concat(F.lit("mail."), own)).when(k % 5 == 1, F.concat(F.lit("A.B."), F.upper(own))).when(k % 5 == 2, "cdn.klaviyomail.com").when(k % 5 == 3, F.concat(F.lit("not"), own)).otherwise("saasbee.com")
+    customer = F.when(k % 5 == 2, "www.klaviyo.com").otherwise(own)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", D.same_organization(vendor, customer).alias("same"))
+
+
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '([^.]+[.][^.]+)$', 1) AS base FROM pages)
+ SELECT a.url AS page_url, b.base AS vendor_domain, CASE WHEN b.page_id = a.page_id + 1 THEN 'DISCOVERY::WEBPAGE_SOURCE' ELSE 'DISCOVERY::WEBPAGE_NETWORK' END AS source_type, CASE WHEN b.page_id = a.page_id + 1 THEN 'HTML img src reference: ' || b.url ELSE 'Runtime network request: ' || b.url END AS evidence
+ FROM p a JOIN p b ON b.page_id IN (a.page_id + 1, a.page_id + 2) WHERE a.base <> b.base QUALIFY row_number() OVER (PARTITION BY a.url, b.base ORDER BY b.page_id DESC) = 1""")
+def page_traffic(spark, sf_dir):
+    """Every page with a picture from the page after it, and requests to the one after that (to a later address of it as well)."""
+    p = table(spark, sf_dir, "pages").withColumn("target", D.base_domain(D.host_of(F.col("url"))))
+    after = lambda n, name: p.select((F.col("page_id") - n).alias("page_id"), F.col("url").alias(name))
+    pictured = p.join(after(1, "_next"), "page_id", "left").withColumn("html", F.concat("html", F.coalesce(F.concat(F.lit('<img src="'), "_next", F.lit('">')), F.lit(""))))
+    asked = p.join(after(2, "_second"), "page_id").select(F.col("url").alias("page_url"), "target", F.explode(F.array(F.struct(F.lit(0).alias("ordinal"), F.col("_second").alias("request_url")), F.struct(F.lit(1).alias("ordinal"), F.concat("_second", F.lit("/later")).alias("request_url")))).alias("r")).select("page_url", "target", "r.*")
+    return web.web_traffic(web.page_resources(pictured), web.network_vendors(asked)).select("page_url", "vendor_domain", "source_type", "evidence")
+
+
+@query(f"WITH {REL} SELECT nth_party_domain, nth_party_layer, nth_party_customer_organization, nth_party_record_type, evidence, count(*) AS n, (SELECT count(*) FROM rel) AS total, (SELECT count(DISTINCT nth_party_domain) FROM rel) AS unique_domains FROM rel GROUP BY ALL")
+def report_json(spark, sf_dir):
+    """The JSON report, read back from its lines: relationships, each with the summary's numbers."""
+    lines = writers.json_report(rel(spark, sf_dir))
+    kind = "nth_party_domain string, nth_party_layer int, nth_party_customer_organization string, nth_party_record_type string, evidence string"
+    own = lines.where("at.part = 1").select(F.from_json(F.substring("line", 3, 1 << 30), kind).alias("r")).select("r.*")
+    head = lines.where("at.part = 0").select(F.get_json_object(F.concat("line", F.lit("]}")), "$.summary").alias("s")).select(F.get_json_object("s", "$.total_relationships").cast("long").alias("total"), F.get_json_object("s", "$.unique_domains").cast("long").alias("unique_domains"))
+    return own.groupBy(*own.columns).agg(F.count("*").alias("n")).join(F.broadcast(head), F.lit(True))
+
+
+@query(f"""WITH {REL}, t AS (SELECT nth_party_record_type AS k, '| ' || nth_party_domain || ' | ' || nth_party_organization || ' | ' || nth_party_layer || ' | ' || CASE nth_party_record_type WHEN 'DISCOVERY::WEBPAGE_SOURCE' THEN 'Page source | ' WHEN 'DNS::TXT::SPF' THEN '' WHEN 'DNS::TXT::VERIFICATION' THEN ''
+ ELSE replace(nth_party_record_type, '_', '\\_') || ' | ' END || nth_party_customer_domain || ' | ' || nth_party_record || ' |' AS line FROM rel)
+ SELECT line, count(*) AS n FROM t GROUP BY 1 UNION ALL SELECT '- ' || nth_party_record_type || ': ' || count(*), 1 FROM rel GROUP BY nth_party_record_type UNION ALL SELECT '- ' || nth_party_layer || ': ' || count(*), 1 FROM rel GROUP BY nth_party_layer UNION ALL
+ SELECT DISTINCT '    ' || replace(replace(nth_party_domain, '.', '_'), '-', '_') || '["' || nth_party_domain || '<br/>(' || min(nth_party_organization) OVER (PARTITION BY nth_party_domain) || ')"]', 1 FROM rel""")
+def report_markdown(spark, sf_dir):
+    """Of the Markdown report the counts by type and layer, the vendors' nodes, and all rows of its tables."""
+    lines = writers.markdown(rel(spark, sf_dir))
+    part, line = F.col("at.part"), F.col("line")
+    counts = (part == 0) & line.rlike("^- ([A-Z_]+::|[0-9])")
+    rows = part.isin(6, 8, 10, 12)
+    return lines.where(counts | rows | (part == 2)).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT event_type, count(*) FILTER (value <= 50) AS failed, count(*) AS n FROM events GROUP BY 1), o AS (SELECT max(failed) FILTER (event_type = 'click') AS a, max(failed) FILTER (event_type = 'view') AS b, max(n) FILTER (event_type = 'error') AS d, max(n) FILTER (event_type = 'signup') AS f FROM e)
+ SELECT 'subprocessor failed on ' || a || ' domain(s); CT-log discovery failed on ' || b || ' domain(s); ' || CASE WHEN greatest(d, f) > least(d, f) THEN 'DNS degraded on ' || (greatest(d, f) - least(d, f)) || ' lookup(s); ' ELSE '' END || least(d, f) || ' name(s) failed at their own authoritative DNS (not a local network fault)' AS text,
+ CASE WHEN greatest(d, f) > least(d, f) THEN 're-run on a stable network' ELSE 'see the coverage' END AS advice FROM o""")
+def scan_degradation(spark, sf_dir):
+    """How a scan was degraded whose phases failed as often as events of their kinds have small values."""
+    phase = F.when(F.col("event_type") == "click", "subprocessor").when(F.col("event_type") == "view", "ct").when(F.col("event_type") == "purchase", "saas")
+    own = table(spark, sf_dir, "events").withColumn("phase", phase)
+    failed = F.when(F.col("event_type") == "purchase", 0).otherwise((F.col("value") <= 50).cast("int"))
+    covered = relations.coverage(own.where("phase is not null").select("phase", F.lit(1).alias("found"), F.coalesce(failed, F.lit(0)).alias("failed")))
+    n = own.agg(F.count_if(F.col("event_type") == "error").alias("d"), F.count_if(F.col("event_type") == "signup").alias("f"))
+    return relations.degradation(covered, n.select(F.lit(0).alias("starved"), F.greatest("d", "f").alias("dns_failures"), F.least("d", "f").alias("dns_name_failures")))
+
+
+@query("""WITH o AS (SELECT 's' || s_suppkey AS domain, s_name AS organization, 'user_confirmed' AS source FROM supplier WHERE s_suppkey % 2 = 0), c AS (SELECT 's' || s_suppkey AS domain, CASE s_suppkey % 3 WHEN 0 THEN s_name ELSE 'New ' || s_suppkey END AS organization, CASE s_suppkey % 5 WHEN 0 THEN 'whois_verified' ELSE 'user_confirmed' END AS source FROM supplier)
+ SELECT domain, coalesce(c.organization, o.organization) AS organization, coalesce(c.source, o.source) AS source, o.domain IS NULL OR c.organization <> o.organization OR c.source <> o.source AS changed FROM c LEFT JOIN o USING (domain)""")
+def override_changes(spark, sf_dir):
+    """Overrides for every other supplier, changes for all of them, each given twice; which change anything, and what stands in the end."""
+    k, s = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    domain = F.concat(F.lit("S"), k.cast("string"))
+    had = s.where(k % 2 == 0).select(domain.alias("domain"), F.col("s_name").alias("organization"), F.lit("2024").alias("added"), F.lit("user_confirmed").alias("source"))
+    new = s.select(F.explode(F.array(k.cast("long"), (k + 1_000_000).cast("long"))).alias("seq"), domain.alias("domain"), F.when(k % 3 == 0, F.col("s_name")).otherwise(F.concat(F.lit("New "), k.cast("string"))).alias("organization"), F.lit("2025").alias("added"), F.when(k % 5 == 0, "whois_verified").otherwise("user_confirmed").alias("source"))
+    changed = review.changes_of(had, new)
+    stands = review.entries(review.upsert(had, changed))
+    return stands.join(changed.select("domain", F.lit(True).alias("changed")), "domain", "left").select("domain", "organization", "source", F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"graph_bfs_layers": QUERIES["graph_bfs_layers"]} | QUERIES
 

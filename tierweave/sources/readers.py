@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,15 +96,40 @@ def overrides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def company_table(spark: SparkSession, path: str) -> DataFrame:
-    """``domain, organization`` from a tab-separated file with # comments; the last line of a domain counts."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).where(~F.trim("line").startswith("#"))
+    """``domain, organization`` from tab-separated files with # comments; the last line of a domain counts, files in order of their names."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(at.alias("at"), F.regexp_replace("value", r"\r$", "").alias("line")).where(~F.trim("line").startswith("#"))
     parts = lines.select("at", F.lower(F.trim(F.get(F.split("line", "\t", 2), F.lit(0)))).alias("domain"), F.trim(F.get(F.split("line", "\t", 2), F.lit(1))).alias("organization"))
     return parts.where("domain <> '' and organization <> ''").groupBy("domain").agg(F.max_by("organization", "at").alias("organization"))
 
 
+def company_table_version(spark: SparkSession, path: str) -> str | None:
+    """What the table's ``# dataset_version:`` line says."""
+    said = spark.read.text(path).where(F.trim("value").rlike(r"^#\s*dataset_version:")).select(F.trim(F.regexp_extract("value", r"dataset_version:(.*)$", 1)).alias("v"))
+    found = said.agg(F.min("v")).first()
+    return found[0] if found else None
+
+
+def or_else(read: Callable[[], DataFrame], fallback: DataFrame) -> DataFrame:
+    """What ``read`` reads, or the table that comes with the installation where its files are missing or hold nothing."""
+    try:
+        found = read()
+        return fallback if found.isEmpty() else found
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition()):
+            raise
+        return fallback
+
+
+def all_platforms(platforms: DataFrame, registry: DataFrame) -> DataFrame:
+    """The platform table with the registry's tenants after it; a name and owner that the table has already counts once."""
+    own = registry_tenants(registry).join(platforms.select("name", "vendor_domain"), ["name", "vendor_domain"], "left_anti")
+    return platforms.unionByName(own.select(*platforms.columns))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines, without those that do not fit."""
-    text = spark.read.text(path)
+    """JSON lines, without those that do not fit; of a compressed file that breaks off, the lines before the break."""
+    text = spark.read.option("ignoreCorruptFiles", True).text(path)
     return text.select(F.from_json("value", schema).alias("r")).where(F.col("r").isNotNull() & F.col("r").cast("string").isNotNull()).select("r.*").dropna("all")
 
 
