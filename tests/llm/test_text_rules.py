@@ -1,11 +1,14 @@
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tierweave.llm import pii, quality, secrets, simhash
 
@@ -292,3 +295,79 @@ def test_frequent_marks_reject_by_the_model(spark):
     texts = [" ".join(w) for w in words[:180]] + [" | ".join(w) for w in words[180:190]] + [" ".join(x + rng.choice(["###", "$$$", "%%%"]) for x in w) for w in words[190:]]
     got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
     assert all(got[i] for i in range(180)) and not any(got[i] for i in range(180, 200))
+
+
+def test_quartiles_are_exact_however_rows_are_spread(spark):
+    rng = np.random.default_rng(4)
+    rows = [("en", float(x)) for x in rng.normal(-2.5, 0.4, 30_000)] + [("de", -1.0), (None, -3.0), (None, -2.0), (None, -1.0), ("en", None)]
+    want = [sorted(round(x * quality.STEPS) for lang, x in rows if lang == "en" and x is not None)[math.ceil(30_000 * q) - 1] / quality.STEPS for q in (0.25, 0.5, 0.75)]
+    for parts in (1, 7):
+        got = {r.lang: r.q for r in quality.quartiles(spark.createDataFrame(rows, "lang string, logp double").repartition(parts)).collect()}
+        assert got["en"] == pytest.approx(want, abs=1e-12) and got["de"] == [-1.0] * 3 and got[None] == [-3.0, -2.0, -1.0]
+    assert quality.quartiles(spark.createDataFrame([], "lang string, logp double")).count() == 0
+
+
+def brute_spans(kinds, base, generated):
+    """By pairs: of the generated spans the more probable, then the earlier, then the longer, each if it overlaps nothing kept."""
+    kept = list(base)
+    for s, e, k, p in sorted(generated, key=lambda m: (-m[3], m[0], -m[1], m[2])):
+        if not any(a < e and s < z for a, z, *_ in kept):
+            kept.append((s, e, k, p))
+    return sorted(x for x in kept if x not in base)
+
+
+def test_sweeps_equal_all_pairs(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        n = rng.randint(0, 30)
+        spans = [(s, s + rng.randint(1, 12), rng.choice(("email", "phone_local", "iban", "card_short")), rng.randint(0, 9) / 10) for s in (rng.randint(0, 150) for _ in range(n))]
+        rows.append((i, sorted(set(spans))))
+    df = spark.createDataFrame(rows, f"i int, a array<{pii.SPAN}>")
+    got = {r.i: sorted(map(tuple, r.out)) for r in df.select("i", F.flatten(F.transform(pii._groups(F.col("a")), pii._chosen)).alias("out")).collect()}
+    for i, spans in rows:
+        base = [x for x in spans if x[2] == "email"]
+        assert got[i] == brute_spans(pii.KINDS, base, [x for x in spans if x[2] != "email"]), i
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    model = pii.fit_trees(pii.labelled_findings(spark))
+    took = {}
+    for n in (50, 50, 8000):
+        text = "".join(f"user{i}@host{i % 97}.example.org, tel " for i in range(n))
+        df = spark.createDataFrame([(1, text), (1, text[:40]), (None, None)], "doc_id long, text string")
+        began = time.time()
+        rows = pii.pii_report(df, model).collect()
+        clean = [r.text for r in pii.redact(df, model).collect()]
+        took[n] = time.time() - began
+        assert max(r.n_email for r in rows) == n and len(rows) == 3 and clean[0] == "<EMAIL>, tel " * n and clean[2] is None
+    assert took[8000] - took[50] < 10
+
+
+def test_spans_with_their_contexts(spark):
+    many = "😀é" * 5 + "a@b.c" * 200 + " x@y.zz! " + "call +1 (269) 555-3296; " * 70 + "q" * 50 + "@x.y"
+    got = spark.createDataFrame([(many,), ("a@b.c",), ("é a@b.c",)], "t string").select("t", pii._matches(F.col("t"), pii.BASE_PATTERN["email"], pii.NEEDS["email"]).alias("m")).collect()
+    for r in got:
+        assert [m.hit for m in r.m] == [m[0] for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r.t)]
+        assert all(r.t[m.start : m.end] == m.hit and m.before == r.t[max(0, m.start - pii.CONTEXT) : m.start] and m.after == r.t[m.end : m.end + 2] for m in r.m)
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(7, "password: hunter2hunter2 a@b.org " * 3), (7, "password: hunter2hunter2 a@b.org " * 3), (7, "plain words only"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    assert sorted(r.n_assign for r in secrets.scan(df).collect()) == [0, 0, 3, 3] and sorted(r.n_email for r in pii.pii_report(df).collect()) == [0, 0, 3, 3]
+    assert [r.doc_id for r in quality.assess(df).collect()] == [7] * 4 and quality.keep_good(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+    assert secrets.scan(df.limit(0)).count() == 0 and quality.assess(df.limit(0)).count() == 0
+
+
+def test_runs_that_overlap_base_spans(spark):
+    net = secrets.trained()
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=36))
+    texts = [f"use ghp_{key()} and token={key()} then {'0123456789abcdef' * 3} or sk-{key()}" for _ in range(20)] + ["", None]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, t in enumerate(texts):
+        base = [(s, e) for s, _, e, _ in secrets.base_spans(t or "")]
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in got[i].spans.split(",") if x)]
+        assert all(not (s < z and a < e) for k, s, e in spans if k == "token" for a, z in base)
+        assert t is None or t == "" or (got[i].n_hex, got[i].n_assign) == (1, 1) and got[i].n_token >= 1

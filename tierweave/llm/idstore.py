@@ -13,7 +13,7 @@ place, numbers) is the result of the writing job; only files it names are read,
 that were lost or repeated leave nothing but unread files. Readers check every block's CRC.
 
 Edge cases: null and empty texts are the end id alone; null doc ids come first; rows that repeat
-a doc id follow one another; columns other than ``doc_id`` and ``text`` are ignored; an empty
+a doc id follow one another, by a hash of their texts; columns other than ``doc_id`` and ``text`` are ignored; an empty
 table gives an empty manifest. Ids must be below 65535.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -111,18 +112,19 @@ def write_ids(docs: DataFrame, end_id: int = 2, path: str | None = None, folder:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names).cast(pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[k]) for n, k in (f.split() for f in MANIFEST.split(", "))]))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     return cut(ordered.mapInArrow(work, MANIFEST), "token-ids-manifest")
 
 
 def read_ids(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids`` of every document in the files."""
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
-    # Ids before a part, then before a chunk within its part: the first window is over one row a file.
-    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    # Ids before a part (the driver adds up a row a file), then before a chunk within its part.
+    sizes = sorted(manifest.groupBy("part").agg(F.sum("n_ids")).collect())
+    before = accumulate((n for _, n in sizes), initial=0)
+    parts = manifest.sparkSession.createDataFrame(list(zip((p for p, _ in sizes), before, strict=False)), "part int, before long")
     chunks = manifest.withColumn("inside", F.sum("n_ids").over(Window.partitionBy("part").orderBy("chunk")) - F.col("n_ids"))
-    placed = chunks.join(parts, "part").select("path", "place", "n_bytes", (F.col("before") + F.col("inside")).alias("first"))
+    placed = chunks.join(F.broadcast(parts), "part").select("path", "place", "n_bytes", (F.col("before") + F.col("inside")).alias("first"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -19,7 +19,7 @@ rule, so they say nothing certain about other text.
 
 Edge cases: null and empty texts have no spans; rows are kept one for one, null and repeated ids
 included; other columns are ignored by ``pii_spans`` and kept by ``redact``. Quantifiers are possessive,
-so that texts of any length neither overflow the matcher's stack nor take quadratic time.
+so that texts of any length neither overflow the matcher's stack nor take quadratic time. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ BASE_PATTERN = {
 #: What a text must hold for a pattern to match at all.
 NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 GENERATORS = {
-    "email_words": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,40}+\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9-]{1,40}+(?:\x20?(?:[(\[]\x20?dot\x20?[)\]]|\.)\x20?[A-Za-z0-9-]{2,20}+){1,4}+",
+    "email_words": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[]\x20?dot\x20?[)\]]|\.)\x20?[A-Za-z0-9-]{2,}+)++",
     "phone_local": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "person_number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -59,6 +59,12 @@ AGAINST_WORDS = r"(?i)\b(?:order|invoice|isbn|item|sku|part|ref|reference|versio
 CONTEXT = 24
 #: Matches whose positions are added up together.
 CHUNK = 64
+#: Matches that together hold at least ``CONTEXT`` characters (the shortest has three).
+ENOUGH = 8
+MATCH = "struct<start:int,end:int,hit:string,before:string,after:string>"
+SPAN = "struct<start:int,end:int,kind:string,p:double>"
+#: Characters of a block of text when much of it is taken apart.
+BLOCK = 4096
 
 
 def _let(value: Column, body) -> Column:
@@ -67,29 +73,38 @@ def _let(value: Column, body) -> Column:
 
 
 def _matches(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct<start, end, hit>> of a pattern's matches in their order."""
+    """array<MATCH> of a pattern's matches in their order, each with ``CONTEXT`` characters before and two after it.
+
+    Places and contexts come from the texts between the matches, in one pass: none is looked for in the whole text.
+    """
     p = F.lit(pattern)
     parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, p, F.lit(0)).alias("hits"))
 
     def spans(x: Column) -> Column:
+        gap, hit = lambda i: F.get(x["gaps"], i), lambda i: F.get(x["hits"], i)
+
         def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["gaps"], i))
-            end = start + F.length(F.get(x["hits"], i))
-            return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.get(x["hits"], i).alias("hit")))).alias("out"))
+            start = acc["at"] + F.length(gap(i))
+            before = F.right(F.concat(acc["tail"], gap(i)), F.lit(CONTEXT))
+            after = F.left(F.concat(gap(i + 1), F.coalesce(hit(i + 1), F.lit(""))), F.lit(2))
+            own = F.struct(start.cast("int").alias("start"), (start + F.length(hit(i))).cast("int").alias("end"), hit(i).alias("hit"), before.alias("before"), after.alias("after"))
+            return _let(own, lambda m: F.struct(m["end"].alias("at"), F.right(F.concat(m["before"], m["hit"]), F.lit(CONTEXT)).alias("tail"), F.concat(acc["out"], F.array(m)).alias("out")))
 
-        empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-        run = lambda first, last, at: F.aggregate(F.sequence(first, last), F.struct(at.alias("at"), empty.alias("out")), step)["out"]
+        empty = F.array().cast(f"array<{MATCH}>")
+        run = lambda first, last, at, tail: F.aggregate(F.sequence(first, last), F.struct(at.alias("at"), tail.alias("tail"), empty.alias("out")), step)["out"]
 
         def chunked(n: Column) -> Column:
             """Chunks of ``CHUNK`` matches, so that growing arrays stay short in texts with many."""
-            size = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK, n) - 1), F.lit(0), lambda a, i: (a + F.length(F.get(x["gaps"], i)) + F.length(F.get(x["hits"], i))).cast("int")))
+            chunks = F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
+            size = F.transform(chunks, lambda c: F.aggregate(F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK, n) - 1), F.lit(0), lambda a, i: (a + F.length(gap(i)) + F.length(hit(i))).cast("int")))
             first = lambda sizes: F.aggregate(sizes, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array((F.element_at(a, -1) + v).cast("int"))))
-            return _let(first(size), lambda at: F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: run(c * CHUNK, F.least(c * CHUNK + CHUNK, n) - 1, F.get(at, c)))))
+            tail = lambda c: F.when(c == 0, "").otherwise(F.right(F.array_join(F.transform(F.sequence(c * CHUNK - ENOUGH, c * CHUNK - 1), lambda i: F.concat(gap(i), hit(i))), ""), F.lit(CONTEXT)))
+            return _let(first(size), lambda at: F.flatten(F.transform(chunks, lambda c: run(c * CHUNK, F.least(c * CHUNK + CHUNK, n) - 1, F.get(at, c), tail(c)))))
 
         n = F.size(x["hits"])
-        return F.when(n > CHUNK, chunked(n)).when(n > 0, run(F.lit(0), n - 1, F.lit(0))).otherwise(empty)
+        return F.when(n > CHUNK, chunked(n)).when(n > 0, run(F.lit(0), n - 1, F.lit(0), F.lit(""))).otherwise(empty)
 
-    return F.when(text.rlike(needs), _let(parts, spans)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    return F.when(text.rlike(needs), _let(parts, spans)).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
 def _digits(s: Column) -> Column:
@@ -111,10 +126,6 @@ def _passes(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _before(text: Column, start: Column) -> Column:
-    return F.when(start > CONTEXT, text.substr(start - CONTEXT + 1, F.lit(CONTEXT))).otherwise(text.substr(F.lit(1), start))
-
-
 def features(kind: Column, hit: Column, before: Column, after: Column) -> dict[str, Column]:
     """Boolean features of a candidate's format and context."""
     digits = F.length(_digits(hit))
@@ -224,46 +235,73 @@ def probability(model: dict, f: dict[str, Column]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(total * model["scale"] + model["shift"])))
 
 
+def _groups(spans: Column) -> Column:
+    """Spans, sorted by their starts, in groups that overlap one another: array<array<SPAN>>."""
+    kind = f"struct<end:int,now:array<{SPAN}>,done:array<array<{SPAN}>>>"
+
+    def step(acc: Column, m: Column) -> Column:
+        same = m["start"] < acc["end"]
+        now = F.when(same, F.concat(acc["now"], F.array(m))).otherwise(F.array(m))
+        return F.struct(F.greatest(acc["end"], m["end"]).alias("end"), now.alias("now"), F.when(same, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done")).cast(kind)
+
+    start = F.struct(F.lit(0).alias("end"), F.array().alias("now"), F.array().alias("done")).cast(kind)
+    folded = lambda some: F.aggregate(some, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    return F.filter(folded(F.array_sort(spans)), lambda g: F.size(g) > 0)
+
+
+def _chosen(group: Column) -> Column:
+    """Of a group's generated spans those that stay: the more probable first, then the earlier, then the longer, each if it overlaps nothing kept and no base span."""
+    base = F.filter(group, lambda m: m["kind"].isin(*BASE))
+    own = F.filter(group, lambda m: ~m["kind"].isin(*BASE))
+    order = F.array_sort(F.transform(own, lambda m: F.struct((-m["p"]).alias("q"), m["start"].alias("start"), (-m["end"]).alias("e"), m["kind"].alias("kind"))))
+    span = lambda m: F.struct(m["start"].alias("start"), (-m["e"]).alias("end"), m["kind"].alias("kind"), (-m["q"]).alias("p"))
+    kept = F.aggregate(order, base, lambda acc, m: F.when(F.exists(acc, lambda k: (k["start"] < -m["e"]) & (m["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(span(m)))))
+    return F.when(F.size(own) > 0, F.filter(kept, lambda m: ~m["kind"].isin(*BASE))).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
 def _judged(text: Column, base: Column, model: dict) -> Column:
-    """struct<added, scored>: accepted candidates in the order of their starts, and every candidate, base spans first, with its probability ``p``."""
+    """struct<added, scored>: accepted candidates in the order of their starts, and every candidate, base spans first, each with its probability ``p``.
+
+    Candidates are sorted by their starts and swept into groups that overlap; only within a group is each held against the others.
+    """
 
     def candidates(g: str) -> Column:
-        return F.transform(_matches(text, GENERATORS[g], GENERATOR_NEEDS[g]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(g).alias("kind"), m["hit"].alias("hit")))
+        return _kinded(_matches(text, GENERATORS[g], GENERATOR_NEEDS[g]), g)
 
     maybe = reduce(lambda a, b: a | b, [text.rlike(n) for n in GENERATOR_NEEDS.values()])
-    found = F.concat(base, F.when(maybe, F.concat(*map(candidates, GENERATORS))).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,hit:string>>")))
+    found = F.concat(base, F.when(maybe, F.concat(*map(candidates, GENERATORS))).otherwise(F.array().cast(CANDIDATES)))
 
     def scored(m: Column) -> Column:
-        parts = F.struct(m["kind"].alias("kind"), m["hit"].alias("hit"), _before(text, m["start"]).alias("before"), text.substr(m["end"] + 1, F.lit(2)).alias("after"))
-        p = _let(parts, lambda c: _let(F.struct(*[v.alias(k) for k, v in features(c["kind"], c["hit"], c["before"], c["after"]).items()]), lambda f: probability(model, {k: f[k] for k in FEATURES})))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"), p.alias("p"))
+        p = _let(F.struct(*[v.alias(k) for k, v in features(m["kind"], m["hit"], m["before"], m["after"]).items()]), lambda f: probability(model, {k: f[k] for k in FEATURES}))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"), p.alias("p")).cast(SPAN)
 
     limit = F.create_map(*[x for k, v in model["thresholds"].items() for x in (F.lit(k), F.lit(float(v)))])
-    free = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def accepted(all_: Column) -> Column:
-        good = F.filter(all_, lambda m: ~m["kind"].isin(*BASE) & (m["p"] >= F.element_at(limit, m["kind"])) & free(m))
-        # The more probable first, then the earlier, then the longer; each stays if it overlaps nothing kept so far.
-        order = F.array_sort(F.transform(good, lambda m: F.struct((-m["p"]).alias("q"), m["start"].alias("start"), (-m["end"]).alias("e"), m["kind"].alias("kind"))))
-        chosen = F.aggregate(order, empty, lambda acc, m: F.when(F.exists(acc, lambda k: (k["start"] < -m["e"]) & (m["start"] < k["end"])), acc).otherwise(F.concat(acc, F.array(F.struct(m["start"].alias("start"), (-m["e"]).alias("end"), m["kind"].alias("kind"))))))
-        return F.array_sort(chosen)
+        good = F.filter(all_, lambda m: m["kind"].isin(*BASE) | (m["p"] >= F.element_at(limit, m["kind"])))
+        any_ = F.exists(all_, lambda m: ~m["kind"].isin(*BASE))
+        return F.when(any_, F.array_sort(F.flatten(F.transform(_groups(good), _chosen)))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
     return _let(F.transform(found, scored), lambda all_: F.struct(accepted(all_).alias("added"), all_.alias("scored")))
 
 
+CANDIDATES = "array<struct<start:int,end:int,kind:string,hit:string,before:string,after:string>>"
+
+
+def _kinded(matches: Column, kind: str) -> Column:
+    return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["hit"].alias("hit"), m["before"].alias("before"), m["after"].alias("after")))
+
+
 def pii_spans(docs: DataFrame, model: dict | None = None, name: str = "_found") -> DataFrame:
-    """``docs`` with a struct column ``name`` of ``base`` and ``added`` (arrays of struct<start, end, kind> in reporting
-    order) and ``scored`` (every candidate, base ones first, with its probability ``p``)."""
+    """``docs`` with a struct column ``name`` of ``base`` and ``added`` (arrays of struct<start, end, kind, p> in reporting
+    order) and ``scored`` (every candidate, base ones first), all with their probabilities ``p``."""
     model = model or fit_trees(labelled_findings(docs.sparkSession))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def of(kind: str) -> Column:
-        good = F.filter(_matches(text, BASE_PATTERN[kind], NEEDS[kind]), lambda m: _passes(kind, m["hit"]))
-        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["hit"].alias("hit")))
+        return _kinded(F.filter(_matches(text, BASE_PATTERN[kind], NEEDS[kind]), lambda m: _passes(kind, m["hit"])), kind)
 
-    plain = lambda spans: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind")))
-    both = _let(F.concat(*map(of, BASE)), lambda base: _let(_judged(text, base, model), lambda j: F.struct(plain(base).alias("base"), j["added"].alias("added"), j["scored"].alias("scored"))))
+    both = _let(F.concat(*map(of, BASE)), lambda base: _let(_judged(text, base, model), lambda j: F.struct(F.slice(j["scored"], F.lit(1), F.size(base)).alias("base"), j["added"].alias("added"), j["scored"].alias("scored"))))
     return docs.withColumn(name, both)
 
 
@@ -278,10 +316,7 @@ def pii_report(docs: DataFrame, model: dict | None = None) -> DataFrame:
     base, added, scored = F.col("_found.base"), F.col("_found.added"), F.col("_found.scored")
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in BASE]
-    # Base candidates lead, in the order of their spans; an added one is found again by its place.
-    of = lambda s: F.element_at(F.filter(scored, lambda c: (c["start"] == s["start"]) & (c["end"] == s["end"]) & (c["kind"] == s["kind"])), 1)["p"]
-    p = F.concat(F.transform(F.slice(scored, F.lit(1), F.size(base)), lambda c: c["p"]), F.transform(added, of))
-    scores = F.array_join(F.transform(p, lambda v: F.format_number(v, 3)), ",")
+    scores = F.array_join(F.transform(F.concat(base, added), lambda s: F.format_number(s["p"], 3)), ",")
     return found.select(
         "doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.concat(base, added)).alias("spans"),
         F.size(added).cast("long").alias("n_added"), F.size(scored).cast("long").alias("n_scored"), scores.alias("scores"),
@@ -300,13 +335,32 @@ def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
     spans = F.array_sort(F.concat(F.col(f"{name}.base"), F.col(f"{name}.added")))
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        grown = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(grown).alias("out"))
+    def merged(acc: Column, s: Column) -> Column:
+        """Spans that overlap as one: its end grows, its kind is the first one's."""
+        last = F.element_at(acc["out"], -1)
+        inside = (F.size(acc["out"]) > 0) & (s["start"] < acc["at"])
+        grown = F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(acc["at"], s["end"]).alias("end"), last["kind"].alias("kind"))))
+        new = F.concat(acc["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, grown).otherwise(new).alias("out")).cast(MERGED)
+
+    def clean(parts: Column) -> Column:
+        """Each merged span's name, with the text before it; blocks keep every cut short."""
+        blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+        def put(own: Column) -> Column:
+            def between(low: Column, high: Column) -> Column:
+                first = F.floor(low / BLOCK).cast("int")
+                several = F.array_join(F.slice(own, first + 1, F.floor(high / BLOCK).cast("int") - first + 1), "")
+                return several.substr((low - first * BLOCK + 1).cast("int"), (high - low).cast("int"))
+
+            ends = lambda i: F.when(i == 0, 0).otherwise(F.get(parts, i - 1)["end"])
+            named = F.transform(parts, lambda s, i: F.concat(between(ends(i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+            return F.concat(F.array_join(named, ""), between(F.element_at(parts, -1)["end"], F.length(text)))
+
+        return _let(blocks, put)
+
+    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(MERGED), merged, lambda acc: acc["out"])
+    return found.withColumn("text", F.when(F.size(spans) > 0, _let(whole, clean)).otherwise(text)).drop(name)
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))
 
-    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, finish)
-    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).drop(name)
+MERGED = "struct<at:int,out:array<struct<start:int,end:int,kind:string>>>"

@@ -38,7 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierweave.llm.common import cut, new_folder
@@ -48,6 +48,8 @@ from tierweave.llm.words import slices
 ORDER, CLASSES, EDGE = 4, 64, 63
 #: Models that a worker holds: 16 bytes for each n-gram of a language.
 HELD = 8
+#: Steps of a unit of the score, for its quartiles.
+STEPS = 10_000
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -335,11 +337,23 @@ def measure(docs: DataFrame, folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(work, schema)
 
 
+def quartiles(scores: DataFrame) -> DataFrame:
+    """``lang, q``: the exact quartiles of ``scores(lang, logp)``, rounded to ``1 / STEPS``.
+
+    Scores are counted by step, so a language has a row a step (some 16 times ``STEPS`` at most, whatever the corpus), and the counts are added up in order.
+    """
+    counted = scores.where("logp is not null").groupBy("lang", F.round(F.col("logp") * STEPS).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy("lang").orderBy("step"))
+    placed = counted.withColumn("upto", up_to).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+    at = [F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * share), F.col("step"))) / F.lit(float(STEPS)) for share in (0.25, 0.5, 0.75)]
+    return placed.groupBy("lang").agg(F.array(*at).alias("q"))
+
+
 def assess(docs: DataFrame, min_words: int = 50, upper: float = 6.0, lower: float = 5.0) -> DataFrame:
     """The measures, ``base_failed``, the language's bands and ``kept`` for every row of ``docs``."""
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = cut(measure(docs, fit(docs)).withColumn("base_failed", base_failed), "quality-measures")
-    bands = found.where("not base_failed").select("lang", "logp").distinct().groupBy("lang").agg(F.percentile_approx("logp", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 10_000).alias("q"))
+    bands = quartiles(found.where("not base_failed").select("lang", "logp").distinct())
     width = F.col("q")[2] - F.col("q")[0]
     bands = bands.select(F.col("lang").alias("_lang"), (F.col("q")[1] - upper * width).alias("low"), (F.col("q")[1] + lower * width).alias("high"))
     both = found.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")

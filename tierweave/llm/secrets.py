@@ -271,10 +271,12 @@ def scan(docs: DataFrame, network: Network | None = None, least: int = 12) -> Da
                 spans, taken = [], iter(base_score)
                 for own in base:
                     spans.append([(s, k, e, next(taken)) for s, k, e, _ in own])
-                good = score >= net.threshold
+                # The base spans that begin before a run ends, and the farthest end of these: past the run's start, they overlap.
+                begins = np.array([places[i] + s for i, own in enumerate(base) for s, _, _, _ in own], np.int64)
+                farthest = np.maximum.accumulate(np.concatenate(([0], [places[i] + e for i, own in enumerate(base) for _, _, e, _ in own]))).astype(np.int64)
+                good = (score >= net.threshold) & (farthest[np.searchsorted(begins, end)] <= start)
                 for i, s, e, p in zip(of[good].tolist(), (start - places[of])[good].tolist(), (end - places[of])[good].tolist(), score[good].tolist(), strict=True):
-                    if not any(a < e and s < z for a, _, z, _ in base[i]):
-                        spans[i].append((s, 3, e, p))
+                    spans[i].append((s, 3, e, p))
                 count = [[sum(x[1] == j for x in own) for own in spans] for j in range(4)]
                 spans = [sorted(own) for own in spans]
                 digest = [hashlib.sha256(_joined([x[:3] for x in own]).encode()).hexdigest() for own in base]
