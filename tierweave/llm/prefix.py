@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from tierweave.llm.words import BYTE_PIECE, PLAIN, byte_alphabet, cuts, library, slices, table, vocabulary
 
 MOST_PAIRS = 400_000
+#: Bytes up to which all ends of a piece are tried.
+SHORT = 24
 #: What the vocabulary's pattern splits off as a piece after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: All characters that Python or the vocabulary's splitter may take for a blank.
@@ -85,9 +87,9 @@ class PrefixCounts:
                 counts.append(1)
                 last.append(token)
                 continue
-            for n in (*lengths.get(raw[i - 2 : i], ()), 1):
-                j = i - n
-                token = get(raw[j:i]) if j > 0 else None
+            # In a long piece only the lengths that entries with this end have are tried; in a short one that costs more than it spares.
+            for j in range(1, i) if i <= SHORT else [i - n for n in lengths.get(raw[i - 2 : i], ()) if n < i] + [i - 1]:
+                token = get(raw[j:i])
                 if token is not None:
                     key = last[j] << 20 | token
                     got = apart.get(key)
