@@ -63,6 +63,18 @@ def _words(data):
     return [raw[e - n : e] for n, e in zip(lens.tolist(), ends.tolist(), strict=True)]
 
 
+def test_any_order_of_rows_and_small_tables_give_the_same_ids(spark, monkeypatch):
+    texts = [f"word{i} word{i % 7} shared words é{i}" for i in range(300)]
+    lib = library(vocabulary("byte_bpe_50k.json"))
+    want = sorted(hashlib.sha256(np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for t in texts)
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mixed = own.repartition(6).orderBy(F.rand())  # each reading gives another order
+    assert sorted(r.ids_sha256 for r in bpe.encode_documents(mixed, with_ids=False, batch_bytes=500).collect()) == want
+    monkeypatch.setattr(bpe, "MOST_WORDS", 5)
+    monkeypatch.setattr(bpe, "BUCKET", 100)
+    assert sorted(r.ids_sha256 for r in bpe.encode_documents(own, with_ids=False).collect()) == want
+
+
 def test_words_of_another_reading_are_refused(spark, tmp_path):
     import pyarrow as pa
 

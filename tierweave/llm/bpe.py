@@ -6,11 +6,12 @@ go back to all batches that hold it, to a file per batch in the shared folder. A
 their position in the batch's table; its decoded text is its ids joined with the pieces, a table as long as the vocabulary.
 
 What is shuffled is each different word of a batch, not each position: frequent words, which make up most of
-a text, travel once a batch. So no word makes a task hot. Buckets are four times the shuffle partitions, so that
-a bucket's different words, which one task holds at a time, are a fraction of what a partition holds.
+a text, travel once a batch. So no word makes a task hot. There is a bucket for each ``BUCKET`` bytes of text, whatever the session's
+settings, so a task holds the different words of that much text at a time; should they be over ``MOST_WORDS``, the table
+starts anew, and a word that comes again is encoded again.
 
-Texts are read twice. Files give the same rows in the same order each time; where the second reading
-differs, a check sum of each batch's words makes the job fail rather than give wrong ids.
+Texts are read twice, in the same order. A table in files gives that; anything else (``stored=False``: a plan with a shuffle
+or a sample may give its rows in another order each time) is written to the shared folder first. A check sum of each batch's words makes the job fail rather than give wrong ids.
 
 Edge cases: null and empty texts have no tokens; special strings inside texts become their
 special id, as the library does by default; rows stay one for one, repeated and null ids
@@ -37,12 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tierweave.llm.common import new_folder
+from tierweave.llm.common import cut, new_folder
 from tierweave.llm.storage import system
 from tierweave.llm.words import byte_alphabet, cuts, gather, slices, table, vocabulary
 
 #: Bytes of text whose words share a table.
 BATCH = 48 << 20
+#: Bytes of text for each bucket of words, and the fewest buckets.
+BUCKET, LEAST_BUCKETS = 64 << 20, 64
+#: Words that a task's table of a bucket holds.
+MOST_WORDS = 1 << 21
 
 
 def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -129,6 +134,9 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
                     w = raw[at : at + n]
                     at += n
                     if (got := known.get(w)) is None:
+                        if len(known) >= MOST_WORDS:
+                            known.clear()
+                            own.clear()
                         got = known[w] = np.array(own.ids(w.decode()), "<u4").tobytes()
                     ids.append(got)
                 out.append(_packed(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, b"".join(ids)))
@@ -228,12 +236,17 @@ def decode(ids: np.ndarray, path: str, block: int = 1 << 18) -> bytes:
     return b"".join(out)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = True, batch_bytes: int = BATCH) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` for every row."""
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = True, batch_bytes: int = BATCH, stored: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids`` for every row.
+
+    ``stored`` says that ``docs`` is a table in files as it stands, which needs no copy to be read twice alike.
+    """
     path = path or vocabulary("byte_bpe_50k.json")
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = own if stored else cut(own, "bpe-texts")
     folder = new_folder(docs.sparkSession, "bpe-batches")
-    buckets = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET))
     store_batches(encode_words(distinct_words(own, buckets, batch_bytes), path), folder)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 

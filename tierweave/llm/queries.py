@@ -25,7 +25,7 @@ def op2_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of every document from a distinct-word table."""
-    return bpe.encode_documents(_table(spark, sf_dir, "documents"), with_ids=False)
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), with_ids=False, stored=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
