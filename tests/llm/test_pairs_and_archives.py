@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tierweave.llm import rabitq, warc
+from tierweave.llm import common, rabitq, simhash, storage, warc
 from tierweave.llm.common import components
 
 
@@ -172,3 +172,29 @@ def test_pipeline(spark, tmp_path):
     assert "me@x.org" not in left.get(52, "")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in got.collect()} == set(left)
+
+
+def test_tables_are_released(spark):
+    common.release()
+    found = simhash.simhash_components(spark.createDataFrame([(i, "one two three four" if i < 3 else f"w{i} x y z") for i in range(9)], "doc_id long, text string"))
+    assert {r.component_id for r in found.collect() if r.doc_id < 3} == {0}
+    paths = list(common.WRITTEN)
+    assert paths and all(storage.system(p)[0].get_file_info(storage.system(p)[1]).type.name == "Directory" for p in paths)
+    # Of the rounds of components only the last table is left.
+    assert len([p for p in paths if "simhash-cc" in p or "/cc-" in p]) <= 1
+    assert common.release() == len(paths) and common.release() == 0
+    assert all(storage.system(p)[0].get_file_info(storage.system(p)[1]).type.name == "NotFound" for p in paths)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    prose = "the cat and the dog went over the hill to see what was on the other side of it and came home in the evening "
+    good = [f"{prose}{i} once more they told us that number {i * 7} was the best of all these days and {prose}" for i in range(12)]
+    rows = [(i, t, "en", "s", 1, "own") for i, t in enumerate(good)] + [(3, good[3], "en", "s", 1, "twice"), (None, good[5] + " more words", None, None, None, None), (50, None, "en", None, None, None), (51, "", "zz", None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    docs = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, str(tmp_path)), "t")
+        assert docs.columns == frame.columns and docs.count() <= len(rows), name
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0, name
+    assert docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count() and corpus_pipeline.STAGES[-1][1](spark, frame.limit(0), "").count() == 0

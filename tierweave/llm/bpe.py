@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tierweave.llm.common import cut, new_folder
+from tierweave.llm.common import WRITTEN, cut, new_folder
 from tierweave.llm.storage import system
 from tierweave.llm.words import byte_alphabet, cuts, gather, slices, table, vocabulary
 
@@ -245,6 +245,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own if stored else cut(own, "bpe-texts")
     folder = new_folder(docs.sparkSession, "bpe-batches")
+    WRITTEN.append(folder)
     size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET))
     store_batches(encode_words(distinct_words(own, buckets, batch_bytes), path), folder)

@@ -33,7 +33,7 @@ import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierweave.llm.common import cut, new_folder
+from tierweave.llm.common import WRITTEN, cut, new_folder
 from tierweave.llm.quality import coded
 from tierweave.llm.storage import system
 from tierweave.llm.words import slices
@@ -133,6 +133,7 @@ def fit(docs: DataFrame, nodes: int = 1_000_000) -> str:
     child = kept.where("k > 0").withColumn("_tail", _tail(F.col("gram"), F.col("k")))
     left = child.join(parent, ["lang", "k", "_tail"]).groupBy("lang", "k", "context").agg((F.max("_total") - F.sum("_n")).alias("rest"), (F.max("_kinds") - F.count("*")).alias("rest_kinds"))
     folder = new_folder(spark, "ppm-trees")
+    WRITTEN.append(folder)
     kept.join(left, ["lang", "k", "context"], "left").drop("context").write.parquet(folder)
     return folder
 

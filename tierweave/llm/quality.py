@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierweave.llm.common import cut, new_folder
+from tierweave.llm.common import WRITTEN, cut, new_folder
 from tierweave.llm.storage import system
 from tierweave.llm.words import slices
 
@@ -255,6 +255,7 @@ def _place(folder: str, lang: str | None) -> str:
 def fit(docs: DataFrame) -> str:
     """The folder of the languages' models. A language has 64**4 n-grams at most, and one task makes its model of them."""
     folder = new_folder(docs.sparkSession, "quality-models")
+    WRITTEN.append(folder)
 
     def make(part: pa.Table) -> pa.Table:
         lang = part["lang"][0].as_py()
