@@ -191,10 +191,11 @@ class PrefixCounts:
             before = total
         return np.concatenate(out)
 
-    def trim(self, most: int = 500_000) -> None:
+    def trim(self, most: int = 1_200_000) -> None:
+        """Forget the words where there are too many; pieces are of use for the words of one slice only."""
         if len(self.inner) > most:
             self.inner.clear()
-            self.pieces.clear()
+        self.pieces.clear()
 
 
 @lru_cache(maxsize=1)
