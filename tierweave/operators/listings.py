@@ -13,6 +13,7 @@ from tierweave.functions import domains as D
 from tierweave.functions import orgs as O
 from tierweave.operators import nodes as N
 from tierweave.operators import subprocessors, trust
+from tierweave.plans.graph import told
 
 #: What the heading of the column that names vendors says, most telling first.
 HEADERS = ("entity name", "vendor name", "company name", "subprocessor", "sub-processor", "entity", "vendor", "company", "organization", "provider", "supplier", "name")
@@ -21,12 +22,6 @@ SITES = "website|web site|url|domain|homepage"
 CONTEXT = ("subprocessor", "sub-processor", "third party", "third-party", "vendor", "service provider", "processor", "supplier")
 MARKED = r"(?i)sub-?processor|processor|vendor|supplier|provider"
 ASIDE = ("nav", "header", "footer", "aside", "menu")
-FEW_RULES = 20_000
-
-
-def told(rules: DataFrame) -> DataFrame:
-    """Settings: sent to every task where they are few, joined by a shuffle otherwise."""
-    return F.broadcast(rules) if rules.count() <= FEW_RULES else rules
 
 
 def bare_name(c: Column) -> Column:

@@ -12,6 +12,7 @@ from tierweave.functions import domains as D
 from tierweave.functions import fixed_values as V
 from tierweave.functions import orgs as O
 from tierweave.functions.binding import let
+from tierweave.plans.graph import told
 
 # --- Fixed values: lines of registration records, in their order. ---
 OWNER_LINES = (
@@ -117,7 +118,7 @@ def matches_baseline(probe: DataFrame, baseline: DataFrame) -> DataFrame:
     base = baseline.select("pattern", F.col("status").alias("_s"), F.xxhash64("body").alias("_h"), F.octet_length("body").alias("_l"), F.col("final_url").alias("_u"))
     ratio = F.octet_length("body") / F.nullif(F.col("_l"), F.lit(0))
     same = (F.xxhash64("body") == F.col("_h")) | (F.col("status") == F.col("_s")) & ratio.between(0.95, 1.05) | (F.col("final_url") == F.col("_u"))
-    return probe.join(F.broadcast(base), "pattern", "left").withColumn("is_baseline", F.coalesce(same, F.lit(False))).drop("_s", "_h", "_l", "_u")
+    return probe.join(told(base), "pattern", "left").withColumn("is_baseline", F.coalesce(same, F.lit(False))).drop("_s", "_h", "_l", "_u")
 
 
 def redirected_to_main_site(probe_url: Column, final_url: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tierweave.functions import domains as D
 from tierweave.functions.binding import let
+from tierweave.plans.graph import told
 
 # --- Fixed values: field names by meaning, in their order, and path words. ---
 NAME_FIELDS = ("name", "companyName", "company_name", "vendor_name", "vendorName", "organization", "entity", "entityName", "entity_name", "company.name")
@@ -129,9 +130,9 @@ def domain_of(text: Column) -> Column:
 
 
 def resolve_names(found: DataFrame, known: DataFrame) -> DataFrame:
-    """``_org:`` rows get the domain of a known organization; those without one and without a dot go. ``known(organization, domain)`` is broadcast."""
+    """``_org:`` rows get the domain of a known organization; those without one and without a dot go. ``known(organization, domain)``."""
     own = known.groupBy(F.lower("organization").alias("_k")).agg(F.min("domain").alias("_d"))
     plain = F.regexp_replace("domain", "^_org:", "")
-    both = found.join(F.broadcast(own), F.col("domain").startswith("_org:") & (F.lower(plain) == F.col("_k")), "left")
+    both = found.withColumn("_k", F.when(F.col("domain").startswith("_org:"), F.lower(plain))).join(told(own), "_k", "left")
     both = both.withColumn("domain", F.coalesce("_d", F.when(F.col("domain").startswith("_org:"), F.when(plain.contains("."), plain)).otherwise(F.col("domain")))).drop("_k", "_d")
     return both.where(F.col("domain").isNotNull() & ~D.is_non_registrable(F.col("domain")))

@@ -94,28 +94,39 @@ def unmatched_txt(records: DataFrame, record: str = "rdata") -> DataFrame:
     return records.where((F.size(found) == 0) & (F.octet_length(cleaned) > 5)).withColumn("reason", F.lit("No pattern matched this TXT record"))
 
 
-def verification_join(records: DataFrame, patterns: DataFrame, record: str = "rdata") -> DataFrame:
-    """Records with every pattern that they contain: ``patterns(pattern, domain)`` is a curated table and is broadcast."""
-    return records.join(F.broadcast(patterns), F.col(record).contains(F.col("pattern")))
+def _held(texts: DataFrame, patterns: DataFrame, size: int) -> DataFrame:
+    """``texts(_t)`` with every one of ``patterns(_p, ...)`` that they hold, by a gram index.
+
+    Each pattern is indexed under that run of ``size`` characters in it which fewest patterns hold, and texts are
+    looked up by their runs, so a text meets the patterns that share a run with it, not all of them. Patterns shorter than ``size`` are
+    indexed whole, and looked up by runs of their own length. Empty patterns are left out.
+    """
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
+    own = patterns.where("_p <> ''")
+    grams = own.select("_p").distinct().withColumn("_gram", F.explode(runs(F.col("_p"), size)))
+    often = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
+    index = grams.join(often, "_gram").groupBy("_p").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    every = F.flatten(F.array(*[runs(F.col("_t"), n) for n in range(1, size + 1)]))
+    met = texts.withColumn("_gram", F.explode(F.array_distinct(every))).join(index, "_gram").where(F.contains("_t", F.col("_p")))
+    return met.drop("_gram").join(own, "_p")
+
+
+def verification_join(records: DataFrame, patterns: DataFrame, record: str = "rdata", size: int = 3) -> DataFrame:
+    """Records with every pattern of ``patterns(pattern, domain)`` that they contain; different records are looked up once, in a gram index."""
+    texts = records.select(F.col(record).alias("_t")).where("_t is not null").distinct()
+    held = _held(texts, patterns.withColumn("_p", F.col("pattern")), size).drop("_p")
+    return records.join(held, F.col(record) == F.col("_t")).drop("_t")
 
 
 def first_verification(records: DataFrame, patterns: DataFrame, record: str = "rdata", size: int = 3) -> DataFrame:
     """``records`` with the ``domain`` of the first of ``patterns(rank, pattern, domain)`` that they contain, whatever the case; null without one.
 
-    Each pattern is indexed under that run of ``size`` characters in it which fewest patterns hold, and different records are
-    looked up by their runs, so a record meets the patterns that share a run with it, not all of them. Patterns shorter than ``size`` are
-    indexed whole, and looked up by runs of their own length. An empty pattern fits every record.
+    Different records are looked up once, in a gram index. An empty pattern fits every record.
     """
     low = patterns.where("pattern is not null").select("rank", F.lower("pattern").alias("_p"), F.col("domain").alias("_d"))
-    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
-    grams = low.where("_p <> ''").withColumn("_gram", F.explode(runs(F.col("_p"), size)))
-    often = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
-    index = grams.join(often, "_gram").groupBy("rank", "_p", "_d").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
     texts = records.select(F.lower(record).alias("_t")).where("_t is not null").distinct()
-    every = F.flatten(F.array(*[runs(F.col("_t"), n) for n in range(1, size + 1)]))
-    met = texts.withColumn("_gram", F.explode(F.array_distinct(every))).join(index, "_gram").where(F.contains("_t", F.col("_p")))
+    best = _held(texts, low, size).groupBy("_t").agg(F.min(F.struct("rank", "_d")).alias("r"))
     empty = low.where("_p = ''").agg(F.min(F.struct("rank", "_d")).alias("e"))
-    best = met.groupBy("_t").agg(F.min(F.struct("rank", "_d")).alias("r"))
     out = records.withColumn("_t", F.lower(record)).join(best, "_t", "left").join(F.broadcast(empty), F.lit(True), "left")
     return out.withColumn("domain", F.when(F.col("_t").isNotNull(), F.least(F.col("r"), F.col("e"))["_d"])).drop("_t", "r", "e")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tierweave.functions import domains as D
 from tierweave.operators import listings, subprocessors, trust, trust_api
 from tierweave.operators import nodes as N
-from tierweave.plans.graph import committed
+from tierweave.plans.graph import committed, told
 
 LEVELS = ("custom", "trust_center", "capture", "table", "list")
 FOUND = ("page_url", "domain", "name", "other_name", "evidence")
@@ -64,7 +64,7 @@ def phase(vendors: DataFrame, pages: DataFrame, captures: DataFrame | None = Non
     here = pages.select("url", "html").join(left.select(F.col("page_url").alias("url")).distinct(), "url", "left_semi").groupBy("url").agg(F.max("html").alias("html"))
     here = committed(here, "disclosures-pages")
     nodes = committed(N.page_nodes(here), "disclosures-nodes")
-    general = here if rules is None else here.withColumn("host", D.host_of(F.col("url"))).join(listings.told(rules.only.select(F.lower("host").alias("host"))), "host", "left_anti").drop("host")
+    general = here if rules is None else here.withColumn("host", D.host_of(F.col("url"))).join(told(rules.only.select(F.lower("host").alias("host"))), "host", "left_anti").drop("host")
     parts = []
     for level in LEVELS:
         open_pages = left.select("page_url").distinct()

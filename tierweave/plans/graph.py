@@ -40,6 +40,15 @@ def committed(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of settings or curated names that are sent to every task.
+FEW = 20_000
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """A small table for a join: sent to every task where it has ``FEW`` rows at most, shuffled otherwise."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def layers(
     roots: DataFrame, facts: DataFrame, max_depth: int | None = None, stop_at_infrastructure: bool = False, skip_unregistrable: bool = False, limits: list[int] | None = None, checkpoint: str | None = None,
 ) -> DataFrame:
