@@ -16,6 +16,9 @@ is left. All of it is one interval of 2**36, and so one range-coding step. Only
 and quotients of doubles are used, no functions whose last digit differs between machines.
 
 A block in bytes: ids (u32), largest id (u16), lanes (u16), each lane's words (u32), the lanes' words (u16).
+
+Edge cases: no ids give a block that decodes to none; an empty table has no blocks (``idstore``). Ids are below 65535; a damaged block raises an
+error or decodes to other ids, which its CRC-32 in the file tells.
 """
 
 from __future__ import annotations
