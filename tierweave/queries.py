@@ -16,7 +16,7 @@ from tierweave.functions import fixed_values as V
 from tierweave.functions import orgs as O
 from tierweave.functions import records as RT
 from tierweave.functions import suffixes
-from tierweave.operators import attribution, clusters, registry, relations, review, subprocessors, trust, trust_api, txt, web
+from tierweave.operators import attribution, clusters, entities, registry, relations, review, subprocessors, trust, trust_api, txt, web
 from tierweave.operators import nodes as N
 from tierweave.plans import disclosures, graph, scan
 from tierweave.sources import writers
@@ -794,6 +794,155 @@ def override_changes(spark, sf_dir):
     return stands.join(changed.select("domain", F.lit(True).alias("changed")), "domain", "left").select("domain", "organization", "source", F.coalesce("changed", F.lit(False)).alias("changed"))
 
 
+@query("""WITH e AS (SELECT 's' || l_suppkey AS c, 's' || (l_partkey % 97) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2), nodes AS (SELECT 's' || s_suppkey AS domain, CAST(1 + s_suppkey % 4 AS INTEGER) AS layer FROM supplier),
+ reached AS (SELECT v, list_sort(list(DISTINCT CAST(layer + 1 AS INTEGER))) AS layers FROM e JOIN nodes ON c = domain WHERE n >= 11 GROUP BY 1) SELECT domain, coalesce(layers, [layer]) AS layers FROM nodes LEFT JOIN reached ON v = domain""")
+def graph_active_layers(spark, sf_dir):
+    """Suppliers that deal in each other's parts; edges of fewer than eleven line items are hidden."""
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    facts = table(spark, sf_dir, "lineitem").select(name(F.col("l_suppkey")).alias("nth_party_customer_domain"), name(F.col("l_partkey") % 97).alias("nth_party_domain"), F.lit(1).alias("nth_party_layer"))
+    nodes = table(spark, sf_dir, "supplier").select(name(F.col("s_suppkey")).alias("domain"), (1 + F.col("s_suppkey") % 4).cast("int").alias("layer"))
+    return relations.active_layers(relations.edges(facts).withColumn("hidden", F.col("n") < 11), nodes)
+
+
+@query(f"""WITH {REL}, p AS (SELECT DISTINCT nth_party_domain AS domain, CASE nth_party_layer WHEN 1 THEN upper(split_part(nth_party_domain, '.', 1)) || ' Inc.' WHEN 2 THEN upper(nth_party_domain) ELSE nth_party_organization END AS organization FROM rel)
+ SELECT * FROM p WHERE CAST(regexp_extract(domain, '[0-9]+') AS BIGINT) % 3 <> 0 AND (lower(organization) = lower(domain) OR list_contains([split_part(domain, '.', 1) || s FOR s IN {literal(V.INFERRED_SUFFIXES)}], lower(organization)))""")
+def rel_unverified(spark, sf_dir):
+    """Vendors called by their first label, by their domain or by a name, of which a third is known."""
+    domain, layer, key = F.col("nth_party_domain"), F.col("nth_party_layer"), F.col("s_suppkey").cast("string")
+    name = F.when(layer == 1, F.concat(F.upper(F.substring_index(domain, ".", 1)), F.lit(" Inc."))).when(layer == 2, F.upper(domain)).otherwise(F.col("nth_party_organization"))
+    forms = [F.concat(F.lit(a), key, F.lit(b)) for a, b in (("CDN", ".amazonaws.com"), ("px", ".Facebook.com"), ("s", ".example.COM"))]
+    known = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.explode(F.array(*forms)).alias("domain"))
+    return attribution.unverified(rel(spark, sf_dir).withColumn("nth_party_organization", name), known)
+
+
+@query(f"""WITH {REL}, t AS (SELECT nth_party_domain AS d, nth_party_layer AS l, nth_party_organization AS o, nth_party_customer_organization AS c, CAST(regexp_extract(nth_party_domain, '[0-9]+') AS BIGINT) AS k FROM rel)
+ SELECT d AS vendor, CASE WHEN l <> 2 THEN o WHEN k % 10 = 2 THEN 'Domains By Proxy, LLC' WHEN k % 5 = 0 THEN 'Amazonaws' WHEN k % 5 = 1 THEN 'Facebook' ELSE 'Example' END AS vendor_name, CASE WHEN l = 3 THEN 'Example' ELSE c END AS customer_name, count(*) AS n FROM t GROUP BY ALL""")
+def rel_gate(spark, sf_dir):
+    """Vendors of the second layer under a privacy service's name, which is curated for some of them; customers of the third under a registrar's."""
+    layer = F.col("nth_party_layer")
+    named = rel(spark, sf_dir).withColumns({"nth_party_organization": F.when(layer == 2, "Domains By Proxy, LLC").otherwise(F.col("nth_party_organization")), "nth_party_customer_organization": F.when(layer == 3, "MarkMonitor Inc.").otherwise(F.col("nth_party_customer_organization"))})
+    curated = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 2").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit(".Example.com")).alias("domain"), F.lit("Domains By Proxy, LLC").alias("organization"))
+    gated = relations.gate_intermediaries(named, curated)
+    return gated.groupBy(F.col("nth_party_domain").alias("vendor"), F.col("nth_party_organization").alias("vendor_name"), F.col("nth_party_customer_organization").alias("customer_name")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS doc_id, (l_linenumber * 10000000 + l_partkey) * 10000 + l_suppkey % 10000 AS ordinal, CASE WHEN l_linenumber % 2 = 0 THEN upper('Vendor ' || l_suppkey % 3) ELSE 'Vendor ' || l_suppkey % 3 END AS name, CAST(l_quantity AS DOUBLE) / 50 AS confidence FROM lineitem WHERE l_returnflag <> 'R' AND CAST(l_quantity AS DOUBLE) / 50 >= 0.6),
+ best AS (SELECT doc_id, name AS best FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ordinal) = 1), once AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY confidence DESC, ordinal) = 1)
+ SELECT doc_id, name AS organization, confidence, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, name) - 1 AS INTEGER) AS place, best FROM once JOIN best USING (doc_id)""")
+def org_findings(spark, sf_dir):
+    """Every order's line items as findings of a name finder: organizations, products and people, as sure as their quantity is large."""
+    name = F.concat(F.lit(" Vendor "), (F.col("l_suppkey") % 3).cast("string"), F.lit(" "))
+    kind = F.when(F.col("l_returnflag") == "A", "Organization").when(F.col("l_returnflag") == "N", "PRODUCT").otherwise("person")
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), kind.alias("kind"), F.when(F.col("l_linenumber") % 2 == 0, F.upper(name)).otherwise(name).alias("name"), (F.col("l_quantity").cast("double") / 50).alias("confidence"), ((F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey") % 10_000).alias("ordinal"))
+    return entities.all_organizations(found).join(entities.best_organization(found).select("doc_id", F.col("organization").alias("best")), "doc_id")
+
+
+@query("""SELECT doc_id, left(text, list_max([n FOR n IN range(0, 65) IF strlen(left(text, n)) <= 64])) AS head, strlen(text) > 64 AS cut FROM documents""")
+def doc_truncated(spark, sf_dir):
+    """Every text's longest beginning of whole characters within 64 bytes."""
+    return table(spark, sf_dir, "documents").select("doc_id", RT.truncate_bytes(F.col("text"), 64).alias("head"), (F.octet_length("text") > 64).alias("cut"))
+
+
+@query(f"""WITH {REL}, t AS (SELECT DISTINCT nth_party_domain AS domain, nth_party_layer AS layer, nth_party_record AS record, CASE nth_party_record_type WHEN 'DISCOVERY::CT_LOG' THEN 'DNS::SUBDOMAIN' ELSE nth_party_record_type END AS kind FROM rel)
+ SELECT domain, layer, record, kind, CASE kind WHEN 'DNS::TXT::SPF' THEN 'SPF' WHEN 'DNS::TXT::VERIFICATION' THEN 'DNS Verification' WHEN 'HTTP::SUBPROCESSOR' THEN 'Subprocessor' WHEN 'DISCOVERY::WEBPAGE_SOURCE' THEN 'Webpage Source' WHEN 'DNS::SUBDOMAIN' THEN 'Subdomain' ELSE 'Trust Center' END AS label,
+ CASE kind WHEN 'DNS::TXT::SPF' THEN 'SPF' WHEN 'DNS::TXT::VERIFICATION' THEN 'DNS verification' WHEN 'HTTP::SUBPROCESSOR' THEN 'subprocessor' ELSE 'discovery' END AS phase, CAST(least(layer * 3, 6) AS INTEGER) AS ramp, ['1st', '2nd', '3rd', '4th', '5th', '6th'][layer + 1] || ' party' AS depth,
+ CASE WHEN kind = 'DNS::SUBDOMAIN' THEN domain || ' (base of x)' WHEN kind LIKE 'DNS::TXT%' THEN record ELSE domain END AS value, replace(domain, '.', '_') AS id, replace(kind, '_', '\\_') AS escaped, CAST(least(100 * 2 ** layer, 500) AS BIGINT) AS delay, 100 * (layer + 1) AS linear FROM t""")
+def record_texts(spark, sf_dir):
+    """Labels, phases, depths, reported values and other texts of every different record."""
+    kind, layer, domain = F.col("kind"), F.col("layer"), F.col("domain")
+    own = rel(spark, sf_dir).select(F.col("nth_party_domain").alias("domain"), F.col("nth_party_layer").alias("layer"), F.col("nth_party_record").alias("record"), F.when(F.col("nth_party_record_type") == "DISCOVERY::CT_LOG", "DNS::SUBDOMAIN").otherwise(F.col("nth_party_record_type")).alias("kind")).distinct()
+    return own.select(
+        "*", RT.short_label(kind).alias("label"), RT.phase_label(kind).alias("phase"), RT.clamp_layer(layer * 3).alias("ramp"), RT.layer_description(layer + 1).alias("depth"), RT.record_value(kind, domain, F.lit("x"), F.col("record"), domain).alias("value"), RT.mermaid_id(domain).alias("id"),
+        RT.escape_markdown(kind).alias("escaped"), RT.backoff_delay(layer, F.lit(100), F.lit(500), True).alias("delay"), RT.backoff_delay(layer, F.lit(100), F.lit(5000), False).cast("int").alias("linear"),
+    )
+
+
+@query("""WITH p AS (SELECT s_suppkey, s_suppkey % 3 AS pattern, CASE WHEN s_suppkey % 4 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN s_suppkey % 7 = 0 THEN 'no such tenant' ELSE 'Welcome ' || s_name END AS body, CASE WHEN s_suppkey % 11 = 0 THEN 'https://login.tool.com/' ELSE '' END AS final FROM supplier),
+ b(pattern, never) AS (VALUES (0, 'no such tenant'), (1, 'Welcome nobody of any name'))
+ SELECT s_suppkey, coalesce(body = never OR (status = 200 AND strlen(body) / strlen(never) BETWEEN 0.95 AND 1.05) OR (never IS NOT NULL AND final <> ''), false) AS is_baseline, s_suppkey % 5 <> 3 AS moved FROM p LEFT JOIN b USING (pattern)""")
+def tenant_baselines(spark, sf_dir):
+    """A probe for each supplier held against a tenant that cannot exist (one pattern of three has none), and against the company's own site."""
+    k, key = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    own = F.concat(F.lit("https://s"), key, F.lit(".tool.com/"))
+    probe = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", (k % 3).alias("pattern"), F.when(k % 4 == 0, 404).otherwise(200).alias("status"), F.when(k % 7 == 0, "no such tenant").otherwise(F.concat(F.lit("Welcome "), F.col("s_name"))).alias("body"),
+        F.when(k % 11 == 0, "https://login.tool.com/").otherwise(own).alias("final_url"),
+    )
+    never = spark.createDataFrame([(0, 200, "no such tenant", "https://login.tool.com/"), (1, 200, "Welcome nobody of any name", "https://login.tool.com/")], "pattern int, status int, body string, final_url string")
+    asked = F.when(k % 5 == 4, F.concat(F.lit("https://s"), key, F.lit(".duosecurity.com/login"))).otherwise(F.concat(own, F.lit("login")))
+    final = F.when(k % 5 == 0, "https://tool.com/home").when(k % 5 == 1, "https://www.tool.com/").when(k % 5 == 2, own).when(k % 5 == 3, F.concat(own, F.lit("app"))).otherwise("https://duo.com/product")
+    return registry.matches_baseline(probe, never).select("s_suppkey", "is_baseline", registry.redirected_to_main_site(asked, final).alias("moved"))
+
+
+@query("""WITH r AS (SELECT event_id, user_id, event_type, value > 50 AS ok, list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type) AS turn FROM events), best AS (SELECT user_id, min(turn) AS turn FROM r WHERE ok GROUP BY 1)
+ SELECT event_id, user_id AS query_domain, event_type AS provider, ok FROM r JOIN best USING (user_id, turn)""")
+def first_providers(spark, sf_dir):
+    """Users' events as answers of certificate logs, asked in turn from the fourth; large values are good answers."""
+    answers = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("query_domain"), F.col("event_type").alias("provider"), (F.col("value") > 50).alias("ok"))
+    return registry.first_provider(answers, ["click", "purchase", "error", "signup", "view"], 3).select("event_id", "query_domain", "provider", "ok")
+
+
+HOSTS = ("cdn{}.cloudfront.net", "px{}.doubleclick.net", "10.0.0.{}", "a..b{}.com", "_spf.s{}.co.uk", "www.s{}.com.au", "s{}.de", "x_{}.com", "-s{}.com", "n{}.notgstatic.com", "s{}", "x.s{}.letsencrypt.org", "_dmarc._x.S{}.org", "s{}.com/path")
+
+
+@query(f"""WITH h AS (SELECT s_suppkey AS k, unnest(range(0, {len(HOSTS)})) AS form FROM supplier), t AS (SELECT k, form, replace({literal(HOSTS)}[form + 1], '{{}}', CAST(k AS VARCHAR)) AS host FROM h UNION ALL SELECT 0, {len(HOSTS)}, unnest({literal(V.SOCIAL + V.WEB_NOISE)})), l AS (SELECT *, string_split(host, '.') AS p FROM t)
+ SELECT host, {in_list_sql("host", V.COMMON_INFRASTRUCTURE)} AS infrastructure, {in_list_sql("host", V.MARKETING)} AS marketing, list_contains([ends_with(host, c) FOR c IN {literal(V.CERTIFICATE_INFRASTRUCTURE)}], true) AS certificate, form = 2 OR host IN ('127.0.0.1', '0.0.0.0', '[::1]') AS ip, form = 2 OR list_contains({literal(V.WEB_NOISE)}, host) AS noise,
+ list_contains({literal(V.SOCIAL)}, host) AS social, form NOT IN (3, 8, 10, 13) AND host NOT IN ('localhost', '[::1]') AND strlen(host) >= 4 AS dns_name, form NOT IN (3, 4, 7, 8, 10, 12, 13) AND host NOT IN ('localhost', '[::1]') AS batch, form <> 7 AS resolvable,
+ CASE WHEN len(p) <= 2 THEN host WHEN p[-2] || '.' || p[-1] IN ('co.uk', 'com.au') THEN p[-3] || '.' || p[-2] || '.' || p[-1] ELSE p[-2] || '.' || p[-1] END AS looked_up, CASE WHEN len(p) < 2 THEN host ELSE p[-2] || '.' || p[-1] END AS last_two, CASE form WHEN 4 THEN 's' || k || '.co.uk' WHEN 12 THEN '_x.s' || k || '.org' ELSE lower(host) END AS plain FROM l""")
+def domain_classes(spark, sf_dir):
+    """Hosts of fourteen forms for every supplier, and those of two lists: what they are taken for, and what they are looked up by."""
+    host = F.col("host")
+    forms = F.array(*[F.replace(F.lit(h), F.lit("{}"), F.col("s_suppkey").cast("string")) for h in HOSTS])
+    listed = spark.createDataFrame([(h,) for h in V.SOCIAL + V.WEB_NOISE], "host string")
+    return table(spark, sf_dir, "supplier").select(F.explode(forms).alias("host")).unionByName(listed).select(
+        "host", D.is_common_infrastructure(host).alias("infrastructure"), D.is_marketing(host).alias("marketing"), D.is_certificate_infrastructure(host).alias("certificate"), D.is_ip_host(host).alias("ip"), D.is_web_noise(host).alias("noise"), D.is_social(host).alias("social"),
+        D.is_dns_name(host).alias("dns_name"), D.is_batch_domain(host).alias("batch"), D.is_resolvable_name(host).alias("resolvable"), D.lookup_base_domain(host).alias("looked_up"), D.last_two_labels(host).alias("last_two"), D.normalize_for_lookup(host).alias("plain"),
+    )
+
+
+@query("""SELECT 's' || s_suppkey AS page_url, CASE WHEN s_suppkey % 4 = 2 THEN 'tool2.com' WHEN s_nationkey % 2 = 0 THEN 'tool.com' WHEN s_suppkey % 3 = 1 THEN 'mail1.com' END AS domain, CASE WHEN s_suppkey % 4 = 2 OR s_nationkey % 2 = 0 THEN 8 WHEN s_suppkey % 3 = 1 THEN 18 END AS at, 'Tool' || s_suppkey % 4 AS name FROM supplier""")
+def custom_rules(spark, sf_dir):
+    """Every supplier's page by its nation's rules: names that stand for domains (one begins another), and a pattern."""
+    k, host = F.col("s_suppkey"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
+    texts = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("page_url"), host.alias("host"), F.concat(F.lit("We use Tool"), (k % 4).cast("string"), F.lit(" and Mail"), (k % 3).cast("string"), F.lit(" here")).alias("text"))
+    hosts = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("host"), F.col("n_nationkey").alias("_n"))
+    rule = lambda name, domain: F.struct(F.lit(name).alias("name"), F.lit(domain).alias("domain"))
+    always = [rule("mail1", "mail1.com"), rule("TOOL2", "tool2.com")]
+    rules = hosts.select("host", F.explode(F.when(F.col("_n") % 2 == 0, F.array(*always, rule("tool", "tool.com"))).otherwise(F.array(*always))).alias("r")).select("host", "r.*")
+    patterns = hosts.select("host", F.lit("use ([A-Za-z0-9]+)").alias("pattern"))
+    return subprocessors.custom_matches(texts, patterns).join(subprocessors.custom_domains(texts, rules), "page_url", "left").select("page_url", "domain", "at", "name")
+
+
+@query("""WITH t AS (SELECT o_orderkey, 1 + o_orderkey % 3 AS depth, CASE WHEN o_custkey % 13 <> 0 THEN o_custkey % 50 END AS org FROM orders), p AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY depth, o_orderkey) AS n FROM t)
+ SELECT 'o' || o_orderkey AS domain, CAST(depth AS INTEGER) AS depth FROM p WHERE org IS NULL OR n = 1 OR depth = 1""")
+def repeated_pages(spark, sf_dir):
+    """Orders as pages still to be read, of fifty organizations that are called in two ways; some are called nothing."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    name = F.when(cust % 13 == 0, "N/A").otherwise(F.concat(F.lit("Vendor "), (cust % 50).cast("string"), F.when(key % 2 == 0, ", Inc.").otherwise("")))
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), key.cast("string")).alias("domain"), name.alias("organization"), (1 + key % 3).cast("int").alias("depth"), key.alias("seq"))
+    return subprocessors.skip_repeated(rows).select("domain", "depth")
+
+
+@query("""SELECT 's' || s_suppkey || '.com' AS domain, CASE s_suppkey % 5 WHEN 0 THEN s_name WHEN 1 THEN 'Page Works ' || s_suppkey WHEN 2 THEN 'Recorded Goods ' || s_suppkey ELSE 'S' || s_suppkey END AS organization,
+ CASE s_suppkey % 5 WHEN 0 THEN 'overrides' WHEN 1 THEN 'web' WHEN 2 THEN 'registration' ELSE 'label' END AS source, s_suppkey % 5 = 0 AS is_verified FROM supplier""")
+def attribute_owners(spark, sf_dir):
+    """Suppliers' owners: curated, by their page, by a record where the page only waits, by the domain where the record is redacted or missing."""
+    k, key = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    s = table(spark, sf_dir, "supplier").withColumn("domain", F.concat(F.lit("s"), key, F.lit(".com")))
+    name = F.when(k % 5 == 1, F.concat(F.lit("Page Works "), key)).otherwise("Just a moment...")
+    pages = s.where((k % 5).isin(1, 2)).select(F.concat(F.lit("https://"), "domain", F.lit("/")).alias("url"), F.concat(F.lit('<html><script type="application/ld+json">{"@type": "Organization", "name": "'), name, F.lit('"}</script></html>')).alias("html"))
+    record = F.when(k % 5 == 3, "Registrant Organization: REDACTED FOR PRIVACY").otherwise(F.concat(F.lit("Registrant Organization: Recorded Goods "), key))
+    whois = s.where((k % 5).isin(1, 2, 3)).select("domain", record.alias("response"))
+    return attribution.attribute(s.select("domain"), [("overrides", s.where(k % 5 == 0).select(F.upper("domain").alias("domain"), F.col("s_name").alias("organization")))], pages, whois)
+
+
+@query("SELECT 'c' || o_custkey AS source_domain, o_orderpriority AS org_name, 'o' || min(o_orderkey) AS inferred_domain FROM orders GROUP BY 1, 2")
+def review_pending(spark, sf_dir):
+    """Orders as proposals to customers: of each customer and priority the first one."""
+    pending = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_domain"), F.col("o_orderpriority").alias("org_name"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("inferred_domain"), F.col("o_orderkey").alias("seq"))
+    return review.first_pending(pending).select("source_domain", "org_name", "inferred_domain")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"graph_bfs_layers": QUERIES["graph_bfs_layers"]} | QUERIES
 
