@@ -49,7 +49,7 @@ def clean_owner(c: Column) -> Column:
 def owner(response: Column, domain: Column) -> Column:
     """The registrant: of the lines in their order, the first that is filled and no go-between."""
     tries = [clean_owner(F.regexp_extract(response, p, 1)) for p in OWNER_LINES]
-    return F.coalesce(*[F.when((t != "") & ~O.is_intermediary(t, domain), t) for t in tries])
+    return F.get(F.filter(F.array(*tries), lambda t: (t != "") & ~O.is_intermediary(t, domain)), F.lit(0))
 
 
 def registrar(response: Column) -> Column:

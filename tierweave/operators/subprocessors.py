@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierweave.functions import domains as D
@@ -134,12 +134,12 @@ def skip_repeated(rows: DataFrame) -> DataFrame:
 
     An organization is read at depth 1 always, deeper only the first time it is met; implausible and placeholder names say nothing.
     """
-    key = F.lower(F.trim(O.normalize(F.col("organization"))))
-    told = O.is_plausible_name(F.col("organization")) & (key != "") & ~key.isin(*V.SHARED_ORG_KEYS)
-    marked = rows.withColumn("_key", F.when(F.coalesce(told, F.lit(False)), key))
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("depth", "seq"))
-    known = marked.where("_key is not null").withColumn("_n", place).where("_n = 1 or depth <= 1").drop("_n", "_key")
-    return known.unionByName(marked.where("_key is null").drop("_key"))
+    columns = rows.columns
+    named = lambda key: F.when(O.is_plausible_name(F.col("organization")) & (key != "") & ~key.isin(*V.SHARED_ORG_KEYS), key)
+    marked = rows.withColumn("_key", let(F.lower(F.trim(O.normalize(F.col("organization")))), named))
+    always = F.coalesce(F.col("depth") <= 1, F.lit(False))
+    first = marked.where("_key is not null").groupBy("_key").agg(F.min_by(F.struct(*columns), F.struct("depth", "seq")).alias("r")).select("r.*")
+    return marked.where(always | F.col("_key").isNull()).select(*columns).unionByName(first.where(~always))
 
 
 def host_texts(pages: DataFrame) -> DataFrame:
