@@ -62,8 +62,31 @@ def test_stored_forms_and_keys():
     assert set(np.unique(levels % 2)) == {1.0} and np.abs(levels).max() == 15
     assert np.allclose(np.linalg.norm(u - levels * step[:, None], axis=1), left) and left.mean() < 0.15
     assert (rabitq.unpacked([x.tobytes() for x in rabitq.packed(levels)], 33) == levels).all()
-    own = rabitq.keys(levels, 7, 5)
-    assert (rabitq.keys(levels[:3], 7, 5) == own[:3]).all() and own.max() < 128
+    for scheme in (rabitq.Scheme(4, 2, 1, 3), rabitq.Scheme(2, 1, 2, 3)):
+        own = rabitq.keys(levels, scheme)
+        assert own.shape[1] * own.shape[2] == scheme.copies and own.max() < 66**2 and (rabitq.keys(levels[:3], scheme) == own[:3]).all()
+        assert all(len(set(k)) == len(k) for v in own.tolist() for k in v)
+        # Every pair that shares keys is met first in exactly one of them.
+        a, b = np.triu_indices(300, 1)
+        big = rabitq.largest(levels, scheme)
+        table, key = rabitq.first_met(big[a], big[b], scheme, 33)
+        for i, j, t, k in zip(a.tolist(), b.tolist(), table.tolist(), key.tolist(), strict=True):
+            shared = [(x, y) for x in range(scheme.tables) for y in set(own[i, x].tolist()) & set(own[j, x].tolist())]
+            assert ((t, k) in shared and t == min(shared)[0]) if shared else t == -1
+
+
+def test_settings_meet_pairs_at_the_threshold():
+    rng = np.random.default_rng(6)
+    u, w = rng.standard_normal((2, 20_000, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w -= (w * u).sum(1)[:, None] * u
+    v = 0.9 * u + np.sqrt(1 - 0.81) * w / np.linalg.norm(w, axis=1)[:, None]
+    r = rabitq.rotation(64, 0)
+    for n in (50_000, 10**7):
+        scheme = rabitq.settings(n, 64, 0.9, 1e-3)
+        table, _ = rabitq.first_met(rabitq.largest(rabitq.quantised(u @ r)[0], scheme), rabitq.largest(rabitq.quantised(v @ r)[0], scheme), scheme, 64)
+        assert (table < 0).mean() <= 1e-3
+    assert rabitq.settings(100, 1, 0.9, 1e-4).copies <= 2
 
 
 def test_bounds_hold_for_pairs_at_the_threshold():
@@ -78,7 +101,7 @@ def test_bounds_hold_for_pairs_at_the_threshold():
     both = {k: np.concatenate((pdf(u)[k], pdf(v)[k])) for k in ("levels", "step", "left", "factor")}
     own = rabitq.Stored.__new__(rabitq.Stored)
     own.levels, own.left, own.factor, own.turned = both["levels"], both["left"], both["factor"], (both["levels"] * both["step"][:, None]).astype(np.float32)
-    a, b = rabitq.open_pairs(own, np.arange(400), np.arange(400, 800), 0, 6, 1, 0.9, 5.0)
+    a, b = rabitq.open_pairs(own, np.arange(400), np.arange(400, 800), 0.9, 5.0)
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     assert all((i, 400 + i) in found for i in range(400)) and len(found) < 0.05 * 400 * 400
 

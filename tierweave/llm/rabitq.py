@@ -8,10 +8,12 @@ stored in four bits a coordinate with a step and the length of what the rounding
 estimate plus ``sigmas`` errors is under the threshold is dropped; the others' cosines are computed again from the full vectors in double
 precision, and decide alone.
 
-Pairs are met in buckets: ``tables`` times, ``bits`` signs of further projections of the stored form make a key. These are sums of
+Pairs are met in buckets. The stored form is turned again, some ``rounds`` times; of each turned vector the ``most`` largest signed
+coordinates are taken, and every ``some`` of these make a key. Close vectors have most of these coordinates in common, so
+few copies find nearly all pairs. The sums are of
 integers, so whoever holds a vector's stored form finds the same keys. A pair at the threshold shares a
-key with probability ``1 - miss`` at least: ``bits`` grows with the logarithm of the number of vectors, so that buckets
-stay small, and ``tables`` follows from both. A pair met in several buckets counts in the first of them.
+key with probability ``1 - miss`` at least: how often coordinates are shared at that angle is measured once, on random vectors, and
+``settings`` takes the fewest copies whose buckets stay small. A pair met in several buckets counts in the first of them.
 Vectors that are equal bit for bit are compared once and weighted by their number.
 
 To the buckets go stored forms alone, some dim / 2 + 16 bytes. What comes back from a bucket are the vectors that have an open
@@ -33,6 +35,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations, product
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -81,26 +85,101 @@ def estimates(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray, thresho
 
 
 @lru_cache(maxsize=64)
-def projections(dim: int, columns: int) -> np.ndarray:
-    """Random integers, the same wherever they are made; sums of their products with levels are exact in doubles."""
-    return np.round(np.random.default_rng((7, dim)).standard_normal((columns, dim)).T * 1000)
+def turns(dim: int, count: int) -> np.ndarray:
+    """``count`` further rotations beside each other, in whole thousandths: sums of their products with levels are exact in doubles."""
+    return np.concatenate([np.round(rotation(dim, 1000 + i) * 1000) for i in range(count)], 1)
 
 
-def keys(levels: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """A row of ``tables`` bucket keys per vector, of ``bits`` signs each."""
-    signs = levels @ projections(levels.shape[1], bits * tables) > 0
-    return (signs.reshape(len(levels), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2)
+class Scheme(NamedTuple):
+    """A key of a table joins ``some`` of the ``most`` largest signed coordinates in each of ``joined`` rotations; there are ``tables`` tables."""
+
+    most: int
+    some: int
+    joined: int
+    tables: int
+
+    @property
+    def copies(self) -> int:
+        """Keys of a vector."""
+        return self.tables * math.comb(self.most, self.some) ** self.joined
+
+
+def _largest(turned: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` largest signed coordinates (the negative ones numbered after the others) along the last axis, ascending; of equal ones the first."""
+    both = np.concatenate((turned, -turned), -1)
+    return np.sort(np.argsort(-both, -1, kind="stable")[..., :most], -1)
+
+
+def largest(levels: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Per vector, table and rotation of the table its largest signed coordinates."""
+    dim, count = levels.shape[1], scheme.tables * scheme.joined
+    rows = max(1, 1_000_000 // (count * dim))
+    parts = [_largest((levels[i : i + rows] @ turns(dim, count)).reshape(-1, count, dim), scheme.most) for i in range(0, len(levels), rows)]
+    return np.concatenate(parts or [np.empty((0, count, scheme.most), int)]).reshape(len(levels), scheme.tables, scheme.joined, scheme.most)
+
+
+def _number(coordinates: np.ndarray, dim: int) -> np.ndarray:
+    """Signed coordinates (last axis) as one number."""
+    out = np.zeros(coordinates.shape[:-1], np.int64)
+    for i in range(coordinates.shape[-1]):
+        out = out * (2 * dim) + coordinates[..., i]
+    return out
+
+
+def keys(levels: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Per vector and table its keys: the last axis has one for each choice of coordinates."""
+    dim = levels.shape[1]
+    each = list(combinations(range(scheme.most), scheme.some))
+    choices = np.array([[i * scheme.most + x for i, one in enumerate(pick) for x in one] for pick in product(each, repeat=scheme.joined)])
+    flat = largest(levels, scheme).reshape(len(levels), scheme.tables, -1)
+    return _number(flat[:, :, choices], dim)
+
+
+def first_met(mine: np.ndarray, other: np.ndarray, scheme: Scheme, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first table in which pairs of ``largest`` rows share a key (-1: none), and the first key that they share there."""
+    shared = (mine[..., :, None] == other[..., None, :]).any(-1)
+    meets = (shared.sum(-1) >= scheme.some).all(-1)
+    table = np.where(meets.any(1), meets.argmax(1), -1)
+    at = np.arange(len(mine))
+    first = np.sort(np.argsort(~shared[at, table], -1, kind="stable")[..., : scheme.some], -1)
+    return table, _number(np.take_along_axis(mine[at, table], first, -1).reshape(len(mine), -1), dim)
 
 
 #: By how much storing may turn two vectors apart, in radians.
 TURNED = 0.04
 
 
-def settings(n: int, threshold: float, miss: float) -> tuple[int, int]:
-    """``bits`` and ``tables`` for ``n`` vectors: buckets of about a thousand."""
-    bits = max(4, min(62, math.ceil(math.log2(max(n, 2))) - 10))
-    same = 1 - (math.acos(threshold) + TURNED) / math.pi
-    return bits, max(1, math.ceil(math.log(miss) / math.log1p(-(same**bits))))
+@lru_cache(maxsize=64)
+def _shared(dim: int, threshold: float) -> dict[tuple[int, int], float]:
+    """By (most, some): how probably two vectors at ``threshold``, as stored, have ``some`` of their ``most`` largest coordinates in common; four errors below what is measured."""
+    rng, n = np.random.default_rng((7, dim)), max(2000, 1_500_000 // dim)
+    u, w = rng.standard_normal((2, n, dim))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    if dim > 1:
+        w -= (w * u).sum(1)[:, None] * u
+    angle = math.acos(threshold) + TURNED if dim > 1 else 0.0
+    v = math.cos(angle) * u + math.sin(angle) * w / np.maximum(np.linalg.norm(w, axis=1)[:, None], 1e-300)
+    out = {}
+    for most in range(1, min(dim, 8) + 1):
+        hit = (_largest(u, most)[:, :, None] == _largest(v, most)[:, None, :]).any(2).sum(1)
+        for some in range(1, min(most, 4) + 1):
+            p = float((hit >= some).mean())
+            out[most, some] = max(0.0, min(p - 4 * math.sqrt(p * (1 - p) / n), 1 - 1e-3 if dim > 1 else 1.0))
+    return out
+
+
+def settings(n: int, dim: int, threshold: float, miss: float) -> Scheme:
+    """The fewest copies with which ``n`` vectors spread evenly make buckets of two thousand or fewer; where no scheme does, that with the smallest buckets."""
+    tries = []
+    for (most, some), p in _shared(dim, threshold).items():
+        for joined in range(1, 7):
+            q, each = p**joined, math.comb(most, some) ** joined
+            if q < 0.02 or each > 64 or joined * some * math.log2(2 * dim) > 62:
+                continue
+            tables = 1 if q >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-q))
+            spread = (math.comb(dim, some) * 2**some) ** joined / each
+            tries.append((max(1.0, n / 2048 / spread), tables * each, Scheme(most, some, joined, tables)))
+    return min(tries)[2]
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,8 +205,8 @@ class Stored:
         self.turned = (self.levels * pdf["step"].to_numpy(float)[:, None]).astype(np.float32)
 
 
-def open_pairs(v: Stored, left: np.ndarray, right: np.ndarray | None, table: int, bits: int, tables: int, threshold: float, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the vectors ``left`` and ``right`` (or within ``left``) that may link and that meet in ``table`` first, as positions in ``v``."""
+def open_pairs(v: Stored, left: np.ndarray, right: np.ndarray | None, threshold: float, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the vectors ``left`` and ``right`` (or within ``left``) that may link, as positions in ``v``."""
     other = left if right is None else right
     found = []
     for low in range(0, len(left), 1024):
@@ -140,25 +219,32 @@ def open_pairs(v: Stored, left: np.ndarray, right: np.ndarray | None, table: int
     a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
     if right is None:
         a, b = a[a < b], b[a < b]
-    a, b = left[a], other[b]
-    if table and len(a):  # a pair that shares an earlier key was met there
-        used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-        own = keys(v.levels[used], bits, tables)[:, :table]
-        ka, kb = at[: len(a)], at[len(a) :]
-        new = np.concatenate([~(own[ka[i : i + 65536]] == own[kb[i : i + 65536]]).any(1) for i in range(0, len(a), 65536)])
-        a, b = a[new], b[new]
-    return a, b
-
-
-def groups(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
-    """(table, positions, positions or None) of each bucket, or pair of a bucket's blocks, of rows in the order of both."""
+    return left[a], other[b]
+
+
+def met_here(v: Stored, a: np.ndarray, b: np.ndarray, table: int, key: int, scheme: Scheme) -> np.ndarray:
+    """Which pairs of positions meet first in the bucket ``key`` of ``table``."""
+    if scheme.copies == 1 or not len(a):
+        return np.ones(len(a), bool)
+    used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    own, dim = largest(v.levels[used], scheme), v.levels.shape[1]
+    ka, kb = at[: len(a)], at[len(a) :]
+    out = []
+    for i in range(0, len(a), 16_384):
+        t, k = first_met(own[ka[i : i + 16_384]], own[kb[i : i + 16_384]], scheme, dim)
+        out.append((t == table) & (k == key))
+    return np.concatenate(out)
+
+
+def groups(pdf: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
+    """(table, key, positions, positions or None) of each bucket, or pair of a bucket's blocks, of rows in the order of both."""
     own = pdf[["tab", "key", "i", "j"]].to_numpy()
     edge = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]).any(1), [True])))
     blk = pdf["blk"].to_numpy()
     for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        tab, _, i, j = own[s].tolist()
+        tab, key, i, j = own[s].tolist()
         at = np.arange(s, e)
-        yield (tab, at, None) if i == j else (tab, at[blk[s:e] == i], at[blk[s:e] == j])
+        yield (tab, key, at, None) if i == j else (tab, key, at[blk[s:e] == i], at[blk[s:e] == j])
 
 
 def share_count(sizes: DataFrame, block: int, share: int) -> int:
@@ -199,15 +285,15 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, miss: float = 1e-4
                 yield pa.RecordBatch.from_arrays(cols, ["hash", "n", "first_id", "dim", "vec", "code", "factor", "step", "left", "node"])
 
     coded = cut(distinct.mapInArrow(code, "hash string, n long, first_id long, dim int, vec binary, code binary, factor float, step float, left float, node long"), "rabitq-codes")
-    bits, tables = settings(coded.count(), threshold, miss)
+    schemes = {dim: settings(n, dim, threshold, miss) for dim, n in coded.groupBy("dim").count().collect()}  # a row a length of vectors
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for dim in b.column(1).unique().to_pylist():
                 part = b.filter(pc.equal(b.column(1), dim))
-                own = keys(unpacked(part.column(2).to_pylist(), dim), bits, tables)
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), tables)), pa.array(np.full(n * tables, dim), pa.int32()), pa.array(np.tile(np.arange(tables), n), pa.int32()), pa.array(own.reshape(-1), pa.int64())], ["node", "dim", "tab", "key"])
+                own = keys(unpacked(part.column(2).to_pylist(), dim), schemes[dim])
+                n, tables, each = own.shape
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), tables * each)), pa.array(np.full(own.size, dim), pa.int32()), pa.array(np.tile(np.repeat(np.arange(tables), each), n), pa.int32()), pa.array(own.reshape(-1), pa.int64())], ["node", "dim", "tab", "key"])
 
     buckets = cut(coded.select("node", "dim", "code").mapInArrow(place, "node long, dim int, tab int, key long"), "rabitq-buckets")
     sizes = buckets.groupBy("dim", "tab", "key").agg(F.count("*").alias("size")).where("size > 1")
@@ -225,10 +311,12 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, miss: float = 1e-4
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         """The vectors of a share's buckets that have an open pair there."""
         pdf = pdf.sort_values(order, ignore_index=True)
-        v, some = Stored(pdf, int(pdf["dim"].iat[0])), np.zeros(len(pdf), bool)
-        for tab, left, right in groups(pdf):
-            a, b = open_pairs(v, left, right, tab, bits, tables, threshold, sigmas)
-            some[a] = some[b] = True
+        dim = int(pdf["dim"].iat[0])
+        v, some = Stored(pdf, dim), np.zeros(len(pdf), bool)
+        for tab, key, left, right in groups(pdf):
+            a, b = open_pairs(v, left, right, threshold, sigmas)
+            here = met_here(v, a, b, tab, key, schemes[dim])
+            some[a[here]] = some[b[here]] = True
         return pdf.loc[some, ["node", "dim", "tab", "key", "blk", "i", "j", "share"]]
 
     marked = cut(forms.groupBy("dim", "share").applyInPandas(mark, "node long, dim int, tab int, key long, blk int, i int, j int, share long"), "rabitq-open")
@@ -241,8 +329,10 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, miss: float = 1e-4
         raw = np.stack([np.frombuffer(x, "<f4" if len(x) == 4 * dim else "<f8") for x in pdf["vec"]]).astype(float)
         norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
         pairs = [(np.empty(0, int), np.empty(0, int))]
-        for tab, left, right in groups(pdf):
-            a, b = open_pairs(v, left, right, tab, bits, tables, threshold, sigmas)
+        for tab, key, left, right in groups(pdf):
+            a, b = open_pairs(v, left, right, threshold, sigmas)
+            here = met_here(v, a, b, tab, key, schemes[dim])
+            a, b = a[here], b[here]
             exact = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", raw[p], raw[q]) / (norm[p] * norm[q]) for p, q in ((a[i : i + 65536], b[i : i + 65536]) for i in range(0, len(a), 65536)))])
             pairs.append((a[exact >= threshold], b[exact >= threshold]))
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
