@@ -58,7 +58,7 @@ TYPES = (("AF", "DNS::TXT::SPF"), ("AO", "DNS::TXT::VERIFICATION"), ("NF", "HTTP
 
 
 def rel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relationship view."""
+    """The relationship view. ``seq`` is a decimal, for numbers of orders from 5,764,608 on are beyond a BIGINT."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     r = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     s, c = F.col("l_suppkey").cast("string"), F.col("o_custkey").cast("string")
@@ -66,15 +66,20 @@ def rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = F.create_map(*[F.lit(x) for kv in TYPES for x in kv])
     vendor = F.when(F.col("l_suppkey") % 5 == 0, F.concat(F.lit("cdn"), s, F.lit(".amazonaws.com"))).when(F.col("l_suppkey") % 5 == 1, F.concat(F.lit("px"), s, F.lit(".facebook.com"))).otherwise(F.concat(F.lit("s"), s, F.lit(".example.com")))
     name = F.concat(F.lit("Vendor "), s, F.when(F.col("l_orderkey") % 7 == 0, " Inc").when(F.col("l_orderkey") % 11 == 0, " Group").otherwise(""))
-    seq = ((F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey") % 10_000
+    seq = ((F.col("l_orderkey").cast("decimal(20,0)") * 16 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey") % 10_000
     return r.select(
         vendor.alias("nth_party_domain"), name.alias("nth_party_organization"), (1 + F.col("l_linenumber") % 3).cast("int").alias("nth_party_layer"), F.concat(F.lit("c"), c, F.lit(".example.org")).alias("nth_party_customer_domain"),
         F.concat(F.lit("Customer "), c).alias("nth_party_customer_organization"), F.col("o_orderpriority").alias("nth_party_record"), types[kind].alias("nth_party_record_type"),
         F.concat(F.lit("r"), (F.col("o_custkey") % 20).cast("string"), F.lit(".example.net")).alias("root_customer_domain"), F.concat(F.lit("Root "), (F.col("o_custkey") % 20).cast("string")).alias("root_customer_organization"),
-        F.concat(F.lit("order "), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("evidence"), seq.alias("seq"),
+        F.concat(F.lit("order "), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("evidence"), seq.cast("decimal(38,0)").alias("seq"),
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``seq`` as the BIGINT that the SQL gives; null where the number is beyond one, on which the SQL ends with an error."""
+    return rows.withColumn("seq", F.col("seq").try_cast("bigint"))
+
+
 REL = """rel AS (SELECT CASE WHEN l_suppkey % 5 = 0 THEN 'cdn' || l_suppkey || '.amazonaws.com' WHEN l_suppkey % 5 = 1 THEN 'px' || l_suppkey || '.facebook.com' ELSE 's' || l_suppkey || '.example.com' END AS nth_party_domain,
  'Vendor ' || l_suppkey || CASE WHEN l_orderkey % 7 = 0 THEN ' Inc' WHEN l_orderkey % 11 = 0 THEN ' Group' ELSE '' END AS nth_party_organization, CAST(1 + l_linenumber % 3 AS INTEGER) AS nth_party_layer,
  'c' || o_custkey || '.example.org' AS nth_party_customer_domain, 'Customer ' || o_custkey AS nth_party_customer_organization, o_orderpriority AS nth_party_record,
@@ -88,7 +93,7 @@ MERGED = """once AS (SELECT nth_party_domain d, nth_party_customer_domain c, nth
 
 @query(f"WITH {REL}, {MERGED} SELECT * FROM merged")
 def rel_dedup_merge(spark, sf_dir):
-    return relations.dedup_relationships(rel(spark, sf_dir))
+    return numbered(relations.dedup_relationships(rel(spark, sf_dir)))
 
 
 @query(f"""WITH {REL}, b AS (SELECT nth_party_domain AS domain, nth_party_record_type AS source_type, nth_party_record AS raw_record, seq,
@@ -96,7 +101,7 @@ def rel_dedup_merge(spark, sf_dir):
  SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY base_domain, source_type, raw_record ORDER BY seq) = 1""")
 def rel_predup(spark, sf_dir):
     r = rel(spark, sf_dir)
-    return relations.dedup_facts(r.select(F.col("nth_party_domain").alias("domain"), F.col("nth_party_record_type").alias("source_type"), F.col("nth_party_record").alias("raw_record"), "seq"))
+    return numbered(relations.dedup_facts(r.select(F.col("nth_party_domain").alias("domain"), F.col("nth_party_record_type").alias("source_type"), F.col("nth_party_record").alias("raw_record"), "seq")))
 
 
 @query(f"WITH {REL} SELECT count(*) AS total_relationships, CAST(coalesce(max(nth_party_layer), 0) AS INTEGER) AS max_depth, count(DISTINCT nth_party_domain) AS unique_domains, count(DISTINCT nth_party_organization) AS unique_organizations FROM rel")
@@ -126,17 +131,17 @@ def rel_common_denominators(spark, sf_dir):
 
 @query(f"WITH {REL} SELECT * FROM rel WHERE nth_party_layer = 2")
 def rel_at_layer(spark, sf_dir):
-    return relations.at_layer(rel(spark, sf_dir), 2)
+    return numbered(relations.at_layer(rel(spark, sf_dir), 2))
 
 
 @query(f"WITH {REL} SELECT * FROM rel WHERE nth_party_record_type IN ('HTTP::SUBPROCESSOR', 'TRUST_CENTER::API') OR NOT {in_list_sql('nth_party_domain', V.COMMON_INFRASTRUCTURE)}")
 def rel_infra_filter(spark, sf_dir):
-    return relations.drop_infrastructure(rel(spark, sf_dir))
+    return numbered(relations.drop_infrastructure(rel(spark, sf_dir)))
 
 
 @query(f"WITH {REL} SELECT * FROM rel WHERE NOT (nth_party_record_type IN ('DISCOVERY::WEBPAGE_SOURCE', 'DISCOVERY::WEBPAGE_NETWORK') AND {in_list_sql('nth_party_domain', V.MARKETING)})")
 def rel_marketing_filter(spark, sf_dir):
-    return relations.drop_marketing(rel(spark, sf_dir))
+    return numbered(relations.drop_marketing(rel(spark, sf_dir)))
 
 
 @query(f"""WITH {REL}, v AS (SELECT domain, organization, count(*) n FROM (SELECT nth_party_domain AS domain, nth_party_organization AS organization FROM rel UNION ALL
@@ -149,7 +154,7 @@ def rel_reconcile_org(spark, sf_dir):
 
 @query(f"WITH {REL} SELECT * FROM rel QUALIFY nth_party_layer <> 2 AND nth_party_layer <> 1 OR row_number() OVER (PARTITION BY root_customer_domain, nth_party_customer_domain, nth_party_layer ORDER BY seq) <= CASE nth_party_layer WHEN 1 THEN 3 ELSE 2 END")
 def rel_limits_topn(spark, sf_dir):
-    return relations.limit_per_customer(rel(spark, sf_dir), [0, 3, 2])
+    return numbered(relations.limit_per_customer(rel(spark, sf_dir), [0, 3, 2]))
 
 
 @query(f"""WITH {REL}, {MERGED} SELECT nth_party_record_type AS record_type, nth_party_layer AS layer, count(*) AS n, count(DISTINCT nth_party_domain) AS vendors FROM merged

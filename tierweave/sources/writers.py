@@ -98,7 +98,8 @@ def _rows(rel: DataFrame, part: int, line: Column) -> DataFrame:
 
 def _fixed(rel: DataFrame, part: int, texts: list[str]) -> DataFrame:
     rows = [(part, i, "", 0, x) for i, x in enumerate(texts)]
-    return rel.sparkSession.createDataFrame(rows, "part int, a long, b string, c long, line string").select(F.struct("part", "a", "b", "c").alias("at"), "line")
+    own = rel.sparkSession.createDataFrame(rows, "part int, a long, b string, c long, line string")
+    return own.select(F.struct("part", "a", "b", F.col("c").cast(rel.schema["seq"].dataType).alias("c")).alias("at"), "line")
 
 
 def _around(rel: DataFrame, head: list[str], foot: list[str]) -> DataFrame:
@@ -145,7 +146,7 @@ def markdown(rel: DataFrame) -> DataFrame:
     head += ["", "## Graph", "", "```mermaid", "graph TD"]
     lines = _fixed(rel, 0, head)
     roots = rel.select("root_customer_domain", "root_customer_organization").groupBy(F.col("root_customer_domain").alias("d")).agg(F.min("root_customer_organization").alias("o"))
-    place = lambda part, layer, name: F.struct(F.lit(part).alias("part"), layer.cast("long").alias("a"), name.alias("b"), F.lit(0).cast("long").alias("c")).alias("at")
+    place = lambda part, layer, name: F.struct(F.lit(part).alias("part"), layer.cast("long").alias("a"), name.alias("b"), F.lit(0).cast(rel.schema["seq"].dataType).alias("c")).alias("at")
     box = lambda d, o: F.concat(F.lit("    "), mermaid_id(d), F.lit('["'), d, F.lit("<br/>("), F.coalesce(o, d), F.lit(')"]')).alias("line")
     nodes = rel.groupBy(F.col("nth_party_domain").alias("d")).agg(F.min("nth_party_layer").alias("layer"), F.min("nth_party_organization").alias("o")).join(roots.select("d"), "d", "left_anti")
     kind = F.col("nth_party_record_type")
