@@ -23,3 +23,9 @@ def test_order_numbers_beyond_a_bigint(spark, tmp_path):
     assert len(run("graph_pages")) == 4 and {r.page for r in run("graph_pages")} == {0}
     assert len(run("rel_limits_topn")) == 6 and len(run("rel_infra_filter")) == 3 and len(run("rel_marketing_filter")) == 6
     assert len(run("rel_predup")) == 2 and sum(r.n for r in run("report_json")) == 6 and sum(r.n for r in run("rel_assemble")) == 2
+
+
+def test_hosts_below_suffixes_of_every_kind(spark, tmp_path):
+    spark.createDataFrame([(i, f"https://shop.x{i}.org/", "") for i in (0, 2, 61)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.host, r.suffix, r.base_domain, r.label) for r in Q.queries()["page_registrable"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("acme.com", "com", "acme.com", "acme"), 2: ("shop.acme.co.uk", "co.uk", "acme.co.uk", "acme"), 61: ("shop.www.acme.com", "com", "acme.com", "acme")}

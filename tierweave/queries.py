@@ -887,17 +887,17 @@ def first_providers(spark, sf_dir):
     return registry.first_provider(answers, ["click", "purchase", "error", "signup", "view"], 3).select("event_id", "query_domain", "provider", "ok")
 
 
-HOSTS = ("cdn{}.cloudfront.net", "px{}.doubleclick.net", "10.0.0.{}", "a..b{}.com", "_spf.s{}.co.uk", "www.s{}.com.au", "s{}.de", "x_{}.com", "-s{}.com", "n{}.notgstatic.com", "s{}", "x.s{}.letsencrypt.org", "_dmarc._x.S{}.org", "s{}.com/path")
+HOST_FORMS = ("cdn{}.cloudfront.net", "px{}.doubleclick.net", "10.0.0.{}", "a..b{}.com", "_spf.s{}.co.uk", "www.s{}.com.au", "s{}.de", "x_{}.com", "-s{}.com", "n{}.notgstatic.com", "s{}", "x.s{}.letsencrypt.org", "_dmarc._x.S{}.org", "s{}.com/path")
 
 
-@query(f"""WITH h AS (SELECT s_suppkey AS k, unnest(range(0, {len(HOSTS)})) AS form FROM supplier), t AS (SELECT k, form, replace({literal(HOSTS)}[form + 1], '{{}}', CAST(k AS VARCHAR)) AS host FROM h UNION ALL SELECT 0, {len(HOSTS)}, unnest({literal(V.SOCIAL + V.WEB_NOISE)})), l AS (SELECT *, string_split(host, '.') AS p FROM t)
+@query(f"""WITH h AS (SELECT s_suppkey AS k, unnest(range(0, {len(HOST_FORMS)})) AS form FROM supplier), t AS (SELECT k, form, replace({literal(HOST_FORMS)}[form + 1], '{{}}', CAST(k AS VARCHAR)) AS host FROM h UNION ALL SELECT 0, {len(HOST_FORMS)}, unnest({literal(V.SOCIAL + V.WEB_NOISE)})), l AS (SELECT *, string_split(host, '.') AS p FROM t)
  SELECT host, {in_list_sql("host", V.COMMON_INFRASTRUCTURE)} AS infrastructure, {in_list_sql("host", V.MARKETING)} AS marketing, list_contains([ends_with(host, c) FOR c IN {literal(V.CERTIFICATE_INFRASTRUCTURE)}], true) AS certificate, form = 2 OR host IN ('127.0.0.1', '0.0.0.0', '[::1]') AS ip, form = 2 OR list_contains({literal(V.WEB_NOISE)}, host) AS noise,
  list_contains({literal(V.SOCIAL)}, host) AS social, form NOT IN (3, 8, 10, 13) AND host NOT IN ('localhost', '[::1]') AND strlen(host) >= 4 AS dns_name, form NOT IN (3, 4, 7, 8, 10, 12, 13) AND host NOT IN ('localhost', '[::1]') AS batch, form <> 7 AS resolvable,
  CASE WHEN len(p) <= 2 THEN host WHEN p[-2] || '.' || p[-1] IN ('co.uk', 'com.au') THEN p[-3] || '.' || p[-2] || '.' || p[-1] ELSE p[-2] || '.' || p[-1] END AS looked_up, CASE WHEN len(p) < 2 THEN host ELSE p[-2] || '.' || p[-1] END AS last_two, CASE form WHEN 4 THEN 's' || k || '.co.uk' WHEN 12 THEN '_x.s' || k || '.org' ELSE lower(host) END AS plain FROM l""")
 def domain_classes(spark, sf_dir):
     """Hosts of fourteen forms for every supplier, and those of two lists: what they are taken for, and what they are looked up by."""
     host = F.col("host")
-    forms = F.array(*[F.replace(F.lit(h), F.lit("{}"), F.col("s_suppkey").cast("string")) for h in HOSTS])
+    forms = F.array(*[F.replace(F.lit(h), F.lit("{}"), F.col("s_suppkey").cast("string")) for h in HOST_FORMS])
     listed = spark.createDataFrame([(h,) for h in V.SOCIAL + V.WEB_NOISE], "host string")
     return table(spark, sf_dir, "supplier").select(F.explode(forms).alias("host")).unionByName(listed).select(
         "host", D.is_common_infrastructure(host).alias("infrastructure"), D.is_marketing(host).alias("marketing"), D.is_certificate_infrastructure(host).alias("certificate"), D.is_ip_host(host).alias("ip"), D.is_web_noise(host).alias("noise"), D.is_social(host).alias("social"),
