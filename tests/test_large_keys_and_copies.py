@@ -28,4 +28,15 @@ def test_order_numbers_beyond_a_bigint(spark, tmp_path):
 def test_hosts_below_suffixes_of_every_kind(spark, tmp_path):
     spark.createDataFrame([(i, f"https://shop.x{i}.org/", "") for i in (0, 2, 61)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: (r.host, r.suffix, r.base_domain, r.label) for r in Q.queries()["page_registrable"](spark, str(tmp_path)).collect()}
-    assert got == {0: ("acme.com", "com", "acme.com", "acme"), 2: ("shop.acme.co.uk", "co.uk", "acme.co.uk", "acme"), 61: ("shop.www.acme.com", "com", "acme.com", "acme")}
+    assert got == {0: ("acme.com", "com", "acme.com", "acme"), 2: ("shop.acme.co.uk", "co.uk", "acme.co.uk", "acme"), 61: ("shop.acme.com", "com", "acme.com", "acme")}
+
+
+def test_addresses_that_stand_on_several_pages(spark, tmp_path):
+    urls = ("http://a.one.org/", "http://b.two.org/", "http://c.three.org/", "http://a.one.org/", "http://d.four.org/", "http://e.two.org/", "http://a.one.org/", "http://b.two.org/")
+    spark.createDataFrame([(i, u, None if i == 0 else "<p>") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    run = lambda name: Q.queries()[name](spark, str(tmp_path)).collect()
+    own = [(r.vendor_domain, r.evidence) for r in run("page_resources") if r.page_url == urls[0]]
+    assert sorted(own) == [("four.org", f"HTML img src reference: {urls[4]}"), ("two.org", f"HTML img src reference: {urls[1]}"), ("two.org", f"HTML img src reference: {urls[7]}")]
+    assert len(run("page_resources")) == 7
+    got = {r.vendor_domain: (r.source_type, r.evidence.split(": ")[1]) for r in run("page_traffic") if r.page_url == urls[0]}
+    assert got == {"two.org": ("DISCOVERY::WEBPAGE_SOURCE", urls[7]), "three.org": ("DISCOVERY::WEBPAGE_NETWORK", urls[2]), "four.org": ("DISCOVERY::WEBPAGE_SOURCE", urls[4])}

@@ -449,8 +449,8 @@ def page_resources(spark, sf_dir):
     """Every page, with a picture from the page after it."""
     p = table(spark, sf_dir, "pages")
     after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("_next"))
-    own = p.join(after, "page_id").withColumn("html", F.concat("html", F.lit('<img src="'), "_next", F.lit('">'))).withColumn("target", D.base_domain(D.host_of(F.col("url"))))
-    return web.page_resources(own).select("page_url", "vendor_domain", "evidence")
+    own = p.join(after, "page_id").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.lit('<img src="'), "_next", F.lit('">'))).withColumn("target", D.base_domain(D.host_of(F.col("url"))))
+    return web.page_resources(own, of=("page_id",)).select("page_url", "vendor_domain", "evidence")
 
 
 HOSTS = (
@@ -742,12 +742,12 @@ def self_references(spark, sf_dir):
  SELECT a.url AS page_url, b.base AS vendor_domain, CASE WHEN b.page_id = a.page_id + 1 THEN 'DISCOVERY::WEBPAGE_SOURCE' ELSE 'DISCOVERY::WEBPAGE_NETWORK' END AS source_type, CASE WHEN b.page_id = a.page_id + 1 THEN 'HTML img src reference: ' || b.url ELSE 'Runtime network request: ' || b.url END AS evidence
  FROM p a JOIN p b ON b.page_id IN (a.page_id + 1, a.page_id + 2) WHERE a.base <> b.base QUALIFY row_number() OVER (PARTITION BY a.url, b.base ORDER BY b.page_id DESC) = 1""")
 def page_traffic(spark, sf_dir):
-    """Every page with a picture from the page after it, and requests to the one after that (to a later address of it as well)."""
+    """Every page with a picture from the page after it, and requests to the one after that (to a later address of it as well); addresses stand on several pages."""
     p = table(spark, sf_dir, "pages").withColumn("target", D.base_domain(D.host_of(F.col("url"))))
     after = lambda n, name: p.select((F.col("page_id") - n).alias("page_id"), F.col("url").alias(name))
-    pictured = p.join(after(1, "_next"), "page_id", "left").withColumn("html", F.concat("html", F.coalesce(F.concat(F.lit('<img src="'), "_next", F.lit('">')), F.lit(""))))
-    asked = p.join(after(2, "_second"), "page_id").select(F.col("url").alias("page_url"), "target", F.explode(F.array(F.struct(F.lit(0).alias("ordinal"), F.col("_second").alias("request_url")), F.struct(F.lit(1).alias("ordinal"), F.concat("_second", F.lit("/later")).alias("request_url")))).alias("r")).select("page_url", "target", "r.*")
-    return web.web_traffic(web.page_resources(pictured), web.network_vendors(asked)).select("page_url", "vendor_domain", "source_type", "evidence")
+    pictured = p.join(after(1, "_next"), "page_id", "left").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.coalesce(F.concat(F.lit('<img src="'), "_next", F.lit('">')), F.lit(""))))
+    asked = p.join(after(2, "_second"), "page_id").select("page_id", F.col("url").alias("page_url"), "target", F.explode(F.array(F.struct(F.lit(0).alias("ordinal"), F.col("_second").alias("request_url")), F.struct(F.lit(1).alias("ordinal"), F.concat("_second", F.lit("/later")).alias("request_url")))).alias("r")).select("page_id", "page_url", "target", "r.*")
+    return web.web_traffic(web.page_resources(pictured, of=("page_id",)), web.network_vendors(asked, of=("page_id",)), "page_id").select("page_url", "vendor_domain", "source_type", "evidence")
 
 
 @query(f"WITH {REL} SELECT nth_party_domain, nth_party_layer, nth_party_customer_organization, nth_party_record_type, evidence, count(*) AS n, (SELECT count(*) FROM rel) AS total, (SELECT count(DISTINCT nth_party_domain) FROM rel) AS unique_domains FROM rel GROUP BY ALL")
