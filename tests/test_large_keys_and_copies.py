@@ -40,3 +40,18 @@ def test_addresses_that_stand_on_several_pages(spark, tmp_path):
     assert len(run("page_resources")) == 7
     got = {r.vendor_domain: (r.source_type, r.evidence.split(": ")[1]) for r in run("page_traffic") if r.page_url == urls[0]}
     assert got == {"two.org": ("DISCOVERY::WEBPAGE_SOURCE", urls[7]), "three.org": ("DISCOVERY::WEBPAGE_NETWORK", urls[2]), "four.org": ("DISCOVERY::WEBPAGE_SOURCE", urls[4])}
+
+
+def test_what_grows_is_not_sent_to_every_task(spark, tmp_path, capsys):
+    from tierweave.plans import disclosures
+
+    spark.createDataFrame([(i,) for i in range(3)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = Q.queries()["subprocessor_urls"](spark, str(tmp_path))
+    assert {r.s_suppkey: r.first for r in found.collect()} == {0: "https://trust.s0.com/subprocessors", 1: "https://s1.com/legal/subprocessors", 2: "https://trust.s2.com/subprocessors"}
+    vendors = spark.read.parquet(f"{tmp_path}/supplier.parquet").selectExpr("'s' || s_suppkey || '.com' AS domain")
+    vendors.selectExpr("'https://' || domain || '/legal/subprocessors' AS url").write.parquet(f"{tmp_path}/pages")
+    asked = disclosures.addresses(vendors, spark.read.parquet(f"{tmp_path}/pages"))
+    assert asked.count() == 3
+    for df in (found, asked):
+        df.explain()
+        assert "Broadcast" not in capsys.readouterr().out

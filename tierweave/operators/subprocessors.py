@@ -15,7 +15,7 @@ from tierweave.functions.binding import let
 
 
 def page_urls(domains: DataFrame) -> DataFrame:
-    """``domain, ord, url``: the addresses at which ``domains(domain)`` may list subprocessors, most telling first.
+    """``domains(domain)`` with ``ord, url``: the addresses at which a domain may list subprocessors, most telling first.
 
     A name that begins with a trust center's label puts its own page first and gets no such label again.
     """
@@ -26,7 +26,7 @@ def page_urls(domains: DataFrame) -> DataFrame:
     first = F.when(trust, F.array(*at("", ("/subprocessors",)))).otherwise(F.array().cast("array<string>"))
     labels = F.when(~trust, F.array(*[u for x in V.TRUST_LABELS for u in at(x + ".", ("/subprocessors", "/"))])).otherwise(F.array().cast("array<string>"))
     every = F.array_distinct(F.concat(first, F.array(*at("", paths[:10])), labels, F.array(*at("", paths[10:])), F.array(*at("www.", paths))))
-    return domains.select("domain", F.posexplode(every).alias("ord", "url"))
+    return domains.select("*", F.posexplode(every).alias("ord", "url"))
 
 
 def is_valid_suffix(c: Column) -> Column:

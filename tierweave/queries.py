@@ -508,7 +508,7 @@ def subprocessor_urls(spark, sf_dir):
     """The first address of each supplier's list; every other one is a trust center's own name."""
     name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "trust.s").otherwise("s"), F.col("s_suppkey").cast("string"), F.lit(".com"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("domain"))
-    return subprocessors.page_urls(s).join(s, "domain").groupBy("s_suppkey").agg(F.min_by("url", "ord").alias("first"))
+    return subprocessors.page_urls(s).where("ord = 0").select("s_suppkey", F.col("url").alias("first"))
 
 
 @query("""WITH facts AS (SELECT 'nation' || n_nationkey || '.org' AS t, 'region' || n_regionkey || '.com' AS d, 'DNS::TXT::SPF' AS k, 'v=spf1 include:_spf.region' || n_regionkey || '.com ~all' AS r FROM nation UNION ALL
