@@ -38,7 +38,8 @@ def addresses(vendors: DataFrame, pages: DataFrame) -> DataFrame:
     key = lambda c: F.regexp_replace(F.lower(c), "/+$", "")
     asked = subprocessors.page_urls(vendors.select("domain").where("domain is not null").distinct()).select(F.col("domain").alias("target"), F.col("ord").alias("place"), key("url").alias("_key"))
     have = pages.select(F.col("url").alias("page_url"), key("url").alias("_key")).where("page_url is not null").distinct()
-    return asked.join(have, "_key").groupBy("target", "page_url").agg(F.min("place").alias("place"))
+    # Some hundred addresses a vendor: Spark takes them for as small as the vendors, and would send them all to every task.
+    return asked.hint("merge").join(have, "_key").groupBy("target", "page_url").agg(F.min("place").alias("place"))
 
 
 def _find(level: str, pages: DataFrame, nodes: DataFrame, captures: DataFrame | None, responses: DataFrame | None, rules: Rules | None) -> DataFrame | None:
