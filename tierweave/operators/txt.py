@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tierweave.functions import fixed_values as V
 from tierweave.functions.domains import base_domain, is_dns_name
 from tierweave.functions.orgs import lookup
-from tierweave.plans.graph import committed
+from tierweave.plans.graph import committed, told
 
 FACTS = "array<struct<domain:string,source_type:string>>"
 
@@ -107,15 +107,16 @@ def _held(texts: DataFrame, patterns: DataFrame, size: int) -> DataFrame:
     often = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
     index = grams.join(often, "_gram").groupBy("_p").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
     every = F.flatten(F.array(*[runs(F.col("_t"), n) for n in range(1, size + 1)]))
-    met = texts.withColumn("_gram", F.explode(F.array_distinct(every))).join(index, "_gram").where(F.contains("_t", F.col("_p")))
-    return met.drop("_gram").join(own, "_p")
+    # The texts' runs are many times the texts, and Spark takes them for no more: the patterns are what is sent, or both sides are shuffled.
+    met = texts.withColumn("_gram", F.explode(F.array_distinct(every))).join(told(index), "_gram").where(F.contains("_t", F.col("_p")))
+    return met.drop("_gram").join(told(own), "_p")
 
 
 def verification_join(records: DataFrame, patterns: DataFrame, record: str = "rdata", size: int = 3) -> DataFrame:
     """Records with every pattern of ``patterns(pattern, domain)`` that they contain; different records are looked up once, in a gram index."""
     texts = records.select(F.col(record).alias("_t")).where("_t is not null").distinct()
     held = _held(texts, patterns.withColumn("_p", F.col("pattern")), size).drop("_p")
-    return records.join(held, F.col(record) == F.col("_t")).drop("_t")
+    return records.join(held.hint("merge"), F.col(record) == F.col("_t")).drop("_t")
 
 
 def first_verification(records: DataFrame, patterns: DataFrame, record: str = "rdata", size: int = 3) -> DataFrame:

@@ -46,7 +46,7 @@ FEW = 20_000
 
 def told(rows: DataFrame) -> DataFrame:
     """A small table for a join: sent to every task where it has ``FEW`` rows at most, shuffled otherwise."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
+    return F.broadcast(rows) if rows.count() <= FEW else rows.hint("merge")
 
 
 def layers(
