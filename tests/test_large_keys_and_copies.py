@@ -55,3 +55,13 @@ def test_what_grows_is_not_sent_to_every_task(spark, tmp_path, capsys):
     for df in (found, asked):
         df.explain()
         assert "Broadcast" not in capsys.readouterr().out
+
+
+def test_the_view_is_dealt_by_rows(spark, tmp_path, monkeypatch):
+    here = deal(spark, tmp_path, [(o, o % 7) for o in range(60)])
+    few = sorted(Q.queries()["record_texts"](spark, here).collect())
+    monkeypatch.setattr(Q, "FILE_ROWS", 50)
+    monkeypatch.setattr(Q, "TASK_ROWS", 10)
+    sizes = Q.rel(spark, here).rdd.glom().map(len).collect()
+    assert sum(sizes) == 120 and len(sizes) >= 12 and max(sizes) <= 30
+    assert sorted(Q.queries()["record_texts"](spark, here).collect()) == few

@@ -57,10 +57,24 @@ def in_list_sql(column: str, names: tuple[str, ...]) -> str:
 TYPES = (("AF", "DNS::TXT::SPF"), ("AO", "DNS::TXT::VERIFICATION"), ("NF", "HTTP::SUBPROCESSOR"), ("NO", "DISCOVERY::WEBPAGE_SOURCE"), ("RF", "DISCOVERY::CT_LOG"), ("RO", "TRUST_CENTER::API"))
 
 
+#: Line items of a task of the relationship view, and up to how many the files' own parts do. The view's texts are some fifteen times as
+#: large as the columns they are made of, so that parts merged by the size of those columns give a task millions of rows.
+TASK_ROWS, FILE_ROWS = 200_000, 2_000_000
+
+
+def dealt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their orders, ``TASK_ROWS`` or so a task however many there are."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    n = li.count()
+    if n > FILE_ROWS:
+        parts = -(-n // TASK_ROWS)
+        li, o = li.repartition(parts, "l_orderkey"), o.repartition(parts, "o_orderkey")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def rel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relationship view. ``seq`` is a decimal, for numbers of orders from 5,764,608 on are beyond a BIGINT."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    r = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    r = dealt_lines(spark, sf_dir)
     s, c = F.col("l_suppkey").cast("string"), F.col("o_custkey").cast("string")
     kind = F.concat("l_returnflag", "l_linestatus")
     types = F.create_map(*[F.lit(x) for kv in TYPES for x in kv])
