@@ -118,3 +118,23 @@ def test_minimal_scan(spark):
     assert not any(c == "google.com" for c, _, _ in got) and {r.nth_party_organization for r in rows if r.nth_party_domain == "a.com"} == {"Acme"}
     assert max(r.nth_party_layer for r in scan.minimal(roots, frame, names, max_depth=2).collect()) == 2
     assert scan.minimal(roots.limit(0), frame, names).count() == 0
+
+
+def test_names_beyond_a_few_are_not_sent_to_every_task(spark, monkeypatch, capsys):
+    shape = "nth_party_domain string, nth_party_organization string, nth_party_customer_domain string, nth_party_customer_organization string, root_customer_domain string, root_customer_organization string"
+    proxy = "Domains By Proxy, LLC"
+    rows = [(f"v{i}.com", proxy if i % 2 else f"Vendor {i} Ltd", f"c{i % 5}.org", proxy if i % 3 == 0 else f"Customer {i % 5}", "r.net", "Root Works") for i in range(30)]
+    rows += [("v1.com", "Vendor 1 Ltd", "v2.com", None, "r.net", ""), ("", "x", "v4.com", " ", "r.net", "Root Works"), (None, None, "c1.org", "Customer 1", "r.net", "Root Works")]
+    rel = spark.createDataFrame(rows, shape)
+    key = lambda df: sorted(map(str, df.collect()))
+    few = {f: key(f(rel)) for f in (relations.gate_intermediaries, relations.reconcile_names)}
+    assert any("v2.com" in x and "nth_party_customer_organization='Vendor 2 Ltd'" in x for x in few[relations.reconcile_names])
+    assert not any("Proxy" in x for x in few[relations.gate_intermediaries])
+    monkeypatch.setattr(graph, "FEW", 1)  # of the root's one name
+    for f, own in few.items():
+        done = f(rel)
+        assert key(done) == own
+        capsys.readouterr()
+        done.explain()
+        plan = capsys.readouterr().out.split("Initial Plan")[-1]
+        assert plan.count("ShuffledHashJoin") == 2 and plan.count("BroadcastHashJoin") == 1

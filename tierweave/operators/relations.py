@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tierweave.functions import domains as D
 from tierweave.functions import orgs as O
 from tierweave.operators.ranks import ranked_within
-from tierweave.plans.graph import committed
+from tierweave.plans.graph import committed, told
 
 SCHEMA = """nth_party_domain string, nth_party_organization string, nth_party_layer int, nth_party_customer_domain string, nth_party_customer_organization string,
  nth_party_record string, nth_party_record_type string, root_customer_domain string, root_customer_organization string, evidence string, seq bigint"""
@@ -86,20 +86,29 @@ def drop_self_references(rel: DataFrame) -> DataFrame:
 POSITIONS = (("nth_party_domain", "nth_party_organization"), ("nth_party_customer_domain", "nth_party_customer_organization"), ("root_customer_domain", "root_customer_organization"))
 
 
+NAMED = "trim(domain) <> '' and trim(organization) <> ''"
+
+
+def _pairs(rel: DataFrame) -> DataFrame:
+    """``domain, organization, at`` for each position of each row; ``at`` has the position's bit."""
+    pairs = F.explode(F.array(*[F.struct(F.col(d).alias("domain"), F.col(o).alias("organization"), F.lit(1 << i).alias("at")) for i, (d, o) in enumerate(POSITIONS)])).alias("p")
+    return rel.select(pairs).select("p.*")
+
+
 def named_domains(rel: DataFrame) -> DataFrame:
     """``domain, organization, n``: how often each name stands at a domain, over the three positions."""
-    pairs = F.explode(F.array(*[F.struct(F.col(d).alias("domain"), F.col(o).alias("organization")) for d, o in POSITIONS])).alias("p")
-    return rel.select(pairs).select("p.*").where("trim(domain) <> '' and trim(organization) <> ''").groupBy("domain", "organization").agg(F.count("*").alias("n"))
+    return _pairs(rel).where(NAMED).groupBy("domain", "organization").agg(F.count("*").alias("n"))
 
 
 def judged_names(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
-    """``domain, organization, n, label, bad, fit, curated``: every different (domain, name) judged once, in a table of its own.
+    """``domain, organization, n, at, label, bad, fit, curated``: every different (domain, name) judged once, in a table of its own.
 
     ``bad`` names are go-betweens, ``fit`` ones plausible; ``curated`` is the domain's name in ``curated(domain, organization)``
-    (whatever its case), if it has one.
+    (whatever its case), if it has one. ``at`` has the bits of the positions at which the domain stands, under whatever name or none.
     """
     domain, name = F.col("domain"), F.col("organization")
-    votes = committed(named_domains(rel), "votes")
+    pairs = _pairs(rel).groupBy("domain", "organization").agg(F.count("*").alias("n"), F.bit_or("at").alias("at"))
+    votes = committed(pairs.withColumn("at", F.bit_or("at").over(Window.partitionBy("domain"))).where(NAMED), "votes")
     judged = committed(votes.withColumns({"label": O.domain_label(domain), "bad": O.is_intermediary(name, domain), "fit": O.is_plausible_name(name)}), "judged")
     if curated is None:
         return judged.withColumn("curated", F.lit(None).cast("string"))
@@ -108,10 +117,15 @@ def judged_names(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
 
 
 def _renamed(rel: DataFrame, names: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``rel`` with the names of ``names(domain[, organization], _name)`` at all three positions."""
+    """``rel`` with the names of ``names(domain[, organization], at, _name)`` at all three positions.
+
+    A position gets the names of the domains that stand there. Few are sent to every task; many meet the rows by a shuffle and
+    a hash table of the names, which have a row a key.
+    """
     columns = rel.columns
-    for d, o in POSITIONS:
-        own = names.withColumnsRenamed(dict(zip(keys, (d, o), strict=False)))
+    for i, (d, o) in enumerate(POSITIONS):
+        here = names.where(F.col("at").bitwiseAND(1 << i) != 0).drop("at")
+        own = told(here, "shuffle_hash").withColumnsRenamed(dict(zip(keys, (d, o), strict=False)))
         rel = rel.join(own, [d, o][: len(keys)], "left").withColumn(o, F.coalesce("_name", o)).drop("_name")
     return rel.select(*columns)
 
@@ -124,14 +138,14 @@ def reconcile_names(rel: DataFrame, curated: DataFrame | None = None) -> DataFra
     """
     judged = judged_names(rel, curated)
     best = first_seen(judged.where("fit and not bad and organization <> label"), ["domain"], [F.desc("n"), F.desc(F.octet_length("organization")), "organization"])
-    names = judged.groupBy("domain").agg(F.first("label").alias("label"), F.first("curated").alias("curated")).join(best.select("domain", F.col("organization").alias("voted")), "domain", "left")
-    return _renamed(rel, committed(names.select("domain", F.coalesce("curated", "voted", "label").alias("_name")), "names"), ("domain",))
+    names = judged.groupBy("domain").agg(F.first("at").alias("at"), F.first("label").alias("label"), F.first("curated").alias("curated")).join(best.select("domain", F.col("organization").alias("voted")), "domain", "left")
+    return _renamed(rel, committed(names.select("domain", "at", F.coalesce("curated", "voted", "label").alias("_name")), "names"), ("domain",))
 
 
 def gate_intermediaries(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
     """Names of registrars, privacy services and authorities give way to the domain's label, unless curated."""
     bad = judged_names(rel, curated).where(F.col("bad") & ~F.col("organization").eqNullSafe(F.col("curated")))
-    return _renamed(rel, committed(bad.select("domain", "organization", F.col("label").alias("_name")), "gated"), ("domain", "organization"))
+    return _renamed(rel, committed(bad.select("domain", "organization", "at", F.col("label").alias("_name")), "gated"), ("domain", "organization"))
 
 
 def finalize(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:

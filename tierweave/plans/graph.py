@@ -44,9 +44,9 @@ def committed(df: DataFrame, label: str) -> DataFrame:
 FEW = 20_000
 
 
-def told(rows: DataFrame) -> DataFrame:
-    """A small table for a join: sent to every task where it has ``FEW`` rows at most, shuffled otherwise."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows.hint("merge")
+def told(rows: DataFrame, otherwise: str = "merge") -> DataFrame:
+    """A small table for a join: sent to every task where it has ``FEW`` rows at most, shuffled (for a join of the kind ``otherwise``) if it has more."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows.hint(otherwise)
 
 
 def layers(
