@@ -65,3 +65,26 @@ def test_the_view_is_dealt_by_rows(spark, tmp_path, monkeypatch):
     sizes = Q.rel(spark, here).rdd.glom().map(len).collect()
     assert sum(sizes) == 120 and len(sizes) >= 12 and max(sizes) <= 30
     assert sorted(Q.queries()["record_texts"](spark, here).collect()) == few
+
+
+def test_later_layers_leave_out_steps_of_mere_roots(spark, monkeypatch):
+    """Steps of customers that nobody has as a vendor are in no join but the first; walks are as by brute force, sent or shuffled."""
+    from tierweave.plans import graph
+
+    facts = [(f"c{i}", f"s{i % 5}") for i in range(40)] * 2 + [("s0", "s1"), ("s1", "s2"), ("s2", "s0"), ("s3", "c1"), ("s4", "s4"), ("c7", "c7"), ("lone", "s0")]
+    roots = [f"c{i}" for i in range(40)] + ["s4", "none"]
+    want = {}
+    for r in roots:
+        layer, front = 0, {r}
+        while front:
+            want |= {(r, d): layer for d in front}
+            layer, front = layer + 1, {v for c, v in facts if c in front and (r, v) not in want}
+    real, sizes = graph.committed, {}
+    monkeypatch.setattr(graph, "committed", lambda df, label: sizes.setdefault(label, []).append(out := real(df, label)) or out)
+    rows = lambda **kw: {(r.root, r.domain): r.layer for r in graph.layers(spark.createDataFrame([(r,) for r in roots], "root string"), spark.createDataFrame(facts, "customer string, vendor string"), **kw).collect()}
+    got = rows()
+    assert got == want
+    assert [df.count() for df in sizes["facts"]] == [47] and [df.count() for df in sizes["second-steps"]] == [8]
+    monkeypatch.setattr(graph, "LIGHT", 0)
+    assert rows() == want
+    assert rows(max_depth=1) == {k: n for k, n in want.items() if n < 2} and len(sizes["second-steps"]) == 2

@@ -42,6 +42,8 @@ def committed(df: DataFrame, label: str) -> DataFrame:
 
 #: Rows of a table of settings or curated names that are sent to every task.
 FEW = 20_000
+#: Bytes of the names of steps that are sent to every task, so that a layer's rows stay where they are.
+LIGHT = 10_000_000
 
 
 def told(rows: DataFrame, otherwise: str = "merge") -> DataFrame:
@@ -76,15 +78,25 @@ def layers(
     if skip_unregistrable:
         steps = steps.where(~is_non_registrable(F.col("vendor")))
     steps = committed(steps, "facts")  # each layer joins the table, not what made it
+    later = None
     for depth in range(done + 1, min(DEEPEST, DEEPEST if max_depth is None else max_depth) + 1):
         start = frontier.where(~is_common_infrastructure(F.col("domain"))) if stop_at_infrastructure else frontier
         own = steps
+        if depth > 1:
+            if later is None:
+                later = _second_steps(steps, frontier if done else None)
+                sent = (later.agg(F.sum(F.octet_length("domain") + F.octet_length("vendor"))).first()[0] or 0) <= LIGHT
+            own = later
         if limits and depth - 1 < len(limits) and limits[depth - 1]:
             from pyspark.sql import Window
 
-            own = steps.withColumn("_n", F.row_number().over(Window.partitionBy("domain").orderBy("vendor"))).where(F.col("_n") <= limits[depth - 1]).drop("_n")
-        found = start.join(own, "domain").select("root", F.col("vendor").alias("domain")).distinct()
-        found = found.join(seen.select("root", "domain"), ["root", "domain"], "left_anti").withColumn("layer", F.lit(depth))
+            own = own.withColumn("_n", F.row_number().over(Window.partitionBy("domain").orderBy("vendor"))).where(F.col("_n") <= limits[depth - 1]).drop("_n")
+        found = start.join(F.broadcast(own) if depth > 1 and sent else own, "domain").select("root", F.col("vendor").alias("domain"))
+        if depth == 1:  # a root stands at itself alone, so that no pair is found twice and only the root itself was seen
+            found = found.where("root <> domain")
+        else:
+            found = found.distinct().join(seen.select("root", "domain"), ["root", "domain"], "left_anti")
+        found = found.withColumn("layer", F.lit(depth))
         frontier = marked(found, folder, depth) if folder else committed(found, "layer")
         if frontier.isEmpty():
             break
@@ -92,6 +104,17 @@ def layers(
     return seen
 
 
+def _second_steps(steps: DataFrame, frontier: DataFrame | None) -> DataFrame:
+    """Of ``steps(domain, vendor)`` those that a walk can take from its second step on: their domain is some step's vendor, or stands in a resumed ``frontier``.
+
+    Roots that nobody has as a vendor are most of the customers, and their steps are left out of all joins but the first.
+    """
+    reachable = steps.select(F.col("vendor").alias("domain")).distinct()
+    if frontier is not None:
+        reachable = reachable.unionByName(frontier.select("domain").distinct())
+    return committed(steps.join(reachable, "domain", "left_semi"), "second-steps")
+
+
 def checkpoint_folder(checkpoint: str, roots: DataFrame, **settings) -> str:
     """Where a run with these settings and ``roots(root)`` keeps its layers; another run's layers are never met."""
     n, h = roots.agg(F.count("*"), F.sum(F.xxhash64("root").cast("decimal(38,0)"))).first()

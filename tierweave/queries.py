@@ -206,9 +206,9 @@ def graph_grid(spark, sf_dir):
 
 
 def graph_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' suppliers, and each supplier's next one in its nation."""
+    """Customers' suppliers (a pair as often as it is ordered) and each supplier's next one in its nation."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    first = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("customer"), F.concat(F.lit("s"), "l_suppkey").alias("vendor")).distinct()
+    first = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("customer"), F.concat(F.lit("s"), "l_suppkey").alias("vendor"))
     following = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
     chain = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), following.alias("b")).where("b is not null")
     return first.unionByName(chain.select(F.concat(F.lit("s"), "a").alias("customer"), F.concat(F.lit("s"), "b").alias("vendor")))
