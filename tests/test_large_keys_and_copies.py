@@ -88,3 +88,25 @@ def test_later_layers_leave_out_steps_of_mere_roots(spark, monkeypatch):
     monkeypatch.setattr(graph, "LIGHT", 0)
     assert rows() == want
     assert rows(max_depth=1) == {k: n for k, n in want.items() if n < 2} and len(sizes["second-steps"]) == 2
+
+
+def test_resumed_rows_come_first_whatever_their_numbers(spark):
+    from decimal import Decimal
+
+    from tierweave.operators import relations
+
+    shape = relations.SCHEMA.replace("seq bigint", "seq decimal(38,0)")
+    row = lambda name, seq: ("v.com", name, 1, "c.org", "C", "r", "DNS::TXT::SPF", "c.org", "C", name, Decimal(seq))
+    new, resumed = spark.createDataFrame([row("Newer Vendor", 1)], shape), spark.createDataFrame([row("Older Vendor", 10**19)], shape)
+    (got,) = relations.assemble(new, resumed).collect()
+    assert got.evidence == "Older Vendor | Newer Vendor" and got.seq == 10**19
+
+
+def test_hosts_are_distinct_before_they_are_judged(spark, monkeypatch):
+    from tierweave.operators import relations
+
+    real, sizes = relations.committed, {}
+    monkeypatch.setattr(relations, "committed", lambda df, label: sizes.setdefault(label, real(df, label)))
+    rel = spark.range(300).selectExpr("'v' || id % 3 || '.com' AS nth_party_domain", "if(id % 2 = 0, 'c.org', 'x.invalid') AS nth_party_customer_domain", "'c.org' AS root_customer_domain")
+    assert relations.drop_unregistrable(rel).count() == 150
+    assert sorted(r.host for r in sizes["hosts"].collect()) == ["c.org", "v0.com", "v1.com", "v2.com", "x.invalid"]

@@ -7,6 +7,8 @@ root_customer_domain, root_customer_organization, evidence`` and ``seq``, the or
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,11 @@ def dedup_relationships(rel: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
 def drop_unregistrable(rel: DataFrame) -> DataFrame:
     """Without rows whose vendor, or whose non-empty customer other than the root, is no public host.
 
-    Each different host is judged once, and the rows are joined with those that fail.
+    Each different host is judged once, and the rows are joined with those that fail. Hosts are written out first, for Spark would
+    judge them before it makes them distinct, a host as often as it stands in a row.
     """
     vendor, customer = F.col("nth_party_domain"), F.col("nth_party_customer_domain")
-    hosts = rel.select(F.explode(F.array(vendor, customer)).alias("host")).distinct()
+    hosts = committed(rel.select(F.explode(F.array(vendor, customer)).alias("host")).distinct(), "hosts")
     bad = committed(hosts.where(D.is_non_registrable(F.col("host"))), "unregistrable")
     rel = rel.where(vendor.isNotNull()).join(bad.withColumnRenamed("host", "nth_party_domain"), "nth_party_domain", "left_anti")
     own = bad.select(F.col("host").alias("_h"))
@@ -159,11 +162,14 @@ def finalize(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
 
 
 def assemble(new: DataFrame, resumed: DataFrame | None = None, curated: DataFrame | None = None, include_infrastructure: bool = False) -> DataFrame:
-    """The report's rows: resumed ones first, deduplicated, filtered, finalized."""
+    """The report's rows: resumed ones first, deduplicated, filtered, finalized.
+
+    With resumed rows ``seq`` is a decimal; new ones get more than any number of a resumed run, which may be beyond a BIGINT.
+    """
     rel = new
     if resumed is not None:
         rel = resumed.withColumn("_run", F.lit(0)).unionByName(new.withColumn("_run", F.lit(1)))
-        rel = rel.withColumn("seq", F.col("_run") * F.lit(1 << 60) + F.col("seq")).drop("_run")
+        rel = rel.withColumn("seq", F.when(F.col("_run") == 1, F.lit(Decimal(10**30))).otherwise(F.lit(Decimal(0))) + F.col("seq").cast("decimal(38,0)")).drop("_run")
     return finalize(drop_marketing(drop_infrastructure(dedup_relationships(rel), include_infrastructure)), curated)
 
 
