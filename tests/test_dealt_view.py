@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tierweave import queries as Q
+from tierweave.operators import relations
 from tierweave.sources import writers
 
 HERE = "/root/testdata/sf0.001"
@@ -38,3 +39,10 @@ def test_report_lines(spark, dealt):
     total, largest = most(lines)
     assert total == n and largest <= 1_000
     assert equals_its_sql(spark, "report_markdown")
+
+
+def test_reconciled_names(spark, dealt):
+    n = Q.table(spark, HERE, "lineitem").count()
+    total, largest = most(relations.reconcile_names(Q.rel(spark, HERE)))
+    assert total == n and largest <= 1_000
+    assert equals_its_sql(spark, "rel_reconcile_org")
