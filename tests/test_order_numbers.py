@@ -12,7 +12,7 @@ from tierweave import queries as Q
 BIGINT = "CAST(((l_orderkey * 16 + l_linenumber) * 10000000 + l_partkey) * 10000 + l_suppkey % 10000 AS BIGINT) AS seq"
 EXACT = "((CAST(l_orderkey AS HUGEINT) * 16 + l_linenumber) * 10000000 + l_partkey) * 10000 + l_suppkey % 10000 AS seq"
 NAMES = [
-    "graph_vendor_agg", "rel_at_layer", "rel_dedup_merge", "rel_infra_filter", "rel_marketing_filter", "rel_limits_topn", "report_json",
+    "graph_vendor_agg", "rel_at_layer", "rel_dedup_merge", "rel_infra_filter", "rel_marketing_filter", "rel_limits_topn", "report_json", "rel_predup", "graph_pages",
 ]
 
 
