@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tierweave.llm import kdmeans, ppm, resampling
@@ -202,3 +203,18 @@ def test_draws_of_empty_tables(spark):
     assert resampling.resample(frame.limit(0), frame.select("text")).count() == 0
     got = resampling.resample(frame, frame.select("text").limit(0), percent=100).collect()
     assert [(r.n_features, r.rank) for r in got] == [(40, 1)]
+
+
+def test_a_row_group_of_the_matrix_holds_few_blocks(spark):
+    """What a task decodes at once stays the same however many blocks its split holds."""
+    frame = spark.createDataFrame(list(enumerate(DRAWS * 7)), "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a block a document
+    try:
+        blocks = resampling.csr_blocks(frame, 50, 1)
+        summed = int(resampling.column_sums(blocks, 50).sum())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == len(DRAWS) * 7 and max(groups) <= 4
+    assert summed == sum(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())) for t in DRAWS) * 7

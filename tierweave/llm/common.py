@@ -33,19 +33,19 @@ def new_folder(spark: SparkSession, label: str) -> str:
 WRITTEN: list[str] = []
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def cut(df: DataFrame, label: str = "cut", **options) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, with the writer's ``options``, and read it back.
 
     Later stages read the table, so a lost executor costs its own tasks only, and the
     plan above is computed once however often the result is used. The table stays until ``release``, for a result is read only when it is used.
     """
-    return _stored(df, label)[0]
+    return _stored(df, label, **options)[0]
 
 
-def _stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def _stored(df: DataFrame, label: str, **options) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 

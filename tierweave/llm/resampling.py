@@ -38,6 +38,9 @@ BETWEEN = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]")
 BLANKED = bytes(32 if BETWEEN.match(bytes([i])) else i for i in range(256))
 LOWERED = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 TABLE = bytes(BLANKED[LOWERED[i]] for i in range(256))
+#: Blocks of the matrix in a row group. Spark's reader decodes a row group at a time, for arrays some ten times as large as the file, so that the
+#: writer's usual 128 MB would take a task more than its share of the heap; a reader's split may still hold any number of these groups.
+GROUP = {"parquet.block.row.count.limit": 4}
 CSR = "ids array<long>, ends array<int>, features array<int>, columns array<int>, counts array<int>"
 
 
@@ -87,7 +90,7 @@ def csr_blocks(docs: DataFrame, buckets: int, longest: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x).cast(k) for x, k in zip(parts, kinds, strict=True)], names)
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return cut(own.mapInArrow(work, CSR), "csr")
+    return cut(own.mapInArrow(work, CSR), "csr", **GROUP)
 
 
 def column_sums(blocks: DataFrame, buckets: int) -> np.ndarray:
