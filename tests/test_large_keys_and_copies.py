@@ -110,3 +110,34 @@ def test_hosts_are_distinct_before_they_are_judged(spark, monkeypatch):
     rel = spark.range(300).selectExpr("'v' || id % 3 || '.com' AS nth_party_domain", "if(id % 2 = 0, 'c.org', 'x.invalid') AS nth_party_customer_domain", "'c.org' AS root_customer_domain")
     assert relations.drop_unregistrable(rel).count() == 150
     assert sorted(r.host for r in sizes["hosts"].collect()) == ["c.org", "v0.com", "v1.com", "v2.com", "x.invalid"]
+
+
+def test_rows_are_shuffled_once_to_be_deduplicated(spark, capsys):
+    from tierweave.operators import relations
+
+    rows = [(f"v{i % 3}.com", f"V {i % 3}", 1 + i % 2, "c.org", "C", "r", "DNS::TXT::SPF", "c.org", "C", f"e{i % 5}", i) for i in range(40)]
+    done = relations.dedup_relationships(spark.createDataFrame(rows, relations.SCHEMA).repartition(3))
+    assert {(r.nth_party_domain, r.nth_party_layer, r.seq, r.evidence) for r in done.collect()} == {("v0.com", 1, 0, "e0 | e3 | e1 | e4 | e2"), ("v1.com", 2, 1, "e1 | e4 | e2 | e0 | e3"), ("v2.com", 1, 2, "e2 | e0 | e3 | e1 | e4")}
+    capsys.readouterr()
+    relations.drop_infrastructure(done).explain()
+    assert capsys.readouterr().out.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_names_that_stay_are_joined_with_no_row(spark, monkeypatch):
+    """Only the vendors' names give way, so that only their rows meet names; all are as a brute-force vote has them."""
+    from collections import Counter
+
+    from tierweave.operators import relations
+    from tierweave.plans import graph
+
+    shape = "nth_party_domain string, nth_party_organization string, nth_party_customer_domain string, nth_party_customer_organization string, root_customer_domain string, root_customer_organization string"
+    rows = [(f"v{i % 10}.com", f"Vendor {i % 10}" + (" Inc" if i % 30 < 10 else ""), f"c{i}.org", f"Customer {i}", "r.net", "Root Works") for i in range(60)]
+    rows += [("v1.com", None, "c1.org", "Customer 1", "r.net", "Root Works"), ("v2.com", " ", None, "Nobody", "r.net", "Root Works"), (None, None, "c2.org", "Customer 2", "", "")]
+    votes = Counter((d, o) for r in rows for d, o in zip(r[::2], r[1::2]) if (d or "").strip() and (o or "").strip())
+    best = {d: max((n, len(o), o) for (x, o), n in votes.items() if x == d)[2] for d, _ in votes}
+    real, names = relations.told, []
+    monkeypatch.setattr(relations, "told", lambda rows, kind: names.append(rows.count()) or real(rows, kind))
+    monkeypatch.setattr(graph, "FEW", 1)
+    done = relations.reconcile_names(spark.createDataFrame(rows, shape))
+    assert Counter(map(tuple, done.collect())) == Counter(tuple(x for d, o in zip(r[::2], r[1::2]) for x in (d, best.get(d, o))) for r in rows)
+    assert names == [12, 0, 0]

@@ -48,11 +48,11 @@ def dedup_relationships(rel: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
     """One row per vendor, customer and record type (and ``per``): the first seen, with all evidence folded in.
 
     Rows with equal key and evidence are reduced to their first before evidence is gathered, so
-    what a group gathers is its different texts.
+    what a group gathers is its different texts. Rows are dealt by the key, which serves both steps: whole rows are shuffled once.
     """
     keys = [*per, "nth_party_domain", "nth_party_customer_domain", "nth_party_record_type"]
     others = [c for c in rel.columns if c not in (*keys, "evidence")]
-    once = rel.groupBy(*keys, "evidence").agg(F.min_by(F.struct(*others), "seq").alias("row"), F.min("seq").alias("_seq"))
+    once = rel.repartition(*keys).groupBy(*keys, "evidence").agg(F.min_by(F.struct(*others), "seq").alias("row"), F.min("seq").alias("_seq"))
     got = once.groupBy(*keys).agg(F.min_by("row", "_seq").alias("row"), F.array_sort(F.collect_list(F.struct("_seq", "evidence"))).alias("parts"))
     return got.select(*keys, "row.*", fold_evidence(F.col("parts.evidence")).alias("evidence")).select(*rel.columns)
 
@@ -103,33 +103,36 @@ def named_domains(rel: DataFrame) -> DataFrame:
     return _pairs(rel).where(NAMED).groupBy("domain", "organization").agg(F.count("*").alias("n"))
 
 
-def judged_names(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
-    """``domain, organization, n, at, label, bad, fit, curated``: every different (domain, name) judged once, in a table of its own.
+def different_pairs(rel: DataFrame) -> DataFrame:
+    """``domain, organization, n, at``: every different pair, named or not, in a table of its own; ``at`` has the bits of the positions at which it stands."""
+    return committed(_pairs(rel).groupBy("domain", "organization").agg(F.count("*").alias("n"), F.bit_or("at").alias("at")), "pairs")
+
+
+def judged_names(pairs: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """``domain, organization, n, at, label, bad, fit, curated``: those of ``different_pairs`` that have a name, judged once, in a table of its own.
 
     ``bad`` names are go-betweens, ``fit`` ones plausible; ``curated`` is the domain's name in ``curated(domain, organization)``
-    (whatever its case), if it has one. ``at`` has the bits of the positions at which the domain stands, under whatever name or none.
+    (whatever its case), if it has one.
     """
     domain, name = F.col("domain"), F.col("organization")
-    pairs = _pairs(rel).groupBy("domain", "organization").agg(F.count("*").alias("n"), F.bit_or("at").alias("at"))
-    votes = committed(pairs.withColumn("at", F.bit_or("at").over(Window.partitionBy("domain"))).where(NAMED), "votes")
-    judged = committed(votes.withColumns({"label": O.domain_label(domain), "bad": O.is_intermediary(name, domain), "fit": O.is_plausible_name(name)}), "judged")
+    judged = committed(pairs.where(NAMED).withColumns({"label": O.domain_label(domain), "bad": O.is_intermediary(name, domain), "fit": O.is_plausible_name(name)}), "judged")
     if curated is None:
         return judged.withColumn("curated", F.lit(None).cast("string"))
     own = curated.groupBy(F.lower("domain").alias("domain")).agg(F.min("organization").alias("curated"))
     return judged.join(own, "domain", "left")
 
 
-def _renamed(rel: DataFrame, names: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``rel`` with the names of ``names(domain[, organization], at, _name)`` at all three positions.
+def _renamed(rel: DataFrame, names: DataFrame) -> DataFrame:
+    """``rel`` with the new names of ``names(domain, organization, at, _name)`` at all three positions.
 
-    A position gets the names of the domains that stand there. Few are sent to every task; many meet the rows by a shuffle and
-    a hash table of the names, which have a row a key.
+    A position gets the names of the pairs that stand there. Few are sent to every task; many meet the rows by a shuffle and
+    a hash table of the names, which have a row a pair.
     """
     columns = rel.columns
     for i, (d, o) in enumerate(POSITIONS):
-        here = names.where(F.col("at").bitwiseAND(1 << i) != 0).drop("at")
-        own = told(here, "shuffle_hash").withColumnsRenamed(dict(zip(keys, (d, o), strict=False)))
-        rel = rel.join(own, [d, o][: len(keys)], "left").withColumn(o, F.coalesce("_name", o)).drop("_name")
+        here = names.where(F.col("at").bitwiseAND(1 << i) != 0).select(F.col("domain").alias("_d"), F.col("organization").alias("_o"), "_name")
+        own = (F.col(d) == F.col("_d")) & F.col(o).eqNullSafe(F.col("_o"))
+        rel = rel.join(told(here, "shuffle_hash"), own, "left").withColumn(o, F.coalesce("_name", o)).drop("_d", "_o", "_name")
     return rel.select(*columns)
 
 
@@ -138,17 +141,20 @@ def reconcile_names(rel: DataFrame, curated: DataFrame | None = None) -> DataFra
 
     A curated name wins; else of the plausible names that are neither a go-between nor the domain's own
     label, the most frequent, then the longest in bytes, then the first by alphabet; else the label.
+    Rows are joined with the names that give way only, so that a position where none does costs no shuffle of the rows.
     """
-    judged = judged_names(rel, curated)
+    pairs = different_pairs(rel)
+    judged = judged_names(pairs, curated)
     best = first_seen(judged.where("fit and not bad and organization <> label"), ["domain"], [F.desc("n"), F.desc(F.octet_length("organization")), "organization"])
-    names = judged.groupBy("domain").agg(F.first("at").alias("at"), F.first("label").alias("label"), F.first("curated").alias("curated")).join(best.select("domain", F.col("organization").alias("voted")), "domain", "left")
-    return _renamed(rel, committed(names.select("domain", "at", F.coalesce("curated", "voted", "label").alias("_name")), "names"), ("domain",))
+    names = judged.groupBy("domain").agg(F.first("label").alias("label"), F.first("curated").alias("curated")).join(best.select("domain", F.col("organization").alias("voted")), "domain", "left")
+    names = names.select("domain", F.coalesce("curated", "voted", "label").alias("_name"))
+    return _renamed(rel, committed(pairs.join(names, "domain").where(~F.col("organization").eqNullSafe(F.col("_name"))), "names"))
 
 
 def gate_intermediaries(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
     """Names of registrars, privacy services and authorities give way to the domain's label, unless curated."""
-    bad = judged_names(rel, curated).where(F.col("bad") & ~F.col("organization").eqNullSafe(F.col("curated")))
-    return _renamed(rel, committed(bad.select("domain", "organization", "at", F.col("label").alias("_name")), "gated"), ("domain", "organization"))
+    bad = judged_names(different_pairs(rel), curated).where(F.col("bad") & ~F.col("organization").eqNullSafe(F.col("curated")))
+    return _renamed(rel, committed(bad.select("domain", "organization", "at", F.col("label").alias("_name")), "gated"))
 
 
 def finalize(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
