@@ -1,6 +1,7 @@
 """Queries over tables with large keys and repeated rows."""
 
 import datetime
+import os
 
 from tierweave import queries as Q
 
@@ -141,3 +142,32 @@ def test_names_that_stay_are_joined_with_no_row(spark, monkeypatch):
     done = relations.reconcile_names(spark.createDataFrame(rows, shape))
     assert Counter(map(tuple, done.collect())) == Counter(tuple(x for d, o in zip(r[::2], r[1::2]) for x in (d, best.get(d, o))) for r in rows)
     assert names == [12, 0, 0]
+
+
+def test_what_relationships_were_made_of_is_deleted_once_they_are_written(spark, monkeypatch):
+    import hashlib
+    import time
+
+    from tierweave.operators import relations
+    from tierweave.plans import graph
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f: os.path.getsize(f) for f in files if f.endswith(".data") and os.path.exists(f)}
+
+    def watched(df, label, *args, **kwargs):
+        before = set(shuffled())
+        out = real(df, label, *args, **kwargs)
+        for _ in range(20 if label == "relationships" else 1):  # Spark does not wait for files to be deleted
+            left[label] = sum(n for f, n in shuffled().items() if f not in before)
+            if left[label]:
+                time.sleep(0.1)
+        return out
+
+    real, left, setting = relations.committed, {}, spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    monkeypatch.setattr(relations, "committed", watched)
+    text = lambda i: "".join(hashlib.sha256(f"{i}:{k}".encode()).hexdigest() for k in range(16))
+    rows = [(f"v{i % 50}.com", f"V {i % 50}", 1, f"c{i % 20}.org", "C", "r", "DNS::TXT::SPF", "c.org", "C", text(i), i) for i in range(1000)]
+    assert relations.assemble(spark.createDataFrame(rows, relations.SCHEMA)).count() == 100
+    assert left["relationships"] == 0 and left["hosts"] > 0
+    assert spark.conf.get(graph.FREED, None) == setting

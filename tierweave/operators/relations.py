@@ -163,7 +163,7 @@ def finalize(rel: DataFrame, curated: DataFrame | None = None) -> DataFrame:
     Reconciling rewrites all positions, so gating only has to leave go-betweens out of the vote, which it does by itself.
     """
     columns = rel.columns
-    rel = committed(rel, "relationships")  # read several times from here on
+    rel = committed(rel, "relationships", freed=True)  # read several times from here on
     return reconcile_names(drop_unregistrable(rel).select(*columns), curated)
 
 

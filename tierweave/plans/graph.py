@@ -33,10 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def committed(df: DataFrame, label: str) -> DataFrame:
+#: Spark's setting that deletes a query's shuffle files when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def committed(df: DataFrame, label: str, freed: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder. ``freed``: what was shuffled to make it is deleted once it is written, not when the driver happens to collect it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREED, None)
+    if freed:
+        spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if freed:
+            spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
